@@ -1,3 +1,134 @@
 """Jobs: relational."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import aggregates as agg
+from tessera.operators import joins, ordering
+from tessera.plans.registry import register, tables
+
+# Account balance tiers, half-open [lo, hi).
+BALANCE_TIERS = [
+    ("negative", -1.0e12, 0.0),
+    ("low", 0.0, 2500.0),
+    ("mid", 2500.0, 7500.0),
+    ("high", 7500.0, 1.0e12),
+]
+_TIER_VALUES = ", ".join(f"('{n}', {lo}::DOUBLE, {hi}::DOUBLE)" for n, lo, hi in BALANCE_TIERS)
+
+
+@register("customer_balance_tiers", sql=f"""
+SELECT c_custkey, c_acctbal, tier
+FROM customer LEFT JOIN (VALUES {_TIER_VALUES}) AS t(tier, lo, hi)
+  ON c_acctbal >= lo AND c_acctbal < hi
+""")
+def customer_balance_tiers(spark, sf_dir):
+    """P23 tier_join: balance to tier through a checked-size broadcast range join."""
+    t = tables(spark, sf_dir)
+    tiers = spark.createDataFrame(BALANCE_TIERS, "tier string, lo double, hi double")
+    c = t.customer.select("c_custkey", "c_acctbal")
+    return joins.tier_join(c, "c_acctbal", tiers).select("c_custkey", "c_acctbal", "tier")
+
+
+_RECON_A = "SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'"
+_RECON_B = ("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' "
+            "THEN o_totalprice + 1.0 ELSE o_totalprice END AS o_totalprice "
+            "FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
+
+
+@register("orders_reconcile", sql=f"""
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+       CASE WHEN b.o_orderkey IS NULL THEN 'only_a'
+            WHEN a.o_orderkey IS NULL THEN 'only_b' ELSE 'changed' END AS status,
+       a.o_orderstatus AS o_orderstatus_a, b.o_orderstatus AS o_orderstatus_b,
+       a.o_totalprice AS o_totalprice_a, b.o_totalprice AS o_totalprice_b
+FROM ({_RECON_A}) a FULL OUTER JOIN ({_RECON_B}) b ON a.o_orderkey = b.o_orderkey
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL
+   OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
+   OR a.o_totalprice IS DISTINCT FROM b.o_totalprice
+""")
+def orders_reconcile(spark, sf_dir):
+    """P22 reconcile: two overlapping cuts of orders, the second with open
+    orders repriced; rows only in one cut and changed rows."""
+    t = tables(spark, sf_dir)
+    o = t.orders
+    a = o.where(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    b = (o.where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+         .withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice") + 1.0)
+                     .otherwise(F.col("o_totalprice"))))
+    return joins.reconcile(a, b, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
+
+
+@register("distinct_users_by_type", sql="""
+SELECT event_type, count(DISTINCT user_id) AS n_user_id, count(DISTINCT props) AS n_props
+FROM events GROUP BY event_type
+""")
+def distinct_users_by_type(spark, sf_dir):
+    """P31 distinct_counts (exact)."""
+    t = tables(spark, sf_dir)
+    return agg.distinct_counts(t.events, ["event_type"], ["user_id", "props"])
+
+
+@register("approx_distinct_users")
+def approx_distinct_users(spark, sf_dir):
+    """P32 distinct_counts_approx: sketched distinct users and events per type.
+    Approximate by design, so no oracle; tests check the stated error bound."""
+    t = tables(spark, sf_dir)
+    return agg.distinct_counts_approx(t.events, ["event_type"], ["user_id", "event_id"])
+
+
+@register("event_value_quantiles", sql="""
+SELECT event_type,
+       round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
+       round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.9), 6) AS q90
+FROM events GROUP BY event_type
+""")
+def event_value_quantiles(spark, sf_dir):
+    """P33 quantiles: exact interpolated quartiles and p90 per event type."""
+    t = tables(spark, sf_dir)
+    q = ordering.exact_quantiles(t.events, "value", [0.25, 0.5, 0.75, 0.9], by=["event_type"],
+                                 tiebreak=["event_id"])
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75", "q90")])
+
+
+@register("segment_status_pivot", sql="""
+SELECT c_mktsegment,
+       count(*) FILTER (WHERE o_orderstatus = 'F') AS "F",
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS "O",
+       count(*) FILTER (WHERE o_orderstatus = 'P') AS "P"
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment
+""")
+def segment_status_pivot(spark, sf_dir):
+    """P34 pivot_counts: order counts by segment, one column per status."""
+    t = tables(spark, sf_dir)
+    j = t.orders.select("o_custkey", "o_orderstatus").join(
+        t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    return agg.pivot_counts(j, ["c_mktsegment"], "o_orderstatus", ["F", "O", "P"])
+
+
+@register("nation_long", sql="""
+UNPIVOT (SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation)
+ON n_name, n_regionkey INTO NAME attribute VALUE value
+""")
+def nation_long(spark, sf_dir):
+    """P35 to_long: wide to long."""
+    t = tables(spark, sf_dir)
+    n = t.nation.select("n_nationkey", "n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
+    return agg.to_long(n, ["n_nationkey"], ["n_name", "n_regionkey"])
+
+
+@register("part_price_ranks", sql="""
+SELECT p_partkey, p_type, p_retailprice,
+       rank() OVER w AS rnk, dense_rank() OVER w AS drnk,
+       round(percent_rank() OVER w, 8) AS prank, round(cume_dist() OVER w, 8) AS cdist
+FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_retailprice)
+""")
+def part_price_ranks(spark, sf_dir):
+    """P39 rank_all: rank, dense_rank, percent_rank, cume_dist per part type,
+    from range-partitioned positions (six types would be six tasks otherwise)."""
+    t = tables(spark, sf_dir)
+    p = t.part.select("p_partkey", "p_type", "p_retailprice")
+    r = ordering.rank_all(p, ["p_type"], "p_retailprice", ["p_partkey"])
+    return r.select("p_partkey", "p_type", "p_retailprice", "rnk", "drnk",
+                    F.round("prank", 8).alias("prank"), F.round("cdist", 8).alias("cdist"))
