@@ -1,3 +1,177 @@
 """Jobs: cleaning."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import cleaning as cl
+from tessera.plans.registry import register, tables
+
+_PROFILE_COLS = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+def _profile_sql(table, cols):
+    parts = [f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, "
+             f"count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS DOUBLE) AS min_value, "
+             f"CAST(max({c}) AS DOUBLE) AS max_value, round(avg({c}), 6) AS mean FROM {table}"
+             for c in cols]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("customer_profile", sql=_profile_sql("customer", _PROFILE_COLS))
+def customer_profile(spark, sf_dir):
+    """P06 profile: rows, nulls, distinct, min, max, mean per column."""
+    t = tables(spark, sf_dir)
+    return cl.profile(t.customer, _PROFILE_COLS).withColumn("mean", F.round("mean", 6))
+
+
+@register("lineitem_key_violations", sql="""
+SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
+GROUP BY 1, 2 HAVING count(*) > 1
+""")
+def lineitem_key_violations(spark, sf_dir):
+    """P07 key_violations: (l_orderkey, l_linenumber) is not a key here."""
+    t = tables(spark, sf_dir)
+    return cl.key_violations(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+_FKS = [
+    ("lineitem.l_orderkey", "lineitem", "orders", "l_orderkey", "o_orderkey"),
+    ("lineitem.l_partkey", "lineitem", "part", "l_partkey", "p_partkey"),
+    ("lineitem.l_suppkey", "lineitem", "supplier", "l_suppkey", "s_suppkey"),
+    ("orders.o_custkey", "orders", "customer", "o_custkey", "c_custkey"),
+    ("customer.c_nationkey", "customer", "nation", "c_nationkey", "n_nationkey"),
+    ("supplier.s_nationkey", "supplier", "nation", "s_nationkey", "n_nationkey"),
+    ("nation.n_regionkey", "nation", "region", "n_regionkey", "r_regionkey"),
+    ("labels.doc_id", "labels", "documents", "doc_id", "doc_id"),
+    ("events.user_id", "events", "customer", "user_id", "c_custkey"),
+]
+
+
+@register("foreign_key_orphans", sql="\nUNION ALL\n".join(
+    f"SELECT '{n}' AS fk, count(*) AS n_orphans FROM {c} x "
+    f"WHERE NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck})"
+    for n, c, p, ck, pk in _FKS))
+def foreign_key_orphans(spark, sf_dir):
+    """P08 orphans: child rows without a parent, per foreign key."""
+    t = tables(spark, sf_dir)
+    checks = [(n, getattr(t, c).select(ck), getattr(t, p).select(pk), ck, pk)
+              for n, c, p, ck, pk in _FKS]
+    return cl.orphan_report(checks)
+
+
+@register("events_latest_per_user_type", sql="""
+SELECT user_id, event_type, event_id, ts, value FROM (
+  SELECT user_id, event_type, event_id, ts, value,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1
+""")
+def events_latest_per_user_type(spark, sf_dir):
+    """P09 dedupe_latest: newest event per user and type."""
+    t = tables(spark, sf_dir)
+    e = t.events.select("user_id", "event_type", "event_id", "ts", "value")
+    return cl.dedupe_latest(e, ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@register("document_duplicate_groups", sql=r"""
+SELECT sha256(trim(lower(regexp_replace(text, '[\s\v]+', ' ', 'g')))) AS text_hash,
+       count(*) AS n_docs, min(doc_id) AS min_id, max(doc_id) AS max_id
+FROM documents GROUP BY 1 HAVING count(*) > 1
+""")
+def document_duplicate_groups(spark, sf_dir):
+    """P10 duplicate_groups: documents equal after case / whitespace folding."""
+    t = tables(spark, sf_dir)
+    return cl.duplicate_groups(t.documents, "text", "doc_id")
+
+
+_CAST_SPEC = {"k": "int", "props": "int", "event_type": "int"}
+
+
+def _events_k(t):
+    return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), "props",
+                           "event_type")
+
+
+@register("events_safe_cast", sql="""
+SELECT event_id, CAST(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS BIGINT) AS k,
+       CAST(TRY_CAST(props AS INTEGER) AS BIGINT) AS props,
+       CAST(TRY_CAST(event_type AS INTEGER) AS BIGINT) AS event_type
+FROM events
+""")
+def events_safe_cast(spark, sf_dir):
+    """P11 safe_cast: failed conversions become null instead of failing the job."""
+    t = tables(spark, sf_dir)
+    out = cl.safe_cast(_events_k(t), _CAST_SPEC)
+    return out.select("event_id", *[F.col(c).cast("long").alias(c) for c in _CAST_SPEC])
+
+
+@register("events_cast_failures", sql="\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, CAST(sum(CASE WHEN {e} IS NOT NULL AND TRY_CAST({e} AS INTEGER) IS NULL "
+    f"THEN 1 ELSE 0 END) AS BIGINT) AS n_failed FROM events"
+    for c, e in [("k", "json_extract_string(props, '$.k')"), ("props", "props"),
+                 ("event_type", "event_type")]))
+def events_cast_failures(spark, sf_dir):
+    """P11 safe_cast, counted: failures per column."""
+    t = tables(spark, sf_dir)
+    return cl.cast_failures(_events_k(t), _CAST_SPEC)
+
+
+@register("customer_balance_impute", sql="""
+WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS bal
+           FROM customer),
+     m AS (SELECT c_nationkey, quantile_cont(bal, 0.5) AS med FROM c GROUP BY 1)
+SELECT c_custkey, c_nationkey, round(coalesce(bal, med), 6) AS acctbal_filled, bal IS NULL AS was_missing
+FROM c JOIN m USING (c_nationkey)
+""")
+def customer_balance_impute(spark, sf_dir):
+    """P12 impute: negative balances treated as missing, filled with the
+    nation's exact median."""
+    t = tables(spark, sf_dir)
+    c = t.customer.select("c_custkey", "c_nationkey",
+                          F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("bal"))
+    out = cl.impute(c, "bal", ["c_nationkey"], "median", name="acctbal_filled")
+    return out.select("c_custkey", "c_nationkey", F.round("acctbal_filled", 6).alias("acctbal_filled"),
+                      F.col("bal").isNull().alias("was_missing"))
+
+
+@register("event_value_outliers", sql="""
+WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+           FROM events GROUP BY 1)
+SELECT event_id, event_type, value, round(q1 - 1.5 * (q3 - q1), 6) AS lo_fence,
+       round(q3 + 1.5 * (q3 - q1), 6) AS hi_fence
+FROM events JOIN q USING (event_type)
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)
+""")
+def event_value_outliers(spark, sf_dir):
+    """P14 iqr_outliers: event values outside the 1.5 IQR fences of their type."""
+    t = tables(spark, sf_dir)
+    e = t.events.select("event_id", "event_type", "value")
+    out = cl.iqr_outliers(e, "value", ["event_type"], 1.5, tiebreak=["event_id"])
+    return out.select("event_id", "event_type", "value", F.round("lo_fence", 6).alias("lo_fence"),
+                      F.round("hi_fence", 6).alias("hi_fence"))
+
+
+@register("customer_balance_clip", sql="""
+SELECT c_custkey, least(greatest(c_acctbal, 0.0), 9000.0) AS acctbal_clipped FROM customer
+""")
+def customer_balance_clip(spark, sf_dir):
+    """P15 clip: balances winsorised to [0, 9000]."""
+    t = tables(spark, sf_dir)
+    out = cl.clip(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", 0.0, 9000.0,
+                  name="acctbal_clipped")
+    return out.select("c_custkey", "acctbal_clipped")
+
+
+@register("customer_balance_histogram", sql="""
+WITH b AS (SELECT CAST(CASE WHEN c_acctbal < -1000.0 THEN 0 WHEN c_acctbal >= 10000.0 THEN 12
+                       ELSE floor((c_acctbal - -1000.0) / 1000.0) + 1 END AS BIGINT) AS bucket
+           FROM customer WHERE c_acctbal IS NOT NULL)
+SELECT bucket, count(*) AS n,
+       CASE WHEN bucket BETWEEN 1 AND 11 THEN -1000.0 + (bucket - 1) * 1000.0 END AS lo_edge,
+       CASE WHEN bucket BETWEEN 1 AND 11 THEN -1000.0 + bucket * 1000.0 END AS hi_edge
+FROM b GROUP BY bucket
+""")
+def customer_balance_histogram(spark, sf_dir):
+    """P16 bin: 11 equal-width balance buckets."""
+    t = tables(spark, sf_dir)
+    return cl.bin_counts(t.customer, "c_acctbal", -1000.0, 10000.0, 11)
