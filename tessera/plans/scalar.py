@@ -1,3 +1,83 @@
 """Jobs: scalar."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import scalar as sc
+from tessera.operators import vectors
+from tessera.plans.registry import register, tables
+
+
+@register("document_text_features", sql=r"""
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
+       CAST(CASE WHEN trim(regexp_replace(text, '[\s\v]+', ' ', 'g')) = '' THEN 0
+            ELSE len(string_split(trim(regexp_replace(text, '[\s\v]+', ' ', 'g')), ' ')) END AS BIGINT)
+         AS n_words,
+       CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines,
+       CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+       CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits,
+       CAST(length(regexp_replace(text, '[^.!?]', '', 'g')) AS BIGINT) AS n_sentence_ends
+FROM documents
+""")
+def document_text_features(spark, sf_dir):
+    """P47 text_features over whole documents."""
+    t = tables(spark, sf_dir)
+    return sc.text_features(t.documents.select("doc_id", "text"), "text").drop("text")
+
+
+@register("event_props_k", sql="""
+SELECT event_id, event_type, CAST(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS BIGINT) AS k
+FROM events
+""")
+def event_props_k(spark, sf_dir):
+    """P49 json_field: the integer ``k`` out of ``events.props``."""
+    t = tables(spark, sf_dir)
+    e = t.events
+    return e.select("event_id", "event_type", sc.json_field("props", "$.k", "int").cast("long").alias("k"))
+
+
+@register("page_url_parts", sql=r"""
+SELECT page_id,
+       nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '') AS scheme,
+       nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1), '') AS host,
+       regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+       CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '\?')
+            THEN regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1) END AS query,
+       CASE WHEN regexp_matches(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment
+FROM pages
+""")
+def page_url_parts(spark, sf_dir):
+    """P50 url_parts."""
+    t = tables(spark, sf_dir)
+    return sc.url_parts(t.pages.select("page_id", "url"), "url").drop("url")
+
+
+@register("embedding_centroid_cosine", sql="""
+WITH ex AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i,
+                   CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+     m AS (SELECT label, i, avg(x) AS m FROM ex GROUP BY 1, 2),
+     c AS (SELECT label, list(m ORDER BY i) AS centroid FROM m GROUP BY 1)
+SELECT vec_id, label,
+       round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm,
+       round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid), 6) AS cos_centroid
+FROM embeddings JOIN c USING (label)
+""")
+def embedding_centroid_cosine(spark, sf_dir):
+    """P51 vector_similarity: norm and cosine to the label centroid."""
+    t = tables(spark, sf_dir)
+    out = vectors.centroid_similarity(t.embeddings, ["label"], "embedding")
+    return out.select("vec_id", "label", F.round("norm", 6).alias("norm"),
+                      F.round("cos_centroid", 6).alias("cos_centroid"))
+
+
+@register("document_tokens", sql=r"""
+WITH s AS (SELECT doc_id, lower(trim(regexp_replace(text, '[\s\v]+', ' ', 'g'))) AS s FROM documents),
+     a AS (SELECT doc_id, string_split(s, ' ') AS arr FROM s WHERE s <> '')
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, arr[i] AS token
+FROM (SELECT doc_id, arr, unnest(range(1, len(arr) + 1)) AS i FROM a)
+""")
+def document_tokens(spark, sf_dir):
+    """P77 tokens: every token of every whole document with its position."""
+    t = tables(spark, sf_dir)
+    return sc.tokens(t.documents.select("doc_id", "text"), "text", ["doc_id"])
