@@ -1,3 +1,152 @@
 """Jobs: experiments."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import udfs
+from tessera.operators import experiments as ex
+from tessera.plans.registry import register, tables
+
+# The fixtures carry no assignment column; user_id % 2 stands in (FIXTURES.md).
+_GROUP_SQL = "user_id % 2"
+
+
+def _grp():
+    return (F.col("user_id") % 2).cast("long")
+
+
+_COUNTS_SQL = f"""
+WITH u AS (SELECT user_id,
+                  CASE WHEN min(CASE WHEN event_type = 'purchase' THEN ts END) <= min(ts) + INTERVAL 1 DAY
+                       THEN 1 ELSE 0 END AS conv
+           FROM events GROUP BY user_id)
+SELECT CAST({_GROUP_SQL} AS BIGINT) AS grp, count(*) AS n_users, CAST(sum(conv) AS BIGINT) AS n_converted,
+       round(sum(conv) / count(*), 8) AS rate
+FROM u GROUP BY 1"""
+
+
+def _counts(t):
+    # conversion: a purchase within one day of the user's first event
+    conv = ex.converted_within("ts", "event_type", "purchase", "1 day")
+    return ex.ab_counts(t.events, "user_id", _grp(), conv)
+
+
+@register("ab_conversion_counts", sql=_COUNTS_SQL)
+def ab_conversion_counts(spark, sf_dir):
+    """P61 ab_counts: exposed and converted users per group."""
+    t = tables(spark, sf_dir)
+    c = _counts(t)
+    return c.withColumn("rate", F.round("rate", 8))
+
+
+def _erfc_sql(x):
+    t = f"(1.0 / (1.0 + 0.5 * abs({x})))"
+    poly = f"{ex.ERFC_COEFFS[-1]}"
+    for c in reversed(ex.ERFC_COEFFS[:-1]):
+        poly = f"({c} + {t} * {poly})"
+    return f"({t} * exp(-abs({x}) * abs({x}) + {poly}))"
+
+
+@register("ab_conversion_z_test", sql=f"""
+WITH c AS ({_COUNTS_SQL}),
+     o AS (SELECT max(CASE WHEN grp = 0 THEN n_users END) AS n_a, max(CASE WHEN grp = 0 THEN n_converted END) AS x_a,
+                  max(CASE WHEN grp = 1 THEN n_users END) AS n_b, max(CASE WHEN grp = 1 THEN n_converted END) AS x_b
+           FROM c),
+     z AS (SELECT *, x_a / n_a AS pa, x_b / n_b AS pb, (x_a + x_b) / (n_a + n_b) AS pool FROM o),
+     se AS (SELECT *, sqrt(pool * (1 - pool) * (1 / n_a + 1 / n_b)) AS se FROM z),
+     s AS (SELECT *, CASE WHEN se > 0 THEN (pb - pa) / se END AS z FROM se)
+SELECT n_a, x_a, n_b, x_b, round(pa, 8) AS rate_a, round(pb, 8) AS rate_b, round(pb - pa, 8) AS diff,
+       round(z, 6) AS z, round({_erfc_sql("z / sqrt(2.0)")}, 6) AS p_value
+FROM s
+""")
+def ab_conversion_z_test(spark, sf_dir):
+    """P62 z_test: two-proportion z test of conversion between the groups."""
+    t = tables(spark, sf_dir)
+    c = _counts(t)
+    z = ex.z_test(c, 0, 1)
+    return z.select("n_a", "x_a", "n_b", "x_b", *[F.round(x, 8).alias(x) for x in ("rate_a", "rate_b", "diff")],
+                    F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"))
+
+
+@register("ab_value_welch_test", sql=f"""
+WITH m AS (SELECT {_GROUP_SQL} AS grp, count(value) AS n, avg(value) AS mean, var_samp(value) AS var
+           FROM events GROUP BY 1),
+     o AS (SELECT max(CASE WHEN grp = 0 THEN n END) AS n_a, max(CASE WHEN grp = 1 THEN n END) AS n_b,
+                  max(CASE WHEN grp = 0 THEN mean END) AS mean_a, max(CASE WHEN grp = 1 THEN mean END) AS mean_b,
+                  max(CASE WHEN grp = 0 THEN var END) AS var_a, max(CASE WHEN grp = 1 THEN var END) AS var_b
+           FROM m)
+SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
+       round(var_a, 4) AS var_a, round(var_b, 4) AS var_b,
+       round((mean_b - mean_a) / sqrt(var_a / n_a + var_b / n_b), 6) AS t,
+       round(power(var_a / n_a + var_b / n_b, 2)
+             / (power(var_a / n_a, 2) / (n_a - 1) + power(var_b / n_b, 2) / (n_b - 1)), 4) AS dof
+FROM o
+""")
+def ab_value_welch_test(spark, sf_dir):
+    """P63 welch_test on event values between the groups."""
+    t = tables(spark, sf_dir)
+    w = ex.welch_test(t.events, _grp(), "value", 0, 1)
+    return w.select("n_a", "n_b", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"),
+                    F.round("var_a", 4).alias("var_a"), F.round("var_b", 4).alias("var_b"),
+                    F.round("t", 6).alias("t"), F.round("dof", 4).alias("dof"))
+
+
+@register("segment_priority_chi_square", sql="""
+WITH j AS (SELECT c_mktsegment AS a, o_orderpriority AS b FROM orders JOIN customer ON o_custkey = c_custkey),
+     cells AS (SELECT a, b, count(*) AS o FROM j GROUP BY 1, 2),
+     ra AS (SELECT a, sum(o) AS ra FROM cells GROUP BY 1),
+     cb AS (SELECT b, sum(o) AS cb FROM cells GROUP BY 1),
+     n AS (SELECT sum(o) AS n FROM cells),
+     e AS (SELECT o, ra * cb / n AS e, n FROM cells JOIN ra USING (a) JOIN cb USING (b), n)
+SELECT round(sum((o - e) * (o - e) / e) + max(n) - sum(e), 6) AS chi2,
+       CAST(((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1) AS BIGINT) AS dof,
+       CAST(max(n) AS BIGINT) AS n
+FROM e
+""")
+def segment_priority_chi_square(spark, sf_dir):
+    """P64 chi_square: is order priority independent of market segment?"""
+    t = tables(spark, sf_dir)
+    j = t.orders.select("o_custkey", "o_orderpriority").join(
+        t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    c = ex.chi_square(j, "c_mktsegment", "o_orderpriority")
+    return c.withColumn("chi2", F.round("chi2", 6))
+
+
+@register("ab_sample_ratio", sql=f"""
+WITH o AS (SELECT CAST({_GROUP_SQL} AS BIGINT) AS grp, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1),
+     e AS (SELECT grp, n_users, 0.5 * sum(n_users) OVER () AS expected_users FROM o)
+SELECT grp, n_users, round(expected_users, 6) AS expected_users,
+       round(sum((n_users - expected_users) * (n_users - expected_users) / expected_users) OVER (), 8) AS chi2
+FROM e
+""")
+def ab_sample_ratio(spark, sf_dir):
+    """P65 sample_ratio_check: observed split against the planned 50 / 50."""
+    t = tables(spark, sf_dir)
+    s = ex.sample_ratio_check(t.events, "user_id", _grp(), {0: 0.5, 1: 0.5})
+    return s.select("grp", "n_users", F.round("expected_users", 6).alias("expected_users"),
+                    F.round("chi2", 8).alias("chi2"))
+
+
+@register("event_value_bootstrap")
+def event_value_bootstrap(spark, sf_dir):
+    """P66 bootstrap_ci: 95 % interval of the mean event value, 200 replicates.
+    The replicate weights come from a Spark hash, which SQL engines do not share,
+    so there is no oracle; tests check reproducibility and coverage."""
+    t = tables(spark, sf_dir)
+    return ex.bootstrap_mean_ci(t.events, "value", "event_id", reps=200, seed=7)
+
+
+@register("user_day_event_gaps", sql="""
+SELECT event_id,
+       (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)))
+         / 1000000.0 AS secs_since_prev
+FROM events
+""")
+def user_day_event_gaps(spark, sf_dir):
+    """P76 per_group: a pandas function per (user, day) group; the day bounds
+    the group size, so no user is handed whole to one Python worker."""
+    t = tables(spark, sf_dir)
+    e = t.events.select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
+    return udfs.per_group(e, ["user_id", "day"], udfs.seconds_since_previous,
+                          "event_id long, secs_since_prev double")
