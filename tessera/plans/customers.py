@@ -189,3 +189,45 @@ def user_first_last_touch(spark, sf_dir):
     """P60 first_last_touch: first and last event type per user."""
     t = tables(spark, sf_dir)
     return cu.first_last_touch(t.events, "user_id", "ts", "event_type", tiebreak=["event_id"])
+
+
+def _typed(t, kind, id_name, ts_name):
+    return (t.events.where(F.col("event_type") == kind)
+            .select("user_id", F.col("event_id").alias(id_name), F.col("ts").alias(ts_name)))
+
+
+@register("view_to_purchase_6h", sql="""
+SELECT v.user_id, v.event_id AS view_id, p.event_id AS purchase_id,
+       (epoch_us(p.ts) - epoch_us(v.ts)) / 1000000.0 AS lag_s
+FROM events v JOIN events p
+  ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase'
+ AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 6 HOUR
+""")
+def view_to_purchase_6h(spark, sf_dir):
+    """P24 interval_join: purchases within 6 h after a view by the same user,
+    keyed by (user, 6 h bucket) so a heavy user is split by time."""
+    from tessera.operators.joins import interval_join
+    t = tables(spark, sf_dir)
+    v = _typed(t, "view", "view_id", "view_ts")
+    p = _typed(t, "purchase", "purchase_id", "purchase_ts")
+    j = interval_join(v, p, "user_id", "view_ts", "purchase_ts", "6 hours")
+    lag = (F.unix_micros(F.col("purchase_ts").cast("timestamp"))
+           - F.unix_micros(F.col("view_ts").cast("timestamp"))) / 1_000_000.0
+    return j.select("user_id", "view_id", "purchase_id", lag.alias("lag_s"))
+
+
+@register("purchase_last_view", sql="""
+SELECT p.event_id AS purchase_id, p.user_id, p.ts AS purchase_ts, v.event_id AS view_id, v.ts AS view_ts
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v
+  ON p.user_id = v.user_id AND p.ts >= v.ts
+""")
+def purchase_last_view(spark, sf_dir):
+    """P25 asof_join: for every purchase, the user's last view at or before it."""
+    from tessera.operators.joins import asof_join
+    t = tables(spark, sf_dir)
+    p = _typed(t, "purchase", "purchase_id", "purchase_ts")
+    v = _typed(t, "view", "view_id", "view_ts")
+    out = asof_join(p, v, ["user_id"], "purchase_ts", "view_ts", ["view_id", "view_ts"],
+                    right_tiebreak=["view_id"])
+    return out.select("purchase_id", "user_id", "purchase_ts", "view_id", "view_ts")

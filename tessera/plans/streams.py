@@ -1,3 +1,167 @@
 """Jobs: streams."""
 
 from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.sources.tables import SCHEMAS
+from tessera.streaming import operators as so
+from tessera.streaming import sinks, sources
+from tessera.plans.registry import register, tables
+
+
+def _ntz(c):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+def _replayed_events(spark, sf_dir, order, name):
+    """Events rewritten as 6 files of 5 days each, replayed in ``order``."""
+    t = tables(spark, sf_dir)
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    e = t.events.withColumn("chunk", F.least(F.floor(day / 5), F.lit(5)).cast("int"))
+    root = sources.write_replay(e, "chunk", order, name)
+    schema = T.StructType(SCHEMAS["events"].fields + [T.StructField("chunk", T.IntegerType())])
+    s = sources.file_stream(spark, root, schema, max_files_per_trigger=1)
+    return sources.with_event_time(s).drop("chunk")
+
+
+@register("events_stream_passthrough", sql="""
+SELECT event_id, ts, user_id, event_type, value, props FROM events
+""")
+def events_stream_passthrough(spark, sf_dir):
+    """P05 event_stream: the events table through a stream and a parquet sink."""
+    tables(spark, sf_dir)
+    s = sources.event_stream(spark, sf_dir)
+    out = sinks.run_append(s, "passthrough")
+    return out.select("event_id", _ntz("ts"), "user_id", "event_type", "value", "props")
+
+
+@register("stream_tumbling_daily", sql="""
+SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2
+""")
+def stream_tumbling_daily(spark, sf_dir):
+    """P67 tumbling: daily counts per type, update mode, final values."""
+    tables(spark, sf_dir)
+    s = sources.event_stream(spark, sf_dir)
+    log = sinks.run_changelog(so.tumbling(s, "ts", "1 day", ["event_type"], "1 hour"), "tumbling")
+    out = sinks.latest_by_key(log, ["window_start", "event_type"])
+    return out.select(_ntz("window_start"), "event_type", "n")
+
+
+@register("stream_sliding_daily_6h", sql="""
+WITH b AS (SELECT event_type, epoch_us(ts) AS us FROM events),
+     w AS (SELECT event_type, (us // 21600000000) * 21600000000 - k * 21600000000 AS start_us
+           FROM b, range(0, 4) r(k))
+SELECT make_timestamp(start_us) AS window_start, make_timestamp(start_us + 86400000000) AS window_end,
+       event_type, count(*) AS n
+FROM w GROUP BY 1, 2, 3
+""")
+def stream_sliding_daily_6h(spark, sf_dir):
+    """P68 sliding: 1-day windows every 6 hours per type."""
+    tables(spark, sf_dir)
+    s = sources.event_stream(spark, sf_dir)
+    log = sinks.run_changelog(so.sliding(s, "ts", "1 day", "6 hours", ["event_type"], "1 hour"),
+                              "sliding")
+    out = sinks.latest_by_key(log, ["window_start", "event_type"])
+    return out.select(_ntz("window_start"), _ntz("window_end"), "event_type", "n")
+
+
+@register("stream_sessions_24h", sql="""
+WITH x AS (SELECT user_id, ts, event_id,
+                  lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+     y AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 24 HOUR THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
+           FROM x)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_last, count(*) AS n_events
+FROM y GROUP BY user_id, sid
+""")
+def stream_sessions_24h(spark, sf_dir):
+    """P69 stream_sessions: session windows with a 24 h gap in append mode; the
+    bounded replay ends with a marker event so the last sessions close."""
+    t = tables(spark, sf_dir)
+    marker = {"event_id": -1, "user_id": -1, "event_type": "__end__", "value": 0.0, "props": ""}
+    root = sources.write_with_end_marker(t.events, "ts", "2 days", marker, "sessions-input")
+    schema = T.StructType(SCHEMAS["events"].fields + [T.StructField("part", T.StringType())])
+    s = sources.with_event_time(sources.file_stream(spark, root, schema)).drop("part")
+    out = sinks.run_append(so.stream_sessions(s, "ts", "24 hours", ["user_id"], "1 hour"), "sessions")
+    return out.where(F.col("user_id") != -1).select(
+        "user_id", _ntz("session_start"), _ntz("session_last"), "n_events")
+
+
+@register("stream_dedupe_user_type_hour")
+def stream_dedupe_user_type_hour(spark, sf_dir):
+    """P70 stream_dedupe: drop an event when the same user had the same event
+    type within the hour before it. Which of two rows of one micro-batch counts
+    as first is arrival order, which SQL cannot express: no oracle."""
+    tables(spark, sf_dir)
+    s = sources.event_stream(spark, sf_dir)
+    out = sinks.run_append(so.stream_dedupe(s, "ts", ["user_id", "event_type"], "1 hour"), "dedupe")
+    return out.select("event_id", _ntz("ts"), "user_id", "event_type")
+
+
+@register("stream_view_purchase_6h", sql="""
+SELECT v.user_id, v.event_id AS view_id, p.event_id AS purchase_id,
+       (epoch_us(p.ts) - epoch_us(v.ts)) / 1000000.0 AS lag_s
+FROM events v JOIN events p
+  ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase'
+ AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 6 HOUR
+""")
+def stream_view_purchase_6h(spark, sf_dir):
+    """P71 stream_interval_join: the batch P24 as a stream-stream join."""
+    tables(spark, sf_dir)
+    s = sources.event_stream(spark, sf_dir)
+    v = s.where(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("view_id"),
+                                                     F.col("ts").alias("view_ts"))
+    p = sources.event_stream(spark, sf_dir).where(F.col("event_type") == "purchase").select(
+        F.col("user_id").alias("p_user_id"), F.col("event_id").alias("purchase_id"),
+        F.col("ts").alias("purchase_ts"))
+    p = p.withColumnRenamed("p_user_id", "user_id")
+    j = so.stream_interval_join(v, p, "user_id", "view_ts", "purchase_ts", "6 hours", "6 hours")
+    lag = (F.unix_micros(F.col("purchase_ts")) - F.unix_micros(F.col("view_ts"))) / 1_000_000.0
+    j = j.select(F.col("a.user_id").alias("user_id"), "view_id", "purchase_id", lag.alias("lag_s"))
+    return sinks.run_append(j, "interval_join")
+
+
+# Chunk 1 (days 6-10) is delivered after all others: its rows are late.
+_LATE_ORDER = [0, 2, 3, 4, 5, 1]
+
+
+@register("stream_late_rows", sql="""
+SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events
+WHERE least(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 5), 5) <> 1
+GROUP BY 1, 2
+""")
+def stream_late_rows(spark, sf_dir):
+    """P72 late_rows: daily counts with a 1-day watermark while days 6-10 arrive
+    last; those windows were closed, so their rows are left out."""
+    s = _replayed_events(spark, sf_dir, _LATE_ORDER, "late-input")
+    log = sinks.run_changelog(so.late_rows(s, "ts", "1 day", ["event_type"], "1 day"), "late")
+    out = sinks.latest_by_key(log, ["window_start", "event_type"])
+    return out.select(_ntz("window_start"), "event_type", "n")
+
+
+@register("stream_running_totals", sql="""
+SELECT user_id, count(*) AS n_events, round(sum(value), 2) AS total_value FROM events GROUP BY 1
+""")
+def stream_running_totals(spark, sf_dir):
+    """P73 running_totals: per-user state carried over six micro-batches."""
+    s = _replayed_events(spark, sf_dir, list(range(6)), "totals-input")
+    log = sinks.run_changelog(so.running_totals(s), "totals")
+    out = sinks.latest_by_key(log, ["user_id"])
+    return out.select("user_id", "n_events", F.round("total_value", 2).alias("total_value"))
+
+
+@register("stream_latest_per_user", sql="""
+SELECT user_id, event_id, ts, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1
+""")
+def stream_latest_per_user(spark, sf_dir):
+    """P74 upsert_sink: latest event per user kept up to date across batches."""
+    s = _replayed_events(spark, sf_dir, list(range(6)), "upsert-input")
+    s = s.select("user_id", "event_id", "ts", "event_type", "value")
+    out = sinks.upsert_sink(s, ["user_id"], ["ts", "event_id"], "upsert")
+    return out.select("user_id", "event_id", _ntz("ts"), "event_type", "value")

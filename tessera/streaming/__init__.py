@@ -1 +1,19 @@
-"""streaming"""
+"""Structured Streaming forms of the event operators.
+
+Sources are file streams with declared schemas; results go to parquet under
+the shared checkpoint folder (never the driver's memory), and a finished
+stream is read back as a batch DataFrame.
+"""
+
+from tessera.streaming.sources import event_stream, file_stream
+from tessera.streaming.sinks import latest_by_key, run_append, run_changelog, upsert_sink
+from tessera.streaming.operators import (
+    late_rows, running_totals, sliding, stream_dedupe, stream_interval_join, stream_sessions,
+    tumbling,
+)
+
+__all__ = [
+    "event_stream", "file_stream", "latest_by_key", "run_append", "run_changelog", "upsert_sink",
+    "late_rows", "running_totals", "sliding", "stream_dedupe", "stream_interval_join",
+    "stream_sessions", "tumbling",
+]
