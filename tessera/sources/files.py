@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+# Text formats keep full microsecond precision (Spark's default drops to ms).
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_TS_OPTS = {"timestampNTZFormat": TS_FORMAT, "timestampFormat": TS_FORMAT + "XXX"}
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType,
@@ -19,9 +22,15 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType,
             .option("header", header).option("sep", sep)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT)
+            .options(**_TS_OPTS)
             .csv(path))
 
 
+def write_delimited(df: DataFrame, path: str, header: bool = True, sep: str = ",") -> str:
+    df.write.option("header", header).option("sep", sep).options(**_TS_OPTS).csv(path)
+    return path
+
+
 def bad_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(CORRUPT).isNotNull())
 
@@ -32,7 +41,12 @@ def good_rows(df: DataFrame) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with a declared schema (no inference pass over the data)."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").options(**_TS_OPTS).json(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> str:
+    df.write.options(**_TS_OPTS).json(path)
+    return path
 
 
 def write_partitioned(df: DataFrame, path: str, cols: list[str], fmt: str = "parquet") -> str:
