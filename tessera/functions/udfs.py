@@ -1,10 +1,15 @@
 """Python where Spark has no built-in.
 
-``per_group`` hands each group to a pandas function through
-``applyInPandas`` (Arrow batches). A whole group is one pandas frame in one
-task, so the grouping keys must bound the group size: group by a natural key
-*and* a time bucket (as ``user_day_gaps`` does), never by a key alone when
-one key can hold a large share of the rows.
+``per_group`` hands groups to a pandas function through ``applyInPandas``
+(Arrow batches). A whole group is one pandas frame in one task, so the
+grouping keys must bound the group size: group by a natural key *and* a time
+bucket (as the per-(user, day) job does), never by a key alone when one key
+can hold a large share of the rows.
+
+With ``buckets=n`` Spark groups by a hash bucket of the keys instead, and the
+function receives several complete groups per call (it must be group-aware,
+e.g. use ``groupby``): one Python call per bucket instead of one per group,
+which removes the per-group call overhead when groups are many and small.
 """
 
 from __future__ import annotations
@@ -13,18 +18,25 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.operators.experiments import p_value_udf  # noqa: F401  (re-export)
 
 
-def per_group(df: DataFrame, by: Sequence, fn: Callable[[pd.DataFrame], pd.DataFrame],
-              schema: str) -> DataFrame:
-    """Apply a pandas function to every group (``groupBy().applyInPandas``)."""
-    return df.groupBy(*by).applyInPandas(fn, schema=schema)
+def per_group(df: DataFrame, by: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame],
+              schema: str, buckets: int | None = None) -> DataFrame:
+    """Apply a pandas function to every group (``groupBy().applyInPandas``),
+    or to hash buckets of whole groups when ``buckets`` is given."""
+    if not buckets:
+        return df.groupBy(*by).applyInPandas(fn, schema=schema)
+    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
+    return keyed.groupBy("_bucket").applyInPandas(
+        lambda pdf: fn(pdf.drop(columns="_bucket")), schema=schema)
 
 
-def seconds_since_previous(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one group: seconds since the previous row in (ts, event_id) order."""
-    pdf = pdf.sort_values(["ts", "event_id"])
-    gap = pdf["ts"].diff().dt.total_seconds()
+def seconds_since_previous(pdf: pd.DataFrame, by: Sequence[str] = ("user_id", "day")) -> pd.DataFrame:
+    """Seconds since the previous row of the same group in (ts, event_id)
+    order; group-aware, so it serves one group or a bucket of many."""
+    pdf = pdf.sort_values([*by, "ts", "event_id"])
+    gap = pdf.groupby(list(by), sort=False)["ts"].diff().dt.total_seconds()
     return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "secs_since_prev": gap.to_numpy()})

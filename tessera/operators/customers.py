@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.joins import carry_forward
 from tessera.operators.ordering import ntile_of, with_positions
+from tessera.session import materialize
 
 
 def period_start(ts: str | Column, grain: str) -> Column:
@@ -99,12 +100,13 @@ def funnel(df: DataFrame, user: str, ts: str, step_col: str, steps: Sequence[str
 
 
 def sessions(df: DataFrame, user: str, ts: str, gap: str, *, tiebreak: Sequence[str] = (),
-             grain: str = "1 day") -> DataFrame:
+             grain: str = "1 day", cut_lineage: bool = True) -> DataFrame:
     """Sessions per user: a new session starts when the time since the user's
     previous event is at least ``gap`` (the ``session_window`` rule). Returns
     one row per session: user, session_start, session_last, n_events,
     duration_s. The previous time and the session start are both carried with
-    ``carry_forward``, so a heavy user is split by time bucket."""
+    ``carry_forward``, so a heavy user is split by time bucket; the lineage is
+    cut (reliable checkpoint) between the two passes."""
     gap_s = F.expr(f"INTERVAL {gap}")
     base = df.select(user, ts, *tiebreak)
     prev = carry_forward(base, [user], ts, [ts], tiebreak=tiebreak, grain=grain,
@@ -112,6 +114,8 @@ def sessions(df: DataFrame, user: str, ts: str, gap: str, *, tiebreak: Sequence[
     starts = prev.withColumn(
         "_start", F.when(F.col(f"{ts}_prev").isNull() | (F.col(ts) >= F.col(f"{ts}_prev") + gap_s),
                          F.col(ts)))
+    if cut_lineage:
+        starts = materialize(starts)
     sess = carry_forward(starts.drop(f"{ts}_prev"), [user], ts, ["_start"], tiebreak=tiebreak,
                          grain=grain, suffix="_s")
     out = sess.groupBy(user, F.col("_start_s").alias("session_start")).agg(

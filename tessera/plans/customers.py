@@ -19,15 +19,14 @@ WITH up AS (SELECT DISTINCT o_custkey, CAST(date_trunc('quarter', o_orderdate) A
            FROM c GROUP BY 1, 2)
 SELECT cohort, period_n, n_active,
        max(CASE WHEN period_n = 0 THEN n_active END) OVER (PARTITION BY cohort) AS cohort_size,
-       round(n_active / max(CASE WHEN period_n = 0 THEN n_active END) OVER (PARTITION BY cohort), 8)
-         AS retention
+       n_active / max(CASE WHEN period_n = 0 THEN n_active END) OVER (PARTITION BY cohort) AS retention
 FROM p
 """)
 def order_cohort_retention(spark, sf_dir):
     """P52 cohort_retention: customers by first-order quarter and quarters since."""
     t = tables(spark, sf_dir)
     out = cu.cohort_retention(t.orders, "o_custkey", "o_orderdate", "quarter")
-    return out.withColumn("retention", F.round("retention", 8))
+    return out
 
 
 @register("event_day_n_retention", sql="""
@@ -36,13 +35,13 @@ WITH up AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events),
      p AS (SELECT CAST(date_diff('day', first_d, d) AS BIGINT) AS day_n, count(*) AS n_users
            FROM c GROUP BY 1)
 SELECT day_n, n_users,
-       round(n_users / max(CASE WHEN day_n = 0 THEN n_users END) OVER (), 8) AS rate
+       n_users / max(CASE WHEN day_n = 0 THEN n_users END) OVER () AS rate
 FROM p
 """)
 def event_day_n_retention(spark, sf_dir):
     """P53 day_n_retention: share of users active n days after their first day."""
     t = tables(spark, sf_dir)
-    return cu.day_n_retention(t.events, "user_id", "ts").withColumn("rate", F.round("rate", 8))
+    return cu.day_n_retention(t.events, "user_id", "ts")
 
 
 FUNNEL_STEPS = ["signup", "view", "click", "purchase"]
@@ -133,7 +132,7 @@ WITH up AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) A
                     AS cum_revenue
            FROM p)
 SELECT cohort, period_n, round(revenue, 2) AS revenue, n_active, cohort_size,
-       round(cum_revenue, 2) AS cum_revenue, round(cum_revenue / cohort_size, 6) AS ltv
+       round(cum_revenue, 2) AS cum_revenue, round(cum_revenue, 2) / cohort_size AS ltv
 FROM q
 """)
 def order_ltv_quarterly(spark, sf_dir):
@@ -142,7 +141,7 @@ def order_ltv_quarterly(spark, sf_dir):
     out = cu.ltv(t.orders, "o_custkey", "o_orderdate", "o_totalprice", "quarter")
     return out.select("cohort", "period_n", F.round("revenue", 2).alias("revenue"), "n_active",
                       "cohort_size", F.round("cum_revenue", 2).alias("cum_revenue"),
-                      F.round("ltv", 6).alias("ltv"))
+                      (F.round("cum_revenue", 2) / F.col("cohort_size")).alias("ltv"))
 
 
 @register("customer_rfm", sql="""

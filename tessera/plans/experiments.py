@@ -22,7 +22,7 @@ WITH u AS (SELECT user_id,
                        THEN 1 ELSE 0 END AS conv
            FROM events GROUP BY user_id)
 SELECT CAST({_GROUP_SQL} AS BIGINT) AS grp, count(*) AS n_users, CAST(sum(conv) AS BIGINT) AS n_converted,
-       round(sum(conv) / count(*), 8) AS rate
+       sum(conv) / count(*) AS rate
 FROM u GROUP BY 1"""
 
 
@@ -37,7 +37,7 @@ def ab_conversion_counts(spark, sf_dir):
     """P61 ab_counts: exposed and converted users per group."""
     t = tables(spark, sf_dir)
     c = _counts(t)
-    return c.withColumn("rate", F.round("rate", 8))
+    return c
 
 
 def _erfc_sql(x):
@@ -148,5 +148,6 @@ def user_day_event_gaps(spark, sf_dir):
     the group size, so no user is handed whole to one Python worker."""
     t = tables(spark, sf_dir)
     e = t.events.select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     return udfs.per_group(e, ["user_id", "day"], udfs.seconds_since_previous,
-                          "event_id long, secs_since_prev double")
+                          "event_id long, secs_since_prev double", buckets=buckets)

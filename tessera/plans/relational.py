@@ -121,7 +121,7 @@ def nation_long(spark, sf_dir):
 @register("part_price_ranks", sql="""
 SELECT p_partkey, p_type, p_retailprice,
        rank() OVER w AS rnk, dense_rank() OVER w AS drnk,
-       round(percent_rank() OVER w, 8) AS prank, round(cume_dist() OVER w, 8) AS cdist
+       percent_rank() OVER w AS prank, cume_dist() OVER w AS cdist
 FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_retailprice)
 """)
 def part_price_ranks(spark, sf_dir):
@@ -131,4 +131,4 @@ def part_price_ranks(spark, sf_dir):
     p = t.part.select("p_partkey", "p_type", "p_retailprice")
     r = ordering.rank_all(p, ["p_type"], "p_retailprice", ["p_partkey"])
     return r.select("p_partkey", "p_type", "p_retailprice", "rnk", "drnk",
-                    F.round("prank", 8).alias("prank"), F.round("cdist", 8).alias("cdist"))
+                    "prank", "cdist")

@@ -57,3 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut the lineage of ``df``: an eager, reliable checkpoint written to the
+    shared checkpoint folder (never a local checkpoint), so a lost executor
+    costs a re-read instead of recomputing every earlier stage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
