@@ -20,4 +20,5 @@ def spark():
 def rows(df, *cols):
     """Rows as sorted tuples of the given columns (all when none given)."""
     cols = cols or tuple(df.columns)
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    out = [tuple(r[c] for c in cols) for r in df.collect()]
+    return sorted(out, key=lambda t: tuple((x is not None, x) for x in t))
