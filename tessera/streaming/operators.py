@@ -62,7 +62,10 @@ def stream_interval_join(a: DataFrame, b: DataFrame, key: str, a_ts: str, b_ts:
 
 def late_rows(stream: DataFrame, ts: str, size: str, by: Sequence[str], delay: str) -> DataFrame:
     """Tumbling counts where rows arriving after their window closed (event time
-    below the watermark) are kept out of the closed windows."""
+    below the watermark) are kept out of the closed windows. Spark filters late
+    rows with the watermark in force for the previous micro-batch, so a row is
+    dropped from the second batch after the one whose data moved the watermark
+    past its window."""
     return tumbling(stream, ts, size, by, delay)
 
 
