@@ -10,8 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.operators.sizing import bounded_broadcast
+from tessera.operators.sizing import bounded_broadcast, fits
 
 
 def left_enrich(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -53,12 +54,54 @@ def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[st
 def tier_join(df: DataFrame, value: str, tiers: DataFrame, lo: str = "lo", hi: str = "hi",
               max_tiers: int = 10_000) -> DataFrame:
     """Attach the tier whose half-open range [lo, hi) holds ``value``; rows in
-    no tier keep null tier columns. The tier table is broadcast only after its
-    size is checked; a larger table falls back to a shuffle-free-of-``df``
-    nested-loop plan chosen by Spark."""
-    t = bounded_broadcast(tiers, max_tiers)
-    cond = (F.col(value) >= t[lo]) & (F.col(value) < t[hi])
-    return df.join(t, cond, "left").drop(lo, hi)
+    no tier keep null tier columns. Tiers must not overlap.
+
+    A tier table within ``max_tiers`` rows (checked) is broadcast and matched
+    with a nested-loop join; a larger one goes through ``range_lookup``, an
+    ordered merge over range partitions, so neither side is broadcast and no
+    pair of rows is compared that the order does not bring together."""
+    if fits(tiers, max_tiers):
+        t = F.broadcast(tiers)
+        cond = (F.col(value) >= t[lo]) & (F.col(value) < t[hi])
+        return df.join(t, cond, "left").drop(lo, hi)
+    return range_lookup(df, value, tiers, lo, hi)
+
+
+def range_lookup(df: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str,
+                 partitions: int | None = None) -> DataFrame:
+    """Left-join each row of ``df`` to the non-overlapping range [lo, hi) of
+    ``ranges`` that holds ``value``, by sorting both together.
+
+    Range starts and values are range-partitioned on (key, kind, row id) — the
+    row id spreads a hot value over several partitions — the last range start
+    at or before each value is carried inside each partition by a window, and
+    across partitions from a table of one row per partition."""
+    rcols, dcols = ranges.columns, df.columns
+    rt = T.StructType([ranges.schema[c] for c in rcols])
+    dt = T.StructType([df.schema[c] for c in dcols])
+    a = ranges.select(F.col(lo).cast("double").alias("_k"), F.lit(0).alias("_kind"),
+                      F.struct(*rcols).alias("_r"), F.lit(None).cast(dt).alias("_d"))
+    b = df.select(F.col(value).cast("double").alias("_k"), F.lit(1).alias("_kind"),
+                  F.lit(None).cast(rt).alias("_r"), F.struct(*dcols).alias("_d"))
+    u = a.unionByName(b).withColumn("_rid", F.monotonically_increasing_id())
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("_k").asc_nulls_first(), F.col("_kind"), F.col("_rid")]
+    r = (u.repartitionByRange(n, *order).sortWithinPartitions(*order)
+          .withColumn("_pid", F.spark_partition_id()))
+    w = (Window.partitionBy("_pid").orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, 0))
+    r = r.withColumn("_in", F.last("_r", ignorenulls=True).over(w))
+    per = r.groupBy("_pid").agg(
+        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_k", "_kind", "_rid"))).alias("_pl"))
+    carry = per.select("_pid", F.last("_pl", ignorenulls=True).over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_cy"))
+    # one row per range partition: a proven bound
+    j = r.where(F.col("_kind") == 1).join(F.broadcast(carry), "_pid", "left")
+    hit = F.coalesce(F.col("_in"), F.col("_cy"))
+    ok = F.col("_d")[value].isNotNull() & (F.col("_d")[value] < hit[hi])
+    out = j.select(*[F.col("_d")[c].alias(c) for c in dcols],
+                   *[F.when(ok, hit[c]).alias(c) for c in rcols if c not in (lo, hi)])
+    return out
 
 
 def _micros(ts: str | Column) -> Column:

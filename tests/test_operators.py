@@ -263,3 +263,15 @@ def test_erfc_close_to_math(spark):
         exact = math.erfc(abs(r["z"]) / math.sqrt(2))
         assert abs(r["p"] - exact) <= 2e-7 * max(exact, 1e-3)
         assert abs(r["pu"] - exact) < 1e-12
+
+
+def test_range_lookup_matches_broadcast_path(spark):
+    rnd = random.Random(5)
+    vals = [(i, rnd.choice([None, -3.0, 0.0, 5.0, 5.0, 9.99, 10.0, 15.0, 42.0, 7.0])) for i in range(300)]
+    df = spark.createDataFrame(vals, "id long, x double")
+    tiers = spark.createDataFrame([("a", 0.0, 5.0), ("b", 5.0, 10.0), ("c", 12.0, 20.0)],
+                                  "tier string, lo double, hi double")
+    small = rows(joins.tier_join(df, "x", tiers), "id", "tier")
+    large = rows(joins.tier_join(df, "x", tiers, max_tiers=1), "id", "tier")
+    assert small == large
+    assert len(large) == 300
