@@ -132,3 +132,23 @@ def part_price_ranks(spark, sf_dir):
     r = ordering.rank_all(p, ["p_type"], "p_retailprice", ["p_partkey"])
     return r.select("p_partkey", "p_type", "p_retailprice", "rnk", "drnk",
                     "prank", "cdist")
+
+
+@register("supplier_top_revenue_per_nation", sql="""
+WITH r AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
+           FROM lineitem GROUP BY 1),
+     s AS (SELECT s_nationkey, s_suppkey, s_name, revenue,
+                  row_number() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC, s_suppkey) AS rn
+           FROM supplier JOIN r ON s_suppkey = l_suppkey)
+SELECT s_nationkey, s_suppkey, s_name, revenue, rn FROM s WHERE rn <= 3
+""")
+def supplier_top_revenue_per_nation(spark, sf_dir):
+    """P27 + P38 on the supplier side: revenue per supplier (partial aggregate
+    before the supplier join), then the three best suppliers per nation."""
+    t = tables(spark, sf_dir)
+    rev = (t.lineitem.groupBy("l_suppkey")
+           .agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue")))
+    s = t.supplier.select("s_nationkey", "s_suppkey", "s_name")
+    j = s.join(rev, F.col("s_suppkey") == F.col("l_suppkey")).drop("l_suppkey")
+    out = agg.top_n_per_group(j, ["s_nationkey"], [F.col("revenue").desc(), F.col("s_suppkey")], 3)
+    return out.withColumn("rn", F.col("rn").cast("long"))

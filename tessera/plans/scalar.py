@@ -81,3 +81,56 @@ def document_tokens(spark, sf_dir):
     """P77 tokens: every token of every whole document with its position."""
     t = tables(spark, sf_dir)
     return sc.tokens(t.documents.select("doc_id", "text"), "text", ["doc_id"])
+
+
+@register("label_rates_by_lang", sql="""
+SELECT lang, count(*) AS n_docs, count(quality) AS n_labeled,
+       round(avg(quality), 8) AS quality_rate, round(avg(toxic), 8) AS toxic_rate
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
+""")
+def label_rates_by_lang(spark, sf_dir):
+    """P20 + P27: documents with their (optional) labels, rates per language."""
+    from tessera.operators.joins import left_enrich
+    t = tables(spark, sf_dir)
+    j = left_enrich(t.documents.select("doc_id", "lang"), t.labels, ["doc_id"])
+    return j.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count("quality").alias("n_labeled"),
+        F.round(F.avg("quality"), 8).alias("quality_rate"), F.round(F.avg("toxic"), 8).alias("toxic_rate"))
+
+
+@register("conversation_role_stats", sql=r"""
+WITH w AS (SELECT conv_id, turn, role,
+                  CASE WHEN trim(regexp_replace(text, '[\s\v]+', ' ', 'g')) = '' THEN 0
+                       ELSE len(string_split(trim(regexp_replace(text, '[\s\v]+', ' ', 'g')), ' ')) END AS n_words
+           FROM conversations)
+SELECT role, count(*) AS n_turns, count(DISTINCT conv_id) AS n_conversations,
+       round(avg(n_words), 6) AS avg_words, CAST(max(n_words) AS BIGINT) AS max_words,
+       CAST(max(turn) AS BIGINT) AS max_turn
+FROM w GROUP BY role
+""")
+def conversation_role_stats(spark, sf_dir):
+    """P47 + P31: turns, conversations and words per speaker role."""
+    t = tables(spark, sf_dir)
+    c = t.conversations.select("conv_id", "turn", "role", sc.word_count("text").alias("n_words"))
+    return c.groupBy("role").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.count_distinct("conv_id").alias("n_conversations"),
+        F.round(F.avg("n_words"), 6).alias("avg_words"), F.max("n_words").alias("max_words"),
+        F.max("turn").alias("max_turn"))
+
+
+@register("page_host_summary", sql=r"""
+WITH p AS (SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1) AS host,
+                  regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme,
+                  length(html) AS n_chars FROM pages)
+SELECT host, count(*) AS n_pages, count(*) FILTER (WHERE scheme = 'https') AS n_https,
+       round(avg(n_chars), 6) AS avg_html_chars
+FROM p GROUP BY host
+""")
+def page_host_summary(spark, sf_dir):
+    """P50 + P27: pages per host, secure share and page size."""
+    t = tables(spark, sf_dir)
+    p = sc.url_parts(t.pages.select("url", F.length("html").alias("n_chars")), "url")
+    return p.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.count(F.when(F.col("scheme") == "https", 1)).alias("n_https"),
+        F.round(F.avg("n_chars"), 6).alias("avg_html_chars"))
