@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import exact_quantiles
-from tessera.operators.sizing import bounded_broadcast
-
-# Group statistics tables are one row per group; broadcast below this size.
-_GROUP_STATS_MAX_ROWS = 1_000_000
 
 
 def profile(df: DataFrame, cols: Sequence[str], exact_distinct: bool = True) -> DataFrame:
@@ -110,7 +106,8 @@ def impute(df: DataFrame, col: str, by: Sequence[str], how: str = "median",
         stats = df.groupBy(*by).agg(F.avg(col).alias("_fill"))
     else:
         raise ValueError(how)
-    out = df.join(bounded_broadcast(stats, _GROUP_STATS_MAX_ROWS), on=by, how="left")
+    # stats: one row per group, derived from the input; AQE sizes the join
+    out = df.join(stats, on=by, how="left")
     return out.withColumn(name or f"{col}_filled", F.coalesce(F.col(col), F.col("_fill"))).drop("_fill")
 
 
@@ -123,7 +120,7 @@ def iqr_outliers(df: DataFrame, col: str, by: Sequence[str] = (), k: float = 1.5
           .withColumn("hi_fence", F.col("_q3") + k * (F.col("_q3") - F.col("_q1")))
           .drop("_q1", "_q3"))
     if by:
-        j = df.join(bounded_broadcast(q, _GROUP_STATS_MAX_ROWS), on=by)
+        j = df.join(q, on=by)
     else:
         # a single row of fences: scalar subqueries, no join at all
         j = df.withColumns({"lo_fence": q.select("lo_fence").scalar(),

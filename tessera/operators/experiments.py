@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.ordering import exact_quantiles
-from tessera.operators.sizing import bounded_broadcast
 
 # Coefficients of the complementary error function
 # approximation erfc(x) ~ t * exp(-x^2 + P(t)), t = 1 / (1 + x / 2), for
@@ -100,7 +99,7 @@ def welch_test(df: DataFrame, group: Column, value: str, a, b) -> DataFrame:
                            / (va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))))
 
 
-def chi_square(df: DataFrame, a: str, b: str, max_levels: int = 100_000) -> DataFrame:
+def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson chi-square of independence between ``a`` and ``b``.
 
     Only observed cells are materialised: the empty cells contribute their
@@ -110,8 +109,7 @@ def chi_square(df: DataFrame, a: str, b: str, max_levels: int = 100_000) -> Data
     ra = cells.groupBy(a).agg(F.sum("o").alias("ra"))
     cb = cells.groupBy(b).agg(F.sum("o").alias("cb"))
     n = cells.select(F.sum("o")).scalar()
-    j = (cells.join(bounded_broadcast(ra, max_levels), a)
-              .join(bounded_broadcast(cb, max_levels), b)
+    j = (cells.join(ra, a).join(cb, b)
               .withColumn("e", F.col("ra") * F.col("cb") / n))
     stat = j.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("_obs"),
                  F.sum("e").alias("_se"), F.sum("o").alias("n"))

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.sizing import bounded_broadcast
 
 _PID, _MID = "_pid", "_mid"
 
@@ -61,8 +60,10 @@ def with_positions(df: DataFrame, order: Sequence, by: Sequence[str] = (), *,
                  .withColumn("_coff", F.coalesce(F.sum("_psum").over(w_prev), F.lit(0)))
                  .withColumn("_tot", F.sum("_psum").over(w_all)))
     # Without groups the stats table has one row per range partition: a proven
-    # bound. With groups it has about one row per group; the check decides.
-    stats = F.broadcast(stats) if not by else bounded_broadcast(stats)
+    # bound. With groups it has about one row per group; adaptive execution
+    # measures it once materialized and broadcasts it only when small.
+    if not by:
+        stats = F.broadcast(stats)
     out = r.join(stats.drop("_cnt", "_psum"), on=[_PID, *by], how="inner")
     out = out.withColumn("_pos", F.col("_off") + (F.col(_MID) - F.col("_mid0")) + 1)
     if running:

@@ -5,6 +5,12 @@ side (a LIMIT job that stops early) and marks it for broadcast only when it is
 within the bound; otherwise the side is returned unchanged and Spark plans a
 shuffle join (which AQE may still turn into a broadcast at run time when the
 measured size is small).
+
+Use it for sides that are cheap to count: source tables and caller-supplied
+tables. A side derived from the big input (an aggregate, a statistics table)
+would be computed twice — once for the count, once in the query — so those
+joins are left to adaptive execution, which measures the materialized side at
+run time and broadcasts it only when it is under the adaptive threshold.
 """
 
 from __future__ import annotations
