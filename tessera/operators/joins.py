@@ -104,9 +104,14 @@ def range_lookup(df: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str,
     return out
 
 
-def _micros(ts: str | Column) -> Column:
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+def _micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch, linear in the column's own clock: wall
+    clock for TIMESTAMP_NTZ (no zone conversion, so no DST jumps), the instant
+    for TIMESTAMP."""
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
+    return F.unix_micros(F.col(ts))
 
 
 def _grain_micros(grain: str) -> int:
@@ -124,13 +129,13 @@ def interval_join(a: DataFrame, b: DataFrame, key: str, a_ts: str, b_ts: str,
     meets in exactly one bucket and a hot key is split over its buckets.
     Column names of ``a`` and ``b`` must be distinct except ``key``."""
     g = _grain_micros(within)
-    aa = a.withColumn("_bk", F.floor(_micros(a_ts) / g).cast("long"))
-    bb = (b.withColumn("_b0", F.floor(_micros(b_ts) / g).cast("long"))
+    aa = a.withColumn("_am", _micros(a, a_ts)).withColumn("_bk", F.floor(F.col("_am") / g).cast("long"))
+    bb = (b.withColumn("_bm", _micros(b, b_ts)).withColumn("_b0", F.floor(F.col("_bm") / g).cast("long"))
            .withColumn("_bk", F.explode(F.array(F.col("_b0"), F.col("_b0") - 1)))
            .drop("_b0"))
     lower = (F.col(b_ts) >= F.col(a_ts)) if lower_inclusive else (F.col(b_ts) > F.col(a_ts))
-    cond = lower & (_micros(b_ts) <= _micros(a_ts) + F.lit(g))
-    return aa.join(bb, on=[key, "_bk"], how="inner").where(cond).drop("_bk")
+    cond = lower & (F.col("_bm") <= F.col("_am") + F.lit(g))
+    return aa.join(bb, on=[key, "_bk"], how="inner").where(cond).drop("_bk", "_am", "_bm")
 
 
 def carry_forward(df: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str], *,
@@ -147,7 +152,7 @@ def carry_forward(df: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str]
     by, cols = list(by), list(cols)
     g = _grain_micros(grain)
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
-    d = df.withColumn("_bk", F.floor(_micros(ts) / g).cast("long"))
+    d = df.withColumn("_bk", F.floor(_micros(df, ts) / g).cast("long"))
     hi = 0 if inclusive else -1
     w_in = (Window.partitionBy(*by, "_bk").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, hi))

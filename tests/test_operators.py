@@ -275,3 +275,16 @@ def test_range_lookup_matches_broadcast_path(spark):
     large = rows(joins.tier_join(df, "x", tiers, max_tiers=1), "id", "tier")
     assert small == large
     assert len(large) == 300
+
+
+def test_interval_join_ntz_uses_wall_clock(spark):
+    """Wall-clock columns are compared as wall clock whatever the session zone
+    (here across the end of daylight saving time in New York)."""
+    a = spark.createDataFrame([(1, 1, dt.datetime(2024, 11, 3, 0, 30))], "aid long, u long, at timestamp_ntz")
+    b = spark.createDataFrame([(2, 1, dt.datetime(2024, 11, 3, 6, 20))], "bid long, u long, bt timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows(joins.interval_join(a, b, "u", "at", "bt", "6 hours"), "aid", "bid") == [(1, 2)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
