@@ -164,21 +164,24 @@ def ltv(df: DataFrame, user: str, ts: str, amount: str, grain: str = "quarter")
 
 
 def rfm(df: DataFrame, user: str, ts: str, amount: str, as_of: str, k: int = 5,
-        money_digits: int = 4) -> DataFrame:
+        money_digits: int = 4, cut_lineage: bool = True) -> DataFrame:
     """Recency (days from last activity to ``as_of``), frequency, money, and
     their 1..k scores (higher is better) by ntile over all users, ties broken by
-    user key. The ntiles come from range-partitioned positions, not a
-    one-task window."""
+    user key. The ntiles come from range positions, not a one-task window;
+    the per-user table is materialized once (reliable checkpoint) and the
+    three scores are computed from it independently and joined on the user."""
     per = df.groupBy(user).agg(
         F.datediff(F.lit(as_of).cast("date"), F.to_date(F.max(ts))).cast("long").alias("recency_days"),
         F.count(F.lit(1)).alias("frequency"),
         F.round(F.sum(amount), money_digits).alias("monetary"))
-    specs = [("r_score", F.col("recency_days").desc()), ("f_score", F.col("frequency").asc()),
-             ("m_score", F.col("monetary").asc())]
+    if cut_lineage:
+        per = materialize(per)
+    specs = [("r_score", "-recency_days"), ("f_score", "frequency"), ("m_score", "monetary")]
     out = per
     for name, o in specs:
-        p = with_positions(out, [o, F.col(user)])
-        out = p.withColumn(name, ntile_of(F.col("_pos"), F.col("_n"), k)).drop("_pos", "_n")
+        p = with_positions(per.select(user, o.lstrip("-")), [o, user])
+        score = p.select(user, ntile_of(F.col("_pos"), F.col("_n"), k).alias(name))
+        out = out.join(score, user)
     return out
 
 
@@ -189,7 +192,7 @@ def abc(df: DataFrame, item: str, amount: str, a: float = 0.8, b: float = 0.95,
     most ``a``, B up to ``b``, else C. Running sums come from range-partitioned
     positions with per-partition offsets, not a one-task window."""
     per = df.groupBy(item).agg(F.round(F.sum(amount), digits).alias("amount"))
-    p = with_positions(per, [F.col("amount").desc(), F.col(item)], running="amount")
+    p = with_positions(per, ["-amount", item], running="amount")
     share = F.round(F.col("_cum") / F.col("_tot"), 9)
     return (p.withColumn("cum_share", share)
              .withColumn("class", F.when(F.col("cum_share") <= a, "A")

@@ -1,15 +1,20 @@
 """Ordered positions without one-task windows (H11), and what builds on them.
 
 A window with no ``partitionBy`` (or a group that holds a third of the rows)
-runs in one task. ``with_positions`` instead range-partitions on
-(group, order), numbers rows inside each range partition, and adds the row
-counts of the earlier partitions of the same group. A hot group is thereby
-spread over as many tasks as its range covers.
-
-Plan: one range exchange (sampled bounds) → local sort → a small aggregate of
-per-partition counts (one row per partition × group) → prefix sums over that
-small table → join back. Running sums (``running=``) add one hash exchange on
-(partition id, group), which keeps each range partition whole in one task.
+runs in one task. ``with_positions`` instead cuts the (group, order) key space
+into ranges, numbers rows inside each range with a window, and adds the row
+counts of the earlier ranges of the same group.
+
+The range of a row is a pure function of its key: bounds are picked once
+from a bounded random sample (collected, as Spark's own range partitioner
+does) and compiled into a binary-search expression. Every branch of the plan
+that evaluates the range id therefore agrees, whether or not Spark reuses an
+exchange and whatever order upstream shuffles deliver rows in.
+
+Plan: sample job (at most 20 rows per range) → project range id → one hash
+exchange on (range, group) → sort + row_number window; beside it a partial
+aggregate of counts per (range, group) → prefix sums over that small table →
+join back.
 """
 
 from __future__ import annotations
@@ -19,12 +24,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_SAMPLES_PER_RANGE = 20
 
-_PID, _MID = "_pid", "_mid"
 
+def _spec(o: str) -> tuple[str, bool]:
+    """``"col"`` ascending (nulls first), ``"-col"`` descending (nulls last)."""
+    return (o[1:], False) if o.startswith("-") else (o, True)
 
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
+
+def _order_cols(specs) -> list[Column]:
+    return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in specs]
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -33,45 +42,86 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_positions(df: DataFrame, order: Sequence, by: Sequence[str] = (), *,
+def _row_before(df: DataFrame, specs, bound) -> Column:
+    """True when the row sorts strictly before the boundary row ``bound``."""
+    out = F.lit(False)
+    for (c, asc), b in reversed(list(zip(specs, bound))):
+        col = F.col(c)
+        if b is None:
+            before = F.lit(False) if asc else col.isNotNull()
+            equal = col.isNull()
+        else:
+            lit = F.lit(b).cast(df.schema[c].dataType)
+            before = (col.isNull() | (col < lit)) if asc else (col.isNotNull() & (col > lit))
+            equal = F.coalesce(col == lit, F.lit(False))
+        out = before | (equal & out)
+    return out
+
+
+def range_id(df: DataFrame, order: Sequence[str], n: int, seed: int = 17) -> Column:
+    """An expression giving each row its range (0..k, k < n) among contiguous
+    ranges of the total order ``order`` (see ``_spec``). Runs one sampling job;
+    evaluate the returned column, not this function, in every branch."""
+    specs = [_spec(o) for o in order]
+    keys = [c for c, _ in specs]
+    sample = (df.select(*keys).orderBy(F.rand(seed)).limit(_SAMPLES_PER_RANGE * n)
+                .orderBy(*_order_cols(specs)).collect())
+    bounds, last = [], None
+    for i in range(1, n):
+        row = tuple(sample[len(sample) * i // n]) if sample else None
+        if row is not None and row != last:
+            bounds.append(row)
+            last = row
+
+    def search(lo: int, hi: int) -> Column:
+        # first index i in [lo, hi] with row < bounds[i]; len(bounds) when none
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(_row_before(df, specs, bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(bounds))
+
+
+def with_positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), *,
                    running: str | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``_pos`` (1-based position within the ``by`` group under ``order``)
-    and ``_n`` (group size). ``order`` must be a total order (end it with a
-    unique key). With ``running=col`` also add ``_cum`` (inclusive running sum
-    of ``col``) and ``_tot`` (group total)."""
+    and ``_n`` (group size). ``order`` lists columns, ``-`` for descending; it
+    must be a total order within a group (end it with a unique key). With
+    ``running=col`` also add ``_cum`` (inclusive running sum of ``col``) and
+    ``_tot`` (group total)."""
     by = list(by)
-    sort_cols = _cols(by) + _cols(order)
-    r = (df.repartitionByRange(_partitions(df, partitions), *sort_cols)
-           .sortWithinPartitions(*sort_cols)
-           .withColumn(_PID, F.spark_partition_id())
-           .withColumn(_MID, F.monotonically_increasing_id()))
-    aggs = [F.min(_MID).alias("_mid0"), F.count(F.lit(1)).alias("_cnt")]
+    specs = [_spec(o) for o in order]
+    d = df.withColumn("_rg", range_id(df, [*by, *order], _partitions(df, partitions)))
+    w = Window.partitionBy("_rg", *by).orderBy(*_order_cols(specs))
+    main = d.withColumn("_lpos", F.row_number().over(w))
+    aggs = [F.count(F.lit(1)).alias("_cnt")]
     if running:
+        main = main.withColumn("_lcum", F.sum(running).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         aggs.append(F.sum(running).alias("_psum"))
-    stats = r.groupBy(_PID, *by).agg(*aggs)
-    w_prev = (Window.partitionBy(*by).orderBy(_PID)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    stats = d.groupBy("_rg", *by).agg(*aggs)
+    w_prev = Window.partitionBy(*by).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*by)
-    stats = (stats
-             .withColumn("_off", F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0)))
-             .withColumn("_n", F.sum("_cnt").over(w_all)))
+    stats = (stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0)))
+                  .withColumn("_n", F.sum("_cnt").over(w_all)))
     if running:
-        stats = (stats
-                 .withColumn("_coff", F.coalesce(F.sum("_psum").over(w_prev), F.lit(0)))
-                 .withColumn("_tot", F.sum("_psum").over(w_all)))
-    # Without groups the stats table has one row per range partition: a proven
-    # bound. With groups it has about one row per group; adaptive execution
-    # measures it once materialized and broadcasts it only when small.
+        stats = (stats.withColumn("_coff", F.coalesce(F.sum("_psum").over(w_prev), F.lit(0)))
+                      .withColumn("_tot", F.sum("_psum").over(w_all)))
+    stats = stats.drop("_cnt", "_psum").select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(["_rg", *by])],
+        *[c for c in ("_off", "_n", "_coff", "_tot") if c in stats.columns])
+    # Without groups the table has one row per range: a proven bound. With
+    # groups it has about one row per group; adaptive execution measures it
+    # once materialized and broadcasts it only when small.
     if not by:
         stats = F.broadcast(stats)
-    out = r.join(stats.drop("_cnt", "_psum"), on=[_PID, *by], how="inner")
-    out = out.withColumn("_pos", F.col("_off") + (F.col(_MID) - F.col("_mid0")) + 1)
+    keys = ["_rg", *by]
+    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    out = main.join(stats, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
+    out = out.withColumn("_pos", F.col("_off") + F.col("_lpos"))
     if running:
-        w_local = (Window.partitionBy(_PID, *by).orderBy(F.col(_MID))
-                   .rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("_cum", F.col("_coff") + F.sum(running).over(w_local))
-        out = out.drop("_coff")
-    return out.drop(_PID, _MID, "_mid0", "_off")
+        out = out.withColumn("_cum", F.col("_coff") + F.col("_lcum")).drop("_coff", "_lcum")
+    return out.drop("_rg", "_lpos", "_off")
 
 
 def ntile_of(pos: Column, n: Column, k: int) -> Column:
@@ -84,64 +134,61 @@ def ntile_of(pos: Column, n: Column, k: int) -> Column:
              .otherwise(rem + F.floor((pos - 1 - big) / size) + 1)).cast("long")
 
 
-def ntile(df: DataFrame, k: int, order: Sequence, by: Sequence[str] = (), name: str = "ntile",
+def ntile(df: DataFrame, k: int, order: Sequence[str], by: Sequence[str] = (), name: str = "ntile",
           partitions: int | None = None) -> DataFrame:
     """``ntile(k) over (partition by by order by order)`` without a one-task window."""
     p = with_positions(df, order, by, partitions=partitions)
     return p.withColumn(name, ntile_of(F.col("_pos"), F.col("_n"), k)).drop("_pos", "_n")
 
 
-def rank_all(df: DataFrame, by: Sequence[str], value: str, tiebreak: Sequence[str],
+def value_histogram(df: DataFrame, value: str, by: Sequence[str] = (),
+                    partitions: int | None = None) -> DataFrame:
+    """Distinct values per group with their count (``_cnt``), position among
+    the distinct values (``_pos``, the dense rank), running count through the
+    value (``_cum``) and the group's row count (``_tot``). Equal values
+    collapse in a partial aggregate first, so a hot value costs one row."""
+    by = list(by)
+    h = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    return with_positions(h, [value], by, running="_cnt", partitions=partitions).drop("_n")
+
+
+def rank_all(df: DataFrame, by: Sequence[str], value: str, tiebreak: Sequence[str] = (),
              partitions: int | None = None) -> DataFrame:
-    """rank, dense_rank, percent_rank and cume_dist of ``value`` (ascending)
-    within ``by``. Ties share a rank as in SQL; ``tiebreak`` only makes the
-    internal order total."""
+    """rank, dense_rank, percent_rank and cume_dist of ``value`` (ascending,
+    nulls first) within ``by``, as SQL defines them. Built from the value
+    histogram and joined back on (group, value), null-safe; ``tiebreak`` is
+    not needed (ties share a rank) and kept for compatibility."""
     by = list(by)
-    p = with_positions(df, [F.col(value)] + _cols(tiebreak), by, partitions=partitions)
-    ties = (p.groupBy(*by, value)
-             .agg(F.min("_pos").alias("rnk"), F.max("_pos").alias("_last"),
-                  F.max("_n").alias("_rows")))
-    ties = (with_positions(ties, [F.col(value)], by, partitions=partitions)
-            .withColumnRenamed("_pos", "drnk").drop("_n")
-            .withColumn("prank", F.when(F.col("_rows") > 1,
-                                        (F.col("rnk") - 1) / (F.col("_rows") - 1))
-                        .otherwise(F.lit(0.0)))
-            .withColumn("cdist", F.col("_last") / F.col("_rows"))
-            .drop("_last", "_rows"))
-    cond = [p[c].eqNullSafe(ties[c]) for c in by + [value]]
-    out = p.join(ties, cond, "inner").select(p["*"], ties["rnk"], ties["drnk"],
-                                             ties["prank"], ties["cdist"])
-    return out.drop("_pos", "_n")
+    h = value_histogram(df, value, by, partitions=partitions)
+    ranks = (h.withColumn("rnk", F.col("_cum") - F.col("_cnt") + 1)
+              .withColumn("drnk", F.col("_pos"))
+              .withColumn("prank", F.when(F.col("_tot") > 1, (F.col("rnk") - 1) / (F.col("_tot") - 1))
+                          .otherwise(F.lit(0.0)))
+              .withColumn("cdist", F.col("_cum") / F.col("_tot"))
+              .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by + [value])],
+                      "rnk", "drnk", "prank", "cdist"))
+    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by + [value])]
+    return df.join(ranks, cond, "inner").drop(*[f"_k{i}" for i in range(len(by) + 1)])
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None, tiebreak: Sequence[str] = (),
                     partitions: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles (``percentile`` / ``quantile_cont``)
-    per group, from ordered positions: only the 2·len(qs) rows next to each
-    quantile leave the ordering step, so no group is buffered whole."""
+    per group, nulls ignored. Built from the value histogram: the value at
+    1-based position p is the distinct value whose running count first reaches
+    p, so only distinct values are ordered and no group is buffered whole.
+    ``tiebreak`` is not needed and kept for compatibility."""
     by = list(by)
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
-    base = df.where(F.col(value).isNotNull())
-    order = [F.col(value)] + _cols(tiebreak)
-    if not tiebreak:
-        # Equal values are interchangeable for quantiles, but the order must be
-        # total for stable positions; a row id breaks the ties deterministically.
-        base = base.withColumn("_rid", F.monotonically_increasing_id())
-        order.append(F.col("_rid"))
-    p = with_positions(base, order, by, partitions=partitions)
-    h = {q: (F.col("_n") - 1) * F.lit(float(q)) for q in qs}
-    keep = None
-    for q in qs:
-        lo, hi = F.floor(h[q]) + 1, F.ceil(h[q]) + 1
-        c = (F.col("_pos") == lo) | (F.col("_pos") == hi)
-        keep = c if keep is None else keep | c
-    near = p.where(keep)
+    h = value_histogram(df.where(F.col(value).isNotNull()), value, by, partitions=partitions)
+    first = F.col("_cum") - F.col("_cnt") + 1          # first position held by the value
     aggs = []
     for q, nm in zip(qs, names):
-        lo, hi = F.floor(h[q]) + 1, F.ceil(h[q]) + 1
-        frac = h[q] - F.floor(h[q])
-        v_lo = F.max(F.when(F.col("_pos") == lo, F.col(value)))
-        v_hi = F.max(F.when(F.col("_pos") == hi, F.col(value)))
+        hpos = (F.col("_tot") - 1) * F.lit(float(q))   # 0-based fractional position
+        lo, hi = F.floor(hpos) + 1, F.ceil(hpos) + 1
+        frac = hpos - F.floor(hpos)
+        v_lo = F.max(F.when((first <= lo) & (F.col("_cum") >= lo), F.col(value)))
+        v_hi = F.max(F.when((first <= hi) & (F.col("_cum") >= hi), F.col(value)))
         aggs.append((v_lo + F.max(frac) * (v_hi - v_lo)).alias(nm))
-    return near.groupBy(*by).agg(*aggs)
+    return h.groupBy(*by).agg(*aggs)

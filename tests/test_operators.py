@@ -32,11 +32,11 @@ def skewed(spark):
 
 def test_positions_global_and_grouped(spark, skewed):
     df, data = skewed
-    p = ordering.with_positions(df, [F.col("v"), F.col("id")], partitions=5)
+    p = ordering.with_positions(df, ["v", "id"], partitions=5)
     got = rows(p, "id", "_pos", "_n")
     exp = sorted((r[0], k + 1, len(data)) for k, r in enumerate(sorted(data, key=lambda r: (r[2], r[0]))))
     assert got == sorted(exp)
-    pg = ordering.with_positions(df, [F.col("v").desc(), F.col("id")], by=["g"], running="v", partitions=5)
+    pg = ordering.with_positions(df, ["-v", "id"], by=["g"], running="v", partitions=5)
     by_g = {}
     for r in sorted(data, key=lambda r: (-r[2], r[0])):
         by_g.setdefault(r[1], []).append(r)
@@ -53,7 +53,7 @@ def test_ntile_matches_sql(spark, skewed):
     df, _ = skewed
     df.createOrReplaceTempView("sk")
     exp = rows(spark.sql("SELECT id, ntile(7) OVER (PARTITION BY g ORDER BY v, id) AS t FROM sk"))
-    got = rows(ordering.ntile(df, 7, [F.col("v"), F.col("id")], by=["g"], name="t", partitions=5), "id", "t")
+    got = rows(ordering.ntile(df, 7, ["v", "id"], by=["g"], name="t", partitions=5), "id", "t")
     assert got == exp
 
 
@@ -288,3 +288,16 @@ def test_interval_join_ntz_uses_wall_clock(spark):
         assert rows(joins.interval_join(a, b, "u", "at", "bt", "6 hours"), "aid", "bid") == [(1, 2)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_positions_over_shuffled_input(spark):
+    """The input of with_positions is itself a shuffle output whose row order
+    varies between evaluations; positions must still be exact."""
+    from pyspark.sql import Window
+    base = spark.range(0, 5000).select((F.col("id") % 997).alias("k"), (F.col("id") % 13).alias("g"))
+    agg_ = base.groupBy("g", "k").agg(F.count(F.lit(1)).alias("c")).repartition(7)
+    p = ordering.with_positions(agg_, ["-c", "k"], ["g"], running="c", partitions=6)
+    w = Window.partitionBy("g").orderBy(F.col("c").desc(), "k")
+    ref = agg_.select("g", "k", F.row_number().over(w).alias("rn"),
+                      F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    assert rows(p, "g", "k", "_pos", "_cum") == rows(ref, "g", "k", "rn", "cum")
