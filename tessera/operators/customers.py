@@ -164,16 +164,17 @@ def ltv(df: DataFrame, user: str, ts: str, amount: str, grain: str = "quarter")
 
 
 def rfm(df: DataFrame, user: str, ts: str, amount: str, as_of: str, k: int = 5,
-        money_digits: int = 4, cut_lineage: bool = True) -> DataFrame:
+        cut_lineage: bool = True) -> DataFrame:
     """Recency (days from last activity to ``as_of``), frequency, money, and
     their 1..k scores (higher is better) by ntile over all users, ties broken by
-    user key. The ntiles come from range positions, not a one-task window;
-    the per-user table is materialized once (reliable checkpoint) and the
+    user key. The ntiles come from range positions, not a one-task window.
+    Give ``amount`` as a decimal for exact money sums. The per-user table is
+    materialized once (reliable checkpoint) and the
     three scores are computed from it independently and joined on the user."""
     per = df.groupBy(user).agg(
         F.datediff(F.lit(as_of).cast("date"), F.to_date(F.max(ts))).cast("long").alias("recency_days"),
         F.count(F.lit(1)).alias("frequency"),
-        F.round(F.sum(amount), money_digits).alias("monetary"))
+        F.sum(amount).cast("double").alias("monetary"))
     if cut_lineage:
         per = materialize(per)
     specs = [("r_score", "-recency_days"), ("f_score", "frequency"), ("m_score", "monetary")]
@@ -185,15 +186,16 @@ def rfm(df: DataFrame, user: str, ts: str, amount: str, as_of: str, k: int = 5,
     return out
 
 
-def abc(df: DataFrame, item: str, amount: str, a: float = 0.8, b: float = 0.95,
-        digits: int = 4) -> DataFrame:
+def abc(df: DataFrame, item: str, amount: str, a: float = 0.8, b: float = 0.95) -> DataFrame:
     """ABC classes by cumulative share of the total: items sorted by amount
     (descending, then key); class A while the inclusive cumulative share is at
     most ``a``, B up to ``b``, else C. Running sums come from range-partitioned
-    positions with per-partition offsets, not a one-task window."""
-    per = df.groupBy(item).agg(F.round(F.sum(amount), digits).alias("amount"))
+    positions with per-partition offsets, not a one-task window. With a
+    decimal ``amount`` the running sums are exact, so the class boundaries do
+    not depend on summation order."""
+    per = df.groupBy(item).agg(F.sum(amount).alias("amount"))
     p = with_positions(per, ["-amount", item], running="amount")
-    share = F.round(F.col("_cum") / F.col("_tot"), 9)
+    share = F.col("_cum").cast("double") / F.col("_tot").cast("double")
     return (p.withColumn("cum_share", share)
              .withColumn("class", F.when(F.col("cum_share") <= a, "A")
                          .when(F.col("cum_share") <= b, "B").otherwise("C"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import money
 from tessera.operators import customers as cu
 from tessera.plans.registry import register, tables
 
@@ -117,9 +118,9 @@ def monthly_stickiness(spark, sf_dir):
                     F.round("stickiness", 8).alias("stickiness"))
 
 
-@register("order_ltv_quarterly", sql="""
+@register("order_ltv_quarterly", sql=f"""
 WITH up AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period,
-                   sum(o_totalprice) AS amount
+                   sum({money.price_sql("o_totalprice")}) AS amount
             FROM orders GROUP BY 1, 2),
      c AS (SELECT period, amount, min(period) OVER (PARTITION BY o_custkey) AS cohort FROM up),
      p AS (SELECT cohort,
@@ -131,24 +132,25 @@ WITH up AS (SELECT o_custkey, CAST(date_trunc('quarter', o_orderdate) AS DATE) A
                   sum(revenue) OVER (PARTITION BY cohort ORDER BY period_n ROWS UNBOUNDED PRECEDING)
                     AS cum_revenue
            FROM p)
-SELECT cohort, period_n, round(revenue, 2) AS revenue, n_active, cohort_size,
-       round(cum_revenue, 2) AS cum_revenue, round(cum_revenue, 2) / cohort_size AS ltv
+SELECT cohort, period_n, CAST(revenue AS DOUBLE) AS revenue, n_active, cohort_size,
+       CAST(cum_revenue AS DOUBLE) AS cum_revenue, CAST(cum_revenue AS DOUBLE) / cohort_size AS ltv
 FROM q
 """)
 def order_ltv_quarterly(spark, sf_dir):
     """P57 ltv: cumulative revenue per cohort member by quarter."""
     t = tables(spark, sf_dir)
-    out = cu.ltv(t.orders, "o_custkey", "o_orderdate", "o_totalprice", "quarter")
-    return out.select("cohort", "period_n", F.round("revenue", 2).alias("revenue"), "n_active",
-                      "cohort_size", F.round("cum_revenue", 2).alias("cum_revenue"),
-                      (F.round("cum_revenue", 2) / F.col("cohort_size")).alias("ltv"))
+    o = t.orders.withColumn("amount", money.price("o_totalprice"))
+    out = cu.ltv(o, "o_custkey", "o_orderdate", "amount", "quarter")
+    return out.select("cohort", "period_n", F.col("revenue").cast("double").alias("revenue"), "n_active",
+                      "cohort_size", F.col("cum_revenue").cast("double").alias("cum_revenue"),
+                      (F.col("cum_revenue").cast("double") / F.col("cohort_size")).alias("ltv"))
 
 
-@register("customer_rfm", sql="""
+@register("customer_rfm", sql=f"""
 WITH per AS (
   SELECT o_custkey,
          CAST(date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-09-01') AS BIGINT) AS recency_days,
-         count(*) AS frequency, round(sum(o_totalprice), 2) AS monetary
+         count(*) AS frequency, CAST(sum({money.price_sql("o_totalprice")}) AS DOUBLE) AS monetary
   FROM orders GROUP BY 1)
 SELECT *, ntile(5) OVER (ORDER BY recency_days DESC, o_custkey) AS r_score,
           ntile(5) OVER (ORDER BY frequency, o_custkey) AS f_score,
@@ -158,25 +160,25 @@ FROM per
 def customer_rfm(spark, sf_dir):
     """P58 rfm: recency / frequency / money quintiles over all customers."""
     t = tables(spark, sf_dir)
-    return cu.rfm(t.orders, "o_custkey", "o_orderdate", "o_totalprice", "2001-09-01", money_digits=2)
+    o = t.orders.withColumn("amount", money.price("o_totalprice"))
+    return cu.rfm(o, "o_custkey", "o_orderdate", "amount", "2001-09-01")
 
 
-@register("part_abc", sql="""
-WITH per AS (SELECT l_partkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS amount
-             FROM lineitem GROUP BY 1),
+@register("part_abc", sql=f"""
+WITH per AS (SELECT l_partkey, sum({money.NET_SQL}) AS amount FROM lineitem GROUP BY 1),
      r AS (SELECT *, row_number() OVER (ORDER BY amount DESC, l_partkey) AS rank,
-                  round(sum(amount) OVER (ORDER BY amount DESC, l_partkey ROWS UNBOUNDED PRECEDING)
-                        / sum(amount) OVER (), 9) AS cum_share
+                  CAST(sum(amount) OVER (ORDER BY amount DESC, l_partkey ROWS UNBOUNDED PRECEDING) AS DOUBLE)
+                  / CAST(sum(amount) OVER () AS DOUBLE) AS cum_share
            FROM per)
-SELECT l_partkey, amount, rank, cum_share,
+SELECT l_partkey, CAST(amount AS DOUBLE) AS amount, rank, cum_share,
        CASE WHEN cum_share <= 0.8 THEN 'A' WHEN cum_share <= 0.95 THEN 'B' ELSE 'C' END AS class
 FROM r
 """)
 def part_abc(spark, sf_dir):
     """P59 abc: parts by share of cumulative net revenue."""
     t = tables(spark, sf_dir)
-    li = t.lineitem.select("l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
-    return cu.abc(li, "l_partkey", "net")
+    li = t.lineitem.select("l_partkey", money.net().alias("net"))
+    return cu.abc(li, "l_partkey", "net").withColumn("amount", F.col("amount").cast("double"))
 
 
 @register("user_first_last_touch", sql="""

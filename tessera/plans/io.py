@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import money
 from tessera.plans.registry import register, tables
 from tessera.session import scratch_path
 from tessera.sources import files
@@ -45,9 +46,9 @@ def events_json_roundtrip(spark, sf_dir):
     return files.read_json_lines(spark, path, SCHEMAS["events"])
 
 
-@register("orders_by_year_partitioned", sql="""
+@register("orders_by_year_partitioned", sql=f"""
 SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, count(*) AS n_orders,
-       round(sum(o_totalprice), 2) AS revenue
+       CAST(sum({money.price_sql("o_totalprice")}) AS DOUBLE) AS revenue
 FROM orders GROUP BY 1
 """)
 def orders_by_year_partitioned(spark, sf_dir):
@@ -58,4 +59,4 @@ def orders_by_year_partitioned(spark, sf_dir):
     files.write_partitioned(t.orders.withColumn("o_year", F.year("o_orderdate")), path, ["o_year"])
     back = spark.read.parquet(path)
     return back.groupBy(F.col("o_year").cast("long").alias("o_year")).agg(
-        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+        F.count(F.lit(1)).alias("n_orders"), money.total(money.price("o_totalprice")).alias("revenue"))

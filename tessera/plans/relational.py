@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import money
 from tessera.operators import aggregates as agg
 from tessera.operators import joins, ordering
 from tessera.plans.registry import register, tables
@@ -134,8 +135,8 @@ def part_price_ranks(spark, sf_dir):
                     "prank", "cdist")
 
 
-@register("supplier_top_revenue_per_nation", sql="""
-WITH r AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
+@register("supplier_top_revenue_per_nation", sql=f"""
+WITH r AS (SELECT l_suppkey, CAST(sum({money.NET_SQL}) AS DOUBLE) AS revenue
            FROM lineitem GROUP BY 1),
      s AS (SELECT s_nationkey, s_suppkey, s_name, revenue,
                   row_number() OVER (PARTITION BY s_nationkey ORDER BY revenue DESC, s_suppkey) AS rn
@@ -147,7 +148,7 @@ def supplier_top_revenue_per_nation(spark, sf_dir):
     before the supplier join), then the three best suppliers per nation."""
     t = tables(spark, sf_dir)
     rev = (t.lineitem.groupBy("l_suppkey")
-           .agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue")))
+           .agg(money.total(money.net()).alias("revenue")))
     s = t.supplier.select("s_nationkey", "s_suppkey", "s_name")
     j = s.join(rev, F.col("s_suppkey") == F.col("l_suppkey")).drop("l_suppkey")
     out = agg.top_n_per_group(j, ["s_nationkey"], [F.col("revenue").desc(), F.col("s_suppkey")], 3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import money
 from tessera.operators import aggregates as agg
 from tessera.operators.sizing import bounded_broadcast
 from tessera.plans.registry import register, tables
@@ -23,7 +24,7 @@ def revenue_by_geo(t):
     customer join and the rollup see one row per customer, not per line."""
     per_order = (t.lineitem
                  .groupBy("l_orderkey")
-                 .agg(F.sum(_net()).alias("rev"), F.count(F.lit(1)).alias("n_lines")))
+                 .agg(F.sum(money.net()).alias("rev"), F.count(F.lit(1)).alias("n_lines")))
     orders = t.orders.select("o_orderkey", "o_custkey")
     per_cust = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
                 .groupBy("o_custkey")
@@ -36,9 +37,9 @@ def revenue_by_geo(t):
             .join(geo, F.col("c_nationkey") == F.col("n_nationkey")))
 
 
-@register("revenue_rollup", sql="""
+@register("revenue_rollup", sql=f"""
 SELECT r_name, n_name, CAST(grouping(r_name, n_name) AS BIGINT) AS level,
-       round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue,
+       CAST(sum({money.NET_SQL}) AS DOUBLE) AS revenue,
        count(*) AS n_lines
 FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey
@@ -51,7 +52,7 @@ def revenue_rollup(spark, sf_dir):
     """Flagship (P01, P17, P19, P28): revenue by region and nation with subtotals."""
     t = tables(spark, sf_dir)
     out = agg.subtotals(revenue_by_geo(t), ["r_name", "n_name"],
-                        [F.round(F.sum("rev"), 4).alias("revenue"),
+                        [F.sum("rev").cast("double").alias("revenue"),
                          F.sum("n_lines").cast("long").alias("n_lines")])
     return out.select("r_name", "n_name", F.col("level").cast("long").alias("level"),
                       "revenue", "n_lines")
@@ -59,13 +60,13 @@ def revenue_rollup(spark, sf_dir):
 
 def _per_order(t):
     return (t.lineitem.groupBy("l_orderkey")
-            .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(_net()).alias("rev")))
+            .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(money.net()).alias("rev")))
 
 
-@register("orders_line_totals", sql="""
-SELECT o_orderkey, l.n_lines, round(l.rev, 4) AS revenue
+@register("orders_line_totals", sql=f"""
+SELECT o_orderkey, l.n_lines, CAST(l.rev AS DOUBLE) AS revenue
 FROM orders LEFT JOIN (
-  SELECT l_orderkey, count(*) AS n_lines, sum(l_extendedprice * (1 - l_discount)) AS rev
+  SELECT l_orderkey, count(*) AS n_lines, sum({money.NET_SQL}) AS rev
   FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l.l_orderkey
 """)
 def orders_line_totals(spark, sf_dir):
@@ -75,7 +76,7 @@ def orders_line_totals(spark, sf_dir):
     t = tables(spark, sf_dir)
     per = _per_order(t).withColumnRenamed("l_orderkey", "o_orderkey")
     out = left_enrich(t.orders.select("o_orderkey"), per, ["o_orderkey"])
-    return out.select("o_orderkey", "n_lines", F.round("rev", 4).alias("revenue"))
+    return out.select("o_orderkey", "n_lines", F.col("rev").cast("double").alias("revenue"))
 
 
 @register("orders_without_lines", sql="""
@@ -102,11 +103,11 @@ def orders_with_lines(spark, sf_dir):
     return with_match(o, t.lineitem.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
 
 
-@register("line_summary_by_flags", sql="""
+@register("line_summary_by_flags", sql=f"""
 SELECT l_returnflag, l_linestatus,
        round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice), 2) AS sum_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_net,
+       CAST(sum({money.price_sql("l_extendedprice")}) AS DOUBLE) AS sum_price,
+       CAST(sum({money.NET_SQL}) AS DOUBLE) AS sum_net,
        round(avg(l_quantity), 6) AS avg_qty,
        round(avg(l_discount), 6) AS avg_disc,
        min(l_discount) + 0.0 AS min_disc,
@@ -121,8 +122,8 @@ def line_summary_by_flags(spark, sf_dir):
     t = tables(spark, sf_dir)
     return (t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-        F.round(F.sum("l_extendedprice"), 2).alias("sum_price"),
-        F.round(F.sum(_net()), 4).alias("sum_net"),
+        money.total(money.price("l_extendedprice")).alias("sum_price"),
+        money.total(money.net()).alias("sum_net"),
         F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
         F.round(F.avg("l_discount"), 6).alias("avg_disc"),
         (F.min("l_discount") + 0.0).alias("min_disc"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import money
 from tessera.operators import timeseries as ts_ops
 from tessera.plans.registry import register, tables
 
@@ -24,22 +25,21 @@ def events_forward_fill(spark, sf_dir):
     return out.select("event_id", "user_id", F.col("pv_ffill").alias("last_purchase_value"))
 
 
-@register("monthly_revenue_change", sql="""
+@register("monthly_revenue_change", sql=f"""
 WITH m AS (
   SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-         round(sum(o_totalprice), 2) AS revenue
+         CAST(sum({money.price_sql("o_totalprice")}) AS DOUBLE) AS revenue
   FROM orders GROUP BY 1, 2)
 SELECT o_orderpriority, month, revenue, lag(revenue) OVER w AS prev_revenue,
-       round((revenue - lag(revenue) OVER w) / nullif(lag(revenue) OVER w, 0), 8) AS growth
+       (revenue - lag(revenue) OVER w) / nullif(lag(revenue) OVER w, 0) AS growth
 FROM m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY month)
 """)
 def monthly_revenue_change(spark, sf_dir):
     """P40 period_change: month-over-month revenue growth per priority."""
     t = tables(spark, sf_dir)
     m = (t.orders.groupBy("o_orderpriority", F.trunc(F.to_date("o_orderdate"), "month").alias("month"))
-         .agg(F.round(F.sum("o_totalprice"), 2).alias("revenue")))
-    out = ts_ops.period_change(m, ["o_orderpriority"], "month", "revenue")
-    return out.withColumn("growth", F.round("growth", 8))
+         .agg(money.total(money.price("o_totalprice")).alias("revenue")))
+    return ts_ops.period_change(m, ["o_orderpriority"], "month", "revenue")
 
 
 @register("daily_events_ma7", sql="""
@@ -58,12 +58,12 @@ def daily_events_ma7(spark, sf_dir):
     return out.withColumn("ma7", F.round("ma7", 6))
 
 
-@register("orders_trailing_7d", sql="""
+@register("orders_trailing_7d", sql=f"""
 WITH d AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, count(*) AS n_orders,
-                  round(sum(o_totalprice), 2) AS revenue
+                  sum({money.price_sql("o_totalprice")}) AS revenue
            FROM orders GROUP BY 1, 2)
-SELECT o_orderpriority, day, n_orders, revenue,
-       CAST(sum(n_orders) OVER w AS BIGINT) AS n_orders_7d, round(sum(revenue) OVER w, 2) AS revenue_7d
+SELECT o_orderpriority, day, n_orders, CAST(revenue AS DOUBLE) AS revenue,
+       CAST(sum(n_orders) OVER w AS BIGINT) AS n_orders_7d, CAST(sum(revenue) OVER w AS DOUBLE) AS revenue_7d
 FROM d WINDOW w AS (PARTITION BY o_orderpriority ORDER BY day
                     RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)
 """)
@@ -71,9 +71,10 @@ def orders_trailing_7d(spark, sf_dir):
     """P42 trailing_interval: 7 calendar days of orders (not 7 rows)."""
     t = tables(spark, sf_dir)
     d = (t.orders.groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day"))
-         .agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue")))
+         .agg(F.count(F.lit(1)).alias("n_orders"), F.sum(money.price("o_totalprice")).alias("revenue")))
     out = ts_ops.trailing_interval(d, ["o_orderpriority"], "day", ["n_orders", "revenue"], 7)
-    return out.withColumn("revenue_7d", F.round("revenue_7d", 2))
+    return out.withColumns({"revenue": F.col("revenue").cast("double"),
+                            "revenue_7d": F.col("revenue_7d").cast("double")})
 
 
 @register("user_daily_activity", sql="""
