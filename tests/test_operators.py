@@ -301,3 +301,16 @@ def test_positions_over_shuffled_input(spark):
     ref = agg_.select("g", "k", F.row_number().over(w).alias("rn"),
                       F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
     assert rows(p, "g", "k", "_pos", "_cum") == rows(ref, "g", "k", "rn", "cum")
+
+
+def test_bootstrap_reproducible_and_covers_mean(spark):
+    from tessera.operators.experiments import bootstrap_mean_ci
+    rnd = random.Random(11)
+    df = spark.createDataFrame([(i, rnd.expovariate(0.1)) for i in range(2000)], "id long, v double")
+    a = bootstrap_mean_ci(df, "v", "id", reps=100, seed=3).first()
+    b = bootstrap_mean_ci(df, "v", "id", reps=100, seed=3).first()
+    assert a == b
+    assert a["ci_lo"] < a["mean"] < a["ci_hi"]
+    # the interval is about 4 standard errors wide
+    se = np.std([r[1] for r in df.collect()]) / math.sqrt(2000)
+    assert 2.5 * se < a["ci_hi"] - a["ci_lo"] < 6 * se
