@@ -9,7 +9,6 @@ normal tail is a built-in-function polynomial, so no Python runs in the job;
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.sizing import bounded_broadcast, fits
+from tessera.operators.sizing import fits
 
 
 def left_enrich(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:

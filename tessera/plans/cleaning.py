@@ -1,4 +1,4 @@
-"""Jobs: cleaning."""
+"""Jobs: profiling and cleaning."""
 
 from __future__ import annotations
 

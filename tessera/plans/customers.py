@@ -1,4 +1,4 @@
-"""Jobs: customers."""
+"""Jobs: cohorts, retention, funnel, sessions, active users, LTV, RFM, ABC, as-of and interval joins."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Jobs: experiments."""
+"""Jobs: experiment statistics and the per-group pandas function."""
 
 from __future__ import annotations
 

@@ -1,9 +1,7 @@
-"""Jobs: io."""
+"""Jobs: file sources and sinks."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

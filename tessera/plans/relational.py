@@ -1,4 +1,4 @@
-"""Jobs: relational."""
+"""Jobs: tiers, reconciliation, distinct counts, quantiles, pivots, ranks."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Jobs: scalar."""
+"""Jobs: text, JSON, URL and vector columns, tokens; summaries over labels, conversations, pages."""
 
 from __future__ import annotations
 

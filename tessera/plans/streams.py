@@ -1,9 +1,7 @@
-"""Jobs: streams."""
+"""Jobs: Structured Streaming forms of the event operators."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

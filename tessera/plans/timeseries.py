@@ -1,4 +1,4 @@
-"""Jobs: timeseries."""
+"""Jobs: forward fill, period change, moving and trailing windows, calendar."""
 
 from __future__ import annotations
 
