@@ -163,9 +163,12 @@ def carry_forward(df: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str]
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_bl_{c}") for c in cols])
     w_prev = (Window.partitionBy(*by).orderBy("_bk")
               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = summ.select(*by, "_bk", *[F.last(f"_bl_{c}", ignorenulls=True).over(w_prev)
-                                      .alias(f"_cy_{c}") for c in cols])
-    out = d.join(carry, on=[*by, "_bk"], how="left")
+    carry = summ.select(*[F.col(k).alias(f"_ck{i}") for i, k in enumerate([*by, "_bk"])],
+                        *[F.last(f"_bl_{c}", ignorenulls=True).over(w_prev).alias(f"_cy_{c}")
+                          for c in cols])
+    # null-safe on the keys, so rows with a null group key keep their carry
+    cond = [F.col(k).eqNullSafe(F.col(f"_ck{i}")) for i, k in enumerate([*by, "_bk"])]
+    out = d.join(carry, cond, how="left").drop(*[f"_ck{i}" for i in range(len(by) + 1)])
     for c in cols:
         out = out.withColumn(f"{c}{suffix}", F.coalesce(F.col(f"_in_{c}"), F.col(f"_cy_{c}")))
     return out.drop("_bk", *[f"_in_{c}" for c in cols], *[f"_cy_{c}" for c in cols])

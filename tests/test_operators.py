@@ -314,3 +314,10 @@ def test_bootstrap_reproducible_and_covers_mean(spark):
     # the interval is about 4 standard errors wide
     se = np.std([r[1] for r in df.collect()]) / math.sqrt(2000)
     assert 2.5 * se < a["ci_hi"] - a["ci_lo"] < 6 * se
+
+
+def test_carry_forward_null_group_key(spark):
+    data = [(1, None, ts(0), 5.0), (2, None, ts(2), None), (3, 1, ts(2), None)]
+    df = spark.createDataFrame(data, "id long, u long, t timestamp_ntz, v double")
+    out = joins.carry_forward(df, ["u"], "t", ["v"], tiebreak=["id"], grain="1 day")
+    assert rows(out, "id", "v_ffill") == [(1, 5.0), (2, 5.0), (3, None)]
