@@ -70,37 +70,41 @@ def tier_join(df: DataFrame, value: str, tiers: DataFrame, lo: str = "lo", hi: s
 def range_lookup(df: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str,
                  partitions: int | None = None) -> DataFrame:
     """Left-join each row of ``df`` to the non-overlapping range [lo, hi) of
-    ``ranges`` that holds ``value``, by sorting both together.
+    ``ranges`` that holds ``value``, by sorting range starts and values together.
 
-    Range starts and values are range-partitioned on (key, kind, row id) — the
-    row id spreads a hot value over several partitions — the last range start
-    at or before each value is carried inside each partition by a window, and
-    across partitions from a table of one row per partition."""
-    rcols, dcols = ranges.columns, df.columns
+    Values are first reduced to distinct values (a partial aggregate, so a hot
+    value is one row). Starts and values get a deterministic range id over
+    (key, kind); the last start at or before each value is carried by a window
+    inside each range id and across range ids from a table of one row per range
+    id. The answer per distinct value is joined back to the rows."""
+    from tessera.operators.ordering import range_id
+
+    rcols = ranges.columns
     rt = T.StructType([ranges.schema[c] for c in rcols])
-    dt = T.StructType([df.schema[c] for c in dcols])
-    a = ranges.select(F.col(lo).cast("double").alias("_k"), F.lit(0).alias("_kind"),
-                      F.struct(*rcols).alias("_r"), F.lit(None).cast(dt).alias("_d"))
-    b = df.select(F.col(value).cast("double").alias("_k"), F.lit(1).alias("_kind"),
-                  F.lit(None).cast(rt).alias("_r"), F.struct(*dcols).alias("_d"))
-    u = a.unionByName(b).withColumn("_rid", F.monotonically_increasing_id())
+    vt = df.schema[value].dataType
+    starts = ranges.select(F.col(lo).cast("double").alias("_k"), F.lit(0).alias("_kind"),
+                           F.struct(*rcols).alias("_r"), F.lit(None).cast(vt).alias("_v"))
+    vals = (df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+              .select(F.col("_v").cast("double").alias("_k"), F.lit(1).alias("_kind"),
+                      F.lit(None).cast(rt).alias("_r"), "_v"))
+    u = starts.unionByName(vals)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("_k").asc_nulls_first(), F.col("_kind"), F.col("_rid")]
-    r = (u.repartitionByRange(n, *order).sortWithinPartitions(*order)
-          .withColumn("_pid", F.spark_partition_id()))
-    w = (Window.partitionBy("_pid").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    r = r.withColumn("_in", F.last("_r", ignorenulls=True).over(w))
-    per = r.groupBy("_pid").agg(
-        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_k", "_kind", "_rid"))).alias("_pl"))
-    carry = per.select("_pid", F.last("_pl", ignorenulls=True).over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_cy"))
-    # one row per range partition: a proven bound
-    j = r.where(F.col("_kind") == 1).join(F.broadcast(carry), "_pid", "left")
-    hit = F.coalesce(F.col("_in"), F.col("_cy"))
-    ok = F.col("_d")[value].isNotNull() & (F.col("_d")[value] < hit[hi])
-    out = j.select(*[F.col("_d")[c].alias(c) for c in dcols],
-                   *[F.when(ok, hit[c]).alias(c) for c in rcols if c not in (lo, hi)])
+    u = u.withColumn("_rg", range_id(u, ["_k", "_kind"], n))
+    order = [F.col("_k").asc_nulls_first(), F.col("_kind")]
+    w = Window.partitionBy("_rg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = u.withColumn("_in", F.last("_r", ignorenulls=True).over(w))
+    per = u.groupBy("_rg").agg(
+        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_k", "_kind"))).alias("_pl"))
+    carry = per.select(F.col("_rg").alias("_crg"), F.last("_pl", ignorenulls=True).over(
+        Window.orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)).alias("_cy"))
+    # one row per range id: a proven bound
+    hits = (inside.where(F.col("_kind") == 1)
+                  .join(F.broadcast(carry), F.col("_rg") == F.col("_crg"), "left")
+                  .select("_v", F.coalesce(F.col("_in"), F.col("_cy")).alias("_hit")))
+    ok = F.col("_v") < F.col("_hit")[hi]
+    found = hits.select(F.col("_v").alias("_lv"),
+                        *[F.when(ok, F.col("_hit")[c]).alias(c) for c in rcols if c not in (lo, hi)])
+    out = df.join(found, F.col(value) == F.col("_lv"), "left").drop("_lv")
     return out
 
 
