@@ -167,8 +167,10 @@ WITH b AS (SELECT CAST(CASE WHEN c_acctbal < -1000.0 THEN 0 WHEN c_acctbal >= 10
                        ELSE floor((c_acctbal - -1000.0) / 1000.0) + 1 END AS BIGINT) AS bucket
            FROM customer WHERE c_acctbal IS NOT NULL)
 SELECT bucket, count(*) AS n,
-       CASE WHEN bucket BETWEEN 1 AND 11 THEN -1000.0 + (bucket - 1) * 1000.0 END AS lo_edge,
-       CASE WHEN bucket BETWEEN 1 AND 11 THEN -1000.0 + bucket * 1000.0 END AS hi_edge
+       CASE WHEN bucket BETWEEN 1 AND 11 THEN CAST(-1000.0 AS DOUBLE) + (bucket - 1) * CAST(1000.0 AS DOUBLE) END
+         AS lo_edge,
+       CASE WHEN bucket BETWEEN 1 AND 11 THEN CAST(-1000.0 AS DOUBLE) + bucket * CAST(1000.0 AS DOUBLE) END
+         AS hi_edge
 FROM b GROUP BY bucket
 """)
 def customer_balance_histogram(spark, sf_dir):

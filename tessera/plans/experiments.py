@@ -115,7 +115,7 @@ def segment_priority_chi_square(spark, sf_dir):
 
 @register("ab_sample_ratio", sql=f"""
 WITH o AS (SELECT CAST({_GROUP_SQL} AS BIGINT) AS grp, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1),
-     e AS (SELECT grp, n_users, 0.5 * sum(n_users) OVER () AS expected_users FROM o)
+     e AS (SELECT grp, n_users, CAST(0.5 AS DOUBLE) * sum(n_users) OVER () AS expected_users FROM o)
 SELECT grp, n_users, round(expected_users, 6) AS expected_users,
        round(sum((n_users - expected_users) * (n_users - expected_users) / expected_users) OVER (), 8) AS chi2
 FROM e

@@ -49,6 +49,11 @@ def norm(v):
     return v
 
 
+# Spark simple type -> DuckDB type name, for the schema comparison.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
+
 def rows_key(rows):
     return sorted(rows, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
@@ -86,8 +91,13 @@ def compare(spark, con, name, fn, sql, sf_dir):
         res.update(status="rowcount")
         return res
     bad = [(a, b) for a, b in zip(sn, dn) if a != b]
+    stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
+    tbad = [(c, stypes[c], dtypes[c]) for c in order if TYPE_NAMES.get(stypes[c], stypes[c]) != dtypes[c]]
     if bad:
         res.update(status="values", n_bad=len(bad), first=bad[:3], cols=order)
+    elif tbad:
+        res.update(status="types", types=tbad)
     else:
         res.update(status="ok")
     return res
