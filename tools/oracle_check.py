@@ -25,13 +25,17 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# STRICT=1 compares floats bit for bit instead of at 6 decimals.
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return v + 0.0 if STRICT else round(v, 6) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6) + 0.0
     if isinstance(v, (dt.datetime, dt.date)):
