@@ -105,7 +105,8 @@ def with_positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     stats = (stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0)))
                   .withColumn("_n", F.sum("_cnt").over(w_all)))
     if running:
-        stats = (stats.withColumn("_coff", F.coalesce(F.sum("_psum").over(w_prev), F.lit(0)))
+        # null while no earlier range has a non-null value (SQL running-sum rule)
+        stats = (stats.withColumn("_coff", F.sum("_psum").over(w_prev))
                       .withColumn("_tot", F.sum("_psum").over(w_all)))
     stats = stats.drop("_cnt", "_psum").select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(["_rg", *by])],
@@ -120,7 +121,9 @@ def with_positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     out = main.join(stats, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
     out = out.withColumn("_pos", F.col("_off") + F.col("_lpos"))
     if running:
-        out = out.withColumn("_cum", F.col("_coff") + F.col("_lcum")).drop("_coff", "_lcum")
+        cum = F.when(F.col("_coff").isNull() & F.col("_lcum").isNull(), F.lit(None)).otherwise(
+            F.coalesce(F.col("_coff"), F.lit(0)) + F.coalesce(F.col("_lcum"), F.lit(0)))
+        out = out.withColumn("_cum", cum).drop("_coff", "_lcum")
     return out.drop("_rg", "_lpos", "_off")
 
 
