@@ -91,3 +91,34 @@ def test_interval_join_matches_brute_force(spark, data, within):
     exp = sorted((i, j) for i, (ui, mi, _) in enumerate(data) for j, (uj, mj, _) in enumerate(data)
                  if ui == uj and 0 <= (mj - mi) and dt.timedelta(minutes=mj - mi) <= span)
     assert got == exp
+
+
+@SETTINGS
+@given(events, st.sampled_from(["1 hour", "12 hours"]))
+def test_sessions_match_lag_rule(spark, data, gap):
+    from tessera.operators.customers import sessions
+    df = _ev(spark, data)
+    w = Window.partitionBy("u").orderBy("t", "id")
+    marked = df.withColumn("prev", F.lag("t").over(w)).withColumn(
+        "start", (F.col("prev").isNull() | (F.col("t") >= F.col("prev") + F.expr(f"INTERVAL {gap}"))).cast("int"))
+    ref = (marked.withColumn("sid", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .groupBy("u", "sid").agg(F.min("t").alias("s"), F.count(F.lit(1)).alias("n")))
+    got = sessions(df, "u", "t", gap, tiebreak=["id"], grain="6 hours", cut_lineage=False)
+    assert rows(got, "u", "session_start", "n_events") == rows(ref, "u", "s", "n")
+
+
+@SETTINGS
+@given(events, events)
+def test_asof_matches_brute_force(spark, left, right):
+    base = dt.datetime(2024, 1, 1)
+    l = spark.createDataFrame([(i, u, base + dt.timedelta(minutes=m)) for i, (u, m, _) in enumerate(left)],
+                              "lid long, u long, lt timestamp_ntz")
+    r = spark.createDataFrame([(i, u, base + dt.timedelta(minutes=m)) for i, (u, m, _) in enumerate(right)],
+                              "rid long, u long, rt timestamp_ntz")
+    got = rows(joins.asof_join(l, r, ["u"], "lt", "rt", ["rid"], right_tiebreak=["rid"], grain="6 hours"),
+               "lid", "rid")
+    exp = []
+    for i, (u, m, _) in enumerate(left):
+        cands = [(mm, j) for j, (uu, mm, _) in enumerate(right) if uu == u and mm <= m]
+        exp.append((i, max(cands)[1] if cands else None))
+    assert got == sorted(exp, key=lambda t: (t[0], t[1] is not None, t[1]))
