@@ -25,6 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SAMPLES_PER_RANGE = 20
+# The range id is a binary-search expression over literal bounds; keeping the
+# bound count moderate keeps that expression small enough for code generation.
+# It limits parallelism of the numbering step only, never the result.
+_MAX_RANGES = 4096
 
 
 def _spec(o: str) -> tuple[str, bool]:
@@ -37,9 +41,8 @@ def _order_cols(specs) -> list[Column]:
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(n, _MAX_RANGES))
 
 
 def _row_before(df: DataFrame, specs, bound) -> Column:
