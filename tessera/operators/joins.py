@@ -73,11 +73,12 @@ def range_lookup(df: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str,
     ``ranges`` that holds ``value``, by sorting range starts and values together.
 
     Values are first reduced to distinct values (a partial aggregate, so a hot
-    value is one row). Starts and values get a deterministic range id over
-    (key, kind); the last start at or before each value is carried by a window
-    inside each range id and across range ids from a table of one row per range
-    id. The answer per distinct value is joined back to the rows."""
-    from tessera.operators.ordering import range_id
+    value is one row). Starts and values are range-partitioned together on
+    (key, kind) and persisted once (``ordering.ranged``); the last start at or
+    before each value is carried by a window inside each range partition and
+    across partitions from a table of one row per partition. The answer per
+    distinct value is joined back to the rows."""
+    from tessera.operators.ordering import ranged
 
     rcols = ranges.columns
     rt = T.StructType([ranges.schema[c] for c in rcols])
@@ -87,25 +88,21 @@ def range_lookup(df: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str,
     vals = (df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()).distinct()
               .select(F.col("_v").cast("double").alias("_k"), F.lit(1).alias("_kind"),
                       F.lit(None).cast(rt).alias("_r"), "_v"))
-    u = starts.unionByName(vals)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    u = u.withColumn("_rg", range_id(u, ["_k", "_kind"], n))
-    order = [F.col("_k").asc_nulls_first(), F.col("_kind")]
-    w = Window.partitionBy("_rg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = u.withColumn("_in", F.last("_r", ignorenulls=True).over(w))
-    per = u.groupBy("_rg").agg(
-        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_k", "_kind"))).alias("_pl"))
-    carry = per.select(F.col("_rg").alias("_crg"), F.last("_pl", ignorenulls=True).over(
-        Window.orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)).alias("_cy"))
-    # one row per range id: a proven bound
+    m = ranged(starts.unionByName(vals), ["_k", "_kind"], partitions)
+    w = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    inside = m.withColumn("_in", F.last("_r", ignorenulls=True).over(w))
+    per = m.groupBy("_pid").agg(
+        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_mid"))).alias("_pl"))
+    carry = per.select(F.col("_pid").alias("_cpid"), F.last("_pl", ignorenulls=True).over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_cy"))
+    # one row per range partition: a proven bound
     hits = (inside.where(F.col("_kind") == 1)
-                  .join(F.broadcast(carry), F.col("_rg") == F.col("_crg"), "left")
+                  .join(F.broadcast(carry), F.col("_pid") == F.col("_cpid"), "left")
                   .select("_v", F.coalesce(F.col("_in"), F.col("_cy")).alias("_hit")))
     ok = F.col("_v") < F.col("_hit")[hi]
     found = hits.select(F.col("_v").alias("_lv"),
                         *[F.when(ok, F.col("_hit")[c]).alias(c) for c in rcols if c not in (lo, hi)])
-    out = df.join(found, F.col(value) == F.col("_lv"), "left").drop("_lv")
-    return out
+    return df.join(found, F.col(value) == F.col("_lv"), "left").drop("_lv")
 
 
 def _micros(df: DataFrame, ts: str) -> Column:

@@ -1,20 +1,20 @@
 """Ordered positions without one-task windows (H11), and what builds on them.
 
 A window with no ``partitionBy`` (or a group that holds a third of the rows)
-runs in one task. ``with_positions`` instead cuts the (group, order) key space
-into ranges, numbers rows inside each range with a window, and adds the row
-counts of the earlier ranges of the same group.
-
-The range of a row is a pure function of its key: bounds are picked once
-from a bounded random sample (collected, as Spark's own range partitioner
-does) and compiled into a binary-search expression. Every branch of the plan
-that evaluates the range id therefore agrees, whether or not Spark reuses an
-exchange and whatever order upstream shuffles deliver rows in.
-
-Plan: sample job (at most 20 rows per range) → project range id → one hash
-exchange on (range, group) → sort + row_number window; beside it a partial
-aggregate of counts per (range, group) → prefix sums over that small table →
-join back.
+runs in one task. ``with_positions`` instead range-partitions on
+(group, order) with Spark's range partitioner, numbers rows inside each range
+partition, and adds the row counts of the earlier partitions of the same group.
+
+The partition id and in-partition sequence number are written once, with the
+rows, to a parquet table in the shared checkpoint folder (``persist_table``)
+and read back. Every later branch of the plan reads the same assignment, so
+the result cannot depend on a range exchange being evaluated twice with
+different samples; the write also cuts the lineage for executor loss.
+
+Plan: sampling job + range exchange → local sort → write; read → partial
+aggregate of counts per (partition, group) → prefix sums over that small
+table → join back. Running sums add one hash exchange on (partition, group)
+before the write, which keeps each range partition whole in one task.
 """
 
 from __future__ import annotations
@@ -24,11 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SAMPLES_PER_RANGE = 20
-# The range id is a binary-search expression over literal bounds; keeping the
-# bound count moderate keeps that expression small enough for code generation.
-# It limits parallelism of the numbering step only, never the result.
-_MAX_RANGES = 4096
+from tessera.session import persist_table
 
 
 def _spec(o: str) -> tuple[str, bool]:
@@ -41,49 +37,25 @@ def _order_cols(specs) -> list[Column]:
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(n, _MAX_RANGES))
-
-
-def _row_before(df: DataFrame, specs, bound) -> Column:
-    """True when the row sorts strictly before the boundary row ``bound``."""
-    out = F.lit(False)
-    for (c, asc), b in reversed(list(zip(specs, bound))):
-        col = F.col(c)
-        if b is None:
-            before = F.lit(False) if asc else col.isNotNull()
-            equal = col.isNull()
-        else:
-            lit = F.lit(b).cast(df.schema[c].dataType)
-            before = (col.isNull() | (col < lit)) if asc else (col.isNotNull() & (col > lit))
-            equal = F.coalesce(col == lit, F.lit(False))
-        out = before | (equal & out)
-    return out
-
-
-def range_id(df: DataFrame, order: Sequence[str], n: int, seed: int = 17) -> Column:
-    """An expression giving each row its range (0..k, k < n) among contiguous
-    ranges of the total order ``order`` (see ``_spec``). Runs one sampling job;
-    evaluate the returned column, not this function, in every branch."""
-    specs = [_spec(o) for o in order]
-    keys = [c for c, _ in specs]
-    sample = (df.select(*keys).orderBy(F.rand(seed)).limit(_SAMPLES_PER_RANGE * n)
-                .orderBy(*_order_cols(specs)).collect())
-    bounds, last = [], None
-    for i in range(1, n):
-        row = tuple(sample[len(sample) * i // n]) if sample else None
-        if row is not None and row != last:
-            bounds.append(row)
-            last = row
-
-    def search(lo: int, hi: int) -> Column:
-        # first index i in [lo, hi] with row < bounds[i]; len(bounds) when none
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_row_before(df, specs, bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(bounds))
+    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranged(df: DataFrame, keys: Sequence[str], partitions: int | None = None,
+           running: str | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """``df`` range-partitioned and sorted on ``keys`` (see ``_spec``), with
+    ``_pid`` (range partition) and ``_mid`` (increasing inside a partition in
+    sort order), persisted once. With ``running`` also ``_lcum``: the running
+    sum of that column inside each (partition, ``within``) group."""
+    cols = _order_cols([_spec(k) for k in keys])
+    r = (df.repartitionByRange(_partitions(df, partitions), *cols)
+           .sortWithinPartitions(*cols)
+           .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_mid", F.monotonically_increasing_id()))
+    if running:
+        w = (Window.partitionBy("_pid", *within).orderBy("_mid")
+             .rowsBetween(Window.unboundedPreceding, 0))
+        r = r.withColumn("_lcum", F.sum(running).over(w))
+    return persist_table(r, "ranged")
 
 
 def with_positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), *,
@@ -91,43 +63,37 @@ def with_positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     """Add ``_pos`` (1-based position within the ``by`` group under ``order``)
     and ``_n`` (group size). ``order`` lists columns, ``-`` for descending; it
     must be a total order within a group (end it with a unique key). With
-    ``running=col`` also add ``_cum`` (inclusive running sum of ``col``) and
-    ``_tot`` (group total)."""
+    ``running=col`` also add ``_cum`` (inclusive running sum of ``col``; null
+    until the first non-null value, as in SQL) and ``_tot`` (group total)."""
     by = list(by)
-    specs = [_spec(o) for o in order]
-    d = df.withColumn("_rg", range_id(df, [*by, *order], _partitions(df, partitions)))
-    w = Window.partitionBy("_rg", *by).orderBy(*_order_cols(specs))
-    main = d.withColumn("_lpos", F.row_number().over(w))
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
+    m = ranged(df, [*by, *order], partitions, running, by)
+    aggs = [F.min("_mid").alias("_mid0"), F.count(F.lit(1)).alias("_cnt")]
     if running:
-        main = main.withColumn("_lcum", F.sum(running).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         aggs.append(F.sum(running).alias("_psum"))
-    stats = d.groupBy("_rg", *by).agg(*aggs)
-    w_prev = Window.partitionBy(*by).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
+    stats = m.groupBy("_pid", *by).agg(*aggs)
+    w_prev = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*by)
     stats = (stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0)))
                   .withColumn("_n", F.sum("_cnt").over(w_all)))
     if running:
-        # null while no earlier range has a non-null value (SQL running-sum rule)
         stats = (stats.withColumn("_coff", F.sum("_psum").over(w_prev))
                       .withColumn("_tot", F.sum("_psum").over(w_all)))
-    stats = stats.drop("_cnt", "_psum").select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(["_rg", *by])],
-        *[c for c in ("_off", "_n", "_coff", "_tot") if c in stats.columns])
-    # Without groups the table has one row per range: a proven bound. With
-    # groups it has about one row per group; adaptive execution measures it
-    # once materialized and broadcasts it only when small.
+    keys = ["_pid", *by]
+    stats = stats.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_mid0", "_off", "_n",
+                         *(["_coff", "_tot"] if running else []))
+    # Without groups the table has one row per range partition: a proven bound.
+    # With groups it has about one row per group; adaptive execution measures
+    # it once materialized and broadcasts it only when small.
     if not by:
         stats = F.broadcast(stats)
-    keys = ["_rg", *by]
     cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
-    out = main.join(stats, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
-    out = out.withColumn("_pos", F.col("_off") + F.col("_lpos"))
+    out = m.join(stats, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
+    out = out.withColumn("_pos", F.col("_off") + (F.col("_mid") - F.col("_mid0")) + 1)
     if running:
         cum = F.when(F.col("_coff").isNull() & F.col("_lcum").isNull(), F.lit(None)).otherwise(
             F.coalesce(F.col("_coff"), F.lit(0)) + F.coalesce(F.col("_lcum"), F.lit(0)))
         out = out.withColumn("_cum", cum).drop("_coff", "_lcum")
-    return out.drop("_rg", "_lpos", "_off")
+    return out.drop("_pid", "_mid", "_mid0", "_off")
 
 
 def ntile_of(pos: Column, n: Column, k: int) -> Column:

@@ -65,3 +65,13 @@ def materialize(df):
     costs a re-read instead of recomputing every earlier stage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def persist_table(df, name: str = "table"):
+    """Write ``df`` as parquet to a fresh folder under the shared checkpoint
+    folder and return the table read back: computed exactly once, columnar,
+    and independent of the lineage that produced it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -39,10 +39,10 @@ def test_flagship_prunes_lineitem_columns(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_discount:double>" in p
 
 
-def test_global_ranking_uses_range_ids(spark):
+def test_global_ranking_reads_persisted_ranges(spark):
     for name in ("customer_rfm", "part_abc", "part_price_ranks", "event_value_quantiles"):
         p = plan_of(QUERIES[name](spark, SF_SMALL))
-        assert "_rg" in p and "windowspecdefinition(_rg" in p, name
+        assert "ranged-" in p and "_pid" in p and "SinglePartition" not in p.split("ranged-")[0][-200:], name
 
 
 def test_ranking_jobs_are_repeatable(spark):
