@@ -55,3 +55,11 @@ def test_ranking_jobs_are_repeatable(spark):
 def test_pandas_job_is_bucketed(spark):
     p = plan_of(QUERIES["user_day_event_gaps"](spark, SF_SMALL))
     assert "FlatMapGroupsInPandas" in p and "_bucket" in p
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_single_partition_exchanges_are_explained(spark, name):
+    from tools.plan_report import SINGLE_PARTITION_NOTES
+    p = plan_of(QUERIES[name](spark, SF_SMALL))
+    if "Exchange SinglePartition" in p:
+        assert name in SINGLE_PARTITION_NOTES, name
