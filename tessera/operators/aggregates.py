@@ -30,8 +30,10 @@ def subtotals(df: DataFrame, levels: Sequence[str], aggs: Sequence[Column],
 
 
 def crosstab(df: DataFrame, a: str, b: str, name: str = "n") -> DataFrame:
-    """Contingency counts with margins and grand total (``cube``)."""
-    return df.cube(a, b).agg(F.count(F.lit(1)).alias(name), F.grouping_id().alias("level"))
+    """Contingency counts with margins and grand total (``cube``). Rows are
+    first counted per cell, so the cube's Expand multiplies cells, not rows."""
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("_c"))
+    return cells.cube(a, b).agg(F.sum("_c").cast("long").alias(name), F.grouping_id().alias("level"))
 
 
 def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggs: Sequence[Column]) -> DataFrame:

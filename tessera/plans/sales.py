@@ -51,7 +51,10 @@ GROUP BY ROLLUP (r_name, n_name)
 def revenue_rollup(spark, sf_dir):
     """Flagship (P01, P17, P19, P28): revenue by region and nation with subtotals."""
     t = tables(spark, sf_dir)
-    out = agg.subtotals(revenue_by_geo(t), ["r_name", "n_name"],
+    # one row per nation before the rollup: its Expand then copies 25 rows, not customers
+    per_nation = (revenue_by_geo(t).groupBy("r_name", "n_name")
+                  .agg(F.sum("rev").alias("rev"), F.sum("n_lines").alias("n_lines")))
+    out = agg.subtotals(per_nation, ["r_name", "n_name"],
                         [F.sum("rev").cast("double").alias("revenue"),
                          F.sum("n_lines").cast("long").alias("n_lines")])
     return out.select("r_name", "n_name", F.col("level").cast("long").alias("level"),
@@ -157,9 +160,12 @@ GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linesta
 def flag_grouping_sets(spark, sf_dir):
     """P30 grouping_sets: chosen grouping sets in one aggregate."""
     t = tables(spark, sf_dir)
+    # per (flag, status) cell first; the grouping sets then expand cells, not lines
+    cells = (t.lineitem.groupBy("l_returnflag", "l_linestatus")
+             .agg(F.sum("l_quantity").alias("_q"), F.count(F.lit(1)).alias("_n")))
     out = agg.grouping_sets(
-        t.lineitem, [["l_returnflag", "l_linestatus"], ["l_returnflag"], ["l_linestatus"], []],
-        [F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count(F.lit(1)).alias("n")])
+        cells, [["l_returnflag", "l_linestatus"], ["l_returnflag"], ["l_linestatus"], []],
+        [F.round(F.sum("_q"), 2).alias("sum_qty"), F.sum("_n").cast("long").alias("n")])
     return out.withColumn("level", F.col("level").cast("long"))
 
 
