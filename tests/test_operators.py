@@ -321,3 +321,15 @@ def test_carry_forward_null_group_key(spark):
     df = spark.createDataFrame(data, "id long, u long, t timestamp_ntz, v double")
     out = joins.carry_forward(df, ["u"], "t", ["v"], tiebreak=["id"], grain="1 day")
     assert rows(out, "id", "v_ffill") == [(1, 5.0), (2, 5.0), (3, None)]
+
+
+def test_hot_group_is_spread_over_ranges(spark):
+    """A group holding a third of the rows lands in several range partitions,
+    so no single task numbers it whole."""
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string")))
+        .alias("g"), F.col("id").alias("v"))
+    m = ordering.ranged(df, ["g", "v"], partitions=12)
+    per = {r["_pid"]: r["n"] for r in m.where(F.col("g") == "hot").groupBy("_pid").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    assert len(per) >= 3 and max(per.values()) < 1000
