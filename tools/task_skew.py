@@ -5,7 +5,8 @@ Usage: python tools/task_skew.py [SF_DIR]
 Derives a skewed copy of ``events`` (a third of the rows moved to one user),
 then runs a plain per-user window (lag + running sum) against
 ``customers.sessions``, a global ``row_number`` against
-``ordering.with_positions``, and a plain equi-join on the user with a time
+``ordering.with_positions``, a union + per-user window against
+``joins.asof_join``, and a plain equi-join on the user with a time
 predicate against ``joins.interval_join``, with the event log written to a fresh scratch
 folder. For each job it reports the largest and the median number of records
 a task read from shuffles in its busiest stage. Writes SKEW.md next to this file's parent.
@@ -86,6 +87,12 @@ def main():
                                                            F.col("ts").alias("vt"))
     buys = hot.where(F.col("event_type") == "purchase").select("user_id", F.col("event_id").alias("pid"),
                                                               F.col("ts").alias("pt"))
+    u = (buys.select("user_id", F.col("pt").alias("t"), F.lit(1).alias("side"), "pid",
+                     F.lit(None).cast("long").alias("vid"))
+          .unionByName(views.select("user_id", F.col("vt").alias("t"), F.lit(0).alias("side"),
+                                    F.lit(None).cast("long").alias("pid"), "vid")))
+    wa = Window.partitionBy("user_id").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    naive_asof = u.withColumn("last_vid", F.last("vid", ignorenulls=True).over(wa)).where(F.col("side") == 1)
     naive_interval = views.join(buys, "user_id").where(
         (F.col("pt") >= F.col("vt")) & (F.col("pt") <= F.col("vt") + F.expr("INTERVAL 6 HOURS")))
     runs = {}
@@ -96,6 +103,10 @@ def main():
                         ("naive global row_number", lambda: naive_rank),
                         ("tessera with_positions (global)",
                          lambda: ordering.with_positions(hot, ["value", "event_id"])),
+                        ("naive as-of (union + per-user window)", lambda: naive_asof),
+                        ("tessera asof_join (user, 1 h bucket)",
+                         lambda: joins.asof_join(buys, views, ["user_id"], "pt", "vt", ["vid"],
+                                                 right_tiebreak=["vid"], grain="1 hour")),
                         ("naive interval join (user key)", lambda: naive_interval),
                         ("tessera interval_join (user, 6 h bucket)",
                          lambda: joins.interval_join(views, buys, "user_id", "vt", "pt", "6 hours"))]:
