@@ -58,3 +58,21 @@ def orders_by_year_partitioned(spark, sf_dir):
     back = spark.read.parquet(path)
     return back.groupBy(F.col("o_year").cast("long").alias("o_year")).agg(
         F.count(F.lit(1)).alias("n_orders"), money.total(money.price("o_totalprice")).alias("revenue"))
+
+
+@register("table_row_counts", sql="\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST({len(SCHEMAS[t].fields)} AS BIGINT) AS n_columns "
+    f"FROM {t}" for t in SCHEMAS))
+def table_row_counts(spark, sf_dir):
+    """P01 load_table over every fixture table: rows and declared columns per
+    table (a count over each scan; no column is read)."""
+    from tessera.sources.tables import load_table
+    tables(spark, sf_dir)
+    parts = [load_table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(t).alias("table_name"), "n_rows",
+                     F.lit(len(SCHEMAS[t].fields)).cast("long").alias("n_columns"))
+             for t in SCHEMAS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
