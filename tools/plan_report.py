@@ -32,6 +32,7 @@ SINGLE_PARTITION_NOTES = {
     "foreign_key_orphans": "one orphan count per foreign key; each task sends one partial count",
     "part_abc": "prefix sums over one row per range partition",
     "segment_priority_chi_square": "scalar totals and level counts over the (segment, priority) cells",
+    "table_row_counts": "one row count per table; each task sends one partial count",
     "user_daily_activity": "scalar first and last day of the events (partial aggregates)",
 }
 
