@@ -25,9 +25,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def stage_loads(log_dir: str, job_group: str) -> list[tuple[int, int, int, int]]:
-    """(stage id, tasks, max records read, median records read) per stage of
-    the jobs tagged ``job_group``."""
+def stage_loads(log_dir: str, job_group: str) -> list[tuple]:
+    """(stage id, tasks, max / median shuffle records read, max / median task
+    milliseconds) per stage of the jobs tagged ``job_group``."""
     files = [p for p in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True) if os.path.isfile(p)]
     stages_of_group, per_stage = set(), {}
     for path in files:
@@ -42,12 +42,17 @@ def stage_loads(log_dir: str, job_group: str) -> list[tuple[int, int, int, int]]
                 elif ev == "SparkListenerTaskEnd":
                     m = e.get("Task Metrics") or {}
                     recs = m.get("Shuffle Read Metrics", {}).get("Total Records Read", 0)
-                    per_stage.setdefault(e["Stage ID"], []).append(recs)
+                    info = e.get("Task Info") or {}
+                    ms = info.get("Finish Time", 0) - info.get("Launch Time", 0)
+                    per_stage.setdefault(e["Stage ID"], []).append((recs, ms))
     out = []
     for sid in sorted(stages_of_group):
-        recs = per_stage.get(sid, [])
-        if recs:
-            out.append((sid, len(recs), max(recs), int(statistics.median(recs))))
+        tasks = per_stage.get(sid, [])
+        if tasks:
+            recs = [r for r, _ in tasks]
+            ms = [m for _, m in tasks]
+            out.append((sid, len(tasks), max(recs), int(statistics.median(recs)),
+                        max(ms), int(statistics.median(ms))))
     return out
 
 
@@ -124,12 +129,13 @@ def main():
              "(as with large tables). Shuffle records",
              "read per task come from Spark's event log (written to a scratch folder). For each job: the",
              "post-shuffle stage whose busiest task read the most records.", "",
-             "| job | sec | stage | tasks | max records / task | median records / task |",
-             "| --- | --- | --- | --- | --- | --- |"]
+             "| job | sec | stage | tasks | max records / task | median records / task | max ms | median ms |",
+             "| --- | --- | --- | --- | --- | --- | --- | --- |"]
     for name, sec in runs.items():
         loads = [s for s in stage_loads(log_dir, name) if s[2] > 0]
         worst = max(loads, key=lambda s: s[2])
-        lines.append(f"| {name} | {sec:.1f} | {worst[0]} | {worst[1]} | {worst[2]} | {worst[3]} |")
+        lines.append(f"| {name} | {sec:.1f} | {worst[0]} | {worst[1]} | {worst[2]} | {worst[3]} "
+                     f"| {worst[4]} | {worst[5]} |")
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "SKEW.md")
     with open(out, "w") as f:
         f.write("\n".join(lines) + "\n")
