@@ -122,3 +122,47 @@ def test_asof_matches_brute_force(spark, left, right):
         cands = [(mm, j) for j, (uu, mm, _) in enumerate(right) if uu == u and mm <= m]
         exp.append((i, max(cands)[1] if cands else None))
     assert got == sorted(exp, key=lambda t: (t[0], t[1] is not None, t[1]))
+
+
+steps_events = st.lists(st.tuples(st.sampled_from([1, 1, 2, 3]), st.integers(min_value=0, max_value=100),
+                                  st.sampled_from(["a", "b", "c", "x"])), min_size=0, max_size=40)
+
+
+@SETTINGS
+@given(steps_events)
+def test_funnel_matches_brute_force(spark, data):
+    from tessera.operators.customers import funnel
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(u, base + dt.timedelta(hours=h), e) for u, h, e in data],
+                               "u long, t timestamp_ntz, e string")
+    got = rows(funnel(df, "u", "t", "e", ["a", "b", "c"], "48 hours"), "step", "n_users")
+    counts = [0, 0, 0]
+    for u in {r[0] for r in data}:
+        ev = sorted((h, e) for uu, h, e in data if uu == u)
+        firsts = [h for h, e in ev if e == "a"]
+        if not firsts:
+            continue
+        t1 = min(firsts)
+        counts[0] += 1
+        tk = t1
+        for k, s in enumerate(["b", "c"], start=1):
+            nxt = [h for h, e in ev if e == s and tk < h <= t1 + 48]
+            if not nxt:
+                break
+            tk = min(nxt)
+            counts[k] += 1
+    assert got == [(1, counts[0]), (2, counts[1]), (3, counts[2])]
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from([1, 1, 1, 2, 3]), st.integers(min_value=0, max_value=5)),
+                min_size=1, max_size=40))
+def test_dedupe_latest_matches_python(spark, data):
+    from tessera.operators.cleaning import dedupe_latest
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(data)], "k long, t long, id long")
+    got = rows(dedupe_latest(df, ["k"], ["t", "id"]), "k", "id")
+    best = {}
+    for i, (k, t) in enumerate(data):
+        if k not in best or (t, i) > best[k]:
+            best[k] = (t, i)
+    assert got == sorted((k, i) for k, (t, i) in best.items())
