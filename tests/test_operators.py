@@ -333,3 +333,20 @@ def test_hot_group_is_spread_over_ranges(spark):
     per = {r["_pid"]: r["n"] for r in m.where(F.col("g") == "hot").groupBy("_pid").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     assert len(per) >= 3 and max(per.values()) < 1000
+
+
+def test_orphans_and_key_violations(spark):
+    child = spark.createDataFrame([(1, 10), (2, 11), (3, None), (4, 12), (5, 12)], "id long, fk long")
+    parent = spark.createDataFrame([(10,), (12,), (12,)], "pk long")
+    assert rows(cl.orphans(child, parent, "fk", "pk"), "id") == [(2,), (3,)]
+    rep = cl.orphan_report([("child.fk", child, parent, "fk", "pk")]).first()
+    assert (rep["fk"], rep["n_orphans"]) == ("child.fk", 2)
+    assert rows(cl.key_violations(child, ["fk"])) == [(12, 2)]
+
+
+def test_duplicate_groups_normalise_case_and_space(spark):
+    df = spark.createDataFrame([(1, "Hello  World"), (2, "hello world "), (3, "other"), (4, None)],
+                               "id long, text string")
+    got = cl.duplicate_groups(df, "text", "id").collect()
+    assert [(r["n_docs"], r["min_id"], r["max_id"]) for r in got] == [(2, 1, 2)]
+    assert cl.duplicate_groups(df, "text", "id", normalise=False).count() == 0
