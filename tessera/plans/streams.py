@@ -161,5 +161,5 @@ def stream_latest_per_user(spark, sf_dir):
     """P74 upsert_sink: latest event per user kept up to date across batches."""
     s = _replayed_events(spark, sf_dir, list(range(6)), "upsert-input")
     s = s.select("user_id", "event_id", "ts", "event_type", "value")
-    out = sinks.upsert_sink(s, ["user_id"], ["ts", "event_id"], "upsert")
+    out = sinks.upsert_sink(s, ["user_id"], ["ts", "event_id"], "upsert", buckets=16)
     return out.select("user_id", "event_id", _ntz("ts"), "event_type", "value")
