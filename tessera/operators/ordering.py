@@ -86,7 +86,9 @@ def with_positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     # it once materialized and broadcasts it only when small.
     if not by:
         stats = F.broadcast(stats)
-    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    # the partition id is never null; group keys may be, so they match null-safe
+    cond = [F.col("_pid") == F.col("_k0")] + [F.col(c).eqNullSafe(F.col(f"_k{i}"))
+                                               for i, c in enumerate(keys) if i > 0]
     out = m.join(stats, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
     out = out.withColumn("_pos", F.col("_off") + (F.col("_mid") - F.col("_mid0")) + 1)
     if running:
