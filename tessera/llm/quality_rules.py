@@ -1,10 +1,11 @@
 """Quality rules combined by weak supervision, in Spark's own expressions.
 
-Each rule votes good (1), bad (-1) or abstains (0). How often a rule votes what
-on good and on bad documents is not known; expectation-maximisation estimates it
-from the counts of vote patterns (at most three to the power of the number of
-rules, whatever the corpus) and gives every pattern a posterior probability of
-being good. A document is kept from 0.5 on; no single rule decides.
+Each rule votes good (1), bad (-1) or abstains (0). How often a rule that votes
+is right is not known; expectation-maximisation estimates it from the counts of
+vote patterns (a number bounded by the rules, whatever the corpus) and gives
+every pattern a posterior probability of being good. Rules that agree with one
+another come out as reliable, one that votes alone against the rest does not.
+An abstention is no evidence, and a vote never counts against its own meaning. A document is kept from 0.5 on; no single rule decides.
 
 Defined cases: a null text is empty; a text without a word fails the base rules;
 equal rows are judged alike; an empty input gives no rows. Three-word windows
@@ -53,68 +54,81 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]{2,}")).cast("long").alias("n_symbol_runs"),
+        F.size(F.filter("words", lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("n_wordless"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclaims"))
 
 
 def votes() -> dict[str, Column]:
-    """The rules: bad where the first condition holds, else good where the second does, else abstaining."""
+    """The rules. Most know one defect and vote bad or abstain; two can vote good."""
     n, c = F.col("n_words"), F.col("word_chars")
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        out = F.when(bad, F.lit(-1))
+        return (out if good is None else out.when(good, F.lit(1))).otherwise(F.lit(0))
 
     return {
-        "v_length": vote(n < 50, n >= 100),
+        "v_length": vote(F.lit(False), n >= 100),
+        "v_short": vote(n < 50),
         "v_word_size": vote((c < 3 * n) | (c > 10 * n), (c >= 4 * n) & (c <= 8 * n)),
-        "v_symbols": vote(10 * F.col("n_symbols") > n, F.col("n_symbols") == 0),
-        "v_lines": vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), F.col("n_dup_lines") == 0),
-        "v_repeats": vote(5 * F.col("n_repeat_words") > n, 20 * F.col("n_repeat_words") < n),
-        "v_upper": vote(10 * F.col("n_upper") > 3 * c, 10 * F.col("n_upper") < c),
-        "v_exclaims": vote(5 * F.col("n_exclaims") > n, F.col("n_exclaims") == 0),
-        "v_variety": vote((n >= 50) & (10 * F.col("n_distinct") < 3 * n), 10 * F.col("n_distinct") > 5 * n),
+        "v_symbols": vote(10 * F.col("n_symbols") > n),
+        "v_symbol_runs": vote(10 * F.col("n_symbol_runs") > n),
+        "v_wordless": vote(10 * F.col("n_wordless") > n),
+        "v_lines": vote(2 * F.col("n_dup_lines") > F.col("n_lines")),
+        "v_repeats": vote(3 * F.col("n_repeat_words") > n),
+        "v_variety": vote((n >= 50) & (10 * F.col("n_distinct") < 4 * n)),
+        "v_upper": vote(10 * F.col("n_upper") > 3 * c),
+        "v_exclaims": vote(5 * F.col("n_exclaims") > n),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, prior: float = 0.85, accuracy: float = 0.8,
-             turns: int = 200) -> tuple[float, list[dict[int, float]]]:
+#: Where the search starts: how often a rule votes bad or good on bad and on good documents.
+START = {-1: (0.3, 0.02), 1: (0.5, 0.7)}
+PRIOR = 0.85  # share of good documents that is assumed
+MOST = 1.7  # log odds that one vote may count: less than the prior's, so that one rule alone rejects nothing
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, prior: float = PRIOR, turns: int = 200) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over counted vote patterns.
 
-    Returns the log prior odds of good and, for each rule and vote, the log
-    likelihood ratio of good to bad. It starts from rules that are mostly right,
-    which fixes which of the two hidden classes is the good one.
+    Returns the log odds of ``prior`` and, for each rule, the log likelihood
+    ratio of good to bad of its two votes; that of a bad vote is never above 0,
+    that of a good one never below, and an abstention counts nothing.
     """
+    ratios = [{v: math.log(good / bad) for v, (bad, good) in START.items()} for _ in range(rules)]
     total = sum(n for _, n in patterns)
-    if not total:
-        return math.log(prior / (1 - prior)), [{-1: 0.0, 0: 0.0, 1: 0.0}] * rules
-    start = {1: {1: accuracy * 0.9, 0: 0.1, -1: (1 - accuracy) * 0.9}, 0: {1: (1 - accuracy) * 0.9, 0: 0.1, -1: accuracy * 0.9}}
-    chance = [{y: dict(start[y]) for y in (0, 1)} for _ in range(rules)]
-    for _ in range(turns):
-        counts = [{y: {v: 0.5 for v in (-1, 0, 1)} for y in (0, 1)} for _ in range(rules)]
+    for _ in range(turns if total else 0):
+        seen = [{v: [0.5, 0.5] for v in (-1, 1)} for _ in range(rules)]
         good = 0.0
         for pattern, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(chance[j][1][v] / chance[j][0][v]) for j, v in enumerate(pattern))
+            odds = math.log(prior / (1 - prior)) + sum(ratios[j][v] for j, v in enumerate(pattern) if v)
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
             good += n * p
             for j, v in enumerate(pattern):
-                counts[j][1][v] += n * p
-                counts[j][0][v] += n * (1 - p)
-        was, prior = prior, (good + 1) / (total + 2)
-        chance = [{y: {v: m / sum(c[y].values()) for v, m in c[y].items()} for y in (0, 1)} for c in counts]
-        if abs(prior - was) < 1e-7:
+                if v:
+                    seen[j][v][0] += n * (1 - p)
+                    seen[j][v][1] += n * p
+        bad, moved = total - good, 0.0
+        for j, votes_of in enumerate(seen):
+            for v, (on_bad, on_good) in votes_of.items():
+                ratio = v * min(MOST, max(0.0, v * math.log((on_good / (good + 1)) / (on_bad / (bad + 1)))))
+                moved = max(moved, abs(ratio - ratios[j][v]))
+                ratios[j][v] = ratio
+        if moved < 1e-7:
             break
-    return math.log(prior / (1 - prior)), [{v: math.log(c[1][v] / c[0][v]) for v in (-1, 0, 1)} for c in chance]
+    return math.log(prior / (1 - prior)), ratios
 
 
 def judge_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts, base_failed, kept and the posterior of every document."""
     rules = votes()
     rows = persist_table(statistics(docs, key).withColumns(rules), "votes")
-    counted = rows.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** 8 rows
+    counted = rows.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** 10 * 3 rows
     log_odds, ratios = estimate([(tuple(r[v] for v in rules), r["n"]) for r in counted], len(rules))
     odds = F.lit(log_odds)
     for name, ratio in zip(rules, ratios):
-        odds = odds + F.when(F.col(name) == 1, ratio[1]).when(F.col(name) == -1, ratio[-1]).otherwise(ratio[0])
+        odds = odds + F.when(F.col(name) == 1, ratio[1]).when(F.col(name) == -1, ratio[-1]).otherwise(0.0)
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < 50) | (100 * repeated > 50 * n)
     posterior = 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-500.0)), F.lit(500.0))))
