@@ -24,12 +24,15 @@ BLOCK_BYTES = 4 << 20
 PART_KEYS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 SENT = "block long, part long, keys binary, checks binary, ids binary"
+BLOCK = "block long, ids binary, sizes binary, bytes long, data binary"
 TOLD = "block long, level int, part long, bits binary"
 
 
 def write_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """All rows, whole texts, as a written table: block, ids (int64, null as ``NO_ID``), sizes, bytes, data."""
 
+    names = [c.split()[0] for c in BLOCK.split(", ")]
+
     def collect(batches):
         from pyspark import TaskContext
 
@@ -39,10 +42,7 @@ def write_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         held = 0
 
         def block():
-            data = b"".join(texts)
-            return pa.RecordBatch.from_pydict({
-                "block": [number], "ids": [np.array(ids, "<i8").tobytes()], "sizes": [np.fromiter(map(len, texts), "<i8", len(texts)).tobytes()],
-                "bytes": [len(data)], "data": [pa.compress(data, "zstd", asbytes=True)]})
+            return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(names, pack_texts(number, ids, texts))})
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -56,7 +56,7 @@ def write_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield block()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return persist_table(rows.mapInArrow(collect, "block long, ids binary, sizes binary, bytes long, data binary"), "blocks")
+    return persist_table(rows.mapInArrow(collect, BLOCK), "blocks")
 
 
 def texts_of(ids: bytes, sizes: bytes, n: int, data: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -128,6 +128,38 @@ def told(keys: DataFrame, level: int) -> DataFrame:
     return persist_table(keys.groupBy("part").applyInPandas(answer, TOLD), "told")
 
 
+def counted(keys: DataFrame, level: int) -> DataFrame:
+    """For every key sent, the sum of its ``checks`` over all blocks (at most 65535), as compressed 16-bit numbers."""
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.frombuffer(x, "<u8") for x in frame["keys"]]
+        all_keys, of = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = np.bincount(of, np.frombuffer(b"".join(frame["checks"]), "<u4"), len(all_keys))
+        out = np.minimum(sums[of], 65535).astype("<u2")
+        ends = np.cumsum([len(x) for x in lists])
+        return pd.DataFrame({"block": frame["block"], "level": np.int32(level), "part": frame["part"],
+                             "bits": [pa.compress(out[e - len(x):e].tobytes(), "zstd", asbytes=True) for e, x in zip(ends, lists)]})
+
+    return persist_table(keys.groupBy("part").applyInPandas(answer, TOLD), "counted")
+
+
+def unpack_counts(rows: dict[int, bytes], keys: np.ndarray, parts: int) -> np.ndarray:
+    """The sums that came back (by part) for the keys that were sent."""
+    out = np.zeros(len(keys), np.int64)
+    of = part_of(keys, parts)
+    for part, packed in rows.items():
+        a, b = np.searchsorted(of, [np.uint64(part), np.uint64(part + 1)])
+        out[a:b] = np.frombuffer(pa.decompress(packed, 2 * int(b - a), "zstd", asbytes=True), "<u2")
+    return out
+
+
+def pack_texts(block: int, ids: list[int], texts: list[bytes]) -> tuple:
+    """A row of ``BLOCK``."""
+    data = b"".join(texts)
+    return (block, np.array(ids, "<i8").tobytes(), np.fromiter(map(len, texts), "<i8", len(texts)).tobytes(), len(data),
+            pa.compress(data, "zstd", asbytes=True))
+
+
 def with_answers(blocks: DataFrame, answers: DataFrame | None, work: Callable, schema: str) -> DataFrame:
     """Calls ``work(block, ids, texts, {level: {part: bits}})`` for every block; it yields rows of ``schema``."""
     names = [c.split()[0] for c in schema.split(", ")]

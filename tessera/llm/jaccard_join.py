@@ -1,18 +1,21 @@
 """Near duplicates by an n-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct five-word shingles (64-bit hashes, in the
-global order of their values). Two sets of sizes n and m with a Jaccard
-similarity of ``percent`` or more share at least ``k`` shingles among the first
+A document is the set of its distinct five-word shingles (64-bit hashes). Two
+sets of sizes n and m with a Jaccard similarity of ``percent`` or more share, in
+any one order of all shingles, at least ``k`` among the first
 ``n - ceil(percent * n) + k`` and the first ``m - ceil(percent * m) + k``, for
-every k up to that overlap. So a longer prefix may ask for more shared
+every k up to their overlap. So a longer prefix may ask for more shared
 shingles, which leaves fewer candidates:
 
-1. Every set sends the prefix lengthened by ``EXTRA`` of its size; one bit tells
-   for each shingle whether another block has it. Sets that share fewer than
-   their smallest possible partner needs are done: they link with nothing.
-2. The others, equal sets once, get a prefix lengthened by their estimated
-   candidate cost (how often their prefix shingles occur among the others), and
-   must share as many more shingles as the less lengthened one of a pair has.
+1. In the order of the hashes, every set sends its prefix, lengthened by
+   ``EXTRA`` of its size; one bit tells for each shingle whether others have it.
+   Sets that share fewer than their smallest possible partner asks for are done:
+   they link with nothing.
+2. The others, equal sets once, count all their shingles among themselves and
+   order them from rare to frequent. Each lengthens its prefix by its estimated
+   candidate cost (how many others its prefix meets) and asks for as many more
+   shared shingles; of a pair the smaller demand holds. The smaller set of a
+   pair needs the shorter prefix that its own size asks for.
 3. Pairs are verified on whole texts. First each set is held against the one
    with which it shares most among the sets that come first in its shingles;
    what is connected by then needs no further pairs within, so a large group of
@@ -29,24 +32,27 @@ such rows alone has a null name); an empty input gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import NO_ID, SENT, parts_for, sent, told, unpack, with_answers, write_blocks
+from tessera.llm.blocks import BLOCK, NO_ID, SENT, counted, pack_texts, parts_for, sent, texts_of, told, unpack, unpack_counts, with_answers, write_blocks
 from tessera.llm.common import persist_table
 from tessera.llm.components import connected
 from tessera.llm.textwindows import Batch, mix, window_hashes
 
 SHINGLE = 5
 EXTRA = 0.08  # of a set's size: how far a prefix may be lengthened
+CHUNK, CLASS = 256, 4096
+GAIN = 1.0  # shingles more for each doubling of the estimated candidate cost
 KEYS_PER_BYTE = 0.05
 REPS = 1 << 20  # level of the answers that tell which rows stand for their set
 
 
-def ceil_share(n, percent: int):
-    """The least whole number that is ``percent`` of ``n`` or more."""
-    return -(-n * percent // 100)
+def ceil_share(n: int, percent: int, whole: int = 100) -> int:
+    """The least whole number that is ``percent / whole`` of ``n`` or more."""
+    return -(-n * percent // whole)
 
 
 def longest_match(n: int, percent: int) -> int:
@@ -85,10 +91,8 @@ def set_key(shingles: np.ndarray) -> int:
         return int(mix(np.array([mix(shingles + n).sum(dtype=np.uint64) + n], np.uint64)).view(np.int64)[0])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, checked on whole texts."""
-    texts = sets.select("node", "bytes", "data")
-
     def check(batches):
         for batch in batches:
             good_a, good_b = [], []
@@ -111,69 +115,126 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return persist_table(rows.mapInArrow(check, "a long, b long"), "links")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """node, n, h, rank of the shingles in the longest prefixes."""
+def _texts(blocks: DataFrame) -> DataFrame:
+    """node, bytes, data (compressed) of every text in blocks of sets."""
 
-    def emit(batches):
-        for batch in batches:
-            nodes, sizes, data = (c.to_pylist() for c in batch.columns)
-            for lo in range(0, len(nodes), 200):
-                got = shingle_sets([pa.decompress(d, n, "zstd", asbytes=True) for d, n in zip(data[lo:lo + 200], sizes[lo:lo + 200])])
-                zones = [s[:prefix_length(len(s), percent, longest_match(len(s), percent))] for s in got]
-                counts = [len(z) for z in zones]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(np.array(nodes[lo:lo + 200], np.int64), counts)),
-                    pa.array(np.repeat(np.array([len(s) for s in got], np.int32), counts)),
-                    pa.array(np.concatenate(zones).view(np.int64)),
-                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts]))], ["node", "n", "h", "rank"])
+    def split(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                nodes, texts = texts_of(r.ids, r.sizes, r.bytes, r.data)
+                yield pd.DataFrame({"node": nodes, "bytes": [len(t) for t in texts], "data": [pa.compress(t, "zstd", asbytes=True) for t in texts]})
 
-    return sets.select("node", "bytes", "data").mapInArrow(emit, "node long, n int, h long, rank int")
+    return persist_table(blocks.mapInPandas(split, "node long, bytes long, data binary"), "set-texts")
 
 
-def _adapted(sets: DataFrame, percent: int) -> DataFrame:
-    """node, h, match: the shared shingles of each set's adaptive prefix and how many it asks for.
+def _adapted(blocks: DataFrame, percent: int) -> DataFrame:
+    """h, node, n, match, short: the shared shingles of every set's adaptive prefix.
 
-    The cost of a set is the mean number of other sets at a shingle of its
-    shortest prefix; the prefix is lengthened by one for each doubling of it
-    and, for the popular, up to the longest.
+    ``match`` is what the set asks for, ``short`` tells the shingles that count
+    when it is the smaller set of a pair.
     """
-    prefixes = persist_table(_prefixes(sets, percent), "prefixes")
-    shared = persist_table(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared")
-    rows = persist_table(prefixes.join(shared, "h"), "shared-prefixes")
-    keep = F.ceil(F.col("n") * percent / F.lit(100.0))
-    shortest = F.col("n") - keep + 1
-    longest = F.least(keep, 1 + F.ceil(F.col("n") * F.lit(EXTRA)))
-    cost = rows.groupBy("node").agg(
-        F.first("n").alias("n"), F.sum(F.when(F.col("rank") < shortest, F.col("sets") - 1).otherwise(0)).alias("cost"))
-    match = F.least(longest, 1 + F.floor(F.log2(1 + F.col("cost") / shortest) * F.greatest(F.lit(1), F.floor(longest / 8)))).cast("int")
-    chosen = cost.select("node", match.alias("match"), (F.col("n") - keep + match).cast("int").alias("length"))
-    return persist_table(rows.join(chosen, "node").where("rank < length").select("node", "h", "match", "sets"), "adapted")
-
-
-def _components(sets: DataFrame, percent: int) -> DataFrame:
+    parts = parts_for(blocks, 0.2)
+
+    def ask(block, nodes, texts, by):
+        keys, sets = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_sets(texts)]), return_counts=True)
+        return sent(block, keys, parts, sets.astype("<u4"))
+
+    def prefixes(block, nodes, texts, by):
+        sets = shingle_sets(texts)
+        keys = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]))
+        sets_with = unpack_counts(by.get(0, {}), keys, parts)
+        for node, s in zip(nodes.tolist(), sets):
+            n = len(s)
+            count = sets_with[np.searchsorted(keys, s)]
+            order = np.lexsort((s, count))
+            count = count[order]
+            shortest, longest = prefix_length(n, percent, 1), longest_match(n, percent)
+            cost = float((count[:shortest] - 1).sum())
+            match = min(longest, 1 + int(np.log2(1 + cost / shortest) * GAIN))
+            short = n - ceil_share(2 * n, percent, 100 + percent) + match
+            for rank in np.flatnonzero(count[:shortest - 1 + match] > 1).tolist():
+                yield int(s[order[rank]].view(np.int64)), node, n, match, rank < short
+
+    answers = counted(with_answers(blocks, None, ask, SENT), 0)
+    return persist_table(with_answers(blocks, answers, prefixes, "h long, node long, n int, match int, short boolean"), "prefixes")
+
+
+def _components(blocks: DataFrame, percent: int) -> DataFrame:
     """node, component of the distinct sets that may have a partner."""
-    postings = _adapted(sets, percent)
-    labels = persist_table(sets.select("node", F.col("node").alias("component")), "components")
+    postings, texts = _adapted(blocks, percent), _texts(blocks)
+    labels = persist_table(texts.select("node", F.col("node").alias("component")), "components")
     tried: DataFrame | None = None
     for pick in (F.min, F.max):  # two first tries for each set
-        centres = persist_table(postings.groupBy("h").agg(pick("node").alias("centre")), "centres")
-        best = postings.join(centres, "h").where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n")).groupBy(
-            "node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
-        pairs = persist_table(best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
-        if tried is not None:
-            pairs = persist_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        centres = persist_table(postings.groupBy("h").agg(pick(F.struct("node", "n")).alias("c")).select(
+            "h", F.col("c.node").alias("centre"), F.col("c.n").alias("n_centre")), "centres")
+        near = postings.join(centres, "h").where(
+            (F.col("node") != F.col("centre")) & (100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre")))
+        best = near.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(
+            F.max_by("centre", F.struct("k", "centre")).alias("centre"))
+        pairs = best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        pairs = persist_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = connected(labels, _verified(pairs, sets, percent))
+        labels = connected(labels, _verified(pairs, texts, percent))
     named = persist_table(postings.join(labels, "node"), "named")
-    open_keys = persist_table(named.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(
-        "_low < _high").select("h"), "open-keys")
-    left = persist_table(named.join(open_keys, "h", "left_semi"), "open")
-    one = left.select("h", F.col("node").alias("a"), F.col("match").alias("match_a"), F.col("component").alias("_ca"))
-    two = left.select("h", F.col("node").alias("b"), F.col("match").alias("match_b"), F.col("component").alias("_cb"))
-    shared = one.join(two, "h").where("a < b and _ca <> _cb").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.first(F.least("match_a", "match_b")).alias("match"))
-    pairs = persist_table(shared.where("n >= match").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-    return connected(labels, _verified(pairs, sets, percent))
+    met = persist_table(named.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("h"), "open-keys")
+    open_nodes = named.join(met, "h", "left_semi").select("node").distinct()
+    waiting = persist_table(open_nodes.join(labels, "node"), "open")
+    return connected(labels, _links_across(waiting, texts, percent))
+
+
+def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between ``waiting`` nodes of different components.
+
+    Nodes gather at the shingle that most of them have, in chunks of about
+    ``CHUNK``; a chunk meets the nodes with which it shares shingles in classes
+    of about ``CLASS`` by hash, counts what they share and gives out links
+    alone, so neither a task nor the rows grow with the square of a group.
+    """
+
+    def emit(batches):
+        for batch in batches:
+            nodes, components, sizes, data = (c.to_pylist() for c in batch.columns)
+            for lo in range(0, len(nodes), 200):
+                got = shingle_sets([pa.decompress(d, n, "zstd", asbytes=True) for d, n in zip(data[lo:lo + 200], sizes[lo:lo + 200])])
+                n = [len(x) for x in got]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), n)) for x in (nodes[lo:lo + 200], components[lo:lo + 200], n)] + [
+                    pa.array(np.concatenate(got).view(np.int64))], ["node", "component", "n", "h"])
+
+    rows = waiting.join(texts, "node").select("node", "component", "bytes", "data").mapInArrow(emit, "node long, component long, n long, h long")
+    every = persist_table(rows, "open-shingles")
+    shared = persist_table(every.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("_low"), F.max("component").alias("_high")).where(
+        "_low < _high").select("h", "sets"), "open-keys")
+    rows = persist_table(every.join(shared, "h"), "open-postings")
+    home = persist_table(rows.groupBy("node").agg(F.max(F.struct("sets", "h")).alias("m")).select(
+        F.col("node").alias("x"), F.xxhash64("m.h", F.pmod(F.xxhash64("node"), F.ceil(F.col("m.sets") / CHUNK))).alias("chunk"),
+        F.ceil(F.col("m.sets") / CLASS).alias("classes")), "homes")
+    wanted = rows.join(home, rows["node"] == home["x"]).groupBy("chunk", "h").agg(F.max("classes").alias("classes"))
+    met = wanted.join(rows, "h").join(home.select("x", F.col("chunk").alias("own")), F.col("node") == F.col("x")).select(
+        "chunk", (F.col("chunk") == F.col("own")).alias("member"), "classes", "h", "node", "component", "n")
+    # the members of a chunk go to each of its classes, any other node to its own
+    spread = met.withColumn("class", F.explode(F.when(F.col("member"), F.sequence(F.lit(1), "classes")).otherwise(
+        F.array(1 + F.pmod(F.xxhash64("node"), F.col("classes"))))))
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, first, of = np.unique(frame["node"].to_numpy(), return_index=True, return_inverse=True)
+        n, component = frame["n"].to_numpy()[first], frame["component"].to_numpy()[first]
+        member = np.zeros(len(nodes), bool)
+        member[of[frame["member"].to_numpy(bool)]] = True
+        rows_of = np.flatnonzero(member)
+        place = np.cumsum(member) - 1
+        common = np.zeros((len(rows_of), len(nodes)), np.int32)
+        order = np.argsort(frame["h"].to_numpy(), kind="stable")
+        h = frame["h"].to_numpy()[order]
+        cuts = np.flatnonzero(np.diff(h)) + 1
+        for at in np.split(of[order], cuts):
+            common[np.ix_(place[at[member[at]]], at)] += 1
+        x, y = np.nonzero(100 * common.astype(np.int64) >= percent * (n[rows_of][:, None] + n[None, :] - common))
+        x = rows_of[x]
+        across = component[x] != component[y]
+        a, b = np.minimum(nodes[x], nodes[y])[across], np.maximum(nodes[x], nodes[y])[across]
+        return pd.DataFrame({"a": a, "b": b})
+
+    return persist_table(spread.groupBy("chunk", "class").applyInPandas(links, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -208,13 +269,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             return
         sets, cut, keys, here = zones(texts)
         shared = here | unpack(by.get(0, {}), keys, parts)
-        for i in mine:
-            s = sets[i]
-            if int(shared[np.searchsorted(keys, cut[i])].sum()) >= needed(len(s), percent):
-                yield set_key(s), len(s), len(texts[i]), pa.compress(texts[i], "zstd", asbytes=True)
+        stay = [i for i in sorted(mine) if int(shared[np.searchsorted(keys, cut[i])].sum()) >= needed(len(sets[i]), percent)]
+        if stay:
+            yield pack_texts(block, [set_key(sets[i]) for i in stay], [texts[i] for i in stay])
 
-    sets = persist_table(with_answers(blocks, asked.unionByName(reps), survivors, "node long, n int, bytes long, data binary"), "candidates")
-    labels = _components(sets, percent)
+    labels = _components(persist_table(with_answers(blocks, asked.unionByName(reps), survivors, BLOCK), "candidates"), percent)
     named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = persist_table(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     found = named.join(names, "component", "left")
