@@ -42,7 +42,7 @@ _SLOT = mix(np.arange(11, 15, dtype=np.uint64))  # codes of number, unit, name
 class _Words:
     """What each distinct word is, worked out once: literal hash, kind (0 literal, 1 number, 2 unit, 3 capitalised), whether it ends a sentence."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.clear()
 
@@ -91,7 +91,7 @@ def _windows(df: DataFrame, key: str, wanted: np.ndarray | None, size: int = WIN
 
     def emit(batches):
         known = _Words()
-        for batch in batches:
+        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):  # few texts as Python objects at a time
             rows: list[tuple] = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").encode("utf-8", "replace").split()

@@ -113,11 +113,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, key: str =
     def cut(batches):
         encode = encoder(tokenizer, "spaces")
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
+        for whole in batches:
+            for batch in (whole.slice(lo, 500) for lo in range(0, whole.num_rows, 500)):
                 rows = []
-                for k, ids in zip(keys[lo:lo + 500], encode(texts[lo:lo + 500])):
+                for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                     ids = memoryview(ids + end)
                     n = len(ids) // 4
                     for at in range(0, n, window):

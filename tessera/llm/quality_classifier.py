@@ -92,7 +92,8 @@ def _moments(batches):
             x = np.stack(part["vector"].to_numpy())
             sums = np.concatenate([[len(x)], x.sum(0), (x.T @ x)[upper]])
             total[label] = total.get(label, 0) + sums
-    yield pd.DataFrame({"label": list(total), "sums": [v.tolist() for v in total.values()]})
+    if total:
+        yield pd.DataFrame({"label": list(total), "sums": [v.tolist() for v in total.values()]})
 
 
 def fit(vectors: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality",

@@ -134,10 +134,8 @@ def write_files(docs: DataFrame, tokenizer: str, cut: str, end_id: int, folder:
         end = np.array([end_id], dtype)
         sequences = index = sink = None
         documents = tokens = 0
-        for batch in batches:
+        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            if not len(texts):
-                continue
             if sequences is None:
                 fs, at = _filesystem(name)
                 fs.create_dir(at.rpartition("/")[0])
@@ -145,14 +143,13 @@ def write_files(docs: DataFrame, tokenizer: str, cut: str, end_id: int, folder:
                 sink = fs.open_output_stream(f"{at}.docs.arrow")
                 index = pa.ipc.new_file(sink, INDEX)
             sizes = np.empty(len(texts), np.int64)
-            for lo in range(0, len(texts), 500):  # ids of few texts at a time
-                for i, ids in enumerate(encode(texts[lo:lo + 500]), lo):
-                    ids = np.frombuffer(ids, "<u4")
-                    if len(ids) and ids.max() > highest:
-                        raise OverflowError(f"an id over {highest}: choose a wider dtype")
-                    sequences.append(ids.astype(dtype))
-                    sequences.append(end)
-                    sizes[i] = len(ids) + 1
+            for i, ids in enumerate(encode(texts)):
+                ids = np.frombuffer(ids, "<u4")
+                if len(ids) and ids.max() > highest:
+                    raise OverflowError(f"an id over {highest}: choose a wider dtype")
+                sequences.append(ids.astype(dtype))
+                sequences.append(end)
+                sizes[i] = len(ids) + 1
             starts = tokens + np.concatenate([[0], np.cumsum(sizes)[:-1]])
             index.write_batch(pa.record_batch([keys.cast(pa.int64()), pa.array(starts), pa.array(sizes)], schema=INDEX))
             documents += len(texts)

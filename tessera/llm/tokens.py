@@ -27,7 +27,7 @@ GROUP = 1 << 21  # characters encoded together
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cut: str, cache_bytes: int = 96 << 20):
+    def __init__(self, path: str, cut: str, cache_bytes: int = 64 << 20):
         if cut not in ("words", "spaces"):
             raise ValueError(cut)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
