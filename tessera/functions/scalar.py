@@ -38,7 +38,7 @@ def text_features(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
         word_count(t).alias(f"{prefix}n_words"),
         (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
         .alias(f"{prefix}n_lines"),
-        char_class_count(t, "[A-Z]").alias(f"{prefix}n_upper"),
+        char_class_count(t, r"\p{Lu}").alias(f"{prefix}n_upper"),
         char_class_count(t, "[0-9]").alias(f"{prefix}n_digits"),
         char_class_count(t, "[.!?]").alias(f"{prefix}n_sentence_ends"),
     )
@@ -69,7 +69,8 @@ def norm(a) -> Column:
 
 
 def cosine(a, b) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a vector has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def tokens(df: DataFrame, text: str, keep: list[str], lower: bool = True) -> DataFrame:

@@ -195,7 +195,7 @@ def abc(df: DataFrame, item: str, amount: str, a: float = 0.8, b: float = 0.95)
     not depend on summation order."""
     per = df.groupBy(item).agg(F.sum(amount).alias("amount"))
     p = with_positions(per, ["-amount", item], running="amount")
-    share = F.col("_cum").cast("double") / F.col("_tot").cast("double")
+    share = F.try_divide(F.col("_cum").cast("double"), F.col("_tot").cast("double"))  # null (class C) if the total is 0
     return (p.withColumn("cum_share", share)
              .withColumn("class", F.when(F.col("cum_share") <= a, "A")
                          .when(F.col("cum_share") <= b, "B").otherwise("C"))

@@ -84,7 +84,8 @@ def z_test(counts: DataFrame, a, b) -> DataFrame:
 
 
 def welch_test(df: DataFrame, group: Column, value: str, a, b) -> DataFrame:
-    """Welch's t statistic and Welch-Satterthwaite degrees of freedom."""
+    """Welch's t statistic and Welch-Satterthwaite degrees of freedom; null
+    where the groups do not vary or one has a single value."""
     g = df.select(group.alias("grp"), F.col(value).alias("_v"))
     m = g.groupBy("grp").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"),
                              F.var_samp("_v").alias("var"))
@@ -92,10 +93,10 @@ def welch_test(df: DataFrame, group: Column, value: str, a, b) -> DataFrame:
     def pick(c, k):
         return F.max(F.when(F.col("grp") == k, F.col(c)))
     one = m.agg(*[pick(c, k).alias(f"{c}_{s}") for c in ("n", "mean", "var") for k, s in ((a, "a"), (b, "b"))])
-    va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
-    return (one.withColumn("t", (F.col("mean_b") - F.col("mean_a")) / F.sqrt(va + vb))
-               .withColumn("dof", (va + vb) * (va + vb)
-                           / (va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))))
+    va, vb = F.try_divide("var_a", "n_a"), F.try_divide("var_b", "n_b")
+    return (one.withColumn("t", F.try_divide(F.col("mean_b") - F.col("mean_a"), F.sqrt(va + vb)))
+               .withColumn("dof", F.try_divide((va + vb) * (va + vb), F.try_divide(va * va, F.col("n_a") - 1)
+                                               + F.try_divide(vb * vb, F.col("n_b") - 1))))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -154,11 +155,12 @@ def bootstrap_mean_ci(df: DataFrame, value: str, id_col: str, reps: int = 200, s
     h = F.xxhash64(F.col(id_col), F.col("_rep"), F.lit(seed))
     u = h.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     w = sum((u > F.lit(c)).cast("int") for c in _poisson1_thresholds())
-    ex = (df.select(id_col, value)
+    ex = (df.where(F.col(value).isNotNull()).select(id_col, value)  # as the mean, without nulls
             .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
             .withColumn("_w", w))
-    per = ex.groupBy("_rep").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("_m"))
+    per = ex.groupBy("_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("_m"))
     lo, hi = (1 - conf) / 2, 1 - (1 - conf) / 2
+    per = per.where(F.col("_m").isNotNull())  # a replicate in which every weight is 0
     ci = exact_quantiles(per, "_m", [lo, hi], names=["ci_lo", "ci_hi"], tiebreak=["_rep"])
     mean = df.select(F.avg(value)).scalar()
     return ci.select(mean.alias("mean"), "ci_lo", "ci_hi", F.lit(reps).alias("reps"))

@@ -186,7 +186,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     lcols = [c for c in left.columns]
     tb = list(right_tiebreak)
     payload = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in right_cols])
-    r = right.select(*[F.col(c) for c in by], F.col(right_ts).alias("_t"),
+    # as in SQL, null keys match nothing and a row without a time is never the latest
+    known = right.where(F.col(right_ts).isNotNull())
+    for c in by:
+        known = known.where(F.col(c).isNotNull())
+    r = known.select(*[F.col(c) for c in by], F.col(right_ts).alias("_t"),
                      F.lit(0).alias("_side"),
                      *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(tb)],
                      payload.alias("_rv"))
@@ -202,4 +206,4 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     cf = carry_forward(u, by, "_t", ["_rv"], tiebreak=tbs, grain=grain, suffix="_m")
     out = cf.where(F.col("_side") == 1)
     return out.select(*[F.col("_lv")[c].alias(c) for c in lcols],
-                      *[F.col("_rv_m")[f"{prefix}{c}"].alias(f"{prefix}{c}") for c in right_cols])
+                      *[F.when(F.col("_t").isNotNull(), F.col("_rv_m")[f"{prefix}{c}"]).alias(f"{prefix}{c}") for c in right_cols])

@@ -31,12 +31,18 @@ def write_delimited(df: DataFrame, path: str, header: bool = True, sep: str = ",
     return path
 
 
+def _all_read(df: DataFrame):
+    """True for every row; it needs all columns. The CSV reader converts only the
+    columns that a plan needs, and a row is bad if any of them does not convert."""
+    return F.hash(*[c for c in df.columns if c != CORRUPT]) >= F.lit(-(1 << 31))
+
+
 def bad_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.col(CORRUPT).isNotNull())
+    return df.where(F.col(CORRUPT).isNotNull() & _all_read(df))
 
 
 def good_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return df.where(F.col(CORRUPT).isNull() & _all_read(df)).drop(CORRUPT)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

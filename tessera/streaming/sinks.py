@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.cleaning import dedupe_latest
-from tessera.session import scratch_path
+from tessera.session import path_exists, scratch_path
 
 
 def _finish(q):
@@ -53,10 +53,9 @@ def run_changelog(stream: DataFrame, name: str, output_mode: str = "update") ->
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     _finish(q)
     schema = T.StructType(stream.schema.fields + [T.StructField("_batch", T.LongType())])
-    try:
-        return spark.read.schema(schema).parquet(out).drop("_b")
-    except Exception:  # no batch produced output: empty result of the right shape
+    if not path_exists(spark, out):  # no batch produced output: empty result of the right shape
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out).drop("_b")
 
 
 def latest_by_key(changelog: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,10 +80,9 @@ def upsert_sink(stream: DataFrame, keys: Sequence[str], order: Sequence[str], na
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def latest(upto: int | None = None, only: list | None = None):
-        try:
-            t = spark.read.parquet(table)
-        except Exception:
+        if not path_exists(spark, table):
             return None
+        t = spark.read.parquet(table)  # a read that fails fails the batch
         if upto is not None:
             t = t.where(F.col("v") < upto)
         if only is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,8 @@ def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
                  path: str | None = None) -> DataFrame:
     """The ``events`` table as a stream, event time ``ts`` as TIMESTAMP."""
-    glob = None if path else "events.parquet"
-    s = file_stream(spark, path or sf_dir, SCHEMAS["events"], glob=glob,
+    # a pattern of one match: it takes the table as a single file and as a folder of part files
+    s = file_stream(spark, path or os.path.join(sf_dir, "events.parque[t]"), SCHEMAS["events"],
                     max_files_per_trigger=max_files_per_trigger)
     return with_event_time(s)
 

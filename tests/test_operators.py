@@ -350,3 +350,22 @@ def test_duplicate_groups_normalise_case_and_space(spark):
     got = cl.duplicate_groups(df, "text", "id").collect()
     assert [(r["n_docs"], r["min_id"], r["max_id"]) for r in got] == [(2, 1, 2)]
     assert cl.duplicate_groups(df, "text", "id", normalise=False).count() == 0
+
+
+def test_divisions_by_zero_give_null(spark):
+    from tessera.functions.scalar import cosine
+    from tessera.operators import experiments
+    v = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    assert v.select(cosine(F.col("a"), F.col("b")).alias("c")).first()["c"] is None
+    w = spark.createDataFrame([("x", 1.0), ("x", 1.0), ("y", 2.0), ("y", 2.0)], "g string, v double")
+    r = experiments.welch_test(w, F.col("g"), "v", "x", "y").first()
+    assert r["t"] is None and r["dof"] is None
+
+
+def test_asof_join_nulls_match_nothing(spark):
+    left = spark.sql("SELECT * FROM VALUES (1, CAST(NULL AS INT), TIMESTAMP_NTZ'2024-01-02 00:00:00'), (2, 7, CAST(NULL AS TIMESTAMP_NTZ)), "
+                     "(3, 7, TIMESTAMP_NTZ'2024-01-02 00:00:00') AS t(id, k, lt)")
+    right = spark.sql("SELECT * FROM VALUES (CAST(NULL AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00', 'a'), (7, CAST(NULL AS TIMESTAMP_NTZ), 'b') AS t(k, rt, v)")
+    from tessera.operators.joins import asof_join
+    got = asof_join(left, right, ["k"], "lt", "rt", ["v"])
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == [(1, None), (2, None), (3, None)]

@@ -23,7 +23,8 @@ def test_csv_bad_rows_are_kept_apart(spark):
     with open(os.path.join(path, "part.csv"), "w") as f:
         f.write("id,amount\n1,2.5\n2,oops\n3,4.0\n")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("amount", T.DoubleType())])
-    df = files.read_delimited(spark, path, schema).cache()
+    df = files.read_delimited(spark, path, schema)
+    assert rows(files.good_rows(df).select("id")) == [(1,), (3,)] and rows(files.bad_rows(df).select("id")) == [(2,)]
     assert rows(files.good_rows(df)) == [(1, 2.5), (3, 4.0)]
     bad = files.bad_rows(df).collect()
     assert [(r["id"], r[files.CORRUPT]) for r in bad] == [(2, "2,oops")]

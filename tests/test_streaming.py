@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import rows
+from conftest import SF_SMALL, rows
 from tessera.sources.tables import SCHEMAS
 from tessera.streaming import operators as so
 from tessera.streaming import sinks, sources
@@ -79,3 +79,10 @@ def test_stream_interval_join_matches_batch(spark):
     j = so.stream_interval_join(v, p, "user_id", "vt", "pt", "6 hours", "6 hours")
     out = sinks.run_append(j.select("vid", "pid"), "t-join-out")
     assert rows(out) == [(1, 2), (4, 5)]
+
+
+def test_event_stream_reads_a_folder_of_files(spark, tmp_path):
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    n = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    for folder in (str(tmp_path), SF_SMALL):
+        assert sinks.run_append(sources.event_stream(spark, folder), "folder").count() == n
