@@ -1,7 +1,7 @@
 """Blocks of whole texts, and the question which of their keys other blocks have too.
 
 Operators on word windows read every text several times but shuffle little: the
-texts are written once as compressed blocks of a few MB, each pass works its
+texts are written once as compressed blocks of some MB, each pass works its
 keys out anew, and only sorted arrays of distinct keys travel, dealt by their
 highest bits into parts of about ``PART_KEYS`` keys. A key that a third of all
 documents hold is one entry for each block, so no part grows with it. What
@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_groups, persist_table
+from tessera.llm.common import bounded_groups, few_at_a_time, persist_table
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 PART_KEYS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 SENT = "block long, part long, keys binary, checks binary, ids binary"
@@ -44,7 +44,7 @@ def write_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         def block():
             return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(names, pack_texts(number, ids, texts))})
 
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(NO_ID if i is None else i)
                 texts.append(text)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.session import persist_table, scratch_path
 
-__all__ = ["bounded_groups", "numbered", "persist_table", "read_table", "scratch_path"]
+__all__ = ["bounded_groups", "few_at_a_time", "numbered", "persist_table", "read_table", "scratch_path"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +19,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def few_at_a_time(batches, rows: int = 500):
+    """Arrow batches cut into smaller ones, so that few texts are Python objects at a time."""
+    import pyarrow as pa
+
+    for whole in batches:
+        for lo in range(0, whole.num_rows, rows):
+            yield whole.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def bounded_groups(rows: int, most: int) -> int:
     """How many hash groups keep each near ``most`` rows, whatever the size of the input."""
     return max(1, math.ceil(rows / most))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import persist_table
+from tessera.llm.common import few_at_a_time, persist_table
 from tessera.llm.textwindows import mix, window_hashes, word_hashes
 
 WINDOW, LITERAL = 8, 4
@@ -91,7 +91,7 @@ def _windows(df: DataFrame, key: str, wanted: np.ndarray | None, size: int = WIN
 
     def emit(batches):
         known = _Words()
-        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):  # few texts as Python objects at a time
+        for batch in few_at_a_time(batches):
             rows: list[tuple] = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").encode("utf-8", "replace").split()

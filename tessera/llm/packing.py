@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, persist_table
+from tessera.llm.common import few_at_a_time, numbered, persist_table
 from tessera.llm.tokens import encoder
 
 GRID = 16  # triples have lengths that are multiples of it
@@ -113,19 +113,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, key: str =
     def cut(batches):
         encode = encoder(tokenizer, "spaces")
         end = np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for batch in (whole.slice(lo, 500) for lo in range(0, whole.num_rows, 500)):
-                rows = []
-                for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                    ids = memoryview(ids + end)
-                    n = len(ids) // 4
-                    for at in range(0, n, window):
-                        part = ids[4 * at:4 * (at + window)]
-                        rows.append((k, at, len(part) // 4, zlib.crc32(part), n) + ((bytes(part),) if with_ids else ()))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.binary()) for c in columns[5:]],
-                    [key, "start", "length", "ids_crc32", "doc_tokens", "ids"][:len(columns)])
+        for batch in few_at_a_time(batches):
+            rows = []
+            for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids = memoryview(ids + end)
+                n = len(ids) // 4
+                for at in range(0, n, window):
+                    part = ids[4 * at:4 * (at + window)]
+                    rows.append((k, at, len(part) // 4, zlib.crc32(part), n) + ((bytes(part),) if with_ids else ()))
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.binary()) for c in columns[5:]],
+                [key, "start", "length", "ids_crc32", "doc_tokens", "ids"][:len(columns)])
 
     return docs.select(F.col(key).cast("long"), "text").mapInArrow(cut, schema)
 

@@ -21,11 +21,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import persist_table
+from tessera.llm.common import few_at_a_time, persist_table
 
 FEATURES = (
     "log_words", "log_word_length", "distinct_words", "top_word", "repeated_next", "upper", "digits",
@@ -56,9 +56,15 @@ def text_vector(text: str | None) -> np.ndarray:
     ])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def text_vectors(text: pd.Series) -> pd.Series:
-    return pd.Series([text_vector(x) for x in text])
+def text_vectors(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, vector of every text, as a written table."""
+
+    def work(batches):
+        for batch in few_at_a_time(batches):
+            vectors = [text_vector(x).tolist() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], [key, "vector"])
+
+    return persist_table(docs.select(F.col(key).cast("long"), "text").mapInArrow(work, f"{key} long, vector array<double>"), "vectors")
 
 
 @dataclass
@@ -152,7 +158,7 @@ def held_out(key: Column) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; texts are read once."""
-    vectors = persist_table(docs.select("doc_id", text_vectors("text").alias("vector")), "vectors")
+    vectors = text_vectors(docs)
     model = fit(vectors, labels.where(~held_out(F.col("doc_id"))))
     return scored(vectors, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
@@ -163,11 +169,14 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The model comes from all labelled rows that aren't held out; the texts are
     then scored where they lie, so that they cross no shuffle.
     """
-    vectors = persist_table(docs.select("doc_id", text_vectors("text").alias("vector")), "vectors")
+    vectors = text_vectors(docs)
     model = fit(vectors, labels.where(~held_out(F.col("doc_id"))))
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([text_vector(x) for x in text])) if len(text) else [], dtype="float64")
+    place = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in few_at_a_time(batches):
+            scores = model.score(np.stack([text_vector(x) for x in batch.column(place).to_pylist()]))
+            yield batch.filter(pa.array(scores >= 0.5))
 
-    return docs.where(score("text") >= 0.5)
+    return docs.mapInArrow(keep, docs.schema)

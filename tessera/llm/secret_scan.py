@@ -27,10 +27,12 @@ from re import _constants as codes  # type: ignore[attr-defined]
 from re import _parser as parser  # type: ignore[attr-defined]
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import few_at_a_time
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -227,34 +229,40 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", base: int = len(BASE),
     kinds = [r.kind for r in rules]
     schema = ", ".join(f"n_{k} long" for k in kinds[:base]) + ", base_sha256 string, spans string"
 
-    @F.pandas_udf(schema)
-    def scan(text: pd.Series) -> pd.DataFrame:
-        scan_one, rows = scanner().spans, []
-        for t in text:
-            spans = scan_one(t or "")
-            said = [f"{kinds[k]}:{a}:{b}" for a, k, b in spans]
-            own = ",".join(s for s, (_, k, _) in zip(said, spans) if k < base)
-            rows.append([sum(k == j for _, k, _ in spans) for j in range(base)] + [hashlib.sha256(own.encode()).hexdigest(), ",".join(said)])
-        return pd.DataFrame(rows, columns=[f"n_{k}" for k in kinds[:base]] + ["base_sha256", "spans"])
+    names = [key, *(f"n_{k}" for k in kinds[:base]), "base_sha256", "spans"]
+
+    def scan(batches):
+        scan_one = scanner().spans
+        for batch in few_at_a_time(batches):
+            rows = []
+            for t in batch.column(1).to_pylist():
+                spans = scan_one(t or "")
+                said = [f"{kinds[k]}:{a}:{b}" for a, k, b in spans]
+                own = ",".join(s for s, (_, k, _) in zip(said, spans) if k < base)
+                rows.append([sum(k == j for _, k, _ in spans) for j in range(base)] + [hashlib.sha256(own.encode()).hexdigest(), ",".join(said)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows))], names)
 
-    return docs.select(key, scan("text").alias("_s")).select(key, "_s.*")
+    return docs.select(F.col(key).cast("long"), "text").mapInArrow(scan, f"{key} long, {schema}")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every found span replaced by ``mark`` (overlapping spans by one); n_chars follows the text."""
     scanner = _scanner(rules)
 
-    @F.pandas_udf("string")
-    def clean(text: pd.Series) -> pd.Series:
-        out = []
-        for t in text:
-            spans, parts, at = (scanner().spans(t) if t else []), [], 0
-            for a, _, b in spans:
-                if a >= at:
-                    parts += [t[at:a], mark]
-                at = max(at, b)
-            out.append("".join(parts) + t[at:] if spans else t)
-        return pd.Series(out, dtype=object)
-
-    out = docs.withColumn("text", clean("text"))
+    place = docs.columns.index("text")
+
+    def clean_one(t: str | None) -> str | None:
+        spans, parts, at = (scanner().spans(t) if t else []), [], 0
+        for a, _, b in spans:
+            if a >= at:
+                parts += [t[at:a], mark]
+            at = max(at, b)
+        return "".join(parts) + t[at:] if spans else t
+
+    def clean(batches):
+        for batch in few_at_a_time(batches):
+            texts = pa.array([clean_one(t) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
+            yield batch.set_column(place, batch.schema.field(place), texts)
+
+    out = docs.mapInArrow(clean, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

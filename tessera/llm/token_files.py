@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import persist_table, scratch_path
+from tessera.llm.common import few_at_a_time, persist_table, scratch_path
 from tessera.llm.tokens import encoder
 
 BATCH_SEQUENCES = 128
@@ -134,7 +134,7 @@ def write_files(docs: DataFrame, tokenizer: str, cut: str, end_id: int, folder:
         end = np.array([end_id], dtype)
         sequences = index = sink = None
         documents = tokens = 0
-        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
+        for batch in few_at_a_time(batches):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             if sequences is None:
                 fs, at = _filesystem(name)
