@@ -15,7 +15,7 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
             ELSE len(string_split(trim(regexp_replace(text, '[\s\v]+', ' ', 'g')), ' ')) END AS BIGINT)
          AS n_words,
        CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines,
-       CAST(length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) AS BIGINT) AS n_upper,
+       CAST(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS BIGINT) AS n_upper,
        CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits,
        CAST(length(regexp_replace(text, '[^.!?]', '', 'g')) AS BIGINT) AS n_sentence_ends
 FROM documents
