@@ -17,10 +17,11 @@ shingles, which leaves fewer candidates:
    shared shingles; of a pair the smaller demand holds. The smaller set of a
    pair needs the shorter prefix that its own size asks for.
 3. Pairs are verified on whole texts. First each set is held against the one
-   with which it shares most among the sets that come first in its shingles;
-   what is connected by then needs no further pairs within, so a large group of
-   copies costs a pair for each member. Then all pairs across the components
-   so far that share enough prefix shingles are verified.
+   with which it shares most among the sets that lead its shingles, those whose
+   own shingles are the most common (the text that copies were made from) and
+   then any others; what is connected by then needs no further pairs within, so
+   a large group of copies costs a pair for each member. Then all links across
+   the components so far are counted, from the smaller component's side alone.
 
 Components are those of all links: a pair inside a component needs no check to
 keep it one. Defined cases: null and empty texts have no shingles and are alone;
@@ -128,10 +129,10 @@ def _texts(blocks: DataFrame) -> DataFrame:
 
 
 def _adapted(blocks: DataFrame, percent: int) -> DataFrame:
-    """h, node, n, match, short: the shared shingles of every set's adaptive prefix.
+    """h, node, n, match, short, weight: the shared shingles of every set's adaptive prefix.
 
     ``match`` is what the set asks for, ``short`` tells the shingles that count
-    when it is the smaller set of a pair.
+    when it is the smaller set of a pair, ``weight`` how common its shingles are.
     """
     parts = parts_for(blocks, 0.2)
 
@@ -152,11 +153,12 @@ def _adapted(blocks: DataFrame, percent: int) -> DataFrame:
             cost = float((count[:shortest] - 1).sum())
             match = min(longest, 1 + int(np.log2(1 + cost / shortest) * GAIN))
             short = n - ceil_share(2 * n, percent, 100 + percent) + match
+            weight = float(np.log2(count).mean())
             for rank in np.flatnonzero(count[:shortest - 1 + match] > 1).tolist():
-                yield int(s[order[rank]].view(np.int64)), node, n, match, rank < short
+                yield int(s[order[rank]].view(np.int64)), node, n, match, rank < short, weight
 
     answers = counted(with_answers(blocks, None, ask, SENT), 0)
-    return persist_table(with_answers(blocks, answers, prefixes, "h long, node long, n int, match int, short boolean"), "prefixes")
+    return persist_table(with_answers(blocks, answers, prefixes, "h long, node long, n int, match int, short boolean, weight double"), "prefixes")
 
 
 def _components(blocks: DataFrame, percent: int) -> DataFrame:
@@ -164,8 +166,8 @@ def _components(blocks: DataFrame, percent: int) -> DataFrame:
     postings, texts = _adapted(blocks, percent), _texts(blocks)
     labels = persist_table(texts.select("node", F.col("node").alias("component")), "components")
     tried: DataFrame | None = None
-    for pick in (F.min, F.max):  # two first tries for each set
-        centres = persist_table(postings.groupBy("h").agg(pick(F.struct("node", "n")).alias("c")).select(
+    for lead in (F.max(F.struct("weight", "node", "n")), F.min(F.struct("node", "n"))):  # two first tries for each set
+        centres = persist_table(postings.groupBy("h").agg(lead.alias("c")).select(
             "h", F.col("c.node").alias("centre"), F.col("c.n").alias("n_centre")), "centres")
         near = postings.join(centres, "h").where(
             (F.col("node") != F.col("centre")) & (100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre")))
@@ -185,31 +187,45 @@ def _components(blocks: DataFrame, percent: int) -> DataFrame:
 def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """All links (a, b) between ``waiting`` nodes of different components.
 
-    Nodes gather at the shingle that most of them have, in chunks of about
-    ``CHUNK``; a chunk meets the nodes with which it shares shingles in classes
-    of about ``CLASS`` by hash, counts what they share and gives out links
-    alone, so neither a task nor the rows grow with the square of a group.
+    Of two nodes the one in the smaller component (by size, then name) looks for
+    the other. Nodes gather at the shingle that most of them have, those of a
+    large component apart, in chunks of about ``CHUNK``; a chunk meets the nodes
+    of larger components with which it shares shingles in classes of about
+    ``CLASS`` by hash, counts what they share and gives out links alone. So a
+    large component, which looks for nothing, costs no rows of its own.
     """
 
     def emit(batches):
         for batch in batches:
-            nodes, components, sizes, data = (c.to_pylist() for c in batch.columns)
+            nodes, components, members, sizes, data = (c.to_pylist() for c in batch.columns)
             for lo in range(0, len(nodes), 200):
                 got = shingle_sets([pa.decompress(d, n, "zstd", asbytes=True) for d, n in zip(data[lo:lo + 200], sizes[lo:lo + 200])])
                 n = [len(x) for x in got]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), n)) for x in (nodes[lo:lo + 200], components[lo:lo + 200], n)] + [
-                    pa.array(np.concatenate(got).view(np.int64))], ["node", "component", "n", "h"])
-
-    rows = waiting.join(texts, "node").select("node", "component", "bytes", "data").mapInArrow(emit, "node long, component long, n long, h long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), n)) for x in (
+                    nodes[lo:lo + 200], components[lo:lo + 200], members[lo:lo + 200], n)] + [
+                    pa.array(np.concatenate(got).view(np.int64))], ["node", "component", "members", "n", "h"])
+
+    several = persist_table(waiting.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "several")
+    sized = waiting.join(several, "component", "left").withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+    rows = sized.join(texts, "node").select("node", "component", "members", "bytes", "data").mapInArrow(
+        emit, "node long, component long, members long, n long, h long")
     every = persist_table(rows, "open-shingles")
-    shared = persist_table(every.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("_low"), F.max("component").alias("_high")).where(
-        "_low < _high").select("h", "sets"), "open-keys")
+    rank = F.struct("members", "component")
+    shared = persist_table(every.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min(rank).alias("_low"), F.max(rank).alias("high")).where(
+        "_low < high").select("h", "sets", "high"), "open-keys")
     rows = persist_table(every.join(shared, "h"), "open-postings")
-    home = persist_table(rows.groupBy("node").agg(F.max(F.struct("sets", "h")).alias("m")).select(
-        F.col("node").alias("x"), F.xxhash64("m.h", F.pmod(F.xxhash64("node"), F.ceil(F.col("m.sets") / CHUNK))).alias("chunk"),
-        F.ceil(F.col("m.sets") / CLASS).alias("classes")), "homes")
-    wanted = rows.join(home, rows["node"] == home["x"]).groupBy("chunk", "h").agg(F.max("classes").alias("classes"))
-    met = wanted.join(rows, "h").join(home.select("x", F.col("chunk").alias("own")), F.col("node") == F.col("x")).select(
+    # a node's home: the shingle that most have, and its component if that is large
+    first = persist_table(rows.groupBy("node").agg(F.max(F.struct("sets", "h")).alias("m"), F.first("members").alias("members"), F.first("component").alias("component")).select(
+        F.col("node").alias("x"), F.col("m.h").alias("home"), F.when(F.col("members") >= CHUNK, F.col("component")).otherwise(0).alias("apart"),
+        F.ceil(F.col("m.sets") / CLASS).alias("classes")), "first-homes")
+    gathered = persist_table(first.groupBy("home", "apart").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "gathered")
+    home = persist_table(first.join(gathered, ["home", "apart"]).select(
+        "x", F.xxhash64("home", "apart", F.pmod(F.xxhash64("x"), "chunks")).alias("chunk"), "classes"), "homes")
+    wanted = rows.join(home, rows["node"] == home["x"]).groupBy("chunk", "h").agg(
+        F.max("classes").alias("classes"), F.min(rank).alias("low"), F.first("high").alias("high")).where("low < high").select("chunk", "h", "classes", "low")
+    met = wanted.join(rows.select("h", "node", "component", "n", rank.alias("rank")), "h").join(
+        home.select("x", F.col("chunk").alias("own")), F.col("node") == F.col("x")).where(
+        (F.col("chunk") == F.col("own")) | (F.col("rank") > F.col("low"))).select(
         "chunk", (F.col("chunk") == F.col("own")).alias("member"), "classes", "h", "node", "component", "n")
     # the members of a chunk go to each of its classes, any other node to its own
     spread = met.withColumn("class", F.explode(F.when(F.col("member"), F.sequence(F.lit(1), "classes")).otherwise(
