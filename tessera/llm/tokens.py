@@ -7,22 +7,40 @@ wherever its pre-tokenizer always cuts, and the parts encoded one by one:
 * ``spaces``: before a space that stands before a character that is no white
   space, for byte-level ones whose pre-tokens take one leading space along.
 
-Parts recur often, so each is encoded by the library once and then looked up.
-Strings of special tokens in a text are ordinary text.
+Parts recur often, so each is encoded by the library once and then looked up;
+of those kept, the ones not met for a while go. Most parts are Latin letters and
+ASCII signs, whose pre-tokens are plain to see: their letters are handed to the
+library's model without the rest of its chain, which costs most of the time on
+short strings. Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
-
-import numpy as np
+import struct
+from functools import lru_cache
 
 _SPACE_PART = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 GROUP = 1 << 21  # characters encoded together
 
+# Letters that are one character in either case and in NFC; signs without the
+# apostrophe, which starts contractions. A line break between a sign or letter
+# and a letter is a pre-token of its own.
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_PLAIN = {"words": re.compile(f"{_LETTERS}+{_SIGNS}*|{_SIGNS}+"),
+          "spaces": re.compile(f"(?:{_LETTERS}+{_SIGNS}*|{_SIGNS}+)(?:\n{_LETTERS}+{_SIGNS}*)*")}
+_PIECES = re.compile(f"{_LETTERS}+|{_SIGNS}+|\n")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself
+    where it prints, else the next one from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers."""
@@ -35,8 +53,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.signs = lru_cache(4096)(self._ids)  # the few signs and line breaks after words
+        self.stands = byte_characters()
         self.cut, self.most = cut, cache_bytes
         self.cache: dict[str | bytes, bytes] = {}
+        self.before: dict[str | bytes, bytes] = {}  # what the cache held when it was last half full
         self.held = 0
 
     def _parts(self, text: str) -> list:
@@ -51,12 +73,46 @@ class Encoder:
             return part.decode()
         return part[1:] if part[:1] == "\0" else " " + part
 
+    def _pieces(self, text: str, spaced: bool) -> bytes:
+        """Ids of a part that matches ``_PLAIN``, from the model alone."""
+        ids: list[int] = []
+        for piece in (text,) if text.isascii() and text.isalpha() else _PIECES.findall(text):
+            if piece == "\n" or not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(self.stands)
+            if spaced:
+                piece, spaced = self.stands[0x20] + piece, False
+                ids += self._ids(piece)
+            else:
+                ids += self._ids(piece) if piece[0].isalpha() else self.signs(piece)
+        return self.pack(ids)
+
+    def _ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
+
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _keep(self, part, value: bytes) -> None:
+        self.cache[part] = value
+        self.held += len(part) + len(value) + 200
+
     def _learn(self, parts: list) -> None:
-        ids = self.tokenizer.encode_batch_fast([self._text(p) for p in parts], add_special_tokens=False)
-        for part, got in zip(parts, ids):
-            value = np.array(got.ids, "<u4").tobytes()
-            self.cache[part] = value
-            self.held += len(part) + len(value) + 200
+        plain, odd = _PLAIN[self.cut].fullmatch, []
+        for part in parts:
+            if (value := self.before.get(part)) is None:
+                text = self._text(part)
+                if self.cut == "words" and plain(text):
+                    value = self._pieces(text.lower(), False)
+                elif self.cut == "spaces" and plain(text, part[:1] != "\0"):
+                    value = self._pieces(text[part[:1] != "\0":], part[:1] != "\0")
+                else:
+                    odd.append((part, text))
+                    continue
+            self._keep(part, value)
+        ids = self.tokenizer.encode_batch_fast([text for _, text in odd], add_special_tokens=False)
+        for (part, _), got in zip(odd, ids):
+            self._keep(part, self.pack(got.ids))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -68,12 +124,14 @@ class Encoder:
                 size += len(group[-1])
                 i += 1
             split = [self._parts(t) for t in group]
-            if self.held > self.most:
-                self.cache.clear()
-                self.held = 0
-            self._learn(list(set(chain.from_iterable(split)).difference(self.cache)))
+            if 2 * self.held > self.most:
+                self.cache, self.before, self.held = {}, self.cache, 0
+            find = self.cache.get
+            found = [list(map(find, parts)) for parts in split]
+            self._learn(list({p for parts, ids in zip(split, found) if None in ids for p, v in zip(parts, ids) if v is None}))
             look = self.cache.__getitem__
-            out += [b"".join(map(look, parts)) for parts in split]
+            out += [b"".join([look(p) if v is None else v for p, v in zip(parts, ids)]) if None in ids else b"".join(ids)
+                    for parts, ids in zip(split, found)]
         return out
 
 
