@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import cleaning as cl
+from tessera.operators.joins import carry_forward
 from tessera.plans.registry import register, tables
 
 _PROFILE_COLS = ["c_custkey", "c_nationkey", "c_acctbal"]
@@ -73,6 +74,21 @@ def events_latest_per_user_type(spark, sf_dir):
     return cl.dedupe_latest(e, ["user_id", "event_type"], ["ts", "event_id"])
 
 
+@register("events_no_repeat_within_hour", sql="""
+WITH x AS (SELECT event_id, ts, user_id, event_type,
+                  lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events)
+SELECT event_id, ts, user_id, event_type FROM x WHERE prev IS NULL OR ts >= prev + INTERVAL 1 HOUR
+""")
+def events_no_repeat_within_hour(spark, sf_dir):
+    """P09 by time: an event goes when the same user had the same type less than
+    an hour before it; split by (user, type, day), so a heavy user is no hot task."""
+    e = tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type")
+    prev = carry_forward(e, ["user_id", "event_type"], "ts", ["ts"], tiebreak=["event_id"],
+                         inclusive=False, suffix="_prev")
+    return prev.where(F.col("ts_prev").isNull() | (F.col("ts") >= F.col("ts_prev") + F.expr("INTERVAL 1 HOUR"))
+                      ).drop("ts_prev")
+
+
 @register("document_duplicate_groups", sql=r"""
 SELECT sha256(trim(lower(regexp_replace(text, '[\s\v]+', ' ', 'g')))) AS text_hash,
        count(*) AS n_docs, min(doc_id) AS min_id, max(doc_id) AS max_id

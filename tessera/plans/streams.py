@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import scratch_path
 from tessera.sources.tables import SCHEMAS
 from tessera.streaming import operators as so
 from tessera.streaming import sinks, sources
@@ -15,17 +16,6 @@ def _ntz(c):
     return F.col(c).cast("timestamp_ntz").alias(c)
 
 
-def _replayed_events(spark, sf_dir, order, name):
-    """Events rewritten as 6 files of 5 days each, replayed in ``order``."""
-    t = tables(spark, sf_dir)
-    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    e = t.events.withColumn("chunk", F.least(F.floor(day / 5), F.lit(5)).cast("int"))
-    root = sources.write_replay(e, "chunk", order, name)
-    schema = T.StructType(SCHEMAS["events"].fields + [T.StructField("chunk", T.IntegerType())])
-    s = sources.file_stream(spark, root, schema, max_files_per_trigger=1)
-    return sources.with_event_time(s).drop("chunk")
-
-
 @register("events_stream_passthrough", sql="""
 SELECT event_id, ts, user_id, event_type, value, props FROM events
 """)
@@ -85,18 +75,18 @@ def stream_sessions_24h(spark, sf_dir):
     schema = T.StructType(SCHEMAS["events"].fields + [T.StructField("part", T.StringType())])
     s = sources.with_event_time(sources.file_stream(spark, root, schema)).drop("part")
     out = sinks.run_append(so.stream_sessions(s, "ts", "24 hours", ["user_id"], "1 hour"), "sessions")
-    return out.where(F.col("user_id") != -1).select(
-        "user_id", _ntz("session_start"), _ntz("session_last"), "n_events")
+    # the marker's own session lies past the watermark and is never emitted
+    return out.select("user_id", _ntz("session_start"), _ntz("session_last"), "n_events")
 
 
-@register("stream_dedupe_user_type_hour")
-def stream_dedupe_user_type_hour(spark, sf_dir):
-    """P70 stream_dedupe: drop an event when the same user had the same event
-    type within the hour before it. Which of two rows of one micro-batch counts
-    as first is arrival order, which SQL cannot express: no oracle."""
+@register("stream_dedupe_events", sql="SELECT event_id, ts, user_id, event_type FROM events")
+def stream_dedupe_events(spark, sf_dir):
+    """P70 stream_dedupe: a stream that delivers every event twice, as a source
+    with retries may, gives each event once."""
     tables(spark, sf_dir)
     s = sources.event_stream(spark, sf_dir)
-    out = sinks.run_append(so.stream_dedupe(s, "ts", ["user_id", "event_type"], "1 hour"), "dedupe")
+    twice = s.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    out = sinks.run_append(so.stream_dedupe(twice, "ts", ["event_id"], "1 hour"), "dedupe")
     return out.select("event_id", _ntz("ts"), "user_id", "event_type")
 
 
@@ -123,20 +113,29 @@ def stream_view_purchase_6h(spark, sf_dir):
     return sinks.run_append(j, "interval_join")
 
 
-# Chunk 1 (days 6-10) is delivered after all others: its rows are late.
-_LATE_ORDER = [0, 2, 3, 4, 5, 1]
-
-
 @register("stream_late_rows", sql="""
-SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events
-WHERE least(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 5), 5) <> 1
+WITH span AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events)
+SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events, span
+WHERE date_diff('day', lo, CAST(ts AS DATE)) * 6 // (date_diff('day', lo, hi) + 1) <> 1
 GROUP BY 1, 2
 """)
 def stream_late_rows(spark, sf_dir):
-    """P72 late_rows: daily counts with a 1-day watermark while days 6-10 arrive
-    last; those windows were closed, so their rows are left out."""
-    s = _replayed_events(spark, sf_dir, _LATE_ORDER, "late-input")
-    log = sinks.run_changelog(so.late_rows(s, "ts", "1 day", ["event_type"], "1 day"), "late")
+    """P72 late_rows: daily counts with a 1-day watermark while the second sixth
+    of the table's days arrives last; those windows were closed, so their rows
+    are left out. The rows come in three deliveries (the first five sixths
+    without the second, the last, the second), each a folder of part files and
+    a run of the stream that goes on from the checkpoint of the one before."""
+    events = tables(spark, sf_dir).events
+    day = F.to_date("ts")
+    lo, hi = events.select(F.min(day)).scalar(), events.select(F.max(day)).scalar()
+    sixth = F.floor(F.datediff(day, lo) * 6 / (F.datediff(hi, lo) + 1))
+    delivery = F.when(sixth == 1, 2).when(sixth == 5, 1).otherwise(0)
+    folder, root = scratch_path(spark, "late-input"), scratch_path(spark, "late")
+    schema = T.StructType(SCHEMAS["events"].fields + [T.StructField("delivery", T.IntegerType())])
+    for k in range(3):
+        events.where(delivery == k).write.parquet(f"{folder}/delivery={k}")
+        s = sources.with_event_time(sources.file_stream(spark, folder, schema)).drop("delivery")
+        log = sinks.run_changelog(so.late_rows(s, "ts", "1 day", ["event_type"], "1 day"), "late", root=root)
     out = sinks.latest_by_key(log, ["window_start", "event_type"])
     return out.select(_ntz("window_start"), "event_type", "n")
 
@@ -145,8 +144,9 @@ def stream_late_rows(spark, sf_dir):
 SELECT user_id, count(*) AS n_events, round(sum(value), 2) AS total_value FROM events GROUP BY 1
 """)
 def stream_running_totals(spark, sf_dir):
-    """P73 running_totals: per-user state carried over six micro-batches."""
-    s = _replayed_events(spark, sf_dir, list(range(6)), "totals-input")
+    """P73 running_totals: per-user count and total of the event stream."""
+    tables(spark, sf_dir)
+    s = sources.event_stream(spark, sf_dir)
     log = sinks.run_changelog(so.running_totals(s), "totals")
     out = sinks.latest_by_key(log, ["user_id"])
     return out.select("user_id", "n_events", F.round("total_value", 2).alias("total_value"))
@@ -159,7 +159,7 @@ WHERE rn = 1
 """)
 def stream_latest_per_user(spark, sf_dir):
     """P74 upsert_sink: latest event per user kept up to date across batches."""
-    s = _replayed_events(spark, sf_dir, list(range(6)), "upsert-input")
-    s = s.select("user_id", "event_id", "ts", "event_type", "value")
+    tables(spark, sf_dir)
+    s = sources.event_stream(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value")
     out = sinks.upsert_sink(s, ["user_id"], ["ts", "event_id"], "upsert", buckets=16)
     return out.select("user_id", "event_id", _ntz("ts"), "event_type", "value")

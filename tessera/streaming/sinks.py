@@ -38,11 +38,13 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_changelog(stream: DataFrame, name: str, output_mode: str = "update") -> DataFrame:
+def run_changelog(stream: DataFrame, name: str, output_mode: str = "update",
+                  root: str | None = None) -> DataFrame:
     """Run a stream (update / append mode) over everything available, keeping
-    every emitted row with its ``_batch`` id."""
+    every emitted row with its ``_batch`` id. With the ``root`` of an earlier
+    run it goes on from that run's checkpoint and adds to its changelog."""
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = root or scratch_path(spark, name)
     out, ckpt = os.path.join(root, "changelog"), os.path.join(root, "checkpoint")
 
     def write(batch: DataFrame, batch_id: int):

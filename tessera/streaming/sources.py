@@ -37,22 +37,6 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
     return with_event_time(s)
 
 
-def write_replay(df: DataFrame, chunk: str, order: list[int], name: str) -> str:
-    """Write ``df`` as one file per value of ``chunk``, in the given order, into
-    ``chunk=<k>`` folders under a fresh scratch path. A file stream with
-    ``maxFilesPerTrigger=1`` then replays the chunks in that order, one
-    micro-batch each (the file source takes the oldest files first), which is
-    how late and out-of-order arrival is reproduced from a table."""
-    import os
-
-    from tessera.session import scratch_path
-    root = scratch_path(df.sparkSession, name)
-    for k in order:
-        (df.where(F.col(chunk) == k).drop(chunk).coalesce(1)
-         .write.mode("overwrite").parquet(os.path.join(root, f"{chunk}={k}")))
-    return root
-
-
 def write_with_end_marker(df: DataFrame, ts: str, after: str, marker: dict, name: str) -> str:
     """Write a bounded table for replay, followed by one end-of-input marker row
     whose event time lies ``after`` past the table's last event. The marker

@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 from tessera.plans import QUERIES
 
 # jobs whose plans legitimately contain Python (pandas UDF / grouped map / state)
-PYTHON_JOBS = {"user_day_event_gaps", "stream_running_totals", "ab_conversion_p_exact"}
+PYTHON_JOBS = {"user_day_event_gaps", "ab_conversion_p_exact"}
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
             "FlatMapGroupsInPandasWithState", "PythonUDF")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF_SMALL, rows
+from tessera.session import scratch_path
 from tessera.sources.tables import SCHEMAS
 from tessera.streaming import operators as so
 from tessera.streaming import sinks, sources
@@ -19,7 +20,9 @@ def replay(spark, data, order, name):
     """data: (chunk, event_id, ts, user_id, event_type, value)."""
     schema = T.StructType([T.StructField("chunk", T.IntegerType())] + SCHEMAS["events"].fields)
     df = spark.createDataFrame([(c, i, t, u, e, v, "{}") for c, i, t, u, e, v in data], schema)
-    root = sources.write_replay(df, "chunk", order, name)
+    root = scratch_path(spark, name)
+    for k in order:  # one file for each chunk; the stream takes the oldest first, one a micro-batch
+        df.where(F.col("chunk") == k).drop("chunk").coalesce(1).write.parquet(f"{root}/chunk={k}")
     s = sources.file_stream(spark, root, T.StructType(SCHEMAS["events"].fields + [T.StructField("chunk", T.IntegerType())]),
                             max_files_per_trigger=1)
     return sources.with_event_time(s).drop("chunk")
@@ -86,3 +89,19 @@ def test_event_stream_reads_a_folder_of_files(spark, tmp_path):
     n = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
     for folder in (str(tmp_path), SF_SMALL):
         assert sinks.run_append(sources.event_stream(spark, folder), "folder").count() == n
+
+
+def test_jobs_keep_rows_of_any_year_and_of_no_user(spark, tmp_path):
+    from tessera.plans import QUERIES
+    base = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    more = spark.createDataFrame([(900001, dt.datetime(2023, 5, 1), 1, "view", 1.0, "{}"), (900002, dt.datetime(2025, 5, 1), -1, "view", 1.0, "{}"),
+                                  (900003, dt.datetime(2025, 6, 1), None, "view", None, "{}")], SCHEMAS["events"])
+    base.unionByName(more).repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    n = base.count() + 3
+    totals = QUERIES["stream_running_totals"](spark, str(tmp_path)).collect()
+    assert sum(r["n_events"] for r in totals) == n
+    assert [(r["n_events"], r["total_value"]) for r in totals if r["user_id"] is None] == [(1, None)]
+    sessions = QUERIES["stream_sessions_24h"](spark, str(tmp_path)).collect()
+    assert sum(r["n_events"] for r in sessions) == n and {-1, None} <= {r["user_id"] for r in sessions}
+    assert QUERIES["stream_dedupe_events"](spark, str(tmp_path)).count() == n
+    assert {-1, None} <= {r["user_id"] for r in QUERIES["stream_latest_per_user"](spark, str(tmp_path)).collect()}
