@@ -7,10 +7,11 @@ values are kept as slots. Windows of ``WINDOW`` template words with at least
 with the benchmark's windows. A pair of document and item counts if its slots
 are consistent, that is every benchmark value stands for one value in the
 document throughout, as in a question with other numbers or names; windows
-without slots are matches as they are.
+whose words and slot values are the same on both sides (those without slots among
+them) are matches as they are.
 
 Defined cases: null and empty texts and those shorter than a window match
-nothing; a window that several items share counts for the smallest item id;
+nothing; a window that several items share counts for each of them;
 rows with a null id are left out of the result (they cannot be named); equal
 documents are each reported under their ids, rows of one id as one document.
 """
@@ -117,27 +118,28 @@ def _windows(df: DataFrame, key: str, wanted: np.ndarray | None, size: int = WIN
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1, prefilter: int = PREFILTER) -> DataFrame:
     """Pairs doc_id, item_id of documents that hold benchmark text, with n_windows and n_slots.
 
-    ``least`` windows must match. The benchmark's window hashes are sent to
+    ``least`` windows must match; of n_windows, n_literal have no slots and n_exact the same values in them. The benchmark's window hashes are sent to
     every task if there are at most ``prefilter`` of them, so that only windows
     that will join are shuffled; beyond that all windows are, with one result.
     """
-    theirs = persist_table(_windows(benchmark, "item_id", None).groupBy("h").agg(
-        F.min_by(F.struct("item_id", "slots"), F.struct("item_id", "at")).alias("item")).select("h", "item.item_id", F.col("item.slots").alias("their_slots")), "benchmark-windows")
+    theirs = persist_table(_windows(benchmark, "item_id", None).select("h", "item_id", F.col("slots").alias("their_slots")).distinct(), "benchmark-windows")
+    hashes = theirs.select("h").distinct()
     wanted = None
-    if theirs.count() <= prefilter:
-        wanted = np.sort(np.array([r["h"] for r in theirs.select("h").collect()], np.int64).view(np.uint64))
+    if hashes.count() <= prefilter:
+        wanted = np.sort(np.array([r["h"] for r in hashes.collect()], np.int64).view(np.uint64))
     ours = _windows(docs, "doc_id", wanted)
     pairs = persist_table(ours.join(theirs, "h"), "matched-windows")
     found = pairs.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("h").alias("n_windows"), F.count_distinct(F.when(F.size("slots") == 0, F.col("h"))).alias("n_literal"))
+        F.count_distinct("h").alias("n_windows"), F.count_distinct(F.when(F.size("slots") == 0, F.col("h"))).alias("n_literal"),
+        F.count_distinct(F.when(F.col("slots") == F.col("their_slots"), F.col("h"))).alias("n_exact"))
     slots = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "their_slots")).alias("slot")).groupBy(
         "doc_id", "item_id", F.col("slot.their_slots").alias("value")).agg(
         (F.min("slot.slots") != F.max("slot.slots")).alias("torn")).groupBy("doc_id", "item_id").agg(
         F.count(F.lit(1)).alias("n_slots"), F.max("torn").alias("torn"))
     judged = found.join(slots, ["doc_id", "item_id"], "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
     consistent = ~F.coalesce(F.col("torn"), F.lit(False))
-    return judged.where(F.when(consistent, F.col("n_windows")).otherwise(F.col("n_literal")) >= least).select(
-        "doc_id", "item_id", "n_windows", "n_literal", "n_slots", consistent.alias("consistent"))
+    return judged.where(F.when(consistent, F.col("n_windows")).otherwise(F.col("n_exact")) >= least).select(
+        "doc_id", "item_id", "n_windows", "n_literal", "n_slots", consistent.alias("consistent"), "n_exact")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

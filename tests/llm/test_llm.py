@@ -301,6 +301,17 @@ def test_leaks(spark):
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_of_items_that_share_a_template(spark):
+    items = ["Anna pays 5 dollars for 5 red pens and 5 blue cups", "Anna pays 6 dollars for 3 red pens and 9 blue cups",
+             "he then pays 5 dollars for 5 red pens and he then pays 6 dollars for 3 red pens and he then pays 5 dollars for 7 red pens and"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, items[0]), (2, items[1]), (3, items[2]), (4, "Anna pays 6 dollars for 4 red pens and 9 blue cups")], "doc_id long, text string")
+    for prefilter in (10**6, 0):
+        got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, prefilter=prefilter).collect()}
+        assert got >= {(1, 1), (2, 2), (3, 3), (4, 2)} and (4, 1) not in got and (2, 1) not in got
+    assert decontamination.drop_contaminated(docs, bench).count() == 0
+
+
 def test_leak_job_finds_whole_items(spark):
     sf = SF.replace("0.001", "0.01")
     items = [brute.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
