@@ -4,9 +4,10 @@ Words lose the punctuation around them and A-Z their case; numbers, units and
 names (capitalised words inside a sentence) become typed placeholders whose
 values are kept as slots. Windows of ``WINDOW`` template words with at least
 ``LITERAL`` literal ones are hashed, doubling from single words, and joined
-with the benchmark's windows. A pair of document and item counts if its slots
-are consistent, that is every benchmark value stands for one value in the
-document throughout, as in a question with other numbers or names; windows
+with the benchmark's windows. Matched windows that lie equally far apart in
+document and item are one occurrence. A pair of document and item counts if the
+slots of any occurrence are consistent, that is every benchmark value stands for
+one value throughout it, as in a question with other numbers or names; windows
 whose words and slot values are the same on both sides (those without slots among
 them) are matches as they are.
 
@@ -88,13 +89,13 @@ def template_windows(words: list[bytes], known: _Words, size: int = WINDOW, lite
 
 
 def _windows(df: DataFrame, key: str, wanted: np.ndarray | None, size: int = WINDOW) -> DataFrame:
-    """Rows h, key, at, slots (kind=value) of every window, or of those in the sorted array ``wanted``."""
+    """Rows h, key, copy, at, slots (kind=value) of every window, or of those in the sorted array ``wanted``; ``copy`` tells texts of one key apart."""
 
     def emit(batches):
         known = _Words()
         for batch in few_at_a_time(batches):
             rows: list[tuple] = []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, copy, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or "").encode("utf-8", "replace").split()
                 if k is None or len(words) < size:
                     continue
@@ -106,13 +107,13 @@ def _windows(df: DataFrame, key: str, wanted: np.ndarray | None, size: int = WIN
                     continue
                 for i in np.flatnonzero(counts).tolist():
                     slots = [f"{kind[j]}={known.values[codes[j]].decode()}" for j in range(i, i + size) if kind[j]]
-                    rows.append((int(hashes[i].view(np.int64)), k, i, slots))
+                    rows.append((int(hashes[i].view(np.int64)), k, copy, i, slots))
             if rows:
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                                                  pa.array(columns[3], pa.list_(pa.string()))], ["h", key, "at", "slots"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.string()))],
+                                                 ["h", key, "copy", "at", "slots"])
 
-    return df.select(F.col(key).cast("long"), "text").mapInArrow(emit, f"h long, {key} long, at long, slots array<string>")
+    return df.select(F.col(key).cast("long"), F.xxhash64("text"), "text").mapInArrow(emit, f"h long, {key} long, copy long, at long, slots array<string>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1, prefilter: int = PREFILTER) -> DataFrame:
@@ -122,24 +123,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 1, prefilte
     every task if there are at most ``prefilter`` of them, so that only windows
     that will join are shuffled; beyond that all windows are, with one result.
     """
-    theirs = persist_table(_windows(benchmark, "item_id", None).select("h", "item_id", F.col("slots").alias("their_slots")).distinct(), "benchmark-windows")
+    theirs = persist_table(_windows(benchmark, "item_id", None).select(
+        "h", "item_id", F.col("copy").alias("their_copy"), F.col("at").alias("their_at"), F.col("slots").alias("their_slots")).distinct(), "benchmark-windows")
     hashes = theirs.select("h").distinct()
     wanted = None
     if hashes.count() <= prefilter:
         wanted = np.sort(np.array([r["h"] for r in hashes.collect()], np.int64).view(np.uint64))
     ours = _windows(docs, "doc_id", wanted)
-    pairs = persist_table(ours.join(theirs, "h"), "matched-windows")
-    found = pairs.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("h").alias("n_windows"), F.count_distinct(F.when(F.size("slots") == 0, F.col("h"))).alias("n_literal"),
-        F.count_distinct(F.when(F.col("slots") == F.col("their_slots"), F.col("h"))).alias("n_exact"))
-    slots = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "their_slots")).alias("slot")).groupBy(
-        "doc_id", "item_id", F.col("slot.their_slots").alias("value")).agg(
-        (F.min("slot.slots") != F.max("slot.slots")).alias("torn")).groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_slots"), F.max("torn").alias("torn"))
-    judged = found.join(slots, ["doc_id", "item_id"], "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
-    consistent = ~F.coalesce(F.col("torn"), F.lit(False))
-    return judged.where(F.when(consistent, F.col("n_windows")).otherwise(F.col("n_exact")) >= least).select(
-        "doc_id", "item_id", "n_windows", "n_literal", "n_slots", consistent.alias("consistent"), "n_exact")
+    place = ["doc_id", "copy", "item_id", "their_copy", (F.col("at") - F.col("their_at")).alias("shift")]
+    window = F.struct("h", "their_slots", (F.col("slots") == F.col("their_slots")).alias("exact"))
+    # One row per window of the item at most, so no longer than the item (rows of equal id and text are the same windows again).
+    occurrences = ours.join(theirs, "h").groupBy(*place).agg(F.collect_set(window).alias("windows"), F.array_distinct(
+        F.flatten(F.collect_set(F.arrays_zip("slots", "their_slots")))).alias("met"))
+    torn = F.size("met") > F.size(F.array_distinct("met.their_slots"))
+    judged = occurrences.select("doc_id", "item_id", (~torn).alias("whole"), F.explode("windows").alias("w")).groupBy("doc_id", "item_id").agg(
+        *(F.size(F.collect_set(F.when(which, F.col("w.h")))).cast("long").alias(name) for name, which in (
+            ("n_windows", F.lit(True)), ("n_literal", F.size("w.their_slots") == 0), ("n_exact", F.col("w.exact")), ("counted", F.col("whole") | F.col("w.exact")))),
+        F.size(F.array_distinct(F.flatten(F.collect_set("w.their_slots")))).cast("long").alias("n_slots"), F.max("whole").alias("consistent"))
+    return judged.where(F.col("counted") >= least).select("doc_id", "item_id", "n_windows", "n_literal", "n_slots", "consistent", "n_exact")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

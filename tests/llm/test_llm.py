@@ -312,6 +312,22 @@ def test_leaks_of_items_that_share_a_template(spark):
     assert decontamination.drop_contaminated(docs, bench).count() == 0
 
 
+def test_leaks_by_occurrence(spark):
+    item = "Anna pays 5 dollars for 3 red pens and 2 blue cups"
+    again = "he then pays 5 dollars for 3 red pens and he then pays 6 dollars for 4 red pens and he then"
+    bench = spark.createDataFrame([(1, item), (2, again)], "item_id long, text string")
+    variants = ["Anna pays 6 dollars for 4 red pens and 9 blue cups.", "Anna pays 7 dollars for 8 red pens and 1 blue cups."]
+    docs = spark.createDataFrame([
+        (1, " ".join(variants)), (2, item + ". " + variants[0]), (3, variants[0]), (3, variants[1]),
+        (4, again.replace("5", "1").replace("3", "9")), (5, "he then pays 5 dollars for 3 red pens and he then pays 5 dollars for 5 red pens"),
+        (6, " ".join(f"Anna pays {k} dollars for {k + 1} red pens and {k + 2} blue cups." for k in range(2000)))], "doc_id long, text string")
+    for prefilter in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench, prefilter=prefilter).collect()}
+        assert {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)} <= set(got) and all(got[k].consistent for k in [(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)])
+        assert got[1, 1].n_slots == 4 and got[1, 1].n_exact == 0 and got[2, 1].n_exact == got[2, 1].n_windows
+    assert decontamination.drop_contaminated(docs, bench).where("doc_id in (1, 2, 3, 4, 6)").count() == 0
+
+
 def test_leak_job_finds_whole_items(spark):
     sf = SF.replace("0.001", "0.01")
     items = [brute.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
