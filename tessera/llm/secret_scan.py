@@ -36,17 +36,18 @@ from tessera.llm.common import few_at_a_time
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` ends in a run of ``tail`` characters, in group ``tail`` of the expression."""
+    """``head``, then a run of ``tail`` characters (a group of that name), then ``rest``, which only the exact check reads and which may be empty."""
 
     kind: str
     head: str
     tail: str
     least: int
     seen: int
+    rest: str = ""
 
     @property
     def exact(self) -> re.Pattern:
-        return re.compile(f"{self.head}(?P<tail>{self.tail}+)")
+        return re.compile(f"{self.head}(?P<tail>{self.tail}+){self.rest}")
 
     @property
     def scanned(self) -> str:
@@ -59,8 +60,16 @@ BASE = (
     Rule("access", "AKIA", "[A-Z0-9]", 14, 4),
     Rule("hex", "", "[0-9a-f]", 16, 16),
 )
+# What follows a key's header: fields, then base64 up to the END line, or if there is none to the last base64 line. Line ends may
+# be written as \n, lines quoted or indented. Nothing is tried twice (possessive), so the time is linear in the text.
+_BETWEEN = r"""(?:\\+[nrt]?|[\s>#*|"',])"""
+_FIELD = r"(?:Proc-Type:\x20?\d,[A-Z]+|DEK-Info:\x20?[A-Z0-9-]+,[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9-]{2,30}:\x20[^\n\\]{0,200}+(?=\n|\\))"
+_BODY = (rf"(?:(?:{_BETWEEN}*+{_FIELD})*+"
+         r"""(?:[A-Za-z0-9+/=\s\\>#*|"',]*+-----END (?:[A-Z0-9]+ ){0,2}?PRIVATE KEY(?: BLOCK)?-*+"""
+         rf"|(?:{_BETWEEN}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++"
+         r"""(?:["'\x20\t\r]*+(?:\n|\\+n)[\x20\t>#*|"']*+=?[A-Za-z0-9+/]+={0,2}(?=[\x20\t\r]*+(?:[\n"'\\]|\Z))){0,2}))?""")
 ADDED = (
-    Rule("pem", "-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY", "-", 5, 5),
+    Rule("pem", "-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?", "-", 5, 5, _BODY),
     Rule("github", "gh[opsur]_", "[A-Za-z0-9]", 20, 4),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", 20, 4),
 )
