@@ -82,4 +82,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": secrets,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_url_filter": r"""
+        with parts as (
+            select page_id,
+                   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+            from pages),
+        ruled as (
+            select *, case
+                when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+                when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+                when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+                when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+                when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/'
+                end as rule
+            from parts)
+        select page_id, host, path, rule, case
+            when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block'
+            when rule in ('com/fr/', 'org/') then 'allow'
+            when regexp_matches(host, '(^|\.)(ads|casino|cheap|free|spam)-') then 'block'
+            else 'allow' end as verdict
+        from ruled""",
+}

@@ -113,6 +113,16 @@ def test_urls(spark):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in QUERIES["op3_url_filter"](spark, SF).collect()} == want
 
 
+def test_urls_against_sql(spark):
+    from tessera.llm.queries import ORACLE
+    from tools.oracle_check import compare, duck
+
+    name = "op3_url_filter"
+    for sf in (SF, SF.replace("0.001", "0.01")):
+        r = compare(spark, duck(sf), name, QUERIES[name], ORACLE[name], sf)
+        assert r["status"] == "ok", r
+
+
 def test_urls_odd(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://Ä.Example.ORG", "http://org/x", "a://b://c/d?e#f", "http://example.org/en/12?q=://z",
             "http://x.example.org/es/a", "http://X.com/de/1", "http://com/fr/", "http://notorg/", "http://q.net?a/b", "http://q.net\nz/p"]
