@@ -119,3 +119,49 @@ def secret_rows(text):
     found = [(m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(text or "") if ok(m)]
     said = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in sorted(found))
     return tuple(sum(k == j for _, k, _ in found) for j in range(3)) + (hashlib.sha256(said.encode()).hexdigest(),)
+
+
+def template(text, number, units):
+    """(kind, value) of each word; kind 0 is a literal, 1 a number, 2 a unit, 3 a name inside a sentence."""
+    out, begins = [], True
+    for w in words(text):
+        t = w.decode()
+        bare = t.strip(".,;:!?\"'()[]{}«»„“”‘’…")
+        name = bare[:1].isupper() and not (len(bare) > 1 and bare.isupper()) and not begins
+        out.append((1 if number.match(bare) else 2 if bare.lower() in units else 3 if name else 0, bare.lower()))
+        begins = t.rstrip("\"')]»”’").endswith((".", "!", "?"))
+    return out
+
+
+def leaks(docs, items, number, units, size=8, literal=4):
+    """Pairs (doc_id, item_id) with an exact window or an occurrence whose slots are consistent; ids are distinct."""
+    def windows(text):
+        t = template(text, number, units)
+        for k in range(len(t) - size + 1):
+            part = t[k:k + size]
+            if sum(not kind for kind, _ in part) >= literal:
+                yield tuple(kind or v for kind, v in part), k, [x for x in part if x[0]]
+
+    at, out = {}, set()
+    for item, text in items:
+        for shape, k, slots in windows(text):
+            at.setdefault(shape, []).append((item, k, slots))
+    for doc, text in docs:
+        met = {}
+        for shape, k, slots in windows(text):
+            for item, j, theirs in at.get(shape, ()):
+                if slots == theirs:
+                    out.add((doc, item))
+                for x, y in zip([(None, None)] + slots, [(None, None)] + theirs):
+                    met.setdefault((item, k - j), {}).setdefault(y, set()).add(x)
+        out |= {(doc, item) for (item, _), values in met.items() if all(len(v) == 1 for v in values.values())}
+    return out
+
+
+def redacted(text, rules, mark="[SECRET]"):
+    hidden = sorted(m.span() for r in rules for m in r.exact.finditer(text) if len(m["tail"]) >= r.least)
+    out, at = "", 0
+    for a, b in hidden:
+        out += (text[at:a] + mark) if a >= at else ""
+        at = max(at, b)
+    return out + text[at:]

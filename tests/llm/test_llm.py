@@ -414,3 +414,28 @@ def test_pipeline(spark):
     assert all(brute.secret_rows(t)[:3] == (0, 0, 0) for t in kept.values())
     t = tokenizer("byte_bpe_50k.json")
     assert _check_pieces(pipeline.run(spark, SF).collect(), {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in kept.items()}) > 0.9
+
+
+def _leaks(spark, sf, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    return brute.leaks(docs, items, decontamination._NUMBER, decontamination.UNITS)
+
+
+def test_leak_job_reports_no_others(spark, docs):
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op9_decontamination"](spark, SF).collect()}
+    assert got and got == _leaks(spark, SF, docs)
+
+
+def test_pipeline_keeps_all_clean_documents(spark, docs):
+    import corpus_pipeline as pipeline
+
+    table, texts = spark.read.parquet(f"{SF}/documents.parquet"), dict(docs)
+    good = {r.doc_id for r in quality_classifier.keep_good(table, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    groups = brute.jaccard_groups([(i, texts[i]) for i in good])
+    alone = [(i, texts[i]) for i in good if groups[i][1] == i]
+    leaked = {d for d, _ in _leaks(spark, SF, alone)}
+    want = {i: brute.redacted(t, secret_scan.RULES) for i, t in alone if i not in leaked}
+    left = table
+    for _, stage in pipeline.STAGES[:-1]:
+        left = stage(spark, left, SF)
+    assert len(want) > len(docs) / 2 and {r.doc_id: r.text for r in left.collect()} == want
