@@ -4,8 +4,8 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Two
 sets of sizes n and m with a Jaccard similarity of ``percent`` or more share, in
 any one order of all shingles, at least ``k`` among the first
 ``n - ceil(percent * n) + k`` and the first ``m - ceil(percent * m) + k``, for
-every k up to their overlap. So a longer prefix may ask for more shared
-shingles, which leaves fewer candidates:
+every k up to their overlap. A longer prefix could so ask for more shared
+shingles; only step 1 does, by a fixed ``EXTRA``:
 
 1. In the order of the hashes, every set sends its prefix, lengthened by
    ``EXTRA`` of its size; one bit tells for each shingle whether others have it.
@@ -13,9 +13,9 @@ shingles, which leaves fewer candidates:
    they link with nothing.
 2. The others, equal sets once, count all their shingles among themselves and
    order them from rare to frequent. Each lengthens its prefix by its estimated
-   candidate cost (how many others its prefix meets) and asks for as many more
-   shared shingles; of a pair the smaller demand holds. The smaller set of a
-   pair needs the shorter prefix that its own size asks for.
+   candidate cost (how many others its prefix meets). The demand for as many
+   more shared shingles is worked out (``match``, ``short``) but not applied:
+   candidates are not tested against it, they are verified in step 3.
 3. Pairs are verified on whole texts. First each set is held against the one
    with which it shares most among the sets that lead its shingles, those whose
    own shingles are the most common (the text that copies were made from) and
