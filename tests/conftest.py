@@ -5,9 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -15,10 +12,3 @@ def spark():
     s = get_session("local[4]", shuffle_partitions=4)
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Rows as sorted tuples of the given columns (all when none given)."""
-    cols = cols or tuple(df.columns)
-    out = [tuple(r[c] for c in cols) for r in df.collect()]
-    return sorted(out, key=lambda t: tuple((x is not None, x) for x in t))

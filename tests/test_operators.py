@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from tessera.operators import aggregates as agg
 from tessera.operators import cleaning as cl
 from tessera.operators import customers as cu

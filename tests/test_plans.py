@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from tessera.plans import QUERIES
 
 # jobs whose plans legitimately contain Python (pandas UDF / grouped map / state)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from tessera.operators import joins, ordering
 
 SETTINGS = settings(max_examples=6, deadline=None)

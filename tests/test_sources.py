@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import types as T
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 from tessera.session import scratch_path
 from tessera.sources import files
 from tessera.sources.tables import SCHEMAS, TABLES, load_table

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 from tessera.session import scratch_path
 from tessera.sources.tables import SCHEMAS
 from tessera.streaming import operators as so
