@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, key: str =
     schema = f"{key} long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def cut(batches):
-        encode = encoder(tokenizer, "spaces")
+        encode = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in few_at_a_time(batches):
             rows = []

@@ -115,7 +115,7 @@ class SequenceFile:
             start, n = start + len(part), n - len(part)
 
 
-def write_files(docs: DataFrame, tokenizer: str, cut: str, end_id: int, folder: str, key: str = "doc_id",
+def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key: str = "doc_id",
                 length: int = 2048, dtype: str = "uint16") -> DataFrame:
     """Write the documents in ascending key order; returns the manifest.
 
@@ -130,7 +130,7 @@ def write_files(docs: DataFrame, tokenizer: str, cut: str, end_id: int, folder:
 
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
-        encode = encoder(tokenizer, cut)
+        encode = encoder(tokenizer)
         end = np.array([end_id], dtype)
         sequences = index = sink = None
         documents = tokens = 0
@@ -195,4 +195,4 @@ def read_documents(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write all documents to token files in the shared folder and read them back."""
     folder = scratch_path(docs.sparkSession, "token-files")
-    return read_documents(write_files(docs, tokenizer, "words", end_id, folder))
+    return read_documents(write_files(docs, tokenizer, end_id, folder))

@@ -7,31 +7,52 @@ wherever its pre-tokenizer always cuts, and the parts encoded one by one:
 * ``spaces``: before a space that stands before a character that is no white
   space, for byte-level ones whose pre-tokens take one leading space along.
 
-Parts recur often, so each is encoded by the library once and then looked up;
-of those kept, the ones not met for a while go. Most parts are Latin letters and
-ASCII signs, whose pre-tokens are plain to see: their letters are handed to the
+Parts recur often, so each is encoded by the library once and then looked up for
+a whole batch in numpy (``piece_cache``). Most parts are Latin letters and ASCII
+signs, whose pre-tokens are plain to see: their letters are handed to the
 library's model without the rest of its chain, which costs most of the time on
-short strings. Strings of special tokens in a text are ordinary text.
+short strings. Both short cuts are taken only where the file's own normalizer and
+pre-tokenizer are the two known here; texts of any other tokenizer go to the
+library whole. Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 from functools import lru_cache
 
-_SPACE_PART = re.compile(r" (?=\S)")
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
-GROUP = 1 << 21  # characters encoded together
+import numpy as np
 
-# Letters that are one character in either case and in NFC; signs without the
-# apostrophe, which starts contractions. A line break between a sign or letter
-# and a letter is a pre-token of its own.
-_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
-_PLAIN = {"words": re.compile(f"{_LETTERS}+{_SIGNS}*|{_SIGNS}+"),
-          "spaces": re.compile(f"(?:{_LETTERS}+{_SIGNS}*|{_SIGNS}+)(?:\n{_LETTERS}+{_SIGNS}*)*")}
-_PIECES = re.compile(f"{_LETTERS}+|{_SIGNS}+|\n")
+from tessera.llm.piece_cache import PieceCache, piece_names
+from tessera.llm.textwindows import word_bounds
+
+GROUP = 1 << 22  # bytes encoded together
+
+# Bytes after which a space may not be cut: white space, its look-alikes, and the
+# first bytes of longer white space characters. Not to cut is always right.
+_CUT = np.ones(256, bool)
+_CUT[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+# Kinds of bytes. Letters are A-Z, a-z and the two-byte ones from À to ÿ, one
+# character in either case and in NFC; signs are ASCII without the apostrophe, which
+# starts contractions. A part with any odd byte stays whole.
+_LETTER, _SIGN, _BREAK, _SPACE, _ODD = 1, 2, 3, 4, 5
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[[c for c in range(0x21, 0x7F) if c != 0x27 and not 0x30 <= c <= 0x39]] = _SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x0A], _KIND[0x20] = _BREAK, _SPACE
+_LATIN = np.zeros(256, bool)
+_LATIN[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True  # second bytes; without the signs of multiplication and division
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """A mask of the bytes of these spans."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
 
 
 def byte_characters() -> dict[int, str]:
@@ -42,104 +63,158 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Settings of tokenizer files whose parts may be encoded one by one.
+_KNOWN = {
+    "words": {
+        "normalizer": {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+             "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}},
+    "spaces": {
+        "normalizer": None,
+        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+}
+
+
+def known_cut(path: str) -> str | None:
+    """How texts of this tokenizer file may be cut; None where the file's settings are not known."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    added = [t for t in settings.get("added_tokens") or [] if not t["special"]]
+    for cut, want in _KNOWN.items():
+        if not added and settings["model"].get("type") == "BPE" and all(settings.get(k) == v for k, v in want.items()):
+            return cut
+    return None
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cut: str, cache_bytes: int = 64 << 20):
-        if cut not in ("words", "spaces"):
-            raise ValueError(cut)
+    def __init__(self, path: str, cut: str | None = None, cache_bytes: int = 48 << 20):
+        self.cut = known_cut(path)
+        if cut not in (None, self.cut):
+            raise ValueError(f"texts of {path} cannot be cut at {cut}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.signs = lru_cache(4096)(self._ids)  # the few signs and line breaks after words
         self.stands = byte_characters()
-        self.cut, self.most = cut, cache_bytes
-        self.cache: dict[str | bytes, bytes] = {}
-        self.before: dict[str | bytes, bytes] = {}  # what the cache held when it was last half full
-        self.held = 0
+        self.space = self.stands[0x20]
+        self.cache = PieceCache(self.tokenizer.get_vocab_size(), cache_bytes)
 
-    def _parts(self, text: str) -> list:
+    def _cuts(self, view: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the parts of texts that begin there."""
         if self.cut == "words":
-            return text.encode("utf-8", "replace").split()
-        parts = _SPACE_PART.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        first = "\0" + parts[0]  # kept apart from the same part after a space
-        return [first, *parts[1:]]
-
-    def _text(self, part) -> str:
+            return word_bounds(view)
+        begins = np.unique(begins[begins < len(view)])
+        here = np.zeros(len(view) + 1, bool)
+        spaces = np.flatnonzero(view[:-1] == 0x20)
+        here[spaces[_CUT[view[spaces + 1]]]] = True
+        here[begins - 1] = False  # a space that ends a text is not cut from those before it
+        here[begins] = True
+        starts = np.flatnonzero(here[:-1])
+        return starts, np.append(starts[1:], len(view))[:len(starts)]
+
+    def _pieces(self, view: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of all texts: starts, ends, which are plain (one pre-token each), and the bytes, plain ones in lower case if case goes."""
+        starts, ends = self._cuts(view, begins)
+        kind = _KIND[view]
+        lead = np.flatnonzero(view[:-1] == 0xC3)
+        lead = lead[_LATIN[view[lead + 1]]]
+        kind[lead] = kind[lead + 1] = _LETTER
+        odd = kind == _ODD
+        if self.cut == "spaces":  # white space is plain as one space before a sign or letter, or as one line break
+            blank = (kind == _BREAK) | (kind == _SPACE)
+            odd |= kind == _SPACE
+            odd[1:] |= blank[1:] & blank[:-1]
+            first = starts[(kind[starts] == _SPACE) & (ends - starts > 1)]
+            first = first[kind[first + 1] <= _SIGN]
+            odd[first] = False
+            kind[first] = kind[first + 1]
+        found = np.concatenate([[0], np.cumsum(odd)])
+        plain = found[ends] == found[starts]
+        inside = _spread(starts[plain], ends[plain], len(view))
+        edge = np.zeros(len(view), bool)
+        edge[1:] = inside[1:] & (kind[1:] != kind[:-1])
+        edge[starts] = True
+        stop = np.zeros(len(view) + 1, bool)
+        stop[ends] = True
+        stop[1:-1] |= inside[:-1] & edge[1:]
         if self.cut == "words":
-            return part.decode()
-        return part[1:] if part[:1] == "\0" else " " + part
-
-    def _pieces(self, text: str, spaced: bool) -> bytes:
-        """Ids of a part that matches ``_PLAIN``, from the model alone."""
-        ids: list[int] = []
-        for piece in (text,) if text.isascii() and text.isalpha() else _PIECES.findall(text):
-            if piece == "\n" or not piece.isascii():
-                piece = piece.encode().decode("latin-1").translate(self.stands)
-            if spaced:
-                piece, spaced = self.stands[0x20] + piece, False
-                ids += self._ids(piece)
-            else:
-                ids += self._ids(piece) if piece[0].isalpha() else self.signs(piece)
-        return self.pack(ids)
+            view = view.copy()
+            view[inside & (view >= 0x41) & (view <= 0x5A)] += 0x20
+            upper = lead[inside[lead] & (view[lead + 1] < 0x9F)] + 1
+            view[upper] += 0x20
+        starts = np.flatnonzero(edge)
+        return starts, np.flatnonzero(stop), inside[starts], view
+
+    def _plain(self, piece: str) -> list[int]:
+        """Ids of one plain pre-token, from the model alone."""
+        if not piece[-1].isalpha():
+            return self.signs(piece.translate(self.stands))
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+            return self._ids(piece.translate(self.stands))
+        return self._ids(self.space + piece[1:] if piece[0] == " " else piece)
 
     def _ids(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece)]
 
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _keep(self, part, value: bytes) -> None:
-        self.cache[part] = value
-        self.held += len(part) + len(value) + 200
-
-    def _learn(self, parts: list) -> None:
-        plain, odd = _PLAIN[self.cut].fullmatch, []
-        for part in parts:
-            if (value := self.before.get(part)) is None:
-                text = self._text(part)
-                if self.cut == "words" and plain(text):
-                    value = self._pieces(text.lower(), False)
-                elif self.cut == "spaces" and plain(text, part[:1] != "\0"):
-                    value = self._pieces(text[part[:1] != "\0":], part[:1] != "\0")
-                else:
-                    odd.append((part, text))
-                    continue
-            self._keep(part, value)
-        ids = self.tokenizer.encode_batch_fast([text for _, text in odd], add_special_tokens=False)
-        for (part, _), got in zip(odd, ids):
-            self._keep(part, self.pack(got.ids))
+    def _learn(self, parts: list[str], plain: list[bool]) -> list[list[int]]:
+        out = [self._plain(part) if one else [] for part, one in zip(parts, plain)]
+        odd = [k for k, one in enumerate(plain) if not one]
+        for k, got in zip(odd, self.tokenizer.encode_batch_fast([parts[k] for k in odd], add_special_tokens=False)):
+            out[k] = got.ids
+        return out
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        gap = b"\n" if self.cut == "words" else b""
+        data = gap.join(texts)
+        begins = np.cumsum([0, *(len(t) + len(gap) for t in texts)])
+        starts, ends, plain, view = self._pieces(np.frombuffer(data, np.uint8), begins[:-1])
+        names, checks = piece_names(view, starts, ends)
+        lowered = view.tobytes()
+
+        def learn(at):
+            return self._learn([lowered[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())], plain[at].tolist())
+
+        flat, n = self.cache(names, checks, learn)
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, begins)].tolist()
+        flat = flat.astype("<u4")
+        return [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may not be cut."""
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if self.cut is None:
+            return self._whole([t or "" for t in texts])
         out: list[bytes] = []
-        i = 0
-        while i < len(texts):
-            group, size = [], 0
-            while i < len(texts) and (not group or size < GROUP):
-                group.append(texts[i] or "")
-                size += len(group[-1])
-                i += 1
-            split = [self._parts(t) for t in group]
-            if 2 * self.held > self.most:
-                self.cache, self.before, self.held = {}, self.cache, 0
-            find = self.cache.get
-            found = [list(map(find, parts)) for parts in split]
-            self._learn(list({p for parts, ids in zip(split, found) if None in ids for p, v in zip(parts, ids) if v is None}))
-            look = self.cache.__getitem__
-            out += [b"".join([look(p) if v is None else v for p, v in zip(parts, ids)]) if None in ids else b"".join(ids)
-                    for parts, ids in zip(split, found)]
-        return out
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            group.append((text or "").encode("utf-8", "replace"))
+            size += len(group[-1])
+            if size >= GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        return out + (self._group(group) if group else [])
 
 
-_open: dict[tuple[str, str], Encoder] = {}
+_open: dict[str, Encoder] = {}
 
 
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file, so that its cache outlives a batch."""
-    if (path, cut) not in _open:
-        _open[path, cut] = Encoder(path, cut)
-    return _open[path, cut]
+    if path not in _open:
+        _open[path] = Encoder(path)
+    return _open[path]
