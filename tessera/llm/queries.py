@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontamination, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup,
+from tessera.llm import (decontamination, jaccard_join, merkle_manifest, packing, periodic_runs, prefix_bpe, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup,
                          token_files, url_filter)
 from tessera.llm.common import read_table
 
@@ -65,6 +65,58 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_texts(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by crc32 of its id, turned periodic from a word on, as the contract of the run job fixes it."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(crc / 10)
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(crc % 10 == 0, F.filter(
+        F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
+    n = F.size("w")
+    at = split.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    at = at.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = n - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return at.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def runs_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = F.col("runs")
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("length"), r["start"], r["period"])))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = periodic_runs.collapse_runs(_planted(_texts(spark, sf_dir)))
+    rows = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_words", "n_runs", F.col("best.start").alias("start"), (-F.col("best.length")).alias("length"),
+                       F.col("best.period").alias("period"), F.floor(-1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                       "runs_sha256", "collapsed_sha256")
+
+
+def _lowered_where_tampered(docs: DataFrame) -> Column:
+    """The text as the contract of the manifest job tampers with it: A-Z in lower case where 3 divides the id's crc32."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower).otherwise(F.col("text"))
+
+
+def manifest_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = docs.select("doc_id", "lang", merkle_manifest.leaf_digest([F.col(c) for c in fields]).alias("leaf"), merkle_manifest.leaf_digest(
+        [_lowered_where_tampered(docs) if c == "text" else F.col(c) for c in fields]).alias("altered"))
+    manifest = merkle_manifest.build(docs, "lang", "doc_id", "leaf")
+    proofs = manifest.prove()
+    folded = merkle_manifest.folded(F.col("altered"), F.col("path"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle_manifest.siblings_digest(F.col("path")).alias("proof_sha256"),
+                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def prefix_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_bpe.encode_documents(_texts(spark, sf_dir), _tokenizer("word_bpe_49k.json"), with_text=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_texts(spark, sf_dir))
 
@@ -80,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": rule_verdicts,
     "op9_decontamination": benchmark_leaks,
     "op10_secret_scan": secrets,
+    "op11_periodic_runs": runs_collapsed,
+    "op12_merkle_manifest": manifest_proofs,
+    "op13_prefix_bpe": prefix_ids,
 }
 
 ORACLE: dict[str, str] = {
