@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import carry_forward
+from tessera.operators.joins import _grain_micros, _micros, carry_forward
 from tessera.operators.ordering import ntile_of, with_positions
-from tessera.session import materialize
+from tessera.session import materialize, persist_table
 
 
 def period_start(ts: str | Column, grain: str) -> Column:
@@ -70,33 +70,68 @@ def day_n_retention(df: DataFrame, user: str, ts: str, max_day: int | None = Non
     return out.withColumn("rate", F.col("n_users") / total)
 
 
+def _chains(df: DataFrame, by: Sequence[str], at: str, is_step: Sequence[Column]) -> DataFrame:
+    """Adds ``_c1`` ... ``_cK``: for a row that is step k, the times of step k and of the
+    earliest later steps after it, as far as they come in the same ``by`` group.
+
+    Windows over one exchange and one sort, time descending, so that every
+    frame grows: what follows a row is what the frame has seen. Rows of equal
+    times do not follow one another.
+    """
+    after = Window.partitionBy(*by).orderBy(F.col(at).desc()).rangeBetween(Window.unboundedPreceding, -1)
+    for k in range(len(is_step), 0, -1):
+        here = F.array(at)
+        if k < len(is_step):
+            rest = F.last(f"_c{k + 1}", ignorenulls=True).over(after)
+            here = F.concat(here, F.coalesce(rest, F.array().cast("array<bigint>")))
+        df = df.withColumn(f"_c{k}", F.when(is_step[k - 1], here))
+    return df
+
+
+def funnel_times(df: DataFrame, user: str, ts: str, step_col: str, steps: Sequence[str],
+                 partitions: int | None = None) -> DataFrame:
+    """For every user with a first step: ``times``, microseconds of the first step-1
+    event, of the first step-2 event after it, and so on as far as the user got.
+
+    One pass, without a join per step. Events are dealt to ranges of (user,
+    time), so the events of one user lie in as many slices as they fill, each
+    later than the one before. A slice is summed up by a table that composes:
+    for each step the earliest time that it and the steps after it can end
+    inside the slice if the steps before it ended earlier. Slices of a user,
+    at most one for each range, are then put together in order of time: where
+    one slice leaves off at step m, the next goes on with its chain of step m + 1.
+    Rows without a user or a time take no part; a step may be named twice.
+    """
+    at = _micros(df, ts)
+    events = df.where(F.col(user).isNotNull() & F.col(ts).isNotNull() & F.col(step_col).isin(list(steps)))
+    events = events.select(F.col(user).alias("_u"), at.alias("_t"), F.col(step_col).alias("_s"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = persist_table(events.repartitionByRange(n, "_u", "_t").withColumn("_slice", F.spark_partition_id()), "funnel-events")
+    chains = _chains(dealt, ["_slice", "_u"], "_t", [F.col("_s") == s for s in steps])
+    # chains of one step compare by their first time, and equal times have equal chains
+    names = [f"_c{k}" for k in range(1, len(steps) + 1)]
+    slices = chains.groupBy("_u", "_slice").agg(*[F.min(c).alias(c) for c in names])
+    table = F.array(*[F.coalesce(F.col(c), F.array().cast("array<bigint>")) for c in names])
+    whole = slices.groupBy("_u").agg(F.array_sort(F.collect_list(F.struct("_slice", table.alias("table")))).alias("slices"))
+    nothing = F.array().cast("array<bigint>")
+    times = F.aggregate("slices", nothing, lambda done, x: F.concat(done, F.coalesce(F.get(x["table"], F.size(done)), nothing)))
+    return whole.select(F.col("_u").alias(user), times.alias("times")).where(F.size("times") > 0)
+
+
 def funnel(df: DataFrame, user: str, ts: str, step_col: str, steps: Sequence[str],
-           within: str) -> DataFrame:
+           within: str, partitions: int | None = None) -> DataFrame:
     """Users reaching each step in order, every step after the previous one and
     within ``within`` of the user's first step-1 event (greedy: each step at its
-    earliest qualifying time).
-
-    One join + partial aggregate per step: the events of step k (pushed-down
-    filter) meet a one-row-per-user table of step k-1 times; the per-user
-    minimum is reduced map-side, and a hot user's join partition is split by
-    AQE's skew handling."""
-    span = F.expr(f"INTERVAL {within}")
-    first = (df.where(F.col(step_col) == steps[0])
-               .groupBy(user).agg(F.min(ts).alias("_t1")))
-    reached = [first.select(user, "_t1", F.col("_t1").alias("_tk"))]
-    for s in steps[1:]:
-        prev = reached[-1]
-        ev = df.where(F.col(step_col) == s).select(F.col(user), F.col(ts).alias("_te"))
-        j = prev.join(ev, on=user).where((F.col("_te") > F.col("_tk"))
-                                         & (F.col("_te") <= F.col("_t1") + span))
-        reached.append(j.groupBy(user, "_t1").agg(F.min("_te").alias("_tk")))
-    parts = [r.agg(F.count(F.lit(1)).alias("n_users"))
-              .select(F.lit(i + 1).cast("long").alias("step"), F.lit(s).alias("step_name"), "n_users")
-             for i, (r, s) in enumerate(zip(reached, steps))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    earliest qualifying time). Counts come from ``funnel_times``: earliest times
+    ascend, so a user got as far as the last of them within the span. An empty
+    input has every step with no users."""
+    times = funnel_times(df, user, ts, step_col, steps, partitions)
+    span = F.lit(_grain_micros(within))
+    depth = times.select(F.size(F.filter("times", lambda t: t <= F.get("times", F.lit(0)) + span)).alias("depth"))
+    counts = depth.agg(*[F.count(F.when(F.col("depth") >= k, 1)).alias(f"n{k}") for k in range(1, len(steps) + 1)])
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("step"), F.lit(s).alias("step_name"), F.col(f"n{k}").alias("n_users"))
+                     for k, s in enumerate(steps, 1)])
+    return counts.select(F.inline(rows))
 
 
 def sessions(df: DataFrame, user: str, ts: str, gap: str, *, tiebreak: Sequence[str] = (),

@@ -156,6 +156,35 @@ def test_funnel_empty_input(spark):
     assert rows(cu.funnel(df, "u", "t", "e", ["a", "b"], "1 hour"), "step", "n_users") == [(1, 0), (2, 0)]
 
 
+def _funnel_counts(events, steps, hours):
+    """events: (user, hour, step)."""
+    counts = [0] * len(steps)
+    for u in {e[0] for e in events if e[0] is not None}:
+        mine = [(h, e) for v, h, e in events if v == u and h is not None]
+        at = first = min((h for h, e in mine if e == steps[0]), default=None)
+        for k, s in enumerate(steps):
+            if k and at is not None:
+                at = min((h for h, e in mine if e == s and at < h <= first + hours), default=None)
+            counts[k] += at is not None
+    return [(k, n) for k, n in enumerate(counts, 1)]
+
+
+@pytest.mark.parametrize("steps", [["a"], ["a", "b", "c", "d"], ["a", "a", "b"], ["b", "a", "b", "a"]])
+def test_funnel_slices_a_hot_user(spark, monkeypatch, steps):
+    """Ties, nulls and a user with half the events, whose slices lie in several ranges."""
+    rnd = random.Random(len(steps))
+    events = [(rnd.choice([1, 1, 1, 2, 3, 4, None]), rnd.choice([*range(60), None]), rnd.choice("abcdx")) for _ in range(500)]
+    df = spark.createDataFrame([(u, None if h is None else ts(0, h) if h < 24 else ts(h // 24, h % 24), e) for u, h, e in events],
+                               "u long, t timestamp_ntz, e string")
+    dealt = []
+    monkeypatch.setattr(cu, "persist_table", lambda d, name: dealt.append(d.checkpoint()) or dealt[-1])
+    for hours in (5, 40):
+        out = cu.funnel(df, "u", "t", "e", steps, f"{hours} hours", partitions=6)
+        assert rows(out, "step", "n_users") == _funnel_counts(events, steps, hours)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt[0].where("_u = 1").select("_slice").distinct().count() >= 3
+
+
 def test_abc_classes(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([50, 30, 10, 5, 5])], "item long, amt double")
     out = cu.abc(df, "item", "amt")
