@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tessera.session import scratch_path
 from tessera.sources.tables import SCHEMAS
-from tessera.streaming import operators as so
+from tessera.streaming import late, operators as so
 from tessera.streaming import sinks, sources
 from tessera.plans.registry import register, tables
 
@@ -113,33 +113,69 @@ def stream_view_purchase_6h(spark, sf_dir):
     return sinks.run_append(j, "interval_join")
 
 
-@register("stream_late_rows", sql="""
-WITH span AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events)
-SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events, span
-WHERE date_diff('day', lo, CAST(ts AS DATE)) * 6 // (date_diff('day', lo, hi) + 1) <> 1
-GROUP BY 1, 2
-""")
-def stream_late_rows(spark, sf_dir):
-    """P72 late_rows: daily counts with a 1-day watermark while the second sixth
-    of the table's days arrives last; those windows were closed, so their rows
-    are left out. The rows come in three deliveries (the first five sixths
-    without the second, the last, the second), each a folder of part files and
-    a run of the stream that goes on from the checkpoint of the one before."""
+def _late_deliveries(spark, sf_dir, name, run):
+    """Events in three deliveries: the second sixth of the table's days comes last
+    and after the last sixth, each delivery a folder of part files and a run of the
+    stream that goes on from the checkpoint of the one before. ``run(stream, root)``
+    gives the changelog."""
     events = tables(spark, sf_dir).events
     day = F.to_date("ts")
     lo, hi = events.select(F.min(day)).scalar(), events.select(F.max(day)).scalar()
     sixth = F.floor(F.datediff(day, lo) * 6 / (F.datediff(hi, lo) + 1))
     delivery = F.when(sixth == 1, 2).when(sixth == 5, 1).otherwise(0)
-    folder, root = scratch_path(spark, "late-input"), scratch_path(spark, "late")
+    folder, root = scratch_path(spark, f"{name}-input"), scratch_path(spark, name)
     schema = T.StructType(SCHEMAS["events"].fields + [T.StructField("delivery", T.IntegerType())])
     for k in range(3):
         events.where(delivery == k).write.parquet(f"{folder}/delivery={k}")
-        s = sources.with_event_time(sources.file_stream(spark, folder, schema)).drop("delivery")
-        log = sinks.run_changelog(so.late_rows(s, "ts", "1 day", ["event_type"], "1 day"), "late", root=root)
+        log = run(sources.with_event_time(sources.file_stream(spark, folder, schema)).drop("delivery"), root)
+    return log
+
+
+_SIXTH = "date_diff('day', lo, CAST(ts AS DATE)) * 6 // (date_diff('day', lo, hi) + 1)"
+
+
+@register("stream_late_rows", sql=f"""
+WITH span AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events)
+SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events, span
+WHERE {_SIXTH} <> 1
+GROUP BY 1, 2
+""")
+def stream_late_rows(spark, sf_dir):
+    """P72 in Spark's own way: daily counts with a 1-day watermark while the second sixth
+    of the table's days arrives last; those windows were closed, so their rows
+    are left out."""
+    log = _late_deliveries(spark, sf_dir, "late", lambda s, root: sinks.run_changelog(
+        so.tumbling(s, "ts", "1 day", ["event_type"], "1 day"), "late", root=root))
     out = sinks.latest_by_key(log, ["window_start", "event_type"])
     return out.select(_ntz("window_start"), "event_type", "n")
 
 
+def _split(stream, root):
+    return sinks.run_changelog(late.split_late(stream, "ts", "1 day", ["event_type"], "1 day"), "late-split", root=root, conf=late.STATE_CONF)
+
+
+@register("stream_late_side_rows", sql=f"""
+WITH span AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events)
+SELECT event_id, ts, user_id, event_type, value, props FROM events, span WHERE {_SIXTH} = 1
+""")
+def stream_late_side_rows(spark, sf_dir):
+    """P72 late_rows: the rows that came after their day was closed, whole."""
+    out = late.late_rows(_late_deliveries(spark, sf_dir, "late-rows", _split))
+    return out.select("event_id", _ntz("ts"), "user_id", "event_type", "value", "props")
+
+
+@register("stream_late_counts", sql=f"""
+WITH span AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events)
+SELECT date_trunc('day', ts) AS window_start, event_type, CAST(count(*) FILTER (WHERE {_SIXTH} <> 1) AS BIGINT) AS n,
+       CAST(count(*) FILTER (WHERE {_SIXTH} = 1) AS BIGINT) AS n_late
+FROM events, span GROUP BY 1, 2
+""")
+def stream_late_counts(spark, sf_dir):
+    """P72 window_counts: rows that counted and rows that came too late, by day and type."""
+    out = late.window_counts(_late_deliveries(spark, sf_dir, "late-counts", _split), ["event_type"])
+    return out.select(_ntz("window_start"), "event_type", "n", "n_late")
+
+
 @register("stream_running_totals", sql="""
 SELECT user_id, count(*) AS n_events, round(sum(value), 2) AS total_value FROM events GROUP BY 1
 """)

@@ -7,13 +7,14 @@ stream is read back as a batch DataFrame.
 
 from tessera.streaming.sources import event_stream, file_stream
 from tessera.streaming.sinks import latest_by_key, run_append, run_changelog, upsert_sink
+from tessera.streaming.late import late_rows, split_late, window_counts
 from tessera.streaming.operators import (
-    late_rows, running_totals, sliding, stream_dedupe, stream_interval_join, stream_sessions,
+    running_totals, sliding, stream_dedupe, stream_interval_join, stream_sessions,
     tumbling,
 )
 
 __all__ = [
     "event_stream", "file_stream", "latest_by_key", "run_append", "run_changelog", "upsert_sink",
-    "late_rows", "running_totals", "sliding", "stream_dedupe", "stream_interval_join",
-    "stream_sessions", "tumbling",
+    "late_rows", "running_totals", "sliding", "split_late", "stream_dedupe", "stream_interval_join",
+    "stream_sessions", "tumbling", "window_counts",
 ]

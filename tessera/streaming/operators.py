@@ -1,4 +1,4 @@
-"""Stateful stream operators.
+"""Stateful stream operators (P67-P71, P73; late rows are in ``late``).
 
 Windows, sessions, dedupe and joins are bounded by a watermark, so the state
 store drops what has closed; running totals keep one row per user.
@@ -58,15 +58,6 @@ def stream_interval_join(a: DataFrame, b: DataFrame, key: str, a_ts: str, b_ts:
     return aa.join(bb, cond, "inner")
 
 
-def late_rows(stream: DataFrame, ts: str, size: str, by: Sequence[str], delay: str) -> DataFrame:
-    """Tumbling counts where rows arriving after their window closed (event time
-    below the watermark) are kept out of the closed windows. Spark filters late
-    rows with the watermark in force for the previous micro-batch, so a row is
-    dropped from the second batch after the one whose data moved the watermark
-    past its window."""
-    return tumbling(stream, ts, size, by, delay)
-
-
 def running_totals(stream: DataFrame, user: str = "user_id", value: str = "value") -> DataFrame:
     """Per-user running event count and value total across micro-batches (run in
     update mode; the total of no values is null). A batch is reduced per user

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,25 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+@contextmanager
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for the time of a run."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_changelog(stream: DataFrame, name: str, output_mode: str = "update",
-                  root: str | None = None) -> DataFrame:
+                  root: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Run a stream (update / append mode) over everything available, keeping
     every emitted row with its ``_batch`` id. With the ``root`` of an earlier
-    run it goes on from that run's checkpoint and adds to its changelog."""
+    run it goes on from that run's checkpoint and adds to its changelog.
+    ``conf`` holds for the run alone."""
     spark = stream.sparkSession
     root = root or scratch_path(spark, name)
     out, ckpt = os.path.join(root, "changelog"), os.path.join(root, "checkpoint")
@@ -51,9 +66,9 @@ def run_changelog(stream: DataFrame, name: str, output_mode: str = "update",
         (batch.withColumn("_batch", F.lit(batch_id).cast("long"))
               .write.mode("overwrite").parquet(os.path.join(out, f"_b={batch_id}")))
 
-    q = (stream.writeStream.foreachBatch(write).outputMode(output_mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    _finish(q)
+    with _settings(spark, conf or {}):
+        _finish(stream.writeStream.foreachBatch(write).outputMode(output_mode)
+                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     schema = T.StructType(stream.schema.fields + [T.StructField("_batch", T.LongType())])
     if not path_exists(spark, out):  # no batch produced output: empty result of the right shape
         return spark.createDataFrame([], schema)

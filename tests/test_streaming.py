@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from support import SF_SMALL, rows
 from tessera.session import scratch_path
 from tessera.sources.tables import SCHEMAS
-from tessera.streaming import operators as so
+from tessera.streaming import late, operators as so
 from tessera.streaming import sinks, sources
 
 
@@ -37,12 +37,32 @@ def test_late_rows_stay_out_of_closed_windows(spark):
             (3, 4, ts(0, 3), 1, "a", 1.0),   # day 0 again after the watermark passed it
             (3, 5, ts(3, 2), 1, "a", 1.0)]   # on time
     s = replay(spark, data, [0, 1, 2, 3], "t-late")
-    log = sinks.run_changelog(so.late_rows(s, "ts", "1 day", ["event_type"], "1 hour"), "t-late-out")
+    log = sinks.run_changelog(so.tumbling(s, "ts", "1 day", ["event_type"], "1 hour"), "t-late-out")
     out = sinks.latest_by_key(log, ["window_start", "event_type"])
     got = rows(out.select(F.col("window_start").cast("timestamp_ntz").alias("w"), "n"))
     assert got == [(ts(0), 2), (ts(3), 3)]
 
 
+def test_late_rows_come_out_beside_the_counts(spark):
+    """The first batch after the one that moved the watermark already finds the window closed;
+    a window's end itself is closed; nulls in keys and columns, ties and repeats stay as they are."""
+    data = [(0, 1, ts(0, 1), 1, "a", 1.0), (0, 2, ts(0, 2), None, None, None),
+            (1, 3, ts(2, 1), 1, "a", 1.0),                                             # watermark: day 2, 00:00
+            (2, 4, ts(0, 3), 1, "a", float("nan")), (2, 4, ts(0, 3), 1, "a", 0.1), (2, 5, ts(1, 23), None, None, None),
+            (2, 6, ts(2, 0), 1, "a", 1.0), (2, 7, None, 1, "a", 1.0),                  # on time; without a time
+            (3, 2**60 + 1, ts(0, 0), 2**61 + 1, "b", None), (3, 8, ts(9), 1, "b", 1.0)]
+    s = replay(spark, data, [0, 1, 2, 3], "t-split")
+    log = sinks.run_changelog(late.split_late(s, "ts", "1 day", ["event_type"], "1 hour", salts=3), "t-split-out", conf=late.STATE_CONF)
+    got = late.late_rows(log)
+    assert got.columns == SCHEMAS["events"].fieldNames()
+    out = sorted([(r.event_id, r.ts, r.user_id, r.event_type, repr(r.value)) for r in got.withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()], key=repr)
+    assert out == sorted([(4, ts(0, 3), 1, "a", "nan"), (4, ts(0, 3), 1, "a", "0.1"), (5, ts(1, 23), None, None, "None"),
+                          (2**60 + 1, ts(0, 0), 2**61 + 1, "b", "None")], key=repr)
+    counts = late.window_counts(log, ["event_type"]).select(F.col("window_start").cast("timestamp_ntz").alias("w"), "event_type", "n", "n_late")
+    assert rows(counts) == sorted([(ts(0), None, 1, 0), (ts(0), "a", 1, 2), (ts(0), "b", 0, 1), (ts(1), None, 0, 1), (ts(2), "a", 2, 0), (ts(9), "b", 1, 0)],
+                                  key=lambda t: tuple((x is not None, x) for x in t))
+
+
 def test_running_totals_keep_state_across_batches(spark):
     data = [(0, 1, ts(0), 1, "a", 1.5), (0, 2, ts(0, 1), 2, "a", 2.0),
             (1, 3, ts(1), 1, "b", 2.5), (2, 4, ts(2), 1, "c", 1.0)]
