@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tessera.session import scratch_path
 from tessera.sources.tables import SCHEMAS
 from tessera.streaming import late, operators as so
-from tessera.streaming import sinks, sources
+from tessera.streaming import sinks, snapshots, sources
 from tessera.plans.registry import register, tables
 
 
@@ -197,5 +197,5 @@ def stream_latest_per_user(spark, sf_dir):
     """P74 upsert_sink: latest event per user kept up to date across batches."""
     tables(spark, sf_dir)
     s = sources.event_stream(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value")
-    out = sinks.upsert_sink(s, ["user_id"], ["ts", "event_id"], "upsert", buckets=16)
+    out = snapshots.upsert_sink(s, ["user_id"], ["ts", "event_id"], "upsert", buckets=16)
     return out.select("user_id", "event_id", _ntz("ts"), "event_type", "value")

@@ -6,7 +6,8 @@ stream is read back as a batch DataFrame.
 """
 
 from tessera.streaming.sources import event_stream, file_stream
-from tessera.streaming.sinks import latest_by_key, run_append, run_changelog, upsert_sink
+from tessera.streaming.sinks import latest_by_key, run_append, run_changelog
+from tessera.streaming.snapshots import SnapshotTable, upsert_sink
 from tessera.streaming.late import late_rows, split_late, window_counts
 from tessera.streaming.operators import (
     running_totals, sliding, stream_dedupe, stream_interval_join, stream_sessions,
@@ -14,7 +15,7 @@ from tessera.streaming.operators import (
 )
 
 __all__ = [
-    "event_stream", "file_stream", "latest_by_key", "run_append", "run_changelog", "upsert_sink",
+    "SnapshotTable", "event_stream", "file_stream", "latest_by_key", "run_append", "run_changelog", "upsert_sink",
     "late_rows", "running_totals", "sliding", "split_late", "stream_dedupe", "stream_interval_join",
     "stream_sessions", "tumbling", "window_counts",
 ]

@@ -1,4 +1,4 @@
-"""Stream sinks (P74) and the runners that drive a stream to completion.
+"""The runners that drive a stream to completion.
 
 ``run_append`` uses the parquet file sink (exactly-once through its commit
 log). ``run_changelog`` writes each micro-batch of an update-mode stream,
@@ -78,50 +78,3 @@ def run_changelog(stream: DataFrame, name: str, output_mode: str = "update",
 def latest_by_key(changelog: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Final value per key from an update-mode changelog (latest batch wins)."""
     return dedupe_latest(changelog, keys, ["_batch"]).drop("_batch")
-
-
-def upsert_sink(stream: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
-                buckets: int = 64) -> DataFrame:
-    """Keep the latest row per key across micro-batches.
-
-    Plain parquet has no MERGE, so the table is split into ``buckets`` hash
-    buckets of the key, each kept as versions ``bucket=<b>/v=<batch id>``. A
-    micro-batch rewrites only the buckets it touches: it reads their latest
-    versions, merges its rows (newest per key under ``order``) and writes new
-    versions with dynamic partition overwrite, so a replayed batch replaces
-    its own output. Readers take the highest version of every bucket."""
-    spark: SparkSession = stream.sparkSession
-    root = scratch_path(spark, name)
-    table, ckpt = os.path.join(root, "table"), os.path.join(root, "checkpoint")
-    cols = stream.columns
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-    def latest(upto: int | None = None, only: list | None = None):
-        if not path_exists(spark, table):
-            return None
-        t = spark.read.parquet(table)  # a read that fails fails the batch
-        if upto is not None:
-            t = t.where(F.col("v") < upto)
-        if only is not None:
-            t = t.where(F.col("bucket").isin(only))
-        # one row per bucket: a proven bound
-        top = t.groupBy(F.col("bucket").alias("_lb")).agg(F.max("v").alias("_lv"))
-        j = t.join(F.broadcast(top), (F.col("bucket") == F.col("_lb")) & (F.col("v") == F.col("_lv")))
-        return j.select(*cols)
-
-    def merge(batch: DataFrame, batch_id: int):
-        b = batch.withColumn("_bucket", bucket)
-        touched = [r[0] for r in b.select("_bucket").distinct().collect()]  # at most `buckets` ids
-        if not touched:
-            return
-        prev = latest(batch_id, touched)
-        rows_ = b.drop("_bucket") if prev is None else prev.unionByName(b.drop("_bucket"))
-        (dedupe_latest(rows_, keys, order).select(*cols)
-         .withColumn("bucket", bucket).withColumn("v", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket", "v").parquet(table))
-
-    q = (stream.writeStream.foreachBatch(merge).outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    _finish(q)
-    return latest()

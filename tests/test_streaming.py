@@ -9,7 +9,7 @@ from support import SF_SMALL, rows
 from tessera.session import scratch_path
 from tessera.sources.tables import SCHEMAS
 from tessera.streaming import late, operators as so
-from tessera.streaming import sinks, sources
+from tessera.streaming import sinks, snapshots, sources
 
 
 def ts(day, h=0):
@@ -85,10 +85,70 @@ def test_dedupe_within_watermark_across_batches(spark):
 def test_upsert_sink_keeps_newest_even_when_it_arrives_first(spark):
     data = [(0, 1, ts(5), 1, "new", 0.0), (1, 2, ts(1), 1, "old", 0.0), (1, 3, ts(2), 2, "x", 0.0)]
     s = replay(spark, data, [0, 1], "t-upsert").select("user_id", "event_id", "ts", "event_type")
-    out = sinks.upsert_sink(s, ["user_id"], ["ts", "event_id"], "t-upsert-out")
+    out = snapshots.upsert_sink(s, ["user_id"], ["ts", "event_id"], "t-upsert-out")
     assert rows(out, "user_id", "event_type") == [(1, "new"), (2, "x")]
 
 
+def _table(spark, name, buckets=4):
+    schema = T.StructType.fromDDL("k long, at int, v string")
+    return snapshots.SnapshotTable(spark, scratch_path(spark, name), schema, ["k"], ["at", "v"], buckets), schema
+
+
+def test_snapshots_replays_and_failed_attempts_change_nothing(spark):
+    table, schema = _table(spark, "t-snap")
+    make = lambda data: spark.createDataFrame(data, schema)
+    assert table.read().collect() == [] and table.read().schema == schema and table.versions() == []
+    table.merge(make([]), 0)
+    assert table.versions() == []
+    table.merge(make([(1, 1, "a"), (1, 3, "c"), (2, 1, None), (None, 1, "n"), (None, 0, "m")]), 1)
+    first = rows(table.read())
+    assert first == rows(make([(1, 3, "c"), (2, 1, None), (None, 1, "n")]))
+    table.merge(make([(1, 9, "replayed with other rows")]), 1)
+    assert rows(table.read()) == first
+    publish, table._publish = table._publish, None
+    try:  # the attempt dies before it publishes
+        table.merge(make([(1, 8, "lost")]), 2)
+    except TypeError:
+        pass
+    table._publish = publish
+    assert rows(table.read()) == first and table.versions() == [1]
+    table.merge(make([(1, 2, "old"), (3, 1, "new")]), 2)
+    assert rows(table.read()) == rows(make([(1, 3, "c"), (2, 1, None), (3, 1, "new"), (None, 1, "n")]))
+    assert rows(table.read(1)) == first
+
+
+def test_snapshots_rewrite_touched_buckets_alone_and_expire(spark):
+    table, schema = _table(spark, "t-snap-expire", buckets=8)
+    make = lambda data: spark.createDataFrame(data, schema)
+    table.merge(make([(k, 0, "x") for k in range(200)]), 0)
+    before = table.manifest()
+    assert len(before) == 8
+    table.merge(make([(7, 1, "y")]), 1)
+    after = table.manifest()
+    assert sum(before[b] != after[b] for b in before) == 1
+    files = table.read().where("k = 7").select("v").collect(), len(table.read().inputFiles())
+    assert files == ([("y",)], 8)
+    table.merge(make([(7, 2, "z"), (300, 0, "n")]), 2)
+    assert table.expire(keep=2) >= 1 and table.versions() == [1, 2]  # staged rows, and the bucket that the first version alone named
+    assert table.read(1).count() == 200 and table.read().count() == 201
+    table.expire(keep=1)
+    assert table.versions() == [2] and rows(table.read().where("at > 0")) == [(7, 2, "z")]
+    named = {f.rsplit("/", 1)[0] for f in table.manifest().values()}
+    assert {f"data/{n}" for n in table._list("data")} == named
+
+
+def test_upsert_sink_of_an_empty_stream_and_a_second_run(spark):
+    s = replay(spark, [], [0], "t-upsert-empty").select("user_id", "event_id", "ts", "event_type")
+    out = snapshots.upsert_sink(s, ["user_id"], ["ts", "event_id"], "t-upsert-none")
+    assert out.count() == 0 and out.schema == s.schema
+    data = [(0, 1, ts(5), 1, "new", 0.0), (1, 2, ts(1), 1, "old", 0.0), (1, 3, ts(2), 2, "x", 0.0)]
+    root = scratch_path(spark, "t-upsert-root")
+    for _ in range(2):  # the second run finds nothing new
+        s = replay(spark, data, [0, 1], "t-upsert-again").select("user_id", "event_id", "ts", "event_type") if not _ else s
+        out = snapshots.upsert_sink(s, ["user_id"], ["ts", "event_id"], "again", root=root)
+        assert rows(out, "user_id", "event_type") == [(1, "new"), (2, "x")]
+
+
 def test_stream_interval_join_matches_batch(spark):
     data = [(0, 1, ts(0), 1, "view", 0.0), (0, 2, ts(0, 5), 1, "purchase", 0.0),
             (1, 3, ts(1), 1, "purchase", 0.0), (1, 4, ts(1, 1), 2, "view", 0.0),
