@@ -13,7 +13,7 @@ from support import rows
 from tessera.operators import aggregates as agg
 from tessera.operators import cleaning as cl
 from tessera.operators import customers as cu
-from tessera.operators import joins, ordering
+from tessera.operators import joins, ordering, sketches
 
 
 def ts(day, h=0, m=0, s=0):
@@ -277,6 +277,33 @@ def test_approx_distinct_within_error(spark):
     assert abs(r["hll_id"] - 20000) / 20000 < 0.06
 
 
+def test_stored_sketches_merge_without_the_events(spark):
+    """Merged sketches estimate as one sketch of all rows does; the plan reads the stored table alone."""
+    df = spark.range(40_000).select((F.col("id") % 30).alias("day"), (F.col("id") * 7919 % 9000).alias("u"), F.lit(None).cast("string").alias("none"))
+    daily = sketches.count_sketches(df, ["day"], ["u", "none"], store="t-sketches")
+    assert daily.count() == 30
+    merged = sketches.sketched_counts(sketches.merge_sketches(daily, [(F.col("day") % 3).alias("third")]))
+    assert all("t-sketches" in f for f in merged.inputFiles())
+    exact = df.groupBy((F.col("day") % 3).alias("third")).agg(F.count_distinct("u").alias("n")).collect()
+    got = {r.third: r for r in merged.collect()}
+    assert {r.third: r.n for r in exact}.keys() == got.keys() and all(got[r.third].approx_none == 0 for r in exact)
+    assert all(abs(got[r.third].approx_u - r.n) <= 4 * 1.04 / 64 * r.n for r in exact)
+    empty = sketches.count_sketches(df.where("false"), ["day"], ["u"])
+    assert empty.count() == 0 and sketches.merge_sketches(empty, ["day"]).count() == 0
+
+
+def test_set_sketches_give_overlaps(spark):
+    """Exact below 2 ** lg_k values, within the bound above."""
+    for n, exact in ((1000, True), (60_000, False)):
+        df = spark.range(n).select(F.lit("all").alias("g"), F.col("id")).unionByName(spark.range(n // 2, n, 1).select(F.lit("half").alias("g"), "id"))
+        sets = sketches.set_sketches(df.unionByName(spark.createDataFrame([("none", None)], "g string, id long")), ["g"], "id")
+        pairs = sketches.overlaps(sets, sets.select(F.col("g").alias("h"), "set"), F.col("g") < F.col("h"))
+        got = {(r.g, r.h): r for r in pairs.withColumn("ok", sketches.overlap_within_error(F.col("approx_both"), F.lit(n // 2), F.col("approx_union"))).collect()}
+        both = got["all", "half"]
+        assert both.ok and got["all", "none"].approx_both == 0 == got["half", "none"].approx_both
+        assert not exact or (both.approx_both, both.approx_left_only, both.approx_union) == (n // 2, n // 2, n)
+
+
 def test_stack_allows_missing(spark):
     a = spark.createDataFrame([(1, "x")], "k long, s string")
     b = spark.createDataFrame([(2,)], "k long")
