@@ -9,14 +9,13 @@ normal tail is a built-in-function polynomial, so no Python runs in the job;
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.ordering import exact_quantiles
-
 # Coefficients of the complementary error function
 # approximation erfc(x) ~ t * exp(-x^2 + P(t)), t = 1 / (1 + x / 2), for
 # x >= 0 (Numerical Recipes "erfcc"; fractional error below 1.2e-7).
@@ -136,31 +135,88 @@ def sample_ratio_check(df: DataFrame, unit: str, group: Column,
     return out.withColumn("chi2", chi)
 
 
-def _poisson1_thresholds(k_max: int = 16) -> list[float]:
-    """CDF of Poisson(1) at 0..k_max (from the rule e^-1 * sum 1/j!)."""
-    out, acc = [], 0.0
-    for k in range(k_max + 1):
-        acc += math.exp(-1.0) / math.factorial(k)
-        out.append(acc)
+_EXACT_TABLE = 10_000  # counts up to here draw from a table of the distribution, larger ones from numpy's sampler
+
+
+@lru_cache(256)
+def _poisson_cdf(n: int):
+    """P(X <= k) for Poisson(n), for k from 0 until it is 1 in double precision."""
+    import numpy as np
+
+    k = np.arange(n + 12 * math.isqrt(n) + 40)
+    log_p = k * math.log(n) - n - np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(k))))])
+    return np.minimum(np.cumsum(np.exp(log_p)), 1.0)
+
+
+def _resampled(values, counts, reps: int, seed: int):
+    """Weights (values x reps): Poisson(count) draws that hang on the value, the replicate and the seed alone."""
+    import numpy as np
+
+    def mix(x):  # splitmix64
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    own = mix(np.ascontiguousarray(values, "<f8").view(np.uint64) + mix(np.array([seed % 2**64], np.uint64) + odd))
+    out = np.empty((len(values), reps))
+    for n in np.unique(counts):
+        rows = np.flatnonzero(counts == n)
+        if n > _EXACT_TABLE:
+            for i in rows:
+                out[i] = np.random.Generator(np.random.Philox(key=int(own[i]))).poisson(n, reps)
+            continue
+        u = mix(own[rows, None] + odd * np.arange(1, reps + 1, dtype=np.uint64)) >> np.uint64(11)
+        out[rows] = np.searchsorted(_poisson_cdf(int(n)), u * 2.0**-53, "right")
     return out
 
 
-def bootstrap_mean_ci(df: DataFrame, value: str, id_col: str, reps: int = 200, seed: int = 7,
-                      conf: float = 0.95) -> DataFrame:
-    """Bootstrap interval of the mean by Poisson(1) resampling: each row gets an
-    independent Poisson(1) weight per replicate, derived from a hash of
-    (row id, replicate, seed), so results are reproducible and executors need
-    no shared random state. Replicates are generated and partially aggregated
-    inside each map task; only ``reps`` rows per task reach the shuffle."""
-    h = F.xxhash64(F.col(id_col), F.col("_rep"), F.lit(seed))
-    u = h.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    w = sum((u > F.lit(c)).cast("int") for c in _poisson1_thresholds())
-    ex = (df.where(F.col(value).isNotNull()).select(id_col, value)  # as the mean, without nulls
-            .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-            .withColumn("_w", w))
-    per = ex.groupBy("_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("_m"))
+def bootstrap_mean_ci(df: DataFrame, value: str, reps: int = 200, seed: int = 7, conf: float = 0.95) -> DataFrame:
+    """Bootstrap interval of the mean by Poisson resampling: mean, se (of the mean, from
+    the sample variance), ci_lo, ci_hi, reps.
+
+    Each row would get a Poisson(1) weight in each replicate; rows of one value
+    together get a Poisson(count) weight, so the value histogram (a partial
+    aggregate) is resampled instead of the rows. Each task adds up a vector of
+    ``reps`` weighted sums over its part of the histogram, and only these vectors
+    are put together. Draws are exact and hang on (value, replicate, seed) alone,
+    so neither partitioning nor a rerun changes them. Nulls take no part; replicates
+    whose weights are all 0 have no mean; without a value all results are null."""
+    hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+    def add_up(frames):
+        import numpy as np
+        import pandas as pd
+
+        weights, sums, spread, any_ = np.zeros(reps + 1), np.zeros(reps + 1), 0.0, False
+        for frame in frames:
+            for lo in range(0, len(frame), 2000):  # 2000 x reps draws at a time
+                v, n = frame["v"].to_numpy()[lo:lo + 2000], frame["n"].to_numpy()[lo:lo + 2000]
+                w = np.column_stack([n, _resampled(v, n, reps, seed)])  # the sample itself is replicate 0
+                mean = float(n @ v) / n.sum()
+                apart = mean - sums[0] / weights[0] if any_ else 0.0
+                spread += float(n @ (v - mean) ** 2) + apart**2 * weights[0] * n.sum() / (weights[0] + n.sum())
+                weights += w.sum(axis=0)
+                sums += v @ w
+                any_ = True
+        if any_:
+            yield pd.DataFrame({"rep": range(reps + 1), "w": weights, "s": sums, "q": [spread] + [0.0] * reps})
+
+    parts = hist.mapInPandas(add_up, "rep int, w double, s double, q double")
+    own = F.col("rep") == 0
+    per = parts.groupBy("rep").agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.collect_list(F.when(own, F.struct(
+        "w", (F.col("s") / F.col("w")).alias("m"), "q"))).alias("parts"))  # one for each task
     lo, hi = (1 - conf) / 2, 1 - (1 - conf) / 2
-    per = per.where(F.col("_m").isNotNull())  # a replicate in which every weight is 0
-    ci = exact_quantiles(per, "_m", [lo, hi], names=["ci_lo", "ci_hi"], tiebreak=["_rep"])
-    mean = df.select(F.avg(value)).scalar()
-    return ci.select(mean.alias("mean"), "ci_lo", "ci_hi", F.lit(reps).alias("reps"))
+    mean = F.try_divide(F.col("s"), F.col("w"))
+    out = per.agg(F.max("parts").alias("parts"), *[  # over the replicates, a number that is given
+        F.percentile(F.when(~own, mean), p).alias(c) for c, p in (("ci_lo", lo), ("ci_hi", hi))])
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+
+    def joined(a: Column, b: Column) -> Column:
+        w, apart = a["w"] + b["w"], b["m"] - a["m"]
+        return F.struct(w.alias("w"), (a["m"] + apart * b["w"] / w).alias("m"), (a["q"] + b["q"] + apart * apart * a["w"] * b["w"] / w).alias("q"))
+
+    out = out.withColumn("all", F.aggregate(F.coalesce("parts", F.array().cast("array<struct<w:double,m:double,q:double>>")), zero, joined))
+    n = F.col("all.w")
+    return out.select(F.when(n > 0, F.col("all.m")).alias("mean"), F.sqrt(F.try_divide(F.col("all.q"), n * F.nullif(n - 1, F.lit(0.0)))).alias("se"),
+                      "ci_lo", "ci_hi", F.lit(reps).alias("reps"))

@@ -362,14 +362,32 @@ def test_positions_over_shuffled_input(spark):
 def test_bootstrap_reproducible_and_covers_mean(spark):
     from tessera.operators.experiments import bootstrap_mean_ci
     rnd = random.Random(11)
-    df = spark.createDataFrame([(i, rnd.expovariate(0.1)) for i in range(2000)], "id long, v double")
-    a = bootstrap_mean_ci(df, "v", "id", reps=100, seed=3).first()
-    b = bootstrap_mean_ci(df, "v", "id", reps=100, seed=3).first()
-    assert a == b
+    df = spark.createDataFrame([(i, rnd.expovariate(0.1) + 1e9) for i in range(2000)] + [(-1, None)], "id long, v double")
+    a = bootstrap_mean_ci(df, "v", reps=100, seed=3).first()
+    b = bootstrap_mean_ci(df.repartition(7), "v", reps=100, seed=3).first()
+    assert np.allclose(a[:4], b[:4], rtol=1e-12) and a != bootstrap_mean_ci(df, "v", reps=100, seed=4).first()
+    values = [r[1] for r in df.collect() if r[1] is not None]
+    assert math.isclose(a["mean"], np.mean(values), rel_tol=1e-12) and math.isclose(a["se"], np.std(values, ddof=1) / math.sqrt(2000), rel_tol=1e-6)
     assert a["ci_lo"] < a["mean"] < a["ci_hi"]
     # the interval is about 4 standard errors wide
-    se = np.std([r[1] for r in df.collect()]) / math.sqrt(2000)
-    assert 2.5 * se < a["ci_hi"] - a["ci_lo"] < 6 * se
+    assert 2.5 * a["se"] < a["ci_hi"] - a["ci_lo"] < 6 * a["se"]
+
+
+def test_bootstrap_of_few_and_hot_values(spark):
+    """Counts of one value from 1 to millions give weights of the same law; no value, one value, equal values."""
+    from tessera.operators.experiments import _resampled, bootstrap_mean_ci
+    for n in (1, 2, 50, 9_999, 10_001, 3_000_000):
+        w = _resampled(np.arange(40.0), np.full(40, n), 500, 7)
+        assert abs(w.mean() - n) < 5 * math.sqrt(n / w.size) and abs(w.var() / n - 1) < 0.1
+    assert (_resampled(np.array([3.0]), np.array([2]), 9, 7) == _resampled(np.array([1.0, 3.0]), np.array([2, 2]), 9, 7)[1]).all()
+    none = bootstrap_mean_ci(spark.createDataFrame([(None,)], "v double"), "v").first()
+    assert list(none) == [None, None, None, None, 200]
+    one = bootstrap_mean_ci(spark.createDataFrame([(4.0,)], "v double"), "v").first()
+    assert (one["mean"], one["se"], one["ci_lo"], one["ci_hi"]) == (4.0, None, 4.0, 4.0)
+    hot = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(0).cast("long").alias("v"))
+    got = bootstrap_mean_ci(hot, "v").first()
+    se = math.sqrt(2 / 9 / 300_000)
+    assert math.isclose(got["se"], se, rel_tol=1e-4) and abs(got["ci_lo"] - 1 / 3 + 1.96 * se) < se and abs(got["ci_hi"] - 1 / 3 - 1.96 * se) < se
 
 
 def test_carry_forward_null_group_key(spark):
