@@ -97,9 +97,27 @@ def _tree(nodes: DataFrame, by: list[str]) -> tuple[list[DataFrame], DataFrame]:
     return records, out
 
 
+def _found(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """Requests with the children of their digest."""
+    store = records.dropDuplicates(["digest"]).select(F.col("digest").alias("stored"), "children")
+    return requests.join(store, F.col("digest") == F.col("stored")).drop("stored")
+
+
+def _others(digit: Column) -> Column:
+    """The segment of a path at a node: which child was taken, and the others."""
+    return F.struct(digit.cast("int").alias("digit"), F.filter("children", lambda _, i: i != digit).alias("siblings"))
+
+
+def _down(requests: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
+    """Requests (by, at, digest, path from the root) one level down, to every child."""
+    down = _found(requests, records).select(*by, "at", "path", "children", F.posexplode("children").alias("digit", "child"))
+    return down.select(*by, (F.col("at") * FANOUT + F.col("digit")).alias("at"), F.col("child").alias("digest"),
+                       F.concat("path", F.array(_others(F.col("digit")))).alias("path"))
+
+
 @dataclass
 class Manifest:
-    """Leaves (the rows with group, rank and n), subroots (group, height, digest, rank), records by level, and the root."""
+    """Leaves (group, key, leaf, the whole row, rank), subroots (group, height, digest, rank), records by level, and the root."""
 
     leaves: DataFrame
     subroots: DataFrame
@@ -107,87 +125,67 @@ class Manifest:
     upper_records: list[DataFrame]
     group: str
     key: str
-    leaf: str
     root: str | None
 
     def store(self) -> DataFrame:
         """All records: digest, children; one for each digest."""
-        out = self.leaves.select(F.col(self.leaf).alias("digest"), F.array().cast("array<string>").alias("children")).where("false")
+        out = self.subroots.select("digest", F.lit(None).cast("array<string>").alias("children")).where("false")
         for r in [*self.records, *self.upper_records]:
             out = out.unionByName(r)
         return out.dropDuplicates(["digest"])
 
-    @staticmethod
-    def _down(requests: DataFrame, records: DataFrame, by: list[str], wanted: DataFrame | None) -> DataFrame:
-        """Requests (by, at, digest, path from the root) one level down, to each child that is wanted."""
-        store = records.dropDuplicates(["digest"]).select(F.col("digest").alias("_digest"), "children")
-        met = requests.join(store, F.col("digest") == F.col("_digest"))
-        down = met.select(*by, "at", "path", "children", F.posexplode("children").alias("digit", "child"))
-        others = F.filter("children", lambda _, i: i != F.col("digit"))
-        down = down.select(*by, (F.col("at") * FANOUT + F.col("digit")).alias("at"), F.col("child").alias("digest"), F.concat(
-            "path", F.array(F.struct(F.col("digit"), others.alias("siblings")))).alias("path"))
-        return down if wanted is None else down.join(wanted, _same(down, wanted, [*by, "at"]), "left_semi")
-
     def prove(self, requests: DataFrame | None = None) -> DataFrame:
-        """The rows asked for (all, or those whose group and key are in ``requests``) with
+        """The rows asked for (all, or those whose group and key are in ``requests``), with
         subroot, root and path: digit and siblings of each level, from the leaf up.
+        Columns of these names in the rows give way.
         """
-        by = [self.group]
-        leaves = self.leaves
+        leaves, groups = self.leaves, None
         if requests is not None:
-            asked = requests.select(self.group, self.key).distinct()
-            leaves = persist_table(leaves.join(asked, _same(leaves, asked, [self.group, self.key]), "left_semi"), "merkle-asked")
-
-        def wanted(height: int) -> DataFrame | None:
-            if requests is None:
-                return None
-            return leaves.select(*by, F.floor(F.col("rank") / FANOUT ** height).alias("at")).distinct()
-
-        top = self.subroots.limit(1).select(F.lit(0).cast("long").alias("at"), F.lit(self.root).alias("digest"), F.array().cast(f"array<{SEGMENT}>").alias("path"))
+            asked = requests.select(F.col(self.group).alias("group"), F.col(self.key).alias("key")).distinct()
+            leaves = persist_table(leaves.join(asked, _same(leaves, asked, ["group", "key"]), "left_semi"), "merkle-asked")
+            groups = leaves.select("group").distinct()
+        nothing = F.array().cast(f"array<{SEGMENT}>")
+        top = self.subroots.limit(1).select(F.lit(0).cast("long").alias("at"), F.lit(self.root).alias("digest"), nothing.alias("path"))
         for records in reversed(self.upper_records):
-            top = self._down(top, records, [], None)
-        starts = self.subroots.join(top.select(F.col("at").alias("rank"), "path"), "rank")
-        starts = starts.select(*by, F.lit(0).cast("long").alias("at"), "height", "digest", F.col("digest").alias("subroot"), "path")
-        if requests is not None:
-            groups = leaves.select(self.group).distinct()
-            starts = starts.join(groups, _same(starts, groups, by), "left_semi")
-        starts = persist_table(starts, "merkle-subroots")
+            top = _down(top, records, [])
+        starts = self.subroots.join(top.select(F.col("at").alias("rank"), "path"), "rank").select(
+            "group", F.lit(0).cast("long").alias("at"), "height", "digest", F.col("digest").alias("subroot"), "path")
+        if groups is not None:
+            starts = starts.join(groups, _same(starts, groups, ["group"]), "left_semi")
+        starts = persist_table(starts, "merkle-starts")
 
         def begin(height: int) -> DataFrame:
-            return starts.where(F.col("height") == height).select(*by, "at", "digest", "path", "subroot")
+            return starts.where(F.col("height") == height).drop("height")
 
         now = begin(len(self.records))
         for height in range(len(self.records), 1, -1):
-            now = self._down(now, self.records[height - 1], [*by, "subroot"], None)
+            now = _down(now, self.records[height - 1], ["group", "subroot"])
             if requests is not None:
-                want = wanted(height - 1)
-                now = now.join(want, _same(now, want, [*by, "at"]), "left_semi")
+                want = leaves.select("group", F.floor(F.col("rank") / FANOUT ** (height - 1)).cast("long").alias("at")).distinct()
+                now = now.join(want, _same(now, want, ["group", "at"]), "left_semi")
             now = now.unionByName(begin(height - 1))
-        kept = [c for c in leaves.columns if c not in (self.group, "rank", "n")]
-        runs = leaves.groupBy(*by, F.floor(F.col("rank") / FANOUT).alias("at")).agg(F.collect_list(F.struct(
-            (F.col("rank") % FANOUT).cast("int").alias("digit"), *kept)).alias("run"))  # at most FANOUT leaves
+        met = begin(0).withColumn("children", F.array().cast("array<string>"))
         if self.records:
-            store = self.records[0].dropDuplicates(["digest"]).select(F.col("digest").alias("_digest"), "children")
-            now = now.join(store, F.col("digest") == F.col("_digest")).drop("_digest")
-        else:
-            now = now.withColumn("children", F.array().cast("array<string>"))
-        if self.records:
-            now = now.unionByName(begin(0).withColumn("children", F.array().cast("array<string>")))
-        met = now.join(runs, _same(now, runs, [*by, "at"])).select(now[self.group], "subroot", "path", "children", F.explode("run").alias("row"))
-        last = F.when(F.size("children") > 0, F.array(F.struct(F.col("row.digit").alias("digit"), F.filter(
-            "children", lambda _, i: i != F.col("row.digit")).alias("siblings")))).otherwise(F.array().cast(f"array<{SEGMENT}>"))
-        return met.select(self.group, *[F.col(f"row.{c}").alias(c) for c in kept], "subroot", F.lit(self.root).alias("root"),
-                          F.reverse(F.concat("path", last)).alias("path"))
+            met = _found(now, self.records[0]).unionByName(met)
+        runs = leaves.groupBy("group", F.floor(F.col("rank") / FANOUT).alias("at")).agg(F.collect_list(F.struct(
+            (F.col("rank") % FANOUT).alias("digit"), "row")).alias("run"))  # at most FANOUT leaves
+        met = met.join(runs, _same(met, runs, ["group", "at"])).select("subroot", "path", "children", F.explode("run").alias("one"))
+        last = F.when(F.size("children") > 0, F.array(_others(F.col("one.digit")))).otherwise(nothing)
+        kept = [F.col(f"one.row.`{c}`").alias(c) for c in self.leaves.schema["row"].dataType.names if c not in ("subroot", "root", "path")]
+        return met.select(*kept, "subroot", F.lit(self.root).alias("root"), F.reverse(F.concat("path", last)).alias("path"))
+
+
+def _ranked(rows: DataFrame, order: list[str], by: list[str], name: str) -> DataFrame:
+    placed = with_positions(rows, order, by)
+    return persist_table(placed.withColumn("rank", F.col("_pos") - 1).withColumnRenamed("_n", "n").drop("_pos"), name)
 
 
 def build(rows: DataFrame, group: str, key: str, leaf: str) -> Manifest:
-    """The manifest of rows that carry their digest in ``leaf``; other columns stay with their row."""
-    rows = persist_table(rows, "merkle-rows")
-    ranked = with_positions(rows, [key, leaf], [group])
-    leaves = persist_table(ranked.withColumn("rank", F.col("_pos") - 1).withColumnRenamed("_n", "n").drop("_pos"), "merkle-leaves")
-    records, tops = _tree(leaves.select(group, F.col("rank").alias("at"), "n", F.col(leaf).alias("digest")), [group])
-    ranked = with_positions(persist_table(tops, "merkle-tops"), [group])
-    subroots = persist_table(ranked.withColumn("rank", F.col("_pos") - 1).withColumnRenamed("_n", "n").drop("_pos"), "merkle-subroots")
+    """The manifest of rows that carry their digest in ``leaf``; whole rows stay with their leaf."""
+    rows = persist_table(rows.select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(leaf).alias("leaf"), F.struct("*").alias("row")), "merkle-rows")
+    leaves = _ranked(rows, ["key", "leaf"], ["group"], "merkle-leaves")
+    records, tops = _tree(leaves.select("group", F.col("rank").alias("at"), "n", F.col("leaf").alias("digest")), ["group"])
+    subroots = _ranked(persist_table(tops, "merkle-tops"), ["group"], [], "merkle-subroots")
     upper, top = _tree(subroots.select(F.col("rank").alias("at"), "n", "digest"), [])
     root = top.first()  # one row, or none
-    return Manifest(leaves, subroots, records, upper, group, key, leaf, root["digest"] if root else None)
+    return Manifest(leaves, subroots, records, upper, group, key, root["digest"] if root else None)

@@ -121,34 +121,60 @@ def secret_rows(text):
     return tuple(sum(k == j for _, k, _ in found) for j in range(3)) + (hashlib.sha256(said.encode()).hexdigest(),)
 
 
-def template(text, number, units):
-    """(kind, value) of each word; kind 0 is a literal, 1 a number, 2 a unit, 3 a name inside a sentence."""
-    out, begins = [], True
+AROUND = ".,;:!?\"'()[]{}«»„“”‘’…"
+
+
+def common_words(items, number, numbers):
+    """Words that stand in lower case in the benchmark and are no numbers."""
+    bare = [w.decode().strip(AROUND) for _, t in items for w in words(t)]
+    return {b for b in bare if b == b.lower() and not number.match(b) and b not in numbers}
+
+
+def template(text, number, numbers, units, common):
+    """(kind, value) of each template word; kind 0 is a literal, 1 a number, 2 a unit, 3 a run of names."""
+    out, joins = [], False
     for w in words(text):
         t = w.decode()
-        bare = t.strip(".,;:!?\"'()[]{}«»„“”‘’…")
-        name = bare[:1].isupper() and not (len(bare) > 1 and bare.isupper()) and not begins
-        out.append((1 if number.match(bare) else 2 if bare.lower() in units else 3 if name else 0, bare.lower()))
-        begins = t.rstrip("\"')]»”’").endswith((".", "!", "?"))
+        left = t.lstrip(AROUND)
+        bare = left.rstrip(AROUND)
+        low = bare.lower()
+        name = bare[:1].isupper() and not (len(bare) > 1 and bare.isupper()) and low not in common
+        kind = 1 if number.match(bare) or low in numbers else 2 if low in units else 3 if name else 0
+        if kind == 3 and joins and left == t:
+            out[-1] = (3, f"{out[-1][1]} {low}")
+        else:
+            out.append((kind, low))
+        joins = kind == 3 and bare == left
     return out
 
 
-def leaks(docs, items, number, units, size=8, literal=4):
+def leaks(docs, items, module):
     """Pairs (doc_id, item_id) with an exact window or an occurrence whose slots are consistent; ids are distinct."""
-    def windows(text):
-        t = template(text, number, units)
-        for k in range(len(t) - size + 1):
-            part = t[k:k + size]
-            if sum(not kind for kind, _ in part) >= literal:
-                yield tuple(kind or v for kind, v in part), k, [x for x in part if x[0]]
+    common = common_words(items, module._NUMBER, module.NUMBERS)
+    read = {t: template(t, module._NUMBER, module.NUMBERS, module.UNITS, common) for _, t in [*docs, *items]}
+    short = {len(read[t]) for _, t in items} - {0}
+
+    def windows(text, of_item):
+        t = read[text]
+        for size in {module.WINDOW, *(n for n in short if n < module.WINDOW)}:
+            whole = size < module.SHORT or of_item and size < module.WINDOW
+            for k in range(len(t) - size + 1):
+                part = t[k:k + size]
+                if whole and len(t) != size:
+                    continue
+                if sum(not kind for kind, _ in part) >= (module.LITERAL if size == module.WINDOW else module.SHORT_LITERAL):
+                    yield tuple(kind or v for kind, v in part), k, [x for x in part if x[0]]
+                    if of_item:
+                        continue
+                yield ("as is", *(v for _, v in part)), k, []
 
     at, out = {}, set()
     for item, text in items:
-        for shape, k, slots in windows(text):
+        for shape, k, slots in windows(text, True):
             at.setdefault(shape, []).append((item, k, slots))
     for doc, text in docs:
         met = {}
-        for shape, k, slots in windows(text):
+        for shape, k, slots in windows(text, False):
             for item, j, theirs in at.get(shape, ()):
                 if slots == theirs:
                     out.add((doc, item))
@@ -165,3 +191,75 @@ def redacted(text, rules, mark="[SECRET]"):
         out += (text[at:a] + mark) if a >= at else ""
         at = max(at, b)
     return out + text[at:]
+
+
+def runs(w, least=12):
+    """(start, length, period) of all runs, lag by lag."""
+    n, out = len(w), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q):
+                out.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+def run_row(doc_id, text):
+    """A row of the run job, after the contract's change of every tenth text."""
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+    found = runs(w)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    return (len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+            hashlib.sha256("".join(f"{s},{length},{q}\n" for s, length, q in found).encode()).hexdigest(),
+            hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest())
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(*fields):
+    return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in fields))
+
+
+def levels(nodes, fanout=8):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([digest(*out[-1][i:i + fanout]) for i in range(0, len(out[-1]), fanout)])
+    return out
+
+
+def proofs(rows):
+    """rows: (group, key, leaf, altered); gives (key, leaf, subroot, root, digest of siblings, folded root) of each."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in order:
+        groups[g].sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    trees = {g: levels([r[2] for r in groups[g]]) for g in order}
+    top = levels([trees[g][-1][0] for g in order])
+    out = []
+    for k, g in enumerate(order):
+        for i, (_, key, own, altered) in enumerate(groups[g]):
+            siblings = []
+            for tree, at in ((trees[g], i), (top, k)):
+                for level in tree[:-1]:
+                    low = at // 8 * 8
+                    run = level[low:low + 8]
+                    before, after = run[:at - low], run[at - low + 1:]
+                    siblings += before + after
+                    altered, at = digest(*before, altered, *after), at // 8
+            out.append((key, own, trees[g][-1][0], top[-1][0], digest(*siblings), altered))
+    return out
