@@ -74,7 +74,7 @@ def stream_sessions_24h(spark, sf_dir):
     root = sources.write_with_end_marker(t.events, "ts", "2 days", marker, "sessions-input")
     schema = T.StructType(SCHEMAS["events"].fields + [T.StructField("part", T.StringType())])
     s = sources.with_event_time(sources.file_stream(spark, root, schema)).drop("part")
-    out = sinks.run_append(so.stream_sessions(s, "ts", "24 hours", ["user_id"], "1 hour"), "sessions")
+    out = sinks.run_append(so.stream_sessions(s, "ts", "24 hours", ["user_id"], "1 hour"), "sessions", so.SESSION_CONF)
     # the marker's own session lies past the watermark and is never emitted
     return out.select("user_id", _ntz("session_start"), _ntz("session_last"), "n_events")
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import _grain_micros
+
 
 def tumbling(stream: DataFrame, ts: str, size: str, by: Sequence[str], delay: str,
              value: str | None = None) -> DataFrame:
@@ -33,8 +35,14 @@ def sliding(stream: DataFrame, ts: str, size: str, step: str, by: Sequence[str],
                     *by, "n"))
 
 
+#: Sessions of one task merge before the shuffle, so a busy key sends its open sessions, not its events.
+SESSION_CONF = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
 def stream_sessions(stream: DataFrame, ts: str, gap: str, by: Sequence[str], delay: str) -> DataFrame:
-    """Sessions per key (``session_window``): events closer than ``gap`` merge."""
+    """Sessions per key (``session_window``): events closer than ``gap`` merge.
+    Run it with ``SESSION_CONF``: each task merges the sessions of its own rows, and only
+    these go to the key's task, a row for each session and task whatever the key's events."""
     return (stream.withWatermark(ts, delay)
             .groupBy(F.session_window(ts, gap).alias("s"), *by)
             .agg(F.count(F.lit(1)).alias("n_events"), F.max(ts).alias("session_last"))
@@ -48,14 +56,23 @@ def stream_dedupe(stream: DataFrame, ts: str, keys: Sequence[str], delay: str) -
 
 def stream_interval_join(a: DataFrame, b: DataFrame, key: str, a_ts: str, b_ts: str,
                          within: str, delay: str) -> DataFrame:
-    """Stream-stream inner join: ``a_ts <= b_ts <= a_ts + within``. Watermarks
-    on both sides plus the time bound let Spark expire join state."""
-    aa = a.withWatermark(a_ts, delay).alias("a")
-    bb = b.withWatermark(b_ts, delay).alias("b")
-    cond = ((F.col(f"a.{key}") == F.col(f"b.{key}"))
+    """Stream-stream inner join: ``a_ts <= b_ts <= a_ts + within``, with the sides as ``a`` and ``b``.
+
+    State is kept by (key, time bucket as wide as ``within``), as in the batch form: a row of
+    ``a`` lies in its bucket, one of ``b`` in its own and the one before, so every pair
+    meets in one bucket and a key with many rows is spread over its buckets. Watermarks
+    on both sides plus the time bound let Spark expire the state of a bucket."""
+    width = _grain_micros(within)
+
+    def bucket(ts: str):
+        return F.floor(F.unix_micros(F.col(ts)) / width).cast("long")
+
+    aa = a.withWatermark(a_ts, delay).withColumn("_bucket", bucket(a_ts)).alias("a")
+    bb = b.withWatermark(b_ts, delay).withColumn("_bucket", F.explode(F.array(bucket(b_ts), bucket(b_ts) - 1))).alias("b")
+    cond = ((F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._bucket") == F.col("b._bucket"))
             & (F.col(f"b.{b_ts}") >= F.col(f"a.{a_ts}"))
             & (F.col(f"b.{b_ts}") <= F.col(f"a.{a_ts}") + F.expr(f"INTERVAL {within}")))
-    return aa.join(bb, cond, "inner")
+    return aa.join(bb, cond, "inner").drop("_bucket")
 
 
 def running_totals(stream: DataFrame, user: str = "user_id", value: str = "value") -> DataFrame:

@@ -28,17 +28,6 @@ def _finish(q):
         raise q.exception()
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode stream over everything available; return its output."""
-    spark = stream.sparkSession
-    root = scratch_path(spark, name)
-    out, ckpt = os.path.join(root, "out"), os.path.join(root, "checkpoint")
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out))
-    _finish(q)
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 @contextmanager
 def _settings(spark: SparkSession, conf: dict[str, str]):
     """Session settings for the time of a run."""
@@ -52,6 +41,17 @@ def _settings(spark: SparkSession, conf: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def run_append(stream: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Run an append-mode stream over everything available; return its output. ``conf`` holds for the run alone."""
+    spark = stream.sparkSession
+    root = scratch_path(spark, name)
+    out, ckpt = os.path.join(root, "out"), os.path.join(root, "checkpoint")
+    with _settings(spark, conf or {}):
+        _finish(stream.writeStream.format("parquet").outputMode("append")
+                .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def run_changelog(stream: DataFrame, name: str, output_mode: str = "update",
                   root: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Run a stream (update / append mode) over everything available, keeping

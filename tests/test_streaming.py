@@ -164,6 +164,38 @@ def test_stream_interval_join_matches_batch(spark):
     assert rows(out) == [(1, 2), (4, 5)]
 
 
+def test_join_state_of_a_busy_user_lies_in_time_buckets(spark):
+    """Results as of the batch form, with pairs at every edge of a bucket; state rows of one user in several partitions."""
+    views = [(0, k, ts(0, 0) + dt.timedelta(minutes=37 * k), 1 if k % 2 else k, "view", 0.0) for k in range(120)]
+    buys = [(0, 1000 + k, ts(0, 0) + dt.timedelta(minutes=37 * k + 360 * (k % 3) // 2), 1 if k % 2 else k, "purchase", 0.0) for k in range(120)]
+    s = replay(spark, views + buys, [0], "t-busy")
+    v = s.where("event_type = 'view'").select("user_id", F.col("event_id").alias("vid"), F.col("ts").alias("vt"))
+    p = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("pid"), F.col("ts").alias("pt"))
+    j = so.stream_interval_join(v, p, "user_id", "vt", "pt", "6 hours", "1 hour")
+    assert "_bucket" not in j.columns
+    out = rows(sinks.run_append(j.select("vid", "pid", F.spark_partition_id().alias("part"), F.col("a.user_id").alias("u")), "t-busy-out"))
+    want = sorted((a[1], b[1]) for a in views for b in buys if a[3] == b[3] and a[2] <= b[2] <= a[2] + dt.timedelta(hours=6))
+    assert [r[:2] for r in out] == want and len(want) > 100
+    assert len({r[2] for r in out if r[3] == 1}) > 1  # a plain join on the user would keep all these in one partition
+
+
+def test_sessions_of_a_busy_user_merge_before_the_shuffle(spark, tmp_path):
+    """Rows that cross the shuffle: with merging, the open sessions of each task, not its events."""
+    data = [(0, k, ts(0) + dt.timedelta(minutes=k), 1 if k % 3 else k, "x", 0.0) for k in range(600)]
+    got, crossed = [], []
+    for conf in (so.SESSION_CONF, {}):
+        s = replay(spark, [*data, (1, 9999, ts(9), -1, "end", 0.0)], [0, 1], "t-sessions")
+        with sinks._settings(spark, conf):
+            q = (so.stream_sessions(s, "ts", "1 hour", ["user_id"], "1 hour").writeStream.format("memory").queryName("t_sessions").outputMode("append")
+                 .option("checkpointLocation", scratch_path(spark, "t-sessions-ckpt")).trigger(availableNow=True).start())
+            sinks._finish(q)
+        got.append(rows(spark.table("t_sessions")))
+        plan = q._jsq.explainInternal(False) if hasattr(q._jsq, "explainInternal") else q._jsq.toString()
+        crossed.append(plan)
+    assert got[0] == got[1] and (1, ts(0, 0) + dt.timedelta(minutes=1)) in [(r[0], r[1].replace(tzinfo=None)) for r in got[0]]
+    assert crossed[0].count("MergingSessions") > crossed[1].count("MergingSessions")
+
+
 def test_event_stream_reads_a_folder_of_files(spark, tmp_path):
     spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     n = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
