@@ -1,4 +1,7 @@
-"""Python where Spark has no built-in.
+"""Python where Spark has no built-in.
+
+``fold_groups`` is for groups of any size: a function turns a bounded chunk of rows
+into a state, another merges states, so no frame grows with a group.
 
 ``per_group`` hands groups to a pandas function through ``applyInPandas``
 (Arrow batches). A whole group is one pandas frame in one task, so the
@@ -19,8 +22,10 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tessera.operators.experiments import p_value_udf  # noqa: F401  (re-export)
+from tessera.session import persist_table
 
 
 def per_group(df: DataFrame, by: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame],
@@ -40,3 +45,106 @@ def seconds_since_previous(pdf: pd.DataFrame, by: Sequence[str] = ("user_id", "d
     pdf = pdf.sort_values([*by, "ts", "event_id"])
     gap = pdf.groupby(list(by), sort=False)["ts"].diff().dt.total_seconds()
     return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "secs_since_prev": gap.to_numpy()})
+
+
+def fold_groups(df: DataFrame, by: Sequence[str], chunk: Callable[[pd.DataFrame], list[dict]], merge: Callable[[pd.DataFrame], dict],
+                state: str, chunk_rows: int = 10_000, fan_in: int = 64) -> DataFrame:
+    """Folds every group with Python, in frames of bounded size; returns by and the ``state`` columns, a row for each group.
+
+    ``chunk`` gets up to ``chunk_rows`` rows of one group and returns its states (dicts
+    of the columns of ``state``, usually one). ``merge`` gets up to about ``fan_in``
+    states of one group and returns one. It must not matter how rows and states are dealt:
+    merging is associative and commutative.
+
+    Chunks are taken where the rows lie, before any shuffle. States then meet in turns:
+    a group with many of them is dealt over as many tasks as ``fan_in`` asks for, so a
+    group of any share of the rows is never in one frame, and each turn divides its states
+    by about ``fan_in`` (hash shares vary, so a frame may hold a few times as many).
+    Null keys are groups; an empty input gives no rows.
+    """
+    by = list(by)
+    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    names = [f.split()[0].strip("`") for f in _columns(state)]
+
+    def rows_of(key, states: list[dict]) -> pd.DataFrame:
+        key = key if isinstance(key, tuple) else (key,)
+        return pd.DataFrame([[*(None if pd.isna(k) else k for k in key), *(s[n] for n in names)] for s in states], columns=[*by, *names], dtype=object)
+
+    def first(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, chunk_rows):
+                frame = batch.slice(lo, chunk_rows).to_pandas(integer_object_nulls=True)  # whole numbers stay whole beside nulls
+                places: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*(frame[c] for c in by))):
+                    places.setdefault(tuple(None if pd.isna(k) else k for k in key), []).append(i)
+                for key, at in places.items():
+                    yield pa.RecordBatch.from_pandas(rows_of(key, chunk(frame.iloc[at].reset_index(drop=True))), arrow, preserve_index=False)
+
+    def joined(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        states = frame[names]
+        return rows_of(key[:len(by)], [merge(states.reset_index(drop=True))])
+
+    schema = f"{keys}, {state}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    states = persist_table(df.mapInArrow(first, schema), "states")
+    while True:
+        sizes = states.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        most = sizes.agg(F.max("_n")).first()[0] or 0
+        if most <= fan_in:
+            return states.groupBy(*by).applyInPandas(joined, schema)
+        dealt = states.join(sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_n"), _null_safe(states, by)).withColumn(
+            "_share", F.floor(F.rand(7) * F.ceil(F.col("_n") / fan_in)).cast("int")).select(*by, "_share", *names)
+        states = persist_table(persist_table(dealt, "dealt").groupBy(*by, "_share").applyInPandas(joined, schema), "states")
+
+
+def _columns(state: str) -> list[str]:
+    """The columns of a schema string, split at commas outside brackets."""
+    out, depth = [""], 0
+    for c in state:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _null_safe(df: DataFrame, by: Sequence[str]):
+    out = F.lit(True)
+    for i, c in enumerate(by):
+        out = out & df[c].eqNullSafe(F.col(f"_k{i}"))
+    return out
+
+
+def day_spans(days) -> list[list[int]]:
+    """Sorted spans [first, last] of consecutive numbers."""
+    out: list[list[int]] = []
+    for d in sorted(days):
+        if out and d <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], d)
+        else:
+            out.append([d, d])
+    return out
+
+
+def merged_spans(spans) -> list[list[int]]:
+    """Spans that touch or overlap, as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def active_spans(df: DataFrame, by: Sequence[str], day: str, chunk_rows: int = 10_000, fan_in: int = 64) -> DataFrame:
+    """by, spans: the maximal spans of consecutive days (numbers since 1970-01-01) on which a group has rows.
+
+    A state is a list of spans, at most one for every second day, whatever the rows."""
+    rows = df.select(*by, F.unix_date(F.col(day)).alias("_d")).where(F.col("_d").isNotNull())
+    return fold_groups(rows, by, lambda f: [{"spans": day_spans(set(f["_d"].tolist()))}],
+                       lambda f: {"spans": merged_spans([tuple(s) for spans in f["spans"] for s in spans])},
+                       "spans array<array<int>>", chunk_rows, fan_in)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.functions import udfs
@@ -154,14 +156,31 @@ FROM events
 """)
 def user_day_event_gaps(spark, sf_dir):
     """P76 per_group: a pandas function per (user, day) group; the day bounds
-    the group size, so no user is handed whole to one Python worker."""
+    the group size, so no user is handed whole to one Python worker, and the
+    number of buckets grows with the rows, so frames do not."""
     t = tables(spark, sf_dir)
     e = t.events.select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    buckets = max(1, math.ceil(e.count() / 50_000))
     return udfs.per_group(e, ["user_id", "day"], udfs.seconds_since_previous,
                           "event_id long, secs_since_prev double", buckets=buckets)
 
 
+@register("user_longest_streak", sql="""
+WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
+     g AS (SELECT *, date_diff('day', DATE '1970-01-01', day) - row_number() OVER (PARTITION BY user_id ORDER BY day) AS island FROM d),
+     s AS (SELECT user_id, min(day) AS first_day, count(*) AS n_days FROM g GROUP BY user_id, island)
+SELECT user_id, max(n_days) AS longest, arg_min(first_day, (-n_days, first_day)) AS first_day, count(*) AS n_streaks FROM s GROUP BY user_id
+""")
+def user_longest_streak(spark, sf_dir):
+    """P76 fold_groups: streaks of consecutive active days per user, folded in Python from
+    chunks of rows to spans of days, merged in turns."""
+    e = tables(spark, sf_dir).events
+    spans = udfs.active_spans(e.select("user_id", F.to_date("ts").alias("day")), ["user_id"], "day")
+    days = F.transform("spans", lambda s: F.struct((s[1] - s[0] + 1).alias("n"), (-s[0]).alias("first")))
+    return spans.select("user_id", F.array_max(days).alias("best"), F.size("spans").cast("long").alias("n_streaks")).select(
+        "user_id", F.col("best.n").cast("long").alias("longest"), F.date_from_unix_date(-F.col("best.first")).alias("first_day"), "n_streaks")
+
+
 @register("ab_conversion_p_exact", sql=f"""
 WITH c AS ({_COUNTS_SQL}),
      o AS (SELECT max(CASE WHEN grp = 0 THEN n_users END) AS n_a, max(CASE WHEN grp = 0 THEN n_converted END) AS x_a,

@@ -304,6 +304,37 @@ def test_set_sketches_give_overlaps(spark):
         assert not exact or (both.approx_both, both.approx_left_only, both.approx_union) == (n // 2, n // 2, n)
 
 
+def test_folded_groups_never_make_large_frames(spark):
+    """A group with two thirds of the rows, null and large keys, ties: results as of one frame, frames bounded."""
+    from tessera.functions.udfs import fold_groups
+
+    big = 2**60 + 1
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit(big)).when(F.col("id") % 300 == 0, F.lit(None)).otherwise(F.col("id") % 5).alias("g"),
+                                    F.lit("x").alias("s"), (F.col("id") % 97).cast("double").alias("v")).repartition(5)
+
+    def chunk(f):
+        return [{"n": len(f), "top": sorted(f["v"], reverse=True)[:3], "chunk_rows": len(f), "merged": 0}]
+
+    def merge(f):
+        return {"n": int(f["n"].sum()), "top": sorted((x for t in f["top"] for x in t), reverse=True)[:3],
+                "chunk_rows": int(f["chunk_rows"].max()), "merged": max(len(f), int(f["merged"].max()))}
+
+    got = {r.g: r for r in fold_groups(df, ["g", "s"], chunk, merge, "n long, top array<double>, chunk_rows long, merged long", chunk_rows=50, fan_in=8).collect()}
+    want = {r.g: r.n for r in df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {g: r.n for g, r in got.items()} == want and want[big] == 20_000 and want[None] == 100
+    assert all(r.top == [96.0] * 3 for g, r in got.items() if r.n > 1000)
+    assert max(r.chunk_rows for r in got.values()) <= 50 and max(r.merged for r in got.values()) <= 8 * 4
+    assert fold_groups(df.where("false"), ["g", "s"], chunk, merge, "n long, top array<double>, chunk_rows long, merged long").count() == 0
+
+
+def test_active_spans(spark):
+    from tessera.functions.udfs import active_spans
+
+    days = [(1, 1), (1, 2), (1, 2), (1, 3), (1, 7), (2, 5), (None, 1), (None, 2), (3, None)]
+    df = spark.createDataFrame([(u, d and dt.date(1970, 1, 1) + dt.timedelta(days=d)) for u, d in days], "u int, day date").repartition(4)
+    assert rows(active_spans(df, ["u"], "day", chunk_rows=1, fan_in=2)) == [(None, [[1, 2]]), (1, [[1, 3], [7, 7]]), (2, [[5, 5]])]
+
+
 def test_stack_allows_missing(spark):
     a = spark.createDataFrame([(1, "x")], "k long, s string")
     b = spark.createDataFrame([(2,)], "k long")

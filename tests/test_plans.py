@@ -6,7 +6,7 @@ from support import SF_SMALL
 from tessera.plans import QUERIES
 
 # jobs whose plans legitimately contain Python (pandas UDF / grouped map / state)
-PYTHON_JOBS = {"user_day_event_gaps", "ab_conversion_p_exact", "event_value_bootstrap"}
+PYTHON_JOBS = {"user_day_event_gaps", "ab_conversion_p_exact", "event_value_bootstrap", "user_longest_streak"}
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
             "FlatMapGroupsInPandasWithState", "PythonUDF")
 
