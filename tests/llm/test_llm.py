@@ -60,7 +60,12 @@ def test_classifier_odd(spark, odd, empty):
     labels = spark.createDataFrame([(5, 1), (6, 1), (8, 0), (4, 0), (None, 0), (7, None)], "doc_id long, quality int")
     assert quality_classifier.score_documents(odd, labels).count() == 13
     none = labels.where("false")
-    assert {r.score for r in quality_classifier.score_documents(odd, none).collect()} == {1.0}
+    assert {r.score for r in quality_classifier.score_documents(odd, none).collect()} == {0.5}
+    taught = [i for i in range(11) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for label in (0, 1):
+        alone = spark.createDataFrame([(i, label) for i in taught], "doc_id long, quality int")
+        rows = quality_classifier.score_documents(odd, alone).collect()
+        assert len(rows) == 13 and {r.predicted for r in rows} == {label} and all(abs(r.score - label) < 0.2 for r in rows)
     assert quality_classifier.score_documents(empty, labels).count() == 0
     assert quality_classifier.keep_good(odd, none).columns == odd.columns
 
@@ -211,6 +216,18 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_one_document_is_an_id_with_a_text(spark):
+    """Rows of one id with unrelated texts all stay; near copies and equal rows go, whichever id they bear."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " plus"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, c, "x"), (3, near, "x"), (3, c, "y"), (4, b, "x"), (5, "", "x"), (5, None, "y"), (None, a, "x"), (None, a, "x")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, md5 string"))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (5, ""), (5, None), (None, a), (None, a)], key=repr)
+    again = jaccard_join.keep_one(spark.createDataFrame(rows[::-1], "doc_id long, text string, md5 string"))
+    assert sorted(kept.collect(), key=repr) == sorted(again.collect(), key=repr)
+
+
 def test_near_duplicate_families(spark):
     """Chains and families around the threshold, where components hang on single links."""
     rng = np.random.default_rng(5)
@@ -334,10 +351,48 @@ def test_leaks_by_occurrence(spark):
     for prefilter in (10**6, 0):
         got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench, prefilter=prefilter).collect()}
         assert {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)} <= set(got) and all(got[k].consistent for k in [(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)])
-        assert got[1, 1].n_slots == 4 and got[1, 1].n_exact == 0 and got[2, 1].n_exact == got[2, 1].n_windows
+        assert got[1, 1].n_slots == 5 and got[1, 1].n_exact == 0 and got[2, 1].n_exact == got[2, 1].n_windows
     assert decontamination.drop_contaminated(docs, bench).where("doc_id in (1, 2, 3, 4, 6)").count() == 0
 
 
+def _found(spark, items, texts, prefilter=10**6):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, prefilter=prefilter).collect()}
+
+
+def test_leaks_of_short_items_number_words_and_names(spark):
+    items = ["Anna pays 5 dollars for 3 pens", "A farmer has five cows and three goats and sells two of the cows to a friend",
+             "Then Anna Maria Smith walks from the old mill to the river and pays", "What is love", "", "...", "Bob, Eve, Al, Jo, Cy, Di, Ed and Flo"]
+    texts = ["Anna pays 5 dollars for 3 pens", "We heard that Zoe pays 7 dollars for 4 pens today.", "so a farmer has six cows and nine goats and sells four of the cows to a friend",
+             "Then Bob walks from the old mill to the river and pays", "Zoe walks from the old mill to the river and pays", "what is love", "What is love and what is hate",
+             "and Bob, Eve, Al, Jo, Cy, Di, Ed and Flo too", "and Bob, Eve, Al, Max, Cy, Di, Ed and Flo too", "pays 5 dollars for 3 pens", None, "", "..."]
+    for prefilter in (10**6, 0):
+        assert _found(spark, items, texts, prefilter) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2), (5, 3), (7, 6), (12, 5)}
+
+
+def test_leaks_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(12)
+    bits = ["Anna", "Bob", "pays", "the", "old", "mill", "If", "if", "5", "3.5%", "five", "kg", "(red)", "Blue", "cup.", "Élan", "élan", "“Zoë”", "Ödön", "x²", "walks", "to"]
+    items = [" ".join(rnd.choices(bits, k=rnd.randint(0, 16))) for _ in range(25)] + ["one item of rather many words that are all of them literal"] * 2
+    texts = [" ".join([*rnd.choices(bits, k=rnd.randint(0, 6)), *items[rnd.randrange(len(items))].split()[rnd.randint(0, 3):], *rnd.choices(bits, k=rnd.randint(0, 9))]) for _ in range(120)]
+    texts += [t.replace("5", "8").replace("Anna", "Eve") for t in texts[:40]]
+    assert _found(spark, items, texts) == brute.leaks(list(enumerate(texts)), list(enumerate(items)), decontamination)
+
+
+def test_leaks_odd_columns(spark):
+    """Clashing extra columns, null ids, repeated rows, a very long text."""
+    item = "he walks from the old mill to the river and pays the guard"
+    bench = spark.createDataFrame([(1, item, 1, "s"), (1, item, 2, "s"), (None, item, 3, None)], "item_id long, text string, h int, slots string")
+    rows = [(1, item, 1, "x"), (1, item, 2, "x"), (None, item, 3, "x"), (2, "w " * 200_000 + item, 4, "x"), (3, "clean", 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int, copy string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(1, 1), (2, 1)}
+    kept = decontamination.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.item_id) for r in kept.collect()) == [(0, 3), (3, 5)]
+
+
 def test_leak_job_finds_whole_items(spark):
     sf = SF.replace("0.001", "0.01")
     items = [brute.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -418,7 +473,7 @@ def test_pipeline(spark):
 
 def _leaks(spark, sf, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    return brute.leaks(docs, items, decontamination._NUMBER, decontamination.UNITS)
+    return brute.leaks(docs, items, decontamination)
 
 
 def test_leak_job_reports_no_others(spark, docs):
