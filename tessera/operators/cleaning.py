@@ -6,29 +6,56 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.ordering import exact_quantiles
 
 
-def profile(df: DataFrame, cols: Sequence[str], exact_distinct: bool = True) -> DataFrame:
-    """Per numeric column: rows, nulls, distinct, min, max, mean, in one
-    aggregate pass, reshaped to one row per column. ``exact_distinct=False``
-    uses fixed-memory HyperLogLog sketches instead of exact distinct counts."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = True, tracked: int = 10_000) -> DataFrame:
+    """One row per column, all from one aggregate pass, by the column's type.
+
+    All: column_name, kind, n_rows, n_nulls, n_distinct, and the most frequent value with its
+    count (top_value as text, top_count; a sketch that tracks ``tracked`` values, exact
+    where a column has no more). Numbers: min_value, max_value, mean, and median from a
+    quantile sketch (its rank is within about 1.7 %). Text: min_text, max_text, min_length,
+    max_length. Dates and times: min_text and max_text. Flags: mean, the share of true.
+    What does not apply is null. ``exact_distinct=False`` sketches distinct counts too,
+    so every state has a fixed size. Columns of other types have counts alone."""
+    cols = list(cols or df.columns)
+    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
+    nothing = {"min_value": "double", "max_value": "double", "mean": "double", "median": "double", "min_text": "string", "max_text": "string",
+               "min_length": "bigint", "max_length": "bigint", "top_value": "string", "top_count": "bigint"}
     for i, c in enumerate(cols):
-        dist = F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)
-        aggs += [F.count(c).alias(f"_nn{i}"), dist.alias(f"_d{i}"),
-                 F.min(F.col(c).cast("double")).alias(f"_mn{i}"),
-                 F.max(F.col(c).cast("double")).alias(f"_mx{i}"),
-                 F.avg(F.col(c).cast("double")).alias(f"_av{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("n_rows"),
-                              (F.col("_rows") - F.col(f"_nn{i}")).alias("n_nulls"),
-                              F.col(f"_d{i}").cast("long").alias("n_distinct"),
-                              F.col(f"_mn{i}").alias("min_value"), F.col(f"_mx{i}").alias("max_value"),
-                              F.col(f"_av{i}").alias("mean"))
-                     for i, c in enumerate(cols)])
-    return one.select(F.inline(rows))
+        kind, col = df.schema[c].dataType, F.col(f"`{c}`")
+        out: dict[str, Column] = {}
+        if isinstance(kind, _NUMBERS):
+            name, x = "number", col.cast("double")
+            out = {"min_value": F.min(x), "max_value": F.max(x), "mean": F.avg(x),
+                   "median": F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(x), F.lit(0.5))}
+        elif isinstance(kind, T.StringType):
+            name, n = "text", F.length(col).cast("long")
+            out = {"min_text": F.min(col), "max_text": F.max(col), "min_length": F.min(n), "max_length": F.max(n)}
+        elif isinstance(kind, _TIMES):
+            name = "time"
+            out = {"min_text": F.min(col).cast("string"), "max_text": F.max(col).cast("string")}
+        elif isinstance(kind, T.BooleanType):
+            name, out = "flag", {"mean": F.avg(col.cast("double"))}
+        else:
+            name = "other"
+        if name != "other":
+            top = F.call_function("approx_top_k", col, F.lit(1), F.lit(tracked))
+            out |= {"top_value": F.get(top, F.lit(0))["item"].cast("string"), "top_count": F.get(top, F.lit(0))["count"]}
+        distinct = F.count_distinct(col) if exact_distinct else F.approx_count_distinct(col)
+        if isinstance(kind, T.MapType):
+            distinct = F.lit(None)
+        aggs += [F.count(col).alias(f"_n{i}"), distinct.cast("long").alias(f"_d{i}"), *[v.alias(f"_{k}{i}") for k, v in out.items()]]
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(name).alias("kind"), F.col("_rows").alias("n_rows"), (F.col("_rows") - F.col(f"_n{i}")).alias("n_nulls"),
+                             F.col(f"_d{i}").alias("n_distinct"), *[(F.col(f"_{k}{i}") if k in out else F.lit(None)).cast(t).alias(k) for k, t in nothing.items()]))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

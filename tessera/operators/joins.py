@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.sizing import fits
-
 
 def left_enrich(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     """All rows of ``df``; columns of ``dim`` where the key matches, else null."""
@@ -51,58 +49,61 @@ def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[st
     return out.select(*keys, "status", *[x for c in cols for x in (f"{c}_a", f"{c}_b")])
 
 
+def _ordered_type(df: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str) -> T.DataType:
+    """The type in which values and bounds are compared: the one Spark finds for all three, so whole numbers stay whole."""
+    kinds = [df.schema[value].dataType, ranges.schema[lo].dataType, ranges.schema[hi].dataType]
+    one = df.sparkSession.range(0).select(F.array(*[F.lit(None).cast(k) for k in kinds]).alias("all"))
+    return one.schema["all"].dataType.elementType
+
+
+def _checked_starts(ranges: DataFrame, lo: str, hi: str, kind: T.DataType, partitions: int | None) -> DataFrame:
+    """Ranges by start: _lo, _hi, _r (the whole row); raises on null or empty ranges and on overlaps."""
+    from tessera.operators.ordering import ranged
+
+    typed = ranges.select(F.col(lo).cast(kind).alias("_lo"), F.col(hi).cast(kind).alias("_hi"), F.struct(*ranges.columns).alias("_r"))
+    m = ranged(typed, ["_lo"], partitions)
+    inside = Window.partitionBy("_pid").orderBy("_mid")
+    follows = m.withColumn("_next", F.lead("_lo").over(inside))
+    # one row per range partition: a proven bound
+    ends = m.groupBy("_pid").agg(F.min("_lo").alias("_first"), F.max("_hi").alias("_last"))
+    after = ends.withColumn("_next", F.min("_first").over(Window.orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)))
+    bad = follows.agg(F.count(F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), 1)).alias("nulls"), F.count(F.when(F.col("_hi") <= F.col("_lo"), 1)).alias("empty"),
+                      F.count(F.when(F.col("_next") < F.col("_hi"), 1)).alias("overlaps")).first()
+    across = after.where(F.col("_next") < F.col("_last")).count()
+    for what, n in (("with a null bound", bad["nulls"]), ("that end at or before their start", bad["empty"]), ("that overlap the next", bad["overlaps"] + across)):
+        if n:
+            raise ValueError(f"{n} ranges {what}")
+    return m.select("_lo", "_hi", "_r")
+
+
 def tier_join(df: DataFrame, value: str, tiers: DataFrame, lo: str = "lo", hi: str = "hi",
-              max_tiers: int = 10_000) -> DataFrame:
-    """Attach the tier whose half-open range [lo, hi) holds ``value``; rows in
-    no tier keep null tier columns. Tiers must not overlap.
-
-    A tier table within ``max_tiers`` rows (checked) is broadcast and matched
-    with a nested-loop join; a larger one goes through ``range_lookup``, an
-    ordered merge over range partitions, so neither side is broadcast and no
-    pair of rows is compared that the order does not bring together."""
-    if fits(tiers, max_tiers):
-        t = F.broadcast(tiers)
-        cond = (F.col(value) >= t[lo]) & (F.col(value) < t[hi])
-        return df.join(t, cond, "left").drop(lo, hi)
-    return range_lookup(df, value, tiers, lo, hi)
-
-
-def range_lookup(df: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str,
-                 partitions: int | None = None) -> DataFrame:
-    """Left-join each row of ``df`` to the non-overlapping range [lo, hi) of
-    ``ranges`` that holds ``value``, by sorting range starts and values together.
-
-    Values are first reduced to distinct values (a partial aggregate, so a hot
-    value is one row). Starts and values are range-partitioned together on
-    (key, kind) and persisted once (``ordering.ranged``); the last start at or
-    before each value is carried by a window inside each range partition and
-    across partitions from a table of one row per partition. The answer per
-    distinct value is joined back to the rows."""
+              partitions: int | None = None) -> DataFrame:
+    """Attach the tier whose half-open range [lo, hi) holds ``value``; rows in no tier, or
+    without a value, keep null tier columns. One way at every size: tier starts and
+    distinct values (a partial aggregate, so a hot value is one row) are sorted together
+    in range partitions, the last start at or before each value is carried by a
+    window inside each partition and across partitions from a table of one row per
+    partition, and the answer per distinct value is joined back to the rows.
+    Comparison is in the type that Spark finds for the value and both bounds: whole
+    numbers beyond 2 ** 53 stay apart. Null or empty ranges and overlaps raise."""
     from tessera.operators.ordering import ranged
 
-    rcols = ranges.columns
-    rt = T.StructType([ranges.schema[c] for c in rcols])
-    vt = df.schema[value].dataType
-    starts = ranges.select(F.col(lo).cast("double").alias("_k"), F.lit(0).alias("_kind"),
-                           F.struct(*rcols).alias("_r"), F.lit(None).cast(vt).alias("_v"))
-    vals = (df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-              .select(F.col("_v").cast("double").alias("_k"), F.lit(1).alias("_kind"),
-                      F.lit(None).cast(rt).alias("_r"), "_v"))
+    kind = _ordered_type(df, value, tiers, lo, hi)
+    known = _checked_starts(tiers, lo, hi, kind, partitions)
+    starts = known.select(F.col("_lo").alias("_k"), F.lit(0).alias("_kind"), F.struct("_hi", "_r").alias("_t"))
+    vals = df.select(F.col(value).cast(kind).alias("_k")).where(F.col("_k").isNotNull()).distinct().select(
+        "_k", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_t"].dataType).alias("_t"))
     m = ranged(starts.unionByName(vals), ["_k", "_kind"], partitions)
     w = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    inside = m.withColumn("_in", F.last("_r", ignorenulls=True).over(w))
-    per = m.groupBy("_pid").agg(
-        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_mid"))).alias("_pl"))
+    inside = m.withColumn("_in", F.last("_t", ignorenulls=True).over(w))
+    per = m.groupBy("_pid").agg(F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col("_mid"))).alias("_pl"))
     carry = per.select(F.col("_pid").alias("_cpid"), F.last("_pl", ignorenulls=True).over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_cy"))
     # one row per range partition: a proven bound
-    hits = (inside.where(F.col("_kind") == 1)
-                  .join(F.broadcast(carry), F.col("_pid") == F.col("_cpid"), "left")
-                  .select("_v", F.coalesce(F.col("_in"), F.col("_cy")).alias("_hit")))
-    ok = F.col("_v") < F.col("_hit")[hi]
-    found = hits.select(F.col("_v").alias("_lv"),
-                        *[F.when(ok, F.col("_hit")[c]).alias(c) for c in rcols if c not in (lo, hi)])
-    return df.join(found, F.col(value) == F.col("_lv"), "left").drop("_lv")
+    hits = inside.where("_kind = 1").join(F.broadcast(carry), F.col("_pid") == F.col("_cpid"), "left").select("_k", F.coalesce("_in", "_cy").alias("_hit"))
+    found = hits.where(F.col("_k") < F.col("_hit._hi")).select(F.col("_k").alias("_at"), *[
+        F.col(f"_hit._r.`{c}`").alias(c) for c in tiers.columns if c not in (lo, hi)])
+    return df.join(found, F.col(value).cast(kind) == F.col("_at"), "left").drop("_at")
 
 
 def _micros(df: DataFrame, ts: str) -> Column:

@@ -7,23 +7,49 @@ from pyspark.sql import functions as F
 from tessera.operators import cleaning as cl
 from tessera.operators.joins import carry_forward
 from tessera.plans.registry import register, tables
+from tessera.session import persist_table
 
-_PROFILE_COLS = ["c_custkey", "c_nationkey", "c_acctbal"]
+_PROFILE_COLS = {"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text"}
 
 
 def _profile_sql(table, cols):
-    parts = [f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, "
-             f"count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS DOUBLE) AS min_value, "
-             f"CAST(max({c}) AS DOUBLE) AS max_value, round(avg({c}), 6) AS mean FROM {table}"
-             for c in cols]
-    return "\nUNION ALL\n".join(parts)
+    def number(c, kind, expr):
+        return expr.format(c=c) if kind == "number" else "CAST(NULL AS DOUBLE)"
+
+    def text(c, kind, expr, type_="VARCHAR"):
+        return expr.format(c=c) if kind == "text" else f"CAST(NULL AS {type_})"
+
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, '{kind}' AS kind, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, "
+        f"{number(c, kind, 'CAST(min({c}) AS DOUBLE)')} AS min_value, {number(c, kind, 'CAST(max({c}) AS DOUBLE)')} AS max_value, "
+        f"{number(c, kind, 'round(avg({c}), 6)')} AS mean, {text(c, kind, 'min({c})')} AS min_text, {text(c, kind, 'max({c})')} AS max_text, "
+        f"{text(c, kind, 'min(length({c}))', 'BIGINT')} AS min_length, {text(c, kind, 'max(length({c}))', 'BIGINT')} AS max_length, "
+        f"{'true' if kind == 'number' else 'CAST(NULL AS BOOLEAN)'} AS median_within, "
+        f"true AS top_within FROM {table}" for c, kind in cols.items())
 
 
 @register("customer_profile", sql=_profile_sql("customer", _PROFILE_COLS))
 def customer_profile(spark, sf_dir):
-    """P06 profile: rows, nulls, distinct, min, max, mean per column."""
-    t = tables(spark, sf_dir)
-    return cl.profile(t.customer, _PROFILE_COLS).withColumn("mean", F.round("mean", 6))
+    """P06 profile of all five columns. The sketched median and most frequent value are
+    held against the rows: the median's rank must lie within 3 % of the middle, the
+    top count within rows / 10,000 (what the sketch may miss) of the largest one."""
+    customer = tables(spark, sf_dir).customer
+    found = persist_table(cl.profile(customer, list(_PROFILE_COLS)), "profile")  # one row for each column
+    parts = None
+    for c, kind in _PROFILE_COLS.items():
+        said = found.where(F.col("column_name") == c)  # one row
+        median, top, n_rows = (said.select(x).scalar() for x in ("median", "top_count", "n_rows"))
+        counts = customer.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        ranked = F.lit(None).cast("boolean")
+        if kind == "number":
+            total = F.sum("n")
+            ranked = (F.sum(F.when(F.col("v") < median, F.col("n")).otherwise(0)) <= 0.53 * total) & (
+                F.sum(F.when(F.col("v") <= median, F.col("n")).otherwise(0)) >= 0.47 * total)
+        held = counts.agg(ranked.alias("median_within"), (F.abs(F.max("n") - top) <= n_rows / 10_000).alias("top_within"))
+        held = held.withColumn("column_name", F.lit(c))
+        parts = held if parts is None else parts.unionByName(held)
+    out = found.join(parts, "column_name").drop("median", "top_value", "top_count")
+    return out.withColumn("mean", F.round("mean", 6))
 
 
 @register("lineitem_key_violations", sql="""

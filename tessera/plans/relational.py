@@ -25,7 +25,7 @@ FROM customer LEFT JOIN (VALUES {_TIER_VALUES}) AS t(tier, lo, hi)
   ON c_acctbal >= lo AND c_acctbal < hi
 """)
 def customer_balance_tiers(spark, sf_dir):
-    """P23 tier_join: balance to tier through a checked-size broadcast range join."""
+    """P23 tier_join: balance to tier, starts and values sorted together."""
     t = tables(spark, sf_dir)
     tiers = spark.createDataFrame(BALANCE_TIERS, "tier string, lo double, hi double")
     c = t.customer.select("c_custkey", "c_acctbal")

@@ -2,6 +2,7 @@
 key, empty input, rows on bucket edges."""
 
 import datetime as dt
+import decimal
 import math
 import random
 
@@ -228,6 +229,22 @@ def test_profile_counts_nulls(spark):
     assert (got["a"]["n_rows"], got["a"]["n_distinct"], got["a"]["max_value"]) == (3, 2, 2.0)
 
 
+def test_profile_by_type(spark):
+    schema = "n int, d decimal(5,2), s string, day date, at timestamp_ntz, ok boolean, xs array<int>"
+    data = [(1, decimal.Decimal("1.50"), "b", dt.date(2024, 1, 2), ts(1), True, [1]), (1, None, "é", dt.date(2023, 1, 2), ts(0), False, None), (None, None, None, None, None, None, [1])]
+    df = spark.createDataFrame(data, schema)
+    for exact in (True, False):
+        got = {r.column_name: r for r in cl.profile(df, exact_distinct=exact).collect()}
+        assert list(got) == df.columns and [got[c].kind for c in got] == ["number", "number", "text", "time", "time", "flag", "other"]
+        assert [(got[c].n_rows, got[c].n_nulls, got[c].n_distinct) for c in got] == [(3, 1, 1), (3, 2, 1), (3, 1, 2), (3, 1, 2), (3, 1, 2), (3, 1, 2), (3, 1, 1)]
+    assert (got["n"].mean, got["n"].median, got["n"].top_value, got["n"].top_count) == (1.0, 1.0, "1", 2)
+    assert (got["s"].min_text, got["s"].max_text, got["s"].min_length, got["s"].max_length, got["s"].mean) == ("b", "é", 1, 1, None)
+    assert (got["day"].min_text, got["day"].max_text, got["at"].max_text) == ("2023-01-02", "2024-01-02", "2024-01-02 00:00:00")
+    assert got["ok"].mean == 0.5 and got["xs"].top_value is None
+    none = cl.profile(df.where("false")).collect()
+    assert len(none) == 7 and all((r.n_rows, r.n_nulls, r.n_distinct, r.mean, r.top_count) == (0, 0, 0, None, None) for r in none)
+
+
 def test_safe_cast_and_failures(spark):
     df = spark.createDataFrame([(1, "1"), (2, "x"), (3, None), (4, "2.5")], "id long, s string")
     assert rows(cl.safe_cast(df, {"s": "int"})) == [(1, 1), (2, None), (3, None), (4, None)]
@@ -352,16 +369,33 @@ def test_erfc_close_to_math(spark):
         assert abs(r["pu"] - exact) < 1e-12
 
 
-def test_range_lookup_matches_broadcast_path(spark):
+def test_tier_join_over_several_partitions(spark):
     rnd = random.Random(5)
     vals = [(i, rnd.choice([None, -3.0, 0.0, 5.0, 5.0, 9.99, 10.0, 15.0, 42.0, 7.0])) for i in range(300)]
     df = spark.createDataFrame(vals, "id long, x double")
-    tiers = spark.createDataFrame([("a", 0.0, 5.0), ("b", 5.0, 10.0), ("c", 12.0, 20.0)],
-                                  "tier string, lo double, hi double")
-    small = rows(joins.tier_join(df, "x", tiers), "id", "tier")
-    large = rows(joins.tier_join(df, "x", tiers, max_tiers=1), "id", "tier")
-    assert small == large
-    assert len(large) == 300
+    tiers = [("a", 0.0, 5.0), ("b", 5.0, 10.0), ("c", 12.0, 20.0)]
+    want = [(i, next((t for t, lo, hi in tiers if x is not None and lo <= x < hi), None)) for i, x in vals]
+    for n in (1, 5):
+        assert rows(joins.tier_join(df, "x", spark.createDataFrame(tiers, "tier string, lo double, hi double"), partitions=n), "id", "tier") == want
+
+
+def test_tier_join_is_typed_and_checks_its_ranges(spark):
+    """Bigints beyond 2 ** 53, dates, text; an empty table; null, empty and overlapping ranges, also across partitions, raise."""
+    big = 2**53
+    df = spark.createDataFrame([(big - 1,), (big,), (big + 1,), (big + 2,), (None,)], "x long")
+    tiers = spark.createDataFrame([("p", big, big + 1), ("q", big + 1, big + 2)], "tier string, lo long, hi long")
+    assert rows(joins.tier_join(df, "x", tiers), "x", "tier") == [(None, None), (big - 1, None), (big, "p"), (big + 1, "q"), (big + 2, None)]
+    days = spark.createDataFrame([(dt.date(2024, 1, 31),), (dt.date(2024, 2, 1),)], "d date")
+    months = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 2, 1), 1)], "lo date, hi date, month int")
+    assert rows(joins.tier_join(days, "d", months), "d", "month") == [(dt.date(2024, 1, 31), 1), (dt.date(2024, 2, 1), None)]
+    words = spark.createDataFrame([("apple",), ("pear",)], "w string")
+    assert rows(joins.tier_join(words, "w", spark.createDataFrame([("a", "b", 1)], "lo string, hi string, t int")), "w", "t") == [("apple", 1), ("pear", None)]
+    assert rows(joins.tier_join(df, "x", tiers.where("false")), "tier") == [(None,)] * 5
+    assert joins.tier_join(df.where("false"), "x", tiers).count() == 0
+    many = [("t", i, i + 1) for i in range(0, 400, 2)]
+    for bad in ([("a", 1, None)], [("a", None, 1)], [("a", 1, 1)], [("a", 2, 1)], [("a", 0, 3), ("b", 2, 5)], [*many, ("x", 100, 102)], [*many, ("x", -5, 300)], [("a", 1, 2)] * 2):
+        with pytest.raises(ValueError):
+            joins.tier_join(df, "x", spark.createDataFrame(bad, "tier string, lo long, hi long"), partitions=4)
 
 
 def test_interval_join_ntz_uses_wall_clock(spark):
