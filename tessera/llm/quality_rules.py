@@ -1,20 +1,28 @@
 """Quality rules combined by weak supervision, in Spark's own expressions.
 
-Each rule votes good (1), bad (-1) or abstains (0). How often a rule that votes
-is right is not known; expectation-maximisation estimates it from the counts of
-vote patterns (a number bounded by the rules, whatever the corpus) and gives
-every pattern a posterior probability of being good. Rules that agree with one
-another come out as reliable, one that votes alone against the rest does not.
-An abstention is no evidence, and a vote never counts against its own meaning. A document is kept from 0.5 on; no single rule decides.
+Each rule looks at one kind of defect and votes good (1), bad (-1) or abstains (0) in
+between; measures of one defect are one rule, so that a defect is counted once. How
+often each rule votes good on good documents and bad on bad ones is not known, nor is
+the share of good documents. Expectation-maximisation estimates all of them from the
+counts of vote patterns (3 ** rules at most, whatever the corpus) of the documents that
+pass the base rules, since only these get a verdict from the votes. The estimates
+are those of highest posterior probability under Beta priors (``ON_GOOD``,
+``ON_BAD``, ``SHARE``), which say that a rule seldom votes bad on a good document and
+that a bad document shows few of the defects; they weigh as much as so many documents
+and keep rules that hardly vote from drifting. Every pattern then has a posterior
+probability of being good, and a document is kept from 0.5 on. An abstention is
+no evidence. One reliable rule outweighs several poor ones.
 
 Defined cases: a null text is empty; a text without a word fails the base rules;
-equal rows are judged alike; an empty input gives no rows. Three-word windows
-are compared by 64-bit hashes within one text.
+equal rows are judged alike, a posterior of exactly 0.5 keeps; an empty input gives
+no rows, and where no document passes the base rules the priors alone judge. Three-word
+windows are compared by 64-bit hashes within one text.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,84 +62,88 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]{2,}")).cast("long").alias("n_symbol_runs"),
         F.size(F.filter("words", lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("n_wordless"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclaims"))
 
 
 def votes() -> dict[str, Column]:
-    """The rules. Most know one defect and vote bad or abstain; two can vote good."""
+    """The rules: bad where a measure is far off, good where it is as in ordinary text, else no vote."""
     n, c = F.col("n_words"), F.col("word_chars")
+    symbols, wordless, lines, upper = F.col("n_symbols"), F.col("n_wordless"), F.col("n_dup_lines"), F.col("n_upper")
+    exclaims, repeats = F.col("n_exclaims"), F.col("n_repeat_words")
 
-    def vote(bad: Column, good: Column | None = None) -> Column:
-        out = F.when(bad, F.lit(-1))
-        return (out if good is None else out.when(good, F.lit(1))).otherwise(F.lit(0))
+    def vote(bad: Column, good: Column) -> Column:
+        return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
     return {
-        "v_length": vote(F.lit(False), n >= 100),
-        "v_short": vote(n < 50),
-        "v_word_size": vote((c < 3 * n) | (c > 10 * n), (c >= 4 * n) & (c <= 8 * n)),
-        "v_symbols": vote(10 * F.col("n_symbols") > n),
-        "v_symbol_runs": vote(10 * F.col("n_symbol_runs") > n),
-        "v_wordless": vote(10 * F.col("n_wordless") > n),
-        "v_lines": vote(2 * F.col("n_dup_lines") > F.col("n_lines")),
-        "v_repeats": vote(3 * F.col("n_repeat_words") > n),
-        "v_variety": vote((n >= 50) & (10 * F.col("n_distinct") < 4 * n)),
-        "v_upper": vote(10 * F.col("n_upper") > 3 * c),
-        "v_exclaims": vote(5 * F.col("n_exclaims") > n),
+        "v_length": vote(n < 50, n >= 100),
+        "v_word_size": vote((c < 3 * n) | (c > 7 * n), (c >= 4 * n) & (2 * c <= 13 * n)),
+        "v_symbols": vote(10 * symbols > n, 100 * symbols <= n),
+        "v_wordless": vote(10 * wordless > n, 50 * wordless <= n),
+        "v_lines": vote(2 * lines > F.col("n_lines"), 10 * lines <= F.col("n_lines")),
+        "v_repetition": vote((3 * repeats > n) | ((n >= 50) & (10 * F.col("n_distinct") < 4 * n)), 10 * repeats <= n),
+        "v_shouting": vote((10 * upper > 3 * c) | (5 * exclaims > n), (20 * upper <= 3 * c) & (20 * exclaims <= n)),
     }
 
 
-#: Where the search starts: how often a rule votes bad or good on bad and on good documents.
-START = {-1: (0.3, 0.02), 1: (0.5, 0.7)}
-PRIOR = 0.85  # share of good documents that is assumed
-MOST = 1.7  # log odds that one vote may count: less than the prior's, so that one rule alone rejects nothing
+#: Beta priors, as documents seen beforehand: voted right and wrong on good ones, on bad ones, and good and bad ones themselves.
+ON_GOOD, ON_BAD, SHARE = (98.0, 2.0), (6.0, 14.0), (8.0, 2.0)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, prior: float = PRIOR, turns: int = 200) -> tuple[float, list[dict[int, float]]]:
-    """Expectation-maximisation over counted vote patterns.
+@dataclass
+class Estimate:
+    """Share of good documents; for each rule how often it votes good on good ones and bad on bad ones, given that it votes."""
 
-    Returns the log odds of ``prior`` and, for each rule, the log likelihood
-    ratio of good to bad of its two votes; that of a bad vote is never above 0,
-    that of a good one never below, and an abstention counts nothing.
-    """
-    ratios = [{v: math.log(good / bad) for v, (bad, good) in START.items()} for _ in range(rules)]
-    total = sum(n for _, n in patterns)
-    for _ in range(turns if total else 0):
-        seen = [{v: [0.5, 0.5] for v in (-1, 1)} for _ in range(rules)]
-        good = 0.0
+    share: float
+    on_good: list[float]
+    on_bad: list[float]
+
+    def ratios(self, rule: int) -> dict[int, float]:
+        """What a vote adds to the log odds of being good."""
+        g, b = self.on_good[rule], self.on_bad[rule]
+        return {1: math.log(g / (1 - b)), -1: math.log((1 - g) / b)}
+
+    def log_odds(self) -> float:
+        return math.log(self.share / (1 - self.share))
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, turns: int = 1000) -> Estimate:
+    """Expectation-maximisation over counted vote patterns, from the priors' means until nothing moves."""
+    found = Estimate(SHARE[0] / sum(SHARE), [ON_GOOD[0] / sum(ON_GOOD)] * rules, [ON_BAD[0] / sum(ON_BAD)] * rules)
+    for _ in range(turns):
+        ratios = [found.ratios(j) for j in range(rules)]
+        share, right, voted = list(SHARE), {1: [ON_GOOD[0]] * rules, -1: [ON_BAD[0]] * rules}, {1: [sum(ON_GOOD)] * rules, -1: [sum(ON_BAD)] * rules}
         for pattern, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(ratios[j][v] for j, v in enumerate(pattern) if v)
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            good += n * p
+            odds = found.log_odds() + sum(ratios[j][v] for j, v in enumerate(pattern) if v)
+            good = n / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            share[0] += good
+            share[1] += n - good
             for j, v in enumerate(pattern):
                 if v:
-                    seen[j][v][0] += n * (1 - p)
-                    seen[j][v][1] += n * p
-        bad, moved = total - good, 0.0
-        for j, votes_of in enumerate(seen):
-            for v, (on_bad, on_good) in votes_of.items():
-                ratio = v * min(MOST, max(0.0, v * math.log((on_good / (good + 1)) / (on_bad / (bad + 1)))))
-                moved = max(moved, abs(ratio - ratios[j][v]))
-                ratios[j][v] = ratio
-        if moved < 1e-7:
+                    voted[1][j] += good
+                    voted[-1][j] += n - good
+                    right[v][j] += good if v == 1 else n - good
+        new = Estimate(share[0] / sum(share), *([r / m for r, m in zip(right[v], voted[v])] for v in (1, -1)))
+        moved = max(abs(x - y) for x, y in zip([new.share, *new.on_good, *new.on_bad], [found.share, *found.on_good, *found.on_bad]))
+        found = new
+        if moved < 1e-10:
             break
-    return math.log(prior / (1 - prior)), ratios
+    return found
 
 
 def judge_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts, base_failed, kept and the posterior of every document."""
     rules = votes()
-    rows = persist_table(statistics(docs, key).withColumns(rules), "votes")
-    counted = rows.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** 10 * 3 rows
-    log_odds, ratios = estimate([(tuple(r[v] for v in rules), r["n"]) for r in counted], len(rules))
-    odds = F.lit(log_odds)
-    for name, ratio in zip(rules, ratios):
-        odds = odds + F.when(F.col(name) == 1, ratio[1]).when(F.col(name) == -1, ratio[-1]).otherwise(0.0)
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < 50) | (100 * repeated > 50 * n)
+    rows = persist_table(statistics(docs, key).withColumns(rules).withColumn("base_failed", failed), "votes")
+    counted = rows.where(~F.col("base_failed")).groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
+    found = estimate(sorted((tuple(r[v] for v in rules), r["n"]) for r in counted), len(rules))
+    odds = F.lit(found.log_odds())
+    for j, name in enumerate(rules):
+        ratio = found.ratios(j)
+        odds = odds + F.when(F.col(name) == 1, ratio[1]).when(F.col(name) == -1, ratio[-1]).otherwise(0.0)
     posterior = 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-500.0)), F.lit(500.0))))
-    return rows.withColumn("base_failed", failed).withColumn("posterior", posterior).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).select(
+    return rows.withColumn("posterior", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

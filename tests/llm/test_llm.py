@@ -303,13 +303,62 @@ def test_rules_against_labels(spark):
     assert rows.where("kept <> (quality = 1)").count() <= 0.01 * rows.count()
 
 
-def test_estimate_finds_reliable_rules():
+def _voted(rng, n, share, on_good, on_bad, votes):
+    """Votes of rules with these accuracies; each rule votes with the chance in ``votes``."""
+    good = rng.random(n) < share
+    right = rng.random((n, len(on_good))) < np.where(good[:, None], on_good, on_bad)
+    return np.where(rng.random(right.shape) < votes, np.where(right == good[:, None], 1, -1), 0), good
+
+
+def _patterns(cast):
+    return [(tuple(map(int, p)), int(n)) for p, n in zip(*np.unique(cast, axis=0, return_counts=True))]
+
+
+def test_estimate_finds_accuracies_and_the_share():
     rng = np.random.default_rng(4)
-    bad = rng.random(4000) < 0.15
-    cast = np.column_stack([-((bad & (rng.random(4000) < 0.9)) | (rng.random(4000) < 0.02)).astype(int) for _ in range(3)] + [-(rng.random(4000) < 0.3).astype(int)])
-    patterns = [(tuple(map(int, p)), int(n)) for p, n in zip(*np.unique(cast, axis=0, return_counts=True))]
-    _, ratios = quality_rules.estimate(patterns, 4)
-    assert all(r[-1] < -1.5 for r in ratios[:3]) and ratios[3][-1] > -0.6
+    on_good, on_bad = [0.99, 0.98, 0.97, 0.9, 0.6], [0.9, 0.6, 0.8, 0.5, 0.4]
+    cast, _ = _voted(rng, 60_000, 0.8, on_good, on_bad, 0.9)
+    found = quality_rules.estimate(_patterns(cast), 5)
+    assert abs(found.share - 0.8) < 0.02
+    assert np.allclose(found.on_good, on_good, atol=0.02) and np.allclose(found.on_bad, on_bad, atol=0.04)
+
+
+def test_one_reliable_rule_outweighs_poor_ones():
+    rng = np.random.default_rng(5)
+    cast, good = _voted(rng, 60_000, 0.85, [0.995, 0.99, 0.99, 0.7, 0.7], [0.95, 0.9, 0.9, 0.4, 0.4], 1.0)
+    found = quality_rules.estimate(_patterns(cast), 5)
+    lone, poor = found.ratios(0), [found.ratios(3), found.ratios(4)]
+    assert found.log_odds() + lone[-1] + poor[0][1] + poor[1][1] < 0 < found.log_odds() + lone[1] + poor[0][-1] + poor[1][-1]
+    assert abs(lone[-1]) > 2 * abs(poor[0][-1] + poor[1][-1])
+
+
+def test_estimate_without_documents_and_one_sided_votes():
+    assert quality_rules.estimate([], 3) == quality_rules.Estimate(0.8, [0.98] * 3, [0.3] * 3)
+    for v in (1, -1, 0):
+        found = quality_rules.estimate([((v, v, v), 10_000)], 3)
+        assert all(0 < x < 1 for x in [found.share, *found.on_good, *found.on_bad])
+
+
+def test_verdicts_equal_estimation_document_by_document(spark, docs):
+    """The same model worked out over documents, not patterns, in numpy; no estimate at an end of its range."""
+    stats = quality_rules.statistics(spark.createDataFrame(docs, "doc_id long, text string")).withColumns(quality_rules.votes()).collect()
+    names = list(quality_rules.votes())
+    failed = {i: brute.rule_counts(t)[-1] for i, t in docs}
+    cast = np.array([[r[v] for v in names] for r in stats])
+    passing = np.array([not failed[r.doc_id] for r in stats])
+    (ga, gb), (ba, bb), (sa, sb) = quality_rules.ON_GOOD, quality_rules.ON_BAD, quality_rules.SHARE
+    share, g, b = sa / (sa + sb), np.full(len(names), ga / (ga + gb)), np.full(len(names), ba / (ba + bb))
+    for _ in range(1000):
+        odds = np.log(share / (1 - share)) + np.where(cast == 1, np.log(g / (1 - b)), np.where(cast == -1, np.log((1 - g) / b), 0)).sum(1)
+        p = 1 / (1 + np.exp(-odds))
+        x, q = cast[passing], p[passing][:, None]
+        share = (q.sum() + sa) / (len(x) + sa + sb)
+        g = ((q * (x == 1)).sum(0) + ga) / ((q * (x != 0)).sum(0) + ga + gb)
+        b = (((1 - q) * (x == -1)).sum(0) + ba) / (((1 - q) * (x != 0)).sum(0) + ba + bb)
+    got = {r.doc_id: r for r in QUERIES["op8_quality_rules"](spark, SF).collect()}
+    assert all(abs(got[r.doc_id].posterior - v) < 1e-6 and got[r.doc_id].kept == (v >= 0.5 and not failed[r.doc_id]) for r, v in zip(stats, p))
+    assert 0.5 < share < 1 and all(0 < v < 1 for v in [*g, *b]) and len({round(float(v), 3) for v in b}) > 2
+    assert 0 < sum(r.kept for r in got.values()) < passing.sum()
 
 
 def test_leaks(spark):
