@@ -137,7 +137,70 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_prefix_bpe": prefix_ids,
 }
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in DuckDB: bit by bit, each byte followed by seven zeros."""
+    bits = f"list_transform(range(8 * length({text})), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr({text}, CAST(i // 8 + 1 AS INTEGER), 1)) ELSE 0 END::BIGINT)"
+    step = "xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, x: {step}), 4294967295)"
+
+
+def _manifest_sql(levels: int = 7, upper: int = 3) -> str:
+    """The manifest job in DuckDB, for up to 8 ** levels leaves of a language and 8 ** upper languages."""
+    def framed(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    fields = " || ".join(framed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    tampered = f"CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END"
+    ctes = [f"""d AS (SELECT doc_id, lang, sha256({fields} || {framed('text')}) AS leaf, sha256({fields} || {framed(f'({tampered})')}) AS altered FROM documents)""",
+            """l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM d)""",
+            "a0 AS (SELECT lang AS g, rank AS pos, leaf AS h, n FROM l)"]
+
+    def tree(name: str, height: int) -> None:
+        for k in range(height):
+            ctes.append(f"{name}{k + 1} AS (SELECT g, pos // 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, (n + 7) // 8 AS n FROM {name}{k} WHERE n > 1 GROUP BY g, pos // 8, n)")
+            over = "OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN"
+            ctes.append(f"{name}o{k} AS (SELECT g, pos, coalesce(string_agg(h, '') {over} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, "
+                        f"coalesce(string_agg(h, '') {over} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM {name}{k} WHERE n > 1)")
+
+    tree("a", levels)
+    ctes.append("s AS (" + " UNION ALL ".join(f"SELECT g, h AS subroot FROM a{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    ctes.append("b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, subroot AS h, count(*) OVER () AS n, g AS lang FROM s)")
+    tree("b", upper)
+    ctes.append("r AS (" + " UNION ALL ".join(f"SELECT h AS root FROM b{k} WHERE n = 1" for k in range(upper + 1)) + ")")
+    ctes.append("p0 AS (SELECT l.doc_id, l.lang, l.rank, l.leaf, b0.h AS subroot, b0.pos AS place, '' AS siblings, l.altered AS x FROM l JOIN b0 ON l.lang IS NOT DISTINCT FROM b0.lang)")
+    steps = [("a", k, "o.g IS NOT DISTINCT FROM p.lang AND o.pos = p.rank") for k in range(levels)] + [("b", k, "o.pos = p.place") for k in range(upper)]
+    for i, (name, k, on) in enumerate(steps):
+        on = on.replace("p.rank", f"p.rank // {8 ** k}").replace("p.place", f"p.place // {8 ** k}")
+        ctes.append(f"p{i + 1} AS (SELECT p.* EXCLUDE (siblings, x), p.siblings || coalesce(o.pre || o.post, '') AS siblings, "
+                    f"CASE WHEN o.pos IS NULL THEN x ELSE sha256(o.pre || x || o.post) END AS x FROM p{i} p LEFT JOIN {name}o{k} o ON {on})")
+    return "WITH " + ",\n".join(ctes) + f"""
+        SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, x AS folded_root, x = root AS verified FROM p{len(steps)}, r"""
+
+
 ORACLE: dict[str, str] = {
+    "op5_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM w, unnest(generate_series(1, len(ws) - 12)) t(i)),
+        first AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM win JOIN first USING (g), range(0, 13) r(k) WHERE least < doc_id),
+        word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(generate_series(1, greatest(len(ws) - 4, 1))) t(i) WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+        SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op12_merkle_manifest": _manifest_sql(),
     "op3_url_filter": r"""
         with parts as (
             select page_id,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import (decontamination, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup,
                          token_files, url_filter)
-from tessera.llm.queries import BLOCKED_LABEL, QUERIES, URL_RULES
+from tessera.llm.queries import BLOCKED_LABEL, ORACLE, QUERIES, URL_RULES
 
 SF = "/root/testdata/sf0.001"
 P = pytest.importorskip("public_tokenizers")
@@ -118,14 +118,12 @@ def test_urls(spark):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in QUERIES["op3_url_filter"](spark, SF).collect()} == want
 
 
-def test_urls_against_sql(spark):
-    from tessera.llm.queries import ORACLE
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_jobs_against_sql(spark, name):
     from tools.oracle_check import compare, duck
 
-    name = "op3_url_filter"
-    for sf in (SF, SF.replace("0.001", "0.01")):
-        r = compare(spark, duck(sf), name, QUERIES[name], ORACLE[name], sf)
-        assert r["status"] == "ok", r
+    r = compare(spark, duck(SF), name, QUERIES[name], ORACLE[name], SF)
+    assert r["status"] == "ok", r
 
 
 def test_urls_odd(spark):
