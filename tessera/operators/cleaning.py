@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.ordering import exact_quantiles
+from tessera.operators.sizing import attach_statistics
 
 
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -133,8 +134,7 @@ def impute(df: DataFrame, col: str, by: Sequence[str], how: str = "median",
         stats = df.groupBy(*by).agg(F.avg(col).alias("_fill"))
     else:
         raise ValueError(how)
-    # stats: one row per group, derived from the input; AQE sizes the join
-    out = df.join(stats, on=by, how="left")
+    out = attach_statistics(df, stats, by, "left", "fills") if by else df.withColumn("_fill", stats.select("_fill").scalar())
     return out.withColumn(name or f"{col}_filled", F.coalesce(F.col(col), F.col("_fill"))).drop("_fill")
 
 
@@ -147,7 +147,7 @@ def iqr_outliers(df: DataFrame, col: str, by: Sequence[str] = (), k: float = 1.5
           .withColumn("hi_fence", F.col("_q3") + k * (F.col("_q3") - F.col("_q1")))
           .drop("_q1", "_q3"))
     if by:
-        j = df.join(q, on=by)
+        j = attach_statistics(df, q, by, name="fences")
     else:
         # a single row of fences: scalar subqueries, no join at all
         j = df.withColumns({"lo_fence": q.select("lo_fence").scalar(),

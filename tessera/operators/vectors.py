@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import cosine, norm
+from tessera.operators.sizing import attach_statistics
 
 
 def centroids(df: DataFrame, by: Sequence[str], vec: str, name: str = "centroid") -> DataFrame:
@@ -25,8 +26,6 @@ def centroids(df: DataFrame, by: Sequence[str], vec: str, name: str = "centroid"
 
 def centroid_similarity(df: DataFrame, by: Sequence[str], vec: str) -> DataFrame:
     """Each vector's norm and cosine similarity to its group's centroid."""
-    # one centroid per group; AQE broadcasts it at run time when small
-    c = centroids(df, by, vec)
-    j = df.join(c, on=list(by))
+    j = attach_statistics(df, centroids(df, by, vec), by, name="centroids")
     return j.withColumn("norm", norm(vec)).withColumn("cos_centroid", cosine(vec, "centroid")) \
             .drop("centroid")

@@ -56,9 +56,9 @@ def write_json_lines(df: DataFrame, path: str) -> str:
 
 
 def write_partitioned(df: DataFrame, path: str, cols: list[str], fmt: str = "parquet") -> str:
-    """Write ``df`` partitioned by ``cols``. Rows are first clustered on the
-    partition columns so each task writes few directories (bounded open files),
-    while AQE keeps the shuffle partitions sized."""
-    (df.repartition(*[F.col(c) for c in cols])
-       .write.mode("overwrite").partitionBy(*cols).format(fmt).save(path))
+    """Write ``df`` partitioned by ``cols``. Rows are brought together by the partition
+    columns (``rebalance``), so each task writes few directories; adaptive execution
+    then splits a value that holds many rows over several tasks and files of about
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, and lets small ones share a task."""
+    df.hint("rebalance", *cols).write.mode("overwrite").partitionBy(*cols).format(fmt).save(path)
     return path

@@ -352,6 +352,21 @@ def test_active_spans(spark):
     assert rows(active_spans(df, ["u"], "day", chunk_rows=1, fan_in=2)) == [(None, [[1, 2]]), (1, [[1, 3], [7, 7]]), (2, [[5, 5]])]
 
 
+def test_statistics_are_broadcast_by_bytes_or_salted(spark):
+    """A group with two thirds of the rows; null keys; both ways agree, and only the salted one shuffles the large side."""
+    from tessera.operators.sizing import attach_statistics
+
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 30 == 0, F.lit(None)).otherwise((F.col("id") % 7).cast("string")).alias("g"))
+    stats = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("inner", "left"):
+        small, large = attach_statistics(df, stats, ["g"], how), attach_statistics(df, stats, ["g"], how, max_bytes=0, salts=5)
+        assert rows(small, "id", "g", "n") == rows(large, "id", "g", "n") == rows(df.join(stats, ["g"], how), "id", "g", "n")
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    per_task = [r["count"] for r in large.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) < 0.6 * 3000
+
+
 def test_stack_allows_missing(spark):
     a = spark.createDataFrame([(1, "x")], "k long, s string")
     b = spark.createDataFrame([(2,)], "k long")

@@ -2,6 +2,7 @@
 
 import os
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from support import SF_SMALL, rows
@@ -49,3 +50,19 @@ def test_partitioned_write_prunes_partitions(spark):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(p" in plan and "(p" in plan
     assert back.count() == 25
+
+
+def test_partitioned_write_splits_a_hot_value(spark):
+    """Several files for the value with most rows, one for the others; a null value and no rows at all."""
+    from tessera.streaming.sinks import _settings
+
+    df = spark.range(200_000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 1000 == 0, F.lit(None)).otherwise(
+        (F.col("id") % 5).cast("string")).alias("p"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    path = scratch_path(spark, "t-hot")
+    with _settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "64"}):
+        files.write_partitioned(df, path, ["p"])
+    back = spark.read.parquet(path)
+    assert back.groupBy("p").count().exceptAll(df.groupBy("p").count()).isEmpty()
+    n = {r.p: r["count"] for r in back.select("p", F.input_file_name().alias("f")).distinct().groupBy("p").count().collect()}
+    assert n["hot"] >= 3 and all(k == "hot" or v <= 2 for k, v in n.items()) and None in n
+    files.write_partitioned(df.where("false"), scratch_path(spark, "t-none"), ["p"])
