@@ -36,7 +36,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
+    memory = os.environ.get("TESSERA_DRIVER_MEMORY", "8g" if (master or "").startswith("local") else None)
+    if memory:  # in local mode the driver is the executor too; elsewhere the caller's setting stands
+        builder = builder.config("spark.driver.memory", memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)

@@ -367,6 +367,16 @@ def test_statistics_are_broadcast_by_bytes_or_salted(spark):
     assert max(per_task) < 0.6 * 3000
 
 
+def test_money_is_never_rounded_in_silence(spark):
+    from tessera.functions import money
+
+    good = spark.createDataFrame([(0.1, 0.07), (9999999999.99, 0.0), (-3.0, 1.0), (None, 0.5)], "p double, d double")
+    assert good.agg(money.total(money.net("p", "d")).alias("s")).first().s == 9999999999.99 + 0.093
+    for p, d in ((0.105, 0.0), (1.0, 0.005), (1e10, 0.0), (float("nan"), 0.0)):
+        with pytest.raises(Exception, match="decimal|DECIMAL|NaN|NUMERIC|CAST"):
+            spark.createDataFrame([(p, d)], "p double, d double").agg(money.total(money.net("p", "d"))).collect()
+
+
 def test_stack_allows_missing(spark):
     a = spark.createDataFrame([(1, "x")], "k long, s string")
     b = spark.createDataFrame([(2,)], "k long")
