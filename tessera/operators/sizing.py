@@ -36,6 +36,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFr
 BROADCAST_BYTES = 16 << 20
 
 
+def measured_bytes(table: DataFrame) -> int:
+    """Bytes of the rows of a written table, as text."""
+    return table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0] or 0
+
+
+def broadcast_if_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its rows take up to ``max_bytes``."""
+    return F.broadcast(table) if measured_bytes(table) <= max_bytes else table
+
+
 def attach_statistics(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner", name: str = "statistics",
                       max_bytes: int = BROADCAST_BYTES, salts: int = 32) -> DataFrame:
     """``df`` joined with a table of one row per group that was derived from it (``how``: inner or left).
@@ -46,8 +56,7 @@ def attach_statistics(df: DataFrame, stats: DataFrame, on: Sequence[str], how: s
     holds a third of the rows is joined by that many tasks. As in SQL, null keys match nothing."""
     on = list(on)
     stats = persist_table(stats, name)
-    size = stats.agg(F.sum(F.octet_length(F.to_json(F.struct(*stats.columns))))).first()[0] or 0
-    if size <= max_bytes:
+    if measured_bytes(stats) <= max_bytes:
         return df.join(F.broadcast(stats), on, how)
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     dealt = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
