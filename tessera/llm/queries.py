@@ -13,8 +13,8 @@ from tessera.llm.common import read_table
 
 # The rules of the URL job.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-#: Hosts with a label that starts so are on the block list that the cascade encodes.
-BLOCKED_LABEL = r"(^|\.)(ads|casino|cheap|free|spam)-"
+#: The block list that the cascade encodes: addresses (host and path) with a page that has a row of three such signs in its html.
+JUNK = r"[*%$#]{3}"
 
 
 def _tokenizer(name: str) -> str:
@@ -36,9 +36,10 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
-    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).distinct()
-    return url_filter.judge(pages, URL_RULES, hosts.where(F.col("host").rlike(BLOCKED_LABEL)))
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    address = F.concat(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
+    listed = pages.where(F.col("html").rlike(JUNK)).select(address.alias("url"))
+    return url_filter.judge(pages, URL_RULES, listed, "url")
 
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +206,10 @@ ORACLE: dict[str, str] = {
         with parts as (
             select page_id,
                    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+                   coalesce(regexp_matches(html, '[*%$#]{3}'), false) as junk
             from pages),
+        listed as (select distinct host || path as address from parts where junk),
         ruled as (
             select *, case
                 when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
@@ -219,7 +222,7 @@ ORACLE: dict[str, str] = {
         select page_id, host, path, rule, case
             when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block'
             when rule in ('com/fr/', 'org/') then 'allow'
-            when regexp_matches(host, '(^|\.)(ads|casino|cheap|free|spam)-') then 'block'
+            when host || path in (select address from listed) then 'block'
             else 'allow' end as verdict
         from ruled""",
 }

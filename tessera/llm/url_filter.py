@@ -9,7 +9,8 @@ odd number of levels in all), so pages are judged without a join.
 The universe (all distinct keys of the corpus) is split by hash into shards of
 about ``SHARD_KEYS`` keys and every shard gets its own cascade in one bounded
 task. The finished bits are broadcast in blocks of at most ``block_bytes``;
-pages pass one block after the other, so any list size works the same way.
+pages pass one block after the other, in a pass of its own that is written if there
+are several, so a worker holds one block at a time and any list size works the same way.
 
 Defined cases: a null key is never listed; a key outside the universe gets an
 answer that may be wrong (build over all keys); repeated listed or universe
@@ -137,6 +138,9 @@ def listed_flag(df: DataFrame, key: Column, cascade: DataFrame, name: str = "lis
         sent = df.sparkSession.sparkContext.broadcast([(r["shard"], r["bits"], r["hashes"], bytes(r["packed"])) for r in rows])
 
         out = out.withColumn(name, _listed_in(sent, shards)("_h", name))
+        if len(blocks) > 1:
+            out = persist_table(out, "listed")
+            sent.unpersist()
     return out.withColumn(name, F.col(name) & key.isNotNull()).drop("_h")
 
 
@@ -167,14 +171,16 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
     return rule, verdict
 
 
-def judge(pages: DataFrame, rules: dict[str, str], listed_hosts: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict: the longest rule's verdict, else block for a listed host.
+def judge(pages: DataFrame, rules: dict[str, str], listed: DataFrame, by: str = "host") -> DataFrame:
+    """page_id, host, path, rule, verdict: the longest rule's verdict, else block for what is listed.
 
-    ``listed_hosts`` has a column ``host``; membership is by exact host, through the cascade.
+    ``by`` is ``host`` or ``url`` (host and path in one string); ``listed`` has a column of that name, and
+    membership is by exact key, through the cascade over all keys of the pages.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    cascade = build(parts.select("host").distinct(), listed_hosts, "host")
-    flagged = listed_flag(parts, F.col("host"), cascade)
+    key = {"host": F.col("host"), "url": F.concat("host", "path")}[by]
+    cascade = build(parts.select(key.alias(by)).distinct(), listed, by)
+    flagged = listed_flag(parts, key, cascade)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return flagged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(
         verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import (decontamination, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup,
                          token_files, url_filter)
-from tessera.llm.queries import BLOCKED_LABEL, ORACLE, QUERIES, URL_RULES
+from tessera.llm.queries import JUNK, ORACLE, QUERIES, URL_RULES
 
 SF = "/root/testdata/sf0.001"
 P = pytest.importorskip("public_tokenizers")
@@ -110,12 +110,15 @@ def test_sequences_are_views(tmp_path):
 
 
 def test_urls(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    listed = {"".join(brute.url_parts(r.url)) for r in rows if re.search(JUNK, r.html or "")}
     want = {}
-    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+    for r in rows:
         host, path = brute.url_parts(r.url)
         rule, verdict = brute.url_rule(host, path, URL_RULES)
-        want[r.page_id] = (host, path, rule, verdict or ("block" if re.search(BLOCKED_LABEL, host) else "allow"))
+        want[r.page_id] = (host, path, rule, verdict or ("block" if host + path in listed else "allow"))
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in QUERIES["op3_url_filter"](spark, SF).collect()} == want
+    assert 0 < len(listed) < len(rows)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -137,6 +140,10 @@ def test_urls_odd(spark):
         rule, verdict = brute.url_rule(host, path, URL_RULES)
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if host == "q.net" else "allow")), url
     assert url_filter.judge(pages.where("false"), URL_RULES, listed).count() == 0
+    long = "x" * 200_000
+    more = spark.createDataFrame([(1, f"http://q.net/{long}?a"), (2, f"http://q.net/{long}y"), (3, "http://q.net/"), (3, "http://q.net/")], "page_id long, url string")
+    keys = spark.createDataFrame([(f"q.net/{long}",), ("q.net/",), ("q.net",)], "url string")
+    assert sorted((r.page_id, r.verdict) for r in url_filter.judge(more, URL_RULES, keys, "url").collect()) == [(1, "block"), (2, "allow"), (3, "block"), (3, "block")]
 
 
 def test_cascade_is_exact(spark):
