@@ -23,11 +23,12 @@ SINGLE_PARTITION_NOTES = {
     "ab_conversion_z_test": "one-row combination of the per-group counts (two rows)",
     "ab_sample_ratio": "scalar total and statistic over the per-group counts; partial aggregates first",
     "ab_value_welch_test": "one-row combination of the per-group moments (two rows)",
+    "customer_balance_tiers": "carry over one row per range partition",
     "customer_profile": "one-row profile aggregate; each task sends one partial row",
     "customer_rfm": "prefix sums over one row per range partition, once per score",
     "event_day_n_retention": "rate denominator: window over the per-day table (one row per day)",
     "event_funnel_48h": "one count per funnel step; each task sends one partial count",
-    "event_value_bootstrap": "global mean (partial aggregate) and the replicate table (one row per replicate)",
+    "event_value_bootstrap": "one row per replicate, reduced from one vector per task",
     "events_cast_failures": "one-row failure counts; each task sends one partial row",
     "foreign_key_orphans": "one orphan count per foreign key; each task sends one partial count",
     "part_abc": "prefix sums over one row per range partition",
