@@ -10,7 +10,8 @@ Cholesky factors kept in the model) plus the log prior odds, as a probability.
 Defined cases: a null text counts as empty; an empty text has a vector like any
 other and gets a score; label rows with a null id or a quality other than 0 and
 1 teach nothing; a document with several label rows counts once for each; with
-no labelled rows, or of one class alone, every score is 1.0. Extra columns pass
+labelled rows of one class alone every score is the share of class 1 with one row
+of either class added (near 0 or near 1), without any it is 0.5. Extra columns pass
 through unless they bear an output's name, which is then replaced.
 """
 
@@ -69,7 +70,10 @@ def text_vectors(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 @dataclass
 class Model:
-    """Means, Cholesky factors and prior odds; ``means`` is empty if there was nothing to tell apart."""
+    """Means, Cholesky factors and prior odds; without ``means`` there was nothing to tell apart, and the prior is the score.
+
+    The inverse of each factor is worked out once and kept.
+    """
 
     centre: np.ndarray
     scale: np.ndarray
@@ -77,14 +81,19 @@ class Model:
     means: list[np.ndarray] = field(default_factory=list)
     factors: list[np.ndarray] = field(default_factory=list)
 
+    def __post_init__(self):
+        self.whiteners: list[np.ndarray] = []
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row of ``x``."""
         if not self.means or not len(x):
-            return np.ones(len(x))
+            return np.full(len(x), 1 / (1 + np.exp(-self.log_odds)))
+        if not self.whiteners:
+            self.whiteners = [np.linalg.inv(f) for f in self.factors]
         z = (x - self.centre) / self.scale
         logs = []
-        for mean, factor in zip(self.means, self.factors):
-            y = np.linalg.solve(factor, (z - mean).T)  # triangular: y'y is the Mahalanobis distance
+        for mean, factor, whitener in zip(self.means, self.factors, self.whiteners):
+            y = whitener @ (z - mean).T  # y'y is the Mahalanobis distance
             logs.append(-0.5 * (y * y).sum(0) - np.log(np.diag(factor)).sum())
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + self.log_odds, -500, 500)))
 
@@ -116,7 +125,8 @@ def fit(vectors: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     got = parts.groupBy("label").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(n_sums)]).alias("sums")).collect()
     sums = {r["label"]: np.array(r["sums"]) for r in got}
     if len(sums) < 2:
-        return Model(np.zeros(D), np.ones(D))
+        rows = {k: s[0] for k, s in sums.items()}
+        return Model(np.zeros(D), np.ones(D), float(np.log((rows.get(1, 0) + 1) / (rows.get(0, 0) + 1))))
     upper = np.triu_indices(D)
 
     def parts_of(s):
@@ -166,11 +176,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of 0.5 or more, all columns unchanged.
 
-    The model comes from all labelled rows that aren't held out; the texts are
-    then scored where they lie, so that they cross no shuffle.
+    The model comes from all labelled rows that aren't held out, and only their
+    vectors are written; the texts are then scored where they lie, so that they
+    cross no shuffle.
     """
-    vectors = text_vectors(docs)
-    model = fit(vectors, labels.where(~held_out(F.col("doc_id"))))
+    taught = labels.where(~held_out(F.col("doc_id")))
+    model = fit(text_vectors(docs.where(~held_out(F.col("doc_id")))), taught)
 
     place = docs.columns.index("text")
 
