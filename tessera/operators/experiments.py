@@ -12,7 +12,7 @@ import math
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,19 +103,18 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Only observed cells are materialised: the empty cells contribute their
     expected counts, whose total is N minus the expected counts of the
-    observed cells, so no (levels x levels) grid is built."""
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
-    ra = cells.groupBy(a).agg(F.sum("o").alias("ra"))
-    cb = cells.groupBy(b).agg(F.sum("o").alias("cb"))
+    observed cells, so no (levels x levels) grid is built. Cells are counted once
+    and the margins are windows over them. Rows with a null in either take no part."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     n = cells.select(F.sum("o")).scalar()
-    j = (cells.join(ra, a).join(cb, b)
-              .withColumn("e", F.col("ra") * F.col("cb") / n))
-    stat = j.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("_obs"),
-                 F.sum("e").alias("_se"), F.sum("o").alias("n"))
-    levels_a = ra.select(F.count(F.lit(1))).scalar()
-    levels_b = cb.select(F.count(F.lit(1))).scalar()
+    by_a, by_b = Window.partitionBy(a), Window.partitionBy(b)  # over cells: a window holds one level's cells, not its rows
+    each = cells.select("o", F.sum("o").over(by_a).alias("ra"), F.count(F.lit(1)).over(by_a).alias("ka"),
+                        F.sum("o").over(by_b).alias("cb"), F.count(F.lit(1)).over(by_b).alias("kb"))
+    each = each.withColumn("e", F.col("ra") * F.col("cb") / n)
+    stat = each.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("_obs"), F.sum("e").alias("_se"), F.sum("o").alias("n"),
+                    F.round(F.sum(1 / F.col("ka"))).alias("levels_a"), F.round(F.sum(1 / F.col("kb"))).alias("levels_b"))
     return stat.select((F.col("_obs") + F.col("n") - F.col("_se")).alias("chi2"),
-                       ((levels_a - 1) * (levels_b - 1)).cast("long").alias("dof"),
+                       ((F.col("levels_a") - 1) * (F.col("levels_b") - 1)).cast("long").alias("dof"),
                        F.col("n").cast("long").alias("n"))
 
 

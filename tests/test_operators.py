@@ -377,6 +377,21 @@ def test_money_is_never_rounded_in_silence(spark):
             spark.createDataFrame([(p, d)], "p double, d double").agg(money.total(money.net("p", "d"))).collect()
 
 
+def test_chi_square_by_hand(spark):
+    """Empty cells, nulls left out, one level, no rows; cells are counted once."""
+    from tessera.operators.experiments import chi_square
+
+    data = [("x", "p")] * 10 + [("x", "q")] * 20 + [("y", "p")] * 30 + [("z", "q")] * 5 + [(None, "p"), ("x", None)]
+    out = chi_square(spark.createDataFrame(data, "a string, b string"), "a", "b")
+    got = out.first()
+    table = np.array([[10, 20], [30, 0], [0, 5]], float)
+    e = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
+    assert math.isclose(got.chi2, ((table - e) ** 2 / e).sum()) and (got.dof, got.n) == (2, 65)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert tuple(chi_square(spark.createDataFrame(data[:10], "a string, b string"), "a", "b").first()) == (0.0, 0, 10)
+    assert chi_square(out.where("false").selectExpr("'a' as a", "'b' as b"), "a", "b").first().chi2 is None
+
+
 def test_stack_allows_missing(spark):
     a = spark.createDataFrame([(1, "x")], "k long, s string")
     b = spark.createDataFrame([(2,)], "k long")
