@@ -548,3 +548,32 @@ def test_pipeline_keeps_all_clean_documents(spark, docs):
     for _, stage in pipeline.STAGES[:-1]:
         left = stage(spark, left, SF)
     assert len(want) > len(docs) / 2 and {r.doc_id: r.text for r in left.collect()} == want
+
+
+def test_pipeline_odd(spark, tmp_path, odd):
+    """Nulls, repeated rows and ids, ties, a long text and clashing columns through all stages; empty tables."""
+    import corpus_pipeline as pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = odd.unionByName(spark.createDataFrame([(20, a, "x", "s", "y", None), (21, a, "x", "s", "y", None), (21, b, "x", "s", "y", None), (22, b + " more", "x", "s", "y", None)], ODD))
+    docs = docs.withColumns({"item_id": F.lit(1), "h": F.lit("x"), "md5": F.lit("m"), "label": F.lit(0), "vector": F.lit(1.0)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns, name
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(i for i, t in kept if i is not None) == [0, 1, 2, 3, 4, 5, 8, 9, 20, 21] and (21, b) in kept and sum(i is None for i, _ in kept) == 1
+    t = tokenizer("byte_bpe_50k.json")
+    rows = pipeline.run(spark, str(tmp_path)).collect()
+    got = defaultdict(int)
+    for r in rows:
+        got[r.doc_id] += r.length
+    assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in kept}
+    none = f"{tmp_path}/none"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{none}/{name}.parquet")
+    docs.where("false").write.parquet(f"{none}/documents.parquet")
+    assert pipeline.run(spark, none).count() == 0
