@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared folder and the next stage reads it again. All stages
-but the last return the columns of documents.
+but the last return the columns of documents, whatever other columns there are.
+
+Defined cases: a null text is empty, has a score like any other and packs as its end
+id alone; rows with a null id are scored as others, are never near duplicates
+or benchmark copies (they cannot be named) and pack under a null id; a document is an id with
+a text, so different texts of one id are judged apart and equal rows are one; without
+labels nothing is rejected, without benchmark items nothing is taken out; empty documents
+give no pieces.
 """
 
 from __future__ import annotations
