@@ -32,6 +32,8 @@ such rows alone has a null name); an empty input gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +44,7 @@ from tessera.llm.blocks import BLOCK, NO_ID, SENT, counted, pack_texts, parts_fo
 from tessera.llm.common import persist_table
 from tessera.llm.components import connected
 from tessera.llm.textwindows import Batch, mix, window_hashes
+from tessera.operators.sizing import broadcast_if_small
 
 SHINGLE = 5
 EXTRA = 0.08  # of a set's size: how far a prefix may be lengthened
@@ -253,16 +256,16 @@ def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFra
     return persist_table(spread.groupBy("chunk", "class").applyInPandas(links, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; the table is written."""
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, md5 (of the text), n_shingles, node, component of every row."""
     blocks = write_blocks(docs)
     parts = parts_for(blocks, KEYS_PER_BYTE)
 
     def describe(block, ids, texts, by):
         for i, s in enumerate(shingle_sets(texts)):
-            yield None if ids[i] == NO_ID else int(ids[i]), block, i, len(s), set_key(s)
+            yield None if ids[i] == NO_ID else int(ids[i]), hashlib.md5(texts[i], usedforsecurity=False).hexdigest(), block, i, len(s), set_key(s)
 
-    rows = persist_table(with_answers(blocks, None, describe, "doc_id long, block long, row int, n_shingles long, node long"), "sets")
+    rows = persist_table(with_answers(blocks, None, describe, "doc_id long, md5 string, block long, row int, n_shingles long, node long"), "sets")
     reps = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("block", "row")).alias("r")).groupBy("r.block").agg(
         F.sort_array(F.collect_list("r.row")).alias("rows"))  # rows of one block
     reps = reps.select("block", F.lit(REPS).alias("level"), F.explode("rows").alias("part"), F.lit(b"").alias("bits"))
@@ -290,7 +293,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             yield pack_texts(block, [set_key(sets[i]) for i in stay], [texts[i] for i in stay])
 
     labels = _components(persist_table(with_answers(blocks, asked.unionByName(reps), survivors, BLOCK), "candidates"), percent)
-    named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows.join(labels, "node", "left").select("doc_id", "md5", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; the table is written."""
+    named = _grouped(docs, percent)
     names = persist_table(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     found = named.join(names, "component", "left")
     return persist_table(found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
@@ -298,16 +306,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; all columns unchanged.
+    """One document of each group of near duplicates; all columns unchanged.
 
-    Rows that bear one id are one document: the first of them stays. Rows with a
-    null id cannot be named and all stay.
+    A document is an id with a text (by its MD5): of a group the one with the smallest
+    id stays, of several texts of that id the one with the smallest MD5. Texts of one id
+    that are not near duplicates all stay. Rows equal in id and text are one document;
+    of these the row stays whose hash over all columns is smallest. Rows with a
+    null id cannot be named and all stay, and so does every text without words.
     """
-    found = near_duplicates(docs, percent)
-    dropped = persist_table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    kept = docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
-    twice = persist_table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "repeated")
+    known = _grouped(docs, percent).where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "md5").agg(
+        F.first("component").alias("component"), F.count(F.lit(1)).alias("rows"))
+    known = persist_table(known, "known")
+    best = known.groupBy("component").agg(F.min(F.struct("doc_id", "md5")).alias("best"))
+    dropped = known.join(best, "component").where(F.struct("doc_id", "md5") != F.col("best"))
+    # sent to every task while it is small, so that texts cross no shuffle; a join by id and MD5 beyond that
+    dropped = broadcast_if_small(persist_table(dropped.select(F.col("doc_id").alias("_gone"), F.col("md5").alias("_gone_md5")), "dropped"))
+    md5 = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    kept = docs.join(dropped, (docs["doc_id"] == F.col("_gone")) & (md5 == F.col("_gone_md5")), "left_anti")
+    twice = persist_table(known.where("rows > 1").select(F.col("doc_id").alias("_twice"), F.col("md5").alias("_twice_md5")), "repeated")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, kept["doc_id"] == F.col("_twice"), "left_anti")
-    return once.unionByName(kept.join(twice, kept["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    same = (kept["doc_id"] == F.col("_twice")) & (F.md5(F.coalesce(kept["text"], F.lit("")).cast("binary")) == F.col("_twice_md5"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(twice, same).groupBy("_twice", "_twice_md5").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return kept.join(twice, same, "left_anti").unionByName(once.select("_row.*"))
