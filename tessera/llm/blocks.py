@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_groups, few_at_a_time, persist_table
+from tessera.llm.common import bounded_groups, few_at_a_time, give_back, persist_table
 
 BLOCK_BYTES = 3 << 20
 PART_KEYS = 1_000_000
@@ -122,8 +122,10 @@ def told(keys: DataFrame, level: int) -> DataFrame:
         out = np.empty(len(yes), bool)
         out[order] = yes
         ends = np.cumsum(sizes)
-        return pd.DataFrame({"block": frame["block"], "level": np.int32(level), "part": frame["part"],
-                             "bits": [np.packbits(out[e - n:e]).tobytes() for e, n in zip(ends, sizes)]})
+        bits = [np.packbits(out[e - n:e]).tobytes() for e, n in zip(ends, sizes)]
+        del lists, all_keys, order, k, yes, out
+        give_back()
+        return pd.DataFrame({"block": frame["block"], "level": np.int32(level), "part": frame["part"], "bits": bits})
 
     return persist_table(keys.groupBy("part").applyInPandas(answer, TOLD), "told")
 
@@ -137,8 +139,10 @@ def counted(keys: DataFrame, level: int) -> DataFrame:
         sums = np.bincount(of, np.frombuffer(b"".join(frame["checks"]), "<u4"), len(all_keys))
         out = np.minimum(sums[of], 65535).astype("<u2")
         ends = np.cumsum([len(x) for x in lists])
-        return pd.DataFrame({"block": frame["block"], "level": np.int32(level), "part": frame["part"],
-                             "bits": [pa.compress(out[e - len(x):e].tobytes(), "zstd", asbytes=True) for e, x in zip(ends, lists)]})
+        bits = [pa.compress(out[e - len(x):e].tobytes(), "zstd", asbytes=True) for e, x in zip(ends, lists)]
+        del lists, all_keys, of, sums, out
+        give_back()
+        return pd.DataFrame({"block": frame["block"], "level": np.int32(level), "part": frame["part"], "bits": bits})
 
     return persist_table(keys.groupBy("part").applyInPandas(answer, TOLD), "counted")
 
@@ -172,6 +176,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame | None, work: Callable, s
                 by.setdefault(int(level), {})[int(part)] = bits
         for r in frame.itertuples():
             rows += work(int(r.block), *texts_of(r.ids, r.sizes, r.bytes, r.data), by)
+        give_back()
         return pd.DataFrame(rows, columns=names, dtype=object)  # a null id must not turn ids into floats
 
     if answers is None:

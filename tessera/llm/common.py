@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.session import persist_table, scratch_path
 
-__all__ = ["bounded_groups", "few_at_a_time", "numbered", "persist_table", "read_table", "scratch_path"]
+__all__ = ["bounded_groups", "few_at_a_time", "give_back", "numbered", "persist_table", "read_table", "scratch_path"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,14 +19,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def few_at_a_time(batches, rows: int = 500):
-    """Arrow batches cut into smaller ones, so that few texts are Python objects at a time."""
+def give_back() -> None:
+    """Hands memory that this worker no longer uses back to the machine: workers go on from stage to stage,
+    and what an earlier one has freed would still count as theirs."""
+    import ctypes
+    import gc
+
     import pyarrow as pa
 
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def few_at_a_time(batches, rows: int = 500):
+    """Arrow batches cut into smaller ones, so that few texts are Python objects at a time."""
     for whole in batches:
         for lo in range(0, whole.num_rows, rows):
             yield whole.slice(lo, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def bounded_groups(rows: int, most: int) -> int:
