@@ -1,7 +1,8 @@
 """Python where Spark has no built-in.
 
 ``fold_groups`` is for groups of any size: a function turns a bounded chunk of rows
-into a state, another merges states, so no frame grows with a group.
+into a state, another merges states, so no frame grows with a group. Group-aware
+functions (``many=True``) fold all groups of an Arrow batch at once.
 
 ``per_group`` hands groups to a pandas function through ``applyInPandas``
 (Arrow batches). A whole group is one pandas frame in one task, so the
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +49,8 @@ def seconds_since_previous(pdf: pd.DataFrame, by: Sequence[str] = ("user_id", "d
     return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "secs_since_prev": gap.to_numpy()})
 
 
-def fold_groups(df: DataFrame, by: Sequence[str], chunk: Callable[[pd.DataFrame], list[dict]], merge: Callable[[pd.DataFrame], dict],
-                state: str, chunk_rows: int = 10_000, fan_in: int = 64) -> DataFrame:
+def fold_groups(df: DataFrame, by: Sequence[str], chunk: Callable, merge: Callable, state: str,
+                chunk_rows: int = 10_000, fan_in: int = 64, many: bool = False) -> DataFrame:
     """Folds every group with Python, in frames of bounded size; returns by and the ``state`` columns, a row for each group.
 
     ``chunk`` gets up to ``chunk_rows`` rows of one group and returns its states (dicts
@@ -56,47 +58,101 @@ def fold_groups(df: DataFrame, by: Sequence[str], chunk: Callable[[pd.DataFrame]
     states of one group and returns one. It must not matter how rows and states are dealt:
     merging is associative and commutative.
 
+    With ``many`` a call folds many groups, so that small groups cost no call each: both
+    get an Arrow batch in which the rows of a group lie together and the numbers of the
+    rows at which groups begin, and return the ``state`` columns as Arrow arrays, a row for each group.
+
     Chunks are taken where the rows lie, before any shuffle. States then meet in turns:
     a group with many of them is dealt over as many tasks as ``fan_in`` asks for, so a
     group of any share of the rows is never in one frame, and each turn divides its states
-    by about ``fan_in`` (hash shares vary, so a frame may hold a few times as many).
+    by about ``fan_in`` (hash shares vary, so a frame may hold a few times as many). States
+    come sorted by group and are merged batch by batch, so no task holds its states whole.
     Null keys are groups; an empty input gives no rows.
     """
     by = list(by)
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     names = [f.split()[0].strip("`") for f in _columns(state)]
+    schema = f"{keys}, {state}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    if many:
+        of_rows, of_states = chunk, merge
+    else:
+        types = [arrow.field(n).type for n in names]
+        of_rows, of_states = _one_by_one(chunk, types, names), _one_by_one(lambda f: [merge(f[names])], types, names)
 
-    def rows_of(key, states: list[dict]) -> pd.DataFrame:
-        key = key if isinstance(key, tuple) else (key,)
-        return pd.DataFrame([[*(None if pd.isna(k) else k for k in key), *(s[n] for n in names)] for s in states], columns=[*by, *names], dtype=object)
-
-    def first(batches):
+    def folded(rows, on: list[str], fold: Callable):
         import pyarrow as pa
 
+        code = _group_codes(rows, on)
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        rows = rows.take(pa.array(order))
+        states = fold(rows, starts)
+        if not many:
+            of, states = states
+            starts = starts[of]
+        heads = rows.select(by).take(pa.array(starts))
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*heads.columns, *states], arrow)], schema=arrow)
+
+    def first(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, chunk_rows):
-                frame = batch.slice(lo, chunk_rows).to_pandas(integer_object_nulls=True)  # whole numbers stay whole beside nulls
-                places: dict[tuple, list[int]] = {}
-                for i, key in enumerate(zip(*(frame[c] for c in by))):
-                    places.setdefault(tuple(None if pd.isna(k) else k for k in key), []).append(i)
-                for key, at in places.items():
-                    yield pa.RecordBatch.from_pandas(rows_of(key, chunk(frame.iloc[at].reset_index(drop=True))), arrow, preserve_index=False)
-
-    def joined(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        states = frame[names]
-        return rows_of(key[:len(by)], [merge(states.reset_index(drop=True))])
-
-    schema = f"{keys}, {state}"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+                yield folded(batch.slice(lo, chunk_rows), by, of_rows)
+
+    def merged(states: DataFrame, on: list[str]) -> DataFrame:
+        def turn(batches):
+            import pyarrow as pa
+
+            held = None  # the group that may go on in the next batch
+            for batch in batches:
+                rows = batch if held is None else pa.concat_batches([held, batch])
+                if not rows.num_rows:
+                    continue
+                code = _group_codes(rows, on)
+                last = code == code[-1]
+                if not last.all():
+                    yield folded(rows.take(pa.array(np.flatnonzero(~last))), on, of_states)
+                held = rows.take(pa.array(np.flatnonzero(last)))
+            if held is not None:
+                yield folded(held, on, of_states)
+
+        return states.repartition(*on).sortWithinPartitions(*on).mapInArrow(turn, schema)
+
+    for c in by:  # values that are one group are one value
+        if df.schema[c].dataType.typeName() in ("float", "double"):
+            kind = df.schema[c].dataType
+            df = df.withColumn(c, F.nanvl(F.col(f"`{c}`") + F.lit(0.0).cast(kind), F.lit(None).cast(kind)))
     states = persist_table(df.mapInArrow(first, schema), "states")
     while True:
         sizes = states.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         most = sizes.agg(F.max("_n")).first()[0] or 0
         if most <= fan_in:
-            return states.groupBy(*by).applyInPandas(joined, schema)
+            return merged(states, by)
         dealt = states.join(sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_n"), _null_safe(states, by)).withColumn(
             "_share", F.floor(F.rand(7) * F.ceil(F.col("_n") / fan_in)).cast("int")).select(*by, "_share", *names)
-        states = persist_table(persist_table(dealt, "dealt").groupBy(*by, "_share").applyInPandas(joined, schema), "states")
+        states = persist_table(merged(persist_table(dealt, "dealt"), [*by, "_share"]), "states")
+
+
+def _group_codes(rows, by: Sequence[str]) -> np.ndarray:
+    """A number for each row of an Arrow batch, one for each group; nulls are a value."""
+    code = np.zeros(rows.num_rows, np.int64)
+    for c in by:
+        found = rows.column(c).dictionary_encode("encode")
+        code = np.unique(code * (len(found.dictionary) + 1) + found.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return code
+
+
+def _one_by_one(fold: Callable[[pd.DataFrame], list[dict]], types: list, names: list[str]) -> Callable:
+    """Folds each group of a batch alone; returns the group of each state beside the columns."""
+
+    def every(rows, starts: np.ndarray):
+        import pyarrow as pa
+
+        frame = rows.to_pandas(integer_object_nulls=True)  # whole numbers stay whole beside nulls
+        got = [(g, s) for g, (a, b) in enumerate(zip(starts, [*starts[1:], len(frame)])) for s in fold(frame.iloc[a:b].reset_index(drop=True))]
+        return np.array([g for g, _ in got], np.int64), [pa.array([s[n] for _, s in got], t, from_pandas=True) for n, t in zip(names, types)]
+
+    return every
 
 
 def _columns(state: str) -> list[str]:
@@ -118,26 +174,36 @@ def _null_safe(df: DataFrame, by: Sequence[str]):
     return out
 
 
-def day_spans(days) -> list[list[int]]:
-    """Sorted spans [first, last] of consecutive numbers."""
-    out: list[list[int]] = []
-    for d in sorted(days):
-        if out and d <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], d)
-        else:
-            out.append([d, d])
-    return out
+def group_spans(group: np.ndarray, first: np.ndarray, last: np.ndarray, groups: int):
+    """For every group 0 .. groups - 1 its sorted spans of days, those that touch or overlap as one, as an Arrow array of lists of [first, last]."""
+    import pyarrow as pa
 
+    shift, zero = np.int64(33), np.int64(1) << 31  # days are 32-bit numbers; groups lie further apart than any days
+    a, b = ((group.astype(np.int64) << shift) + x.astype(np.int64) + zero for x in (first, last))
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] > reach[:-1] + 1]))
+    ends = np.append(at[1:], len(a))[:len(at)] - 1
+    days = np.stack([a[at], reach[ends]], 1) - ((a[at] >> shift) << shift)[:, None] - zero
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(at) + 1, 2, np.int32)), pa.array(days.astype(np.int32).ravel()))
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(a[at] >> shift, minlength=groups))])
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pairs)
 
-def merged_spans(spans) -> list[list[int]]:
-    """Spans that touch or overlap, as one."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+
+def _groups_of(starts: np.ndarray, rows: int) -> np.ndarray:
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows)))
+
+
+def _spans_of_days(rows, starts: np.ndarray) -> list:
+    days = rows.column("_d").to_numpy(zero_copy_only=False)
+    return [group_spans(_groups_of(starts, len(days)), days, days, len(starts))]
+
+
+def _spans_of_spans(rows, starts: np.ndarray) -> list:
+    lists = rows.column("spans")
+    days = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    group = np.repeat(_groups_of(starts, len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return [group_spans(group, days[:, 0], days[:, 1], len(starts))]
 
 
 def active_spans(df: DataFrame, by: Sequence[str], day: str, chunk_rows: int = 10_000, fan_in: int = 64) -> DataFrame:
@@ -145,6 +211,4 @@ def active_spans(df: DataFrame, by: Sequence[str], day: str, chunk_rows: int = 1
 
     A state is a list of spans, at most one for every second day, whatever the rows."""
     rows = df.select(*by, F.unix_date(F.col(day)).alias("_d")).where(F.col("_d").isNotNull())
-    return fold_groups(rows, by, lambda f: [{"spans": day_spans(set(f["_d"].tolist()))}],
-                       lambda f: {"spans": merged_spans([tuple(s) for spans in f["spans"] for s in spans])},
-                       "spans array<array<int>>", chunk_rows, fan_in)
+    return fold_groups(rows, by, _spans_of_days, _spans_of_spans, "spans array<array<int>>", chunk_rows, fan_in, many=True)

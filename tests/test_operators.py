@@ -352,6 +352,43 @@ def test_active_spans(spark):
     assert rows(active_spans(df, ["u"], "day", chunk_rows=1, fan_in=2)) == [(None, [[1, 2]]), (1, [[1, 3], [7, 7]]), (2, [[5, 5]])]
 
 
+def test_small_groups_are_folded_many_at_a_call(spark, monkeypatch):
+    """Ten thousand users of a few days each: spans as by brute force, and a call folds many users."""
+    from tessera.functions import udfs
+
+    calls = spark.sparkContext.accumulator(0)
+    whole = udfs.fold_groups
+
+    def counted(df, by, chunk, merge, *rest, **more):
+        def each(fold):
+            def call(rows, *at):
+                calls.add(1)
+                return fold(rows, *at)
+            return call
+        return whole(df, by, each(chunk), each(merge), *rest, **more)
+
+    monkeypatch.setattr(udfs, "fold_groups", counted)
+    users, start = 10_000, dt.date(1969, 12, 30)
+    df = spark.range(users * 8).select(F.when(F.col("id") % users != 7, F.col("id") % users).alias("u"),
+                                       F.date_add(F.lit(start), F.pmod(F.xxhash64("id"), F.lit(12)).cast("int")).alias("day")).repartition(6)
+    got = {r.u: [list(s) for s in r.spans] for r in udfs.active_spans(df, ["u"], "day", fan_in=4).collect()}
+    want: dict = {}
+    for u, day in sorted({(r.u, (r.day - dt.date(1970, 1, 1)).days) for r in df.collect()}, key=str):
+        want.setdefault(u, set()).add(day)
+
+    def spans(days):
+        out = []
+        for d in sorted(days):
+            if out and out[-1][1] == d - 1:
+                out[-1][1] = d
+            else:
+                out.append([d, d])
+        return out
+
+    assert got == {u: spans(days) for u, days in want.items()} and len(got) == users
+    assert calls.value < users / 10
+
+
 def test_statistics_are_broadcast_by_bytes_or_salted(spark):
     """A group with two thirds of the rows; null keys; both ways agree, and only the salted one shuffles the large side."""
     from tessera.operators.sizing import attach_statistics
