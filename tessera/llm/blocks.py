@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_groups, few_at_a_time, give_back, persist_table
+from tessera.llm.common import bounded_groups, few_at_a_time, give_back, let_go, persist_table
 
 BLOCK_BYTES = 3 << 20
 PART_KEYS = 1_000_000
@@ -103,6 +103,7 @@ def told(keys: DataFrame, level: int) -> DataFrame:
     """
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         lists = [np.frombuffer(x, "<u8") for x in frame["keys"]]
         sizes = [len(x) for x in lists]
         all_keys = np.concatenate(lists)
@@ -134,6 +135,7 @@ def counted(keys: DataFrame, level: int) -> DataFrame:
     """For every key sent, the sum of its ``checks`` over all blocks (at most 65535), as compressed 16-bit numbers."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         lists = [np.frombuffer(x, "<u8") for x in frame["keys"]]
         all_keys, of = np.unique(np.concatenate(lists), return_inverse=True)
         sums = np.bincount(of, np.frombuffer(b"".join(frame["checks"]), "<u4"), len(all_keys))
@@ -169,6 +171,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame | None, work: Callable, s
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frame: pd.DataFrame, said: pd.DataFrame | None) -> pd.DataFrame:
+        let_go()
         rows: list[tuple] = []
         by: dict[int, dict[int, bytes]] = {}
         if said is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql.window import Window
 
 from tessera.session import persist_table, scratch_path
 
-__all__ = ["bounded_groups", "few_at_a_time", "give_back", "numbered", "persist_table", "read_table", "scratch_path"]
+__all__ = ["bounded_groups", "few_at_a_time", "give_back", "kept", "let_go", "numbered", "persist_table", "read_table", "scratch_path"]
+
+_kept: dict = {}  # name -> (stage, value), in each worker
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -34,8 +37,35 @@ def give_back() -> None:
         trim(0)
 
 
+def _stage() -> int | None:
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return task.stageId() if task else None
+
+
+def kept(name: tuple, make: Callable):
+    """What ``make()`` gives, made once by a worker for all its tasks of a stage."""
+    let_go()
+    if name not in _kept:
+        _kept[name] = (_stage(), make())
+    return _kept[name][1]
+
+
+def let_go() -> None:
+    """Drops what earlier stages kept: a tokenizer with its cache of pieces would stay with a worker through
+    all the stages that follow. Every task calls it before its own work."""
+    stage = _stage()
+    gone = [name for name, (of, _) in _kept.items() if of != stage]
+    for name in gone:
+        del _kept[name]
+    if gone:
+        give_back()
+
+
 def few_at_a_time(batches, rows: int = 500):
     """Arrow batches cut into smaller ones, so that few texts are Python objects at a time."""
+    let_go()
     for whole in batches:
         for lo in range(0, whole.num_rows, rows):
             yield whole.slice(lo, rows)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import BLOCK, NO_ID, SENT, counted, pack_texts, parts_for, sent, texts_of, told, unpack, unpack_counts, with_answers, write_blocks
-from tessera.llm.common import persist_table
+from tessera.llm.common import give_back, let_go, persist_table
 from tessera.llm.components import connected
 from tessera.llm.textwindows import Batch, mix, window_hashes
 from tessera.operators.sizing import broadcast_if_small
@@ -51,6 +51,7 @@ EXTRA = 0.08  # of a set's size: how far a prefix may be lengthened
 CHUNK, CLASS = 256, 4096
 GAIN = 1.0  # shingles more for each doubling of the estimated candidate cost
 KEYS_PER_BYTE = 0.05
+LARGE = 4 << 20  # bytes of a table of counts after which a worker hands memory back
 REPS = 1 << 20  # level of the answers that tell which rows stand for their set
 
 
@@ -98,6 +99,7 @@ def set_key(shingles: np.ndarray) -> int:
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, checked on whole texts."""
     def check(batches):
+        let_go()
         for batch in batches:
             good_a, good_b = [], []
             columns = [c.to_pylist() for c in batch.columns]
@@ -110,7 +112,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     if 100 * common >= percent * (len(x) + len(y) - common):
                         good_a.append(a[i])
                         good_b.append(b[i])
+            del columns
             yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], ["a", "b"])
+        give_back()
 
     def side(name: str) -> DataFrame:
         return texts.select(F.col("node").alias(name), F.col("bytes").alias(f"bytes_{name}"), F.col("data").alias(f"data_{name}"))
@@ -123,10 +127,12 @@ def _texts(blocks: DataFrame) -> DataFrame:
     """node, bytes, data (compressed) of every text in blocks of sets."""
 
     def split(frames):
+        let_go()
         for frame in frames:
             for r in frame.itertuples():
                 nodes, texts = texts_of(r.ids, r.sizes, r.bytes, r.data)
                 yield pd.DataFrame({"node": nodes, "bytes": [len(t) for t in texts], "data": [pa.compress(t, "zstd", asbytes=True) for t in texts]})
+        give_back()
 
     return persist_table(blocks.mapInPandas(split, "node long, bytes long, data binary"), "set-texts")
 
@@ -199,6 +205,7 @@ def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFra
     """
 
     def emit(batches):
+        let_go()
         for batch in batches:
             nodes, components, members, sizes, data = (c.to_pylist() for c in batch.columns)
             for lo in range(0, len(nodes), 200):
@@ -207,6 +214,7 @@ def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), n)) for x in (
                     nodes[lo:lo + 200], components[lo:lo + 200], members[lo:lo + 200], n)] + [
                     pa.array(np.concatenate(got).view(np.int64))], ["node", "component", "members", "n", "h"])
+        give_back()
 
     several = persist_table(waiting.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "several")
     sized = waiting.join(several, "component", "left").withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
@@ -235,6 +243,7 @@ def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFra
         F.array(1 + F.pmod(F.xxhash64("node"), F.col("classes"))))))
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         nodes, first, of = np.unique(frame["node"].to_numpy(), return_index=True, return_inverse=True)
         n, component = frame["n"].to_numpy()[first], frame["component"].to_numpy()[first]
         member = np.zeros(len(nodes), bool)
@@ -247,10 +256,14 @@ def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFra
         cuts = np.flatnonzero(np.diff(h)) + 1
         for at in np.split(of[order], cuts):
             common[np.ix_(place[at[member[at]]], at)] += 1
+        large = common.nbytes > LARGE
         x, y = np.nonzero(100 * common.astype(np.int64) >= percent * (n[rows_of][:, None] + n[None, :] - common))
         x = rows_of[x]
         across = component[x] != component[y]
         a, b = np.minimum(nodes[x], nodes[y])[across], np.maximum(nodes[x], nodes[y])[across]
+        del common, x, y, order, h
+        if large:
+            give_back()
         return pd.DataFrame({"a": a, "b": b})
 
     return persist_table(spread.groupBy("chunk", "class").applyInPandas(links, "a long, b long"), "links")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import few_at_a_time
+from tessera.llm.common import few_at_a_time, kept
 from tessera.llm.tokens import Encoder, byte_characters
 
 NEVER = 1 << 30  # rank of a merge that does not come
@@ -261,19 +261,15 @@ def decoder(parts: dict):
     return lambda ids: b"".join([pieces[i] for i in ids if 0 <= i < len(pieces)]).decode("utf-8", "replace")
 
 
-_open: dict[str, PrefixEncoder] = {}
-
-
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", with_text: bool = False) -> DataFrame:
     """Ids of every whole text: key, ids, and with ``with_text`` what they decode to."""
     sent = docs.sparkSession.sparkContext.broadcast(tables(tokenizer))
 
     def encode(batches):
-        if tokenizer not in _open:
-            _open[tokenizer] = PrefixEncoder(tokenizer, sent.value)
+        encoder = kept(("prefixes", tokenizer), lambda: PrefixEncoder(tokenizer, sent.value))
         read = decoder(sent.value)
         for batch in few_at_a_time(batches):
-            ids = [np.frombuffer(x, "<u4") for x in _open[tokenizer](batch.column(1).to_pylist())]
+            ids = [np.frombuffer(x, "<u4") for x in encoder(batch.column(1).to_pylist())]
             ends = np.cumsum([0, *map(len, ids)])
             out = {"key": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32)))}
             if with_text:

@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from tessera.llm.common import kept
 from tessera.llm.piece_cache import PieceCache, piece_names
 from tessera.llm.textwindows import word_bounds
 
@@ -210,11 +211,6 @@ class Encoder:
         return out + (self._group(group) if group else [])
 
 
-_open: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file, so that its cache outlives a batch."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+    """One encoder for each worker process, stage and file, so that its cache outlives a batch."""
+    return kept(("encoder", path), lambda: Encoder(path))

@@ -550,6 +550,40 @@ def test_pipeline_keeps_all_clean_documents(spark, docs):
     assert len(want) > len(docs) / 2 and {r.doc_id: r.text for r in left.collect()} == want
 
 
+def test_workers_let_tokenizers_go(monkeypatch):
+    """A worker keeps one tokenizer for the tasks of a stage, none once it works for another."""
+    import gc
+    import weakref
+
+    from tessera.llm import common, tokens
+
+    stage = [1]
+    monkeypatch.setattr(common, "_stage", lambda: stage[0], raising=False)
+    path = P.path("byte_bpe_50k.json")
+    held = weakref.ref(tokens.encoder(path))
+    list(common.few_at_a_time([]))
+    assert held() is not None and tokens.encoder(path) is held()
+    stage[0] = 2
+    list(common.few_at_a_time([]))
+    gc.collect()
+    assert held() is None
+
+
+def test_pipeline_reads_small_batches(spark):
+    """No stage has whole texts in Arrow batches of Spark's 10,000 rows; a caller's smaller setting stands."""
+    import corpus_pipeline as pipeline
+
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    before = spark.conf.get(name)
+    try:
+        for asked, want in (("10000", 1000), ("0", 1000), ("50", 50)):
+            spark.conf.set(name, asked)
+            pipeline.secrets(spark, docs, "")
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_pipeline_odd(spark, tmp_path, odd):
     """Nulls, repeated rows and ids, ties, a long text and clashing columns through all stages; empty tables."""
     import corpus_pipeline as pipeline
