@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.session import persist_table, scratch_path
 
-__all__ = ["bounded_groups", "few_at_a_time", "give_back", "kept", "let_go", "numbered", "persist_table", "read_table", "scratch_path"]
+__all__ = ["bounded_groups", "few_at_a_time", "give_back", "kept", "let_go", "numbered", "persist_gathered", "persist_table", "read_table", "scratch_path"]
 
 _kept: dict = {}  # name -> (stage, value), in each worker
 
@@ -22,6 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def persist_gathered(df: DataFrame, name: str, by: str) -> DataFrame:
+    """Like ``persist_table``, for few rows from many tasks: a shuffle by ``by`` gathers them into files of Spark's
+    advisory size. Where Hadoop's native library is missing it starts a ``chmod`` for every file that it creates on a
+    local file system, and until that runs its own program its memory is the executor's, counted a second time."""
+    return persist_table(df.hint("rebalance", by), name)
+
+
 def give_back() -> None:
     """Hands memory that this worker no longer uses back to the machine: workers go on from stage to stage,
     and what an earlier one has freed would still count as theirs."""

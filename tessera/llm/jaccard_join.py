@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import BLOCK, NO_ID, SENT, counted, pack_texts, parts_for, sent, texts_of, told, unpack, unpack_counts, with_answers, write_blocks
-from tessera.llm.common import give_back, let_go, persist_table
+from tessera.llm.common import give_back, let_go, persist_gathered, persist_table
 from tessera.llm.components import connected
 from tessera.llm.textwindows import Batch, mix, window_hashes
 from tessera.operators.sizing import broadcast_if_small
@@ -120,7 +120,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         return texts.select(F.col("node").alias(name), F.col("bytes").alias(f"bytes_{name}"), F.col("data").alias(f"data_{name}"))
 
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bytes_a", "data_a", "bytes_b", "data_b")
-    return persist_table(rows.mapInArrow(check, "a long, b long"), "links")
+    return persist_gathered(rows.mapInArrow(check, "a long, b long"), "links", "a")
 
 
 def _texts(blocks: DataFrame) -> DataFrame:
@@ -173,11 +173,10 @@ def _adapted(blocks: DataFrame, percent: int) -> DataFrame:
 def _components(blocks: DataFrame, percent: int) -> DataFrame:
     """node, component of the distinct sets that may have a partner."""
     postings, texts = _adapted(blocks, percent), _texts(blocks)
-    labels = persist_table(texts.select("node", F.col("node").alias("component")), "components")
+    labels = persist_gathered(texts.select("node", F.col("node").alias("component")), "components", "node")
     tried: DataFrame | None = None
     for lead in (F.max(F.struct("weight", "node", "n")), F.min(F.struct("node", "n"))):  # two first tries for each set
-        centres = persist_table(postings.groupBy("h").agg(lead.alias("c")).select(
-            "h", F.col("c.node").alias("centre"), F.col("c.n").alias("n_centre")), "centres")
+        centres = postings.groupBy("h").agg(lead.alias("c")).select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("n_centre"))
         near = postings.join(centres, "h").where(
             (F.col("node") != F.col("centre")) & (100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre")))
         best = near.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(
@@ -187,7 +186,7 @@ def _components(blocks: DataFrame, percent: int) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         labels = connected(labels, _verified(pairs, texts, percent))
     named = persist_table(postings.join(labels, "node"), "named")
-    met = persist_table(named.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("h"), "open-keys")
+    met = named.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("h")
     open_nodes = named.join(met, "h", "left_semi").select("node").distinct()
     waiting = persist_table(open_nodes.join(labels, "node"), "open")
     return connected(labels, _links_across(waiting, texts, percent))
@@ -222,14 +221,14 @@ def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFra
         emit, "node long, component long, members long, n long, h long")
     every = persist_table(rows, "open-shingles")
     rank = F.struct("members", "component")
-    shared = persist_table(every.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min(rank).alias("_low"), F.max(rank).alias("high")).where(
-        "_low < high").select("h", "sets", "high"), "open-keys")
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("sets"), F.min(rank).alias("_low"), F.max(rank).alias("high")).where(
+        "_low < high").select("h", "sets", "high")
     rows = persist_table(every.join(shared, "h"), "open-postings")
     # a node's home: the shingle that most have, and its component if that is large
     first = persist_table(rows.groupBy("node").agg(F.max(F.struct("sets", "h")).alias("m"), F.first("members").alias("members"), F.first("component").alias("component")).select(
         F.col("node").alias("x"), F.col("m.h").alias("home"), F.when(F.col("members") >= CHUNK, F.col("component")).otherwise(0).alias("apart"),
         F.ceil(F.col("m.sets") / CLASS).alias("classes")), "first-homes")
-    gathered = persist_table(first.groupBy("home", "apart").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "gathered")
+    gathered = first.groupBy("home", "apart").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     home = persist_table(first.join(gathered, ["home", "apart"]).select(
         "x", F.xxhash64("home", "apart", F.pmod(F.xxhash64("x"), "chunks")).alias("chunk"), "classes"), "homes")
     wanted = rows.join(home, rows["node"] == home["x"]).groupBy("chunk", "h").agg(
@@ -266,7 +265,7 @@ def _links_across(waiting: DataFrame, texts: DataFrame, percent: int) -> DataFra
             give_back()
         return pd.DataFrame({"a": a, "b": b})
 
-    return persist_table(spread.groupBy("chunk", "class").applyInPandas(links, "a long, b long"), "links")
+    return persist_gathered(spread.groupBy("chunk", "class").applyInPandas(links, "a long, b long"), "links", "a")
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +277,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         for i, s in enumerate(shingle_sets(texts)):
             yield None if ids[i] == NO_ID else int(ids[i]), hashlib.md5(texts[i], usedforsecurity=False).hexdigest(), block, i, len(s), set_key(s)
 
-    rows = persist_table(with_answers(blocks, None, describe, "doc_id long, md5 string, block long, row int, n_shingles long, node long"), "sets")
+    rows = persist_gathered(with_answers(blocks, None, describe, "doc_id long, md5 string, block long, row int, n_shingles long, node long"), "sets", "block")
     reps = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("block", "row")).alias("r")).groupBy("r.block").agg(
         F.sort_array(F.collect_list("r.row")).alias("rows"))  # rows of one block
     reps = reps.select("block", F.lit(REPS).alias("level"), F.explode("rows").alias("part"), F.lit(b"").alias("bits"))

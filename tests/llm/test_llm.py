@@ -1,6 +1,7 @@
 """The ten jobs against brute force on a small table, and the defined cases of each operator."""
 
 import math
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import (decontamination, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup,
                          token_files, url_filter)
 from tessera.llm.queries import JUNK, ORACLE, QUERIES, URL_RULES
+from tessera.session import checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 P = pytest.importorskip("public_tokenizers")
@@ -249,6 +251,21 @@ def test_near_duplicate_families(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.jaccard_groups(rows)
 
 
+def test_few_rows_of_many_tasks_are_one_file(spark):
+    """Each file written may start a process, so small tables do not get one for every task."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words + [f"x{i}"])) for i in range(40)], "doc_id long, text string").repartition(8)
+    folder = checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert {r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {0}
+    files = defaultdict(list)
+    for name in set(os.listdir(folder)) - before:
+        files[name.rsplit("-", 1)[0]].append(sum(f.startswith("part-") for f in os.listdir(f"{folder}/{name}")))
+    assert len(files["blocks"]) == 1 and files["blocks"][0] > 4
+    assert {name: max(n) for name, n in files.items() if name in ("sets", "links", "components")} == {"sets": 1, "links": 1, "components": 1}
+    assert not {"centres", "open-keys", "gathered"} & set(files)  # read once, so not written
+
+
 def _check_pieces(rows, ids):
     sequences, own = defaultdict(list), defaultdict(list)
     for r in rows:
