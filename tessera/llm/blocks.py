@@ -56,7 +56,7 @@ def write_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield block()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return persist_table(rows.mapInArrow(collect, BLOCK), "blocks")
+    return persist_table(rows.mapInArrow(collect, BLOCK), "blocks", packed=True)
 
 
 def texts_of(ids: bytes, sizes: bytes, n: int, data: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -128,7 +128,7 @@ def told(keys: DataFrame, level: int) -> DataFrame:
         give_back()
         return pd.DataFrame({"block": frame["block"], "level": np.int32(level), "part": frame["part"], "bits": bits})
 
-    return persist_table(keys.groupBy("part").applyInPandas(answer, TOLD), "told")
+    return persist_table(keys.groupBy("part").applyInPandas(answer, TOLD), "told", packed=True)
 
 
 def counted(keys: DataFrame, level: int) -> DataFrame:
@@ -146,7 +146,7 @@ def counted(keys: DataFrame, level: int) -> DataFrame:
         give_back()
         return pd.DataFrame({"block": frame["block"], "level": np.int32(level), "part": frame["part"], "bits": bits})
 
-    return persist_table(keys.groupBy("part").applyInPandas(answer, TOLD), "counted")
+    return persist_table(keys.groupBy("part").applyInPandas(answer, TOLD), "counted", packed=True)
 
 
 def unpack_counts(rows: dict[int, bytes], keys: np.ndarray, parts: int) -> np.ndarray:

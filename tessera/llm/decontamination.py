@@ -209,7 +209,7 @@ def _windows(df: DataFrame, key: str, wanted: np.ndarray | None, common: np.ndar
     names = [c.split()[0] for c in schema.split(", ")]
 
     def emit(batches):
-        for batch in few_at_a_time(batches):
+        for batch in few_at_a_time(batches, 100):
             keys, copies, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             read = Templates([b"" if k is None else (t or "").encode("utf-8", "replace") for k, t in zip(keys, texts)], common)
             lengths = np.diff(read.first)

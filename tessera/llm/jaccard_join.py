@@ -49,6 +49,7 @@ from tessera.operators.sizing import broadcast_if_small
 SHINGLE = 5
 EXTRA = 0.08  # of a set's size: how far a prefix may be lengthened
 CHUNK, CLASS = 256, 4096
+AT_ONCE = 100
 GAIN = 1.0  # shingles more for each doubling of the estimated candidate cost
 KEYS_PER_BYTE = 0.05
 LARGE = 4 << 20  # bytes of a table of counts after which a worker hands memory back
@@ -75,17 +76,19 @@ def needed(n: int, percent: int) -> int:
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    batch = Batch(texts, lower=True)
-    whole = window_hashes(batch.hashes, size)
+    """Sorted distinct shingle hashes of each text; ``AT_ONCE`` texts are read at a time, as some
+    dozens of bytes are held for each byte read."""
     out = []
-    for a, b in zip(batch.first[:-1].tolist(), batch.first[1:].tolist()):
-        if b - a >= size:
-            out.append(np.unique(whole[a:b - size + 1]))
-        elif b > a:
-            out.append(mix(window_hashes(batch.hashes[a:b], b - a) + np.uint64(b - a)))
-        else:
-            out.append(np.empty(0, np.uint64))
+    for lo in range(0, len(texts), AT_ONCE):
+        batch = Batch(texts[lo:lo + AT_ONCE], lower=True)
+        whole = window_hashes(batch.hashes, size)
+        for a, b in zip(batch.first[:-1].tolist(), batch.first[1:].tolist()):
+            if b - a >= size:
+                out.append(np.unique(whole[a:b - size + 1]))
+            elif b > a:
+                out.append(mix(window_hashes(batch.hashes[a:b], b - a) + np.uint64(b - a)))
+            else:
+                out.append(np.empty(0, np.uint64))
     return out
 
 
@@ -134,7 +137,7 @@ def _texts(blocks: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"node": nodes, "bytes": [len(t) for t in texts], "data": [pa.compress(t, "zstd", asbytes=True) for t in texts]})
         give_back()
 
-    return persist_table(blocks.mapInPandas(split, "node long, bytes long, data binary"), "set-texts")
+    return persist_table(blocks.mapInPandas(split, "node long, bytes long, data binary"), "set-texts", packed=True)
 
 
 def _adapted(blocks: DataFrame, percent: int) -> DataFrame:
@@ -304,7 +307,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         if stay:
             yield pack_texts(block, [set_key(sets[i]) for i in stay], [texts[i] for i in stay])
 
-    labels = _components(persist_table(with_answers(blocks, asked.unionByName(reps), survivors, BLOCK), "candidates"), percent)
+    labels = _components(persist_table(with_answers(blocks, asked.unionByName(reps), survivors, BLOCK), "candidates", packed=True), percent)
     return rows.join(labels, "node", "left").select("doc_id", "md5", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
 
 

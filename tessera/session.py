@@ -80,11 +80,14 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def persist_table(df, name: str = "table"):
+def persist_table(df, name: str = "table", packed: bool = False):
     """Write ``df`` as parquet to a fresh folder under the shared checkpoint
     folder and return the table read back: computed exactly once, columnar,
-    and independent of the lineage that produced it."""
+    and independent of the lineage that produced it. What is ``packed``, that
+    is holds compressed bytes, is not compressed again: Parquet's codecs keep
+    buffers as large as the values outside the heap."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", "uncompressed") if packed else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

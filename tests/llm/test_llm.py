@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import (decontamination, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup,
                          token_files, url_filter)
+from tessera.llm.blocks import write_blocks
 from tessera.llm.queries import JUNK, ORACLE, QUERIES, URL_RULES
 from tessera.session import checkpoint_dir
 
@@ -266,6 +268,28 @@ def test_few_rows_of_many_tasks_are_one_file(spark):
     assert not {"centres", "open-keys", "gathered"} & set(files)  # read once, so not written
 
 
+def test_shingles_of_a_block_are_read_in_parts():
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)).encode() for i in range(1000)]
+    jaccard_join.shingle_sets(texts[:5])
+    tracemalloc.start()
+    sets = jaccard_join.shingle_sets(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * sum(map(len, texts))
+    for i in (0, 99, 100, 101, 999):
+        assert np.array_equal(sets[i], jaccard_join.shingle_sets(texts[i:i + 1])[0]) and len(sets[i]) == 396
+
+
+def test_compressed_blocks_are_not_compressed_again(spark, odd):
+    import pyarrow.parquet as pq
+
+    files = write_blocks(odd).inputFiles()
+    assert files
+    for f in files:
+        group = pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0)
+        assert {group.column(i).compression for i in range(group.num_columns)} == {"UNCOMPRESSED"}
+
+
 def _check_pieces(rows, ids):
     sequences, own = defaultdict(list), defaultdict(list)
     for r in rows:
